@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from . import byte_bpe, token_counts
+
 from .exact_dedup import exact_duplicates
 from .shared import table
 
@@ -24,8 +28,29 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
+def tokenizer(name: str) -> str:
+    """The place of a public vocabulary file: in CORPUS_TOKENIZERS, or where its package is."""
+    if folder := os.environ.get("CORPUS_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
+
+
 def queries() -> dict:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op6_token_counts": op6_token_counts,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
