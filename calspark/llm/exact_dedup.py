@@ -1,10 +1,11 @@
 """Exact deduplication by composable polynomial fingerprints.
 
-A text is normalised by deleting white space, its UTF-8 bytes are read as 16-bit symbols and hashed as
-polynomials modulo two primes. The hash of a concatenation follows from the hashes of its parts,
-H(AB) = H(A) * r^|B| + H(B), so a huge text is cut into chunks that are hashed in parallel and summed after
-each is shifted by the length behind it. Texts with equal fingerprints are then compared chunk by chunk with
-the document that would stay; whatever differs is grouped by its whole content instead.
+A text is normalised by deleting white space; its UTF-8 bytes are hashed as polynomials modulo two primes. The
+hash of a concatenation follows from the hashes of its parts, H(AB) = H(A) * r^|B| + H(B), so a huge text is cut
+into chunks that are normalised and hashed in parallel and joined by length-shifted arithmetic. Texts with equal
+fingerprints are then compared chunk by chunk with the document that would stay; whatever differs is grouped by
+its whole content instead. Only texts whose fingerprint is in a bitmap of repeated ones (of fixed size, made by
+Spark, broadcast) are shuffled for that; the bitmap may let others through, which a join then removes.
 
 Defined cases: null text counts as empty, all empty texts are equal; a null doc_id is an id like any other and
 sorts last; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
@@ -12,6 +13,7 @@ sorts last; repeated rows each get a row; other columns are ignored; an empty ta
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,72 +21,117 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, documents, width
+from .shared import cut, documents, pieces_of, width
 
-WHITESPACE = "[ \\t-\\r]+"
-#: Bytes hashed by one task at a time; an even number, as symbols have two bytes.
+SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes hashed by one task at a time.
 CHUNK_BYTES = 1 << 16
 #: Two primes under 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 741103597)
 #: Copies of one text that are compared in one task.
 GROUP_ROWS = 4096
+#: Bits of the bitmap of repeated fingerprints: 2 MB.
+BITMAP_BITS = 1 << 24
+BATCH_BYTES = 8_000_000
 
 
 class Polynomial:
-    """Hashes of 16-bit symbols as polynomials modulo two primes."""
+    """Hashes of bytes as polynomials modulo two primes."""
 
-    def __init__(self, primes=PRIMES, bases=BASES, symbols: int = CHUNK_BYTES // 2):
+    def __init__(self, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES):
         self.primes, self.bases = primes, bases
         self.powers = []
         for p, r in zip(primes, bases, strict=True):
             powers = np.ones(1, np.uint64)
             step = r % p  # r^len(powers)
-            while len(powers) < symbols:
+            while len(powers) < chunk_bytes:
                 powers = np.concatenate([powers, powers * np.uint64(step) % np.uint64(p)])
                 step = step * step % p
-            self.powers.append(powers[:symbols][::-1].copy())
+            self.powers.append(powers[:chunk_bytes][::-1].copy())
 
-    def chunk(self, data: np.ndarray) -> tuple[int, int]:
-        """Of at most CHUNK_BYTES bytes; products are under 2^47, so their sum fits into 64 bits."""
-        symbols = np.frombuffer(data if len(data) % 2 == 0 else bytes(data) + b"\0", "<u2").astype(np.uint64) + np.uint64(1)
+    def chunk(self, data: bytes) -> tuple[int, int]:
+        """Of at most CHUNK_BYTES bytes; products are under 2^40, so their sum fits into 64 bits."""
+        symbols = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
         return tuple(int(symbols @ w[len(w) - len(symbols):]) % p for w, p in zip(self.powers, self.primes, strict=True))
 
-    def shifted(self, h: int, k: int, symbols_behind: int) -> int:
-        return h * pow(self.bases[k], symbols_behind, self.primes[k]) % self.primes[k]
+    def shifts(self, n_bytes: int) -> tuple[int, int]:
+        """What the hash of a text is multiplied by when so many bytes follow."""
+        return tuple(pow(r, n_bytes, p) for p, r in zip(self.primes, self.bases, strict=True))
 
-    def joined(self, left: tuple[int, int], right: tuple[int, int], right_symbols: int) -> tuple[int, int]:
+    def joined(self, left: tuple[int, int], right: tuple[int, int], right_bytes: int) -> tuple[int, int]:
         """H(AB) from H(A), H(B) and |B|."""
-        return tuple((self.shifted(a, k, right_symbols) + b) % self.primes[k] for k, (a, b) in enumerate(zip(left, right, strict=True)))
+        return tuple((a * s + b) % p for a, b, s, p in zip(left, right, self.shifts(right_bytes), self.primes, strict=True))
 
 
-def _hashed(polynomial: Polynomial, piece: str, behind: str):
-    """Adds h0 and h1 to each row: the hash of the bytes in ``piece``, shifted by the bytes in ``behind``."""
+def _batch(columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+
+def _whole(polynomial: Polynomial, bitmap: np.ndarray | None):
+    """Normalises and hashes short texts; with a bitmap only texts in it come back, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "piece", BATCH_BYTES):
+            norm = [bytes(x.as_buffer()).translate(None, SPACES) for x in batch.column("piece")]
+            h = np.array([polynomial.chunk(x) for x in norm], np.int64).reshape(-1, 2)
+            at = np.arange(len(h)) if bitmap is None else np.flatnonzero(in_bitmap(bitmap, h[:, 0]))
+            rows = pa.array(at)
+            yield _batch({
+                "doc_id": batch.column("doc_id").take(rows), "n_cp": batch.column("n_cp").take(rows),
+                "n_bytes": pa.array([len(norm[i]) for i in at], pa.int64()), "h0": pa.array(h[at, 0]), "h1": pa.array(h[at, 1]),
+                "text_sha256": pa.array([hashlib.sha256(norm[i]).hexdigest() for i in at], pa.string()),
+                "norm": pa.nulls(len(at), pa.binary()) if bitmap is None else pa.array([norm[i] for i in at], pa.binary()),
+            })
+
+    return run
+
+
+def _chunks(polynomial: Polynomial):
+    """Size, hash and shift of each chunk of a long text, after normalising it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.zeros((2, batch.num_rows), np.int64)
-            for i, (data, rest) in enumerate(zip(batch.column(piece), batch.column(behind).to_pylist(), strict=True)):
-                h = polynomial.chunk(data.as_buffer())
-                found[:, i] = [polynomial.shifted(x, k, (rest + 1) // 2) for k, x in enumerate(h)] if rest else h
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found[0]), pa.array(found[1])], [*batch.schema.names, "h0", "h1"])
+            norm = [bytes(x.as_buffer()).translate(None, SPACES) for x in batch.column("piece")]
+            found = np.array([(len(x), *polynomial.chunk(x), *polynomial.shifts(len(x))) for x in norm], np.int64).reshape(-1, 5)
+            yield _batch({"row_id": batch.column("row_id"), "k": batch.column("k"), **{c: pa.array(found[:, i].copy()) for i, c in enumerate(("n", "h0", "h1", "s0", "s1"))}})
 
     return run
 
 
-def fingerprints(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_cp, norm, n_bytes, h0 and h1 of every row of documents."""
-    polynomial = Polynomial(primes, bases, chunk_bytes // 2)
-    base = documents(df).select("doc_id", F.char_length("text").alias("n_cp"), F.regexp_replace("text", WHITESPACE, "").alias("norm"))
-    base = base.withColumn("n_bytes", F.octet_length("norm").cast("long"))
-    short = base.filter(F.col("n_bytes") <= chunk_bytes).withColumn("piece", F.col("norm").cast("binary")).withColumn("behind", F.lit(0).cast("long"))
-    short = short.mapInArrow(_hashed(polynomial, "piece", "behind"), "doc_id long, n_cp int, norm string, n_bytes long, piece binary, behind long, h0 long, h1 long").drop("piece", "behind")
-    long = base.filter(F.col("n_bytes") > chunk_bytes).withColumn("row_id", F.monotonically_increasing_id())
-    chunk = long.select("row_id", "n_bytes", F.col("norm").cast("binary").alias("whole"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - 1) / chunk_bytes))).alias("k"))
-    chunk = chunk.select("row_id", F.substring("whole", (F.col("k") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes)).alias("piece"), F.greatest(F.col("n_bytes") - (F.col("k") + 1) * chunk_bytes, F.lit(0)).alias("behind"), "k")
-    chunk = chunk.repartition(width(df), "row_id", "k").drop("k").mapInArrow(_hashed(polynomial, "piece", "behind"), "row_id long, piece binary, behind long, h0 long, h1 long")
-    hashed = chunk.groupBy("row_id").agg(*((F.sum(f"h{k}") % p).alias(f"h{k}") for k, p in enumerate(primes)))
-    return short.unionByName(long.join(hashed, "row_id").drop("row_id"))
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h % (len(bitmap) * 8)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value of the column, modulo ``bits``: so many bits whatever the rows, a few KB a row of the result."""
+    bit = F.expr(f"{column} % {bits}L + 1")  # positions are counted from 1
+    rows = df.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[at: at + len(part)] |= part[: len(out) - at]
+    return out
+
+
+def fingerprints(df: DataFrame, polynomial: Polynomial, bitmap: np.ndarray | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_cp, n_bytes, h0, h1 and text_sha256 of every row, or of those in a bitmap together with norm."""
+    base = documents(df).select("doc_id", F.char_length("text").alias("n_cp"), F.col("text").cast("binary").alias("piece"))
+    schema = "doc_id long, n_cp int, n_bytes long, h0 long, h1 long, text_sha256 string, norm binary"
+    short = base.filter(F.octet_length("piece") <= chunk_bytes).mapInArrow(_whole(polynomial, bitmap), schema)
+    long = base.filter(F.octet_length("piece") > chunk_bytes).withColumn("row_id", F.monotonically_increasing_id())
+    last = F.floor((F.octet_length("piece") - 1) / chunk_bytes).cast("int")
+    chunk = long.select("row_id", "piece", F.explode(F.sequence(F.lit(0), last)).alias("k")).select("row_id", "k", F.substring("piece", F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("piece"))
+    chunk = chunk.repartition(width(df), "row_id", "k").mapInArrow(_chunks(polynomial), "row_id long, k int, n long, h0 long, h1 long, s0 long, s1 long")
+    parts = chunk.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("k", "n", "h0", "h1", "s0", "s1"))).alias("parts"))
+    zero = F.lit(0).cast("long")
+    joined = F.aggregate("parts", F.struct(zero.alias("n"), zero.alias("h0"), zero.alias("h1")), lambda a, b: F.struct(
+        (a["n"] + b["n"]).alias("n"), *(((a[f"h{i}"] * b[f"s{i}"] + b[f"h{i}"]) % p).alias(f"h{i}") for i, p in enumerate(polynomial.primes))))
+    long = long.join(parts.select("row_id", joined.alias("j")), "row_id").withColumn("norm", F.regexp_replace(F.col("piece").cast("string"), "[ \\t-\\r]+", "").cast("binary"))
+    long = long.select("doc_id", "n_cp", F.col("j.n").alias("n_bytes"), F.col("j.h0").alias("h0"), F.col("j.h1").alias("h1"), F.sha2("norm", 256).alias("text_sha256"), "norm")
+    return short.unionByName(long)
 
 
 def _better() -> Column:
@@ -95,30 +142,31 @@ def _better() -> Column:
 def _equal_by_chunks(a: str, b: str, n_bytes: str, chunk_bytes: int) -> Column:
     """Whether two texts of the same size are equal, one chunk after the other, up to the first that differs."""
     at = F.sequence(F.lit(0).cast("long"), F.floor(F.col(n_bytes) / chunk_bytes))
-    cut_at = lambda c, k: F.substring(F.col(c).cast("binary"), (k * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
+    cut_at = lambda c, k: F.substring(F.col(c), (k * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
     return F.forall(at, lambda k: cut_at(a, k) == cut_at(b, k))
 
 
-def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
+def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES, group_rows: int = GROUP_ROWS, bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    key = ["h0", "h1", "n_bytes"]
-    every = fingerprints(df, primes, bases, chunk_bytes)
-    light = cut(every.select("doc_id", "n_cp", *key, F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")))
+    key, polynomial = ["h0", "h1", "n_bytes"], Polynomial(primes, bases, chunk_bytes)
+    light = cut(fingerprints(df, polynomial, None, chunk_bytes).drop("norm"))
     several = light.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(_better()).alias("best")).filter("n > 1")
-    several = cut(several.select(*key, "n", F.col("best.doc_id").alias("keep_id"), F.ceil(F.col("n") / group_rows).cast("int").alias("salts")))
+    several = cut(several.select(*key, F.col("best.doc_id").alias("keep_id"), F.ceil(F.col("n") / group_rows).cast("int").alias("salts")))
     # the texts of groups: a large group is dealt to several tasks, each with its own copy of the text that stays
-    members = every.join(several, key).withColumn("sha", F.sha2(F.col("norm").cast("binary"), 256))
-    members = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_cp"), F.col("salts")).cast("int"))
-    models = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates([*key])
-    models = models.select(*key, F.col("norm").alias("model"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    same = members.join(models, [*key, "salt"]).withColumn("equal", _equal_by_chunks("norm", "model", "n_bytes", chunk_bytes))
-    same = cut(same.select("doc_id", "n_cp", *key, "keep_id", "sha", "equal", F.when(~F.col("equal"), F.col("norm")).alias("other")))
+    repeated = fingerprints(df, polynomial, bitmap_of(several, "h0", bits), chunk_bytes)
+    members = repeated.join(several.hint("shuffle_hash"), key).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_cp"), F.col("salts")).cast("int"))
+    members = cut(members)
+    models = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*key, "salts", F.col("norm").alias("model"))
+    models = models.groupBy(*key).agg(F.first("salts").alias("salts"), F.first("model").alias("model"))
+    models = models.select(*key, "model", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    same = members.join(models.hint("shuffle_merge"), [*key, "salt"]).withColumn("equal", _equal_by_chunks("norm", "model", "n_bytes", chunk_bytes))
+    same = cut(same.select("doc_id", "n_cp", *key, "keep_id", "text_sha256", "equal", F.when(~F.col("equal"), F.col("norm")).alias("other")))
     sizes = same.filter("equal").groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"))
-    found = same.filter("equal").join(sizes, key).select("doc_id", "keep_id", "group_size", F.col("sha").alias("text_sha256"))
+    found = same.filter("equal").join(sizes, key).select("doc_id", "keep_id", "group_size", "text_sha256")
     # equal fingerprints of different texts: grouped by the whole content
     rest = same.filter("not equal")
     classes = rest.groupBy("other").agg(F.count(F.lit(1)).alias("group_size"), F.max(_better()).alias("best"))
-    rest = rest.drop("keep_id").join(classes, "other").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("sha").alias("text_sha256"))
+    rest = rest.drop("keep_id").join(classes, "other").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "text_sha256")
     alone = light.join(several.select(*key), key, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     out = alone.unionByName(found).unionByName(rest)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
