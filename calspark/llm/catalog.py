@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, pii, quality, token_counts
+from . import byte_bpe, packing, pii, quality, token_counts, toxicity
 
 from .exact_dedup import exact_duplicates
 from .shared import table
@@ -16,6 +16,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_cp, regexp_replace(coalesce(text, ''), '[ \t\n\x0b\f\r]', '', 'g') AS norm FROM documents
@@ -65,6 +69,7 @@ def queries() -> dict:
         "op6_token_counts": op6_token_counts,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
