@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, pii, quality, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, packing, pii, quality, token_counts, toxicity
 
 from .exact_dedup import exact_duplicates
 from .shared import table
@@ -57,16 +57,35 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"))
 
 
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+), r AS (
+  SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id WHERE r.root < p.b
+), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id), n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least(e.vec_id, c.component_id) AS component_id, e.vec_id = least(e.vec_id, c.component_id) AS kept
+FROM embeddings e LEFT JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+
 def queries() -> dict:
     return {
         "op3_pii": op3_pii,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
         "op6_token_counts": op6_token_counts,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
@@ -74,4 +93,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}

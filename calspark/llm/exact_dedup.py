@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, documents, pieces_of, width
+from .shared import bitmap_of, cut, documents, in_bitmap, pieces_of, width
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes hashed by one task at a time.
@@ -99,23 +99,6 @@ def _chunks(polynomial: Polynomial):
     return run
 
 
-def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
-    bit = h % (len(bitmap) * 8)
-    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-
-
-def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit for each value of the column, modulo ``bits``: so many bits whatever the rows, a few KB a row of the result."""
-    bit = F.expr(f"{column} % {bits}L + 1")  # positions are counted from 1
-    rows = df.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        at = (r["bucket"] - 1) * 4096
-        part = np.frombuffer(r["bits"], np.uint8)
-        out[at: at + len(part)] |= part[: len(out) - at]
-    return out
-
-
 def fingerprints(df: DataFrame, polynomial: Polynomial, bitmap: np.ndarray | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_cp, n_bytes, h0, h1 and text_sha256 of every row, or of those in a bitmap together with norm."""
     base = documents(df).select("doc_id", F.char_length("text").alias("n_cp"), F.col("text").cast("binary").alias("piece"))

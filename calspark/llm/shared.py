@@ -65,3 +65,50 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     begins = np.cumsum(lengths) - lengths
     return np.arange(total) + np.repeat(starts - begins, lengths)
+
+
+def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    bit = h % (len(bitmap) * 8)
+    return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value of the column, modulo ``bits``: so many bits whatever the rows, a few KB a row of the result."""
+    bit = F.expr(f"{column} % {bits}L + 1")  # positions are counted from 1
+    rows = df.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        at = (r["bucket"] - 1) * 4096
+        part = np.frombuffer(r["bits"], np.uint8)
+        out[at: at + len(part)] |= part[: len(out) - at]
+    return out
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, one key after the other, from rows sorted by it: only one group is held at a time."""
+    kept: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        changed = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            changed[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(changed).tolist(), batch.num_rows]
+        first = tuple(c[0] for c in columns)
+        if kept and first != last:
+            yield _one(kept)
+            kept = []
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            if a:
+                yield _one(kept)
+                kept = []
+            kept.append(batch.slice(a, b - a))
+        last = tuple(c[-1] for c in columns)
+    if kept:
+        yield _one(kept)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
