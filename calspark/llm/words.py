@@ -104,6 +104,16 @@ def _eight(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(bits < 64, found & ((np.uint64(1) << (bits & np.uint64(63))) - np.uint64(1)), found)
 
 
+def numbers(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each word: its bytes if it has up to 16, a hash otherwise."""
+    data = np.concatenate([words.data, np.zeros(16, np.uint8)])
+    low, high = _eight(data, words.starts, words.sizes), _eight(data, np.minimum(words.starts + 8, len(data) - 8), words.sizes - 8)
+    for i in np.flatnonzero(words.sizes > 16):
+        h = xxhash.xxh3_128_intdigest(words.data[words.starts[i]: words.starts[i] + words.sizes[i]])
+        low[i], high[i] = h & (2**64 - 1), h >> 64
+    return low, high
+
+
 def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """For each word the number of its distinct word, and for each distinct word one place where it is.
 
@@ -111,12 +121,8 @@ def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """
     import pandas as pd
 
-    data = np.concatenate([words.data, np.zeros(16, np.uint8)])
-    low, high = _eight(data, words.starts, words.sizes), _eight(data, np.minimum(words.starts + 8, len(data) - 8), words.sizes - 8)
+    low, high = numbers(words)
     sizes = words.sizes.astype(np.uint64)
-    for i in np.flatnonzero(words.sizes > 16):
-        h = xxhash.xxh3_128_intdigest(words.data[words.starts[i]: words.starts[i] + words.sizes[i]])
-        low[i], high[i] = h & (2**64 - 1), h >> 64
     for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93):
         key = low * np.uint64(seed)
         key ^= key >> np.uint64(29)
