@@ -153,3 +153,9 @@ def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int
     alone = light.join(several.select(*key), key, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     out = alone.unionByName(found).unionByName(rest)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def one_of_each(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, with all their columns, whose id is the one that stays; rows that share an id stay or go together."""
+    gone = exact_duplicates(df).filter(~F.col("kept")).select("doc_id").distinct()
+    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
