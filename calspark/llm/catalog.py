@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, ngram_join, packing, pii, quality, token_counts, toxicity
+from . import byte_bpe, embedding_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
 
 from .exact_dedup import exact_duplicates
 from .shared import table
@@ -45,6 +45,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ FROM embeddings e LEFT JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_pii": op3_pii,
         "op4_quality": op4_quality,
         "op5_packing": op5_packing,
