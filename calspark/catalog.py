@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from calspark.plans import calendar, grids, imports, recurrences, reminding, statistics, streams, texts  # noqa: F401  they register their queries
+from calspark.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
