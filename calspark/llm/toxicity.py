@@ -25,12 +25,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import calibration, chance, dual_coordinate_descent
 from .quality import remainder, training_rows
-from .shared import documents, pieces_of, ragged
+from .shared import cut, documents, pieces_of, ragged
 from .words import LETTER, SPACE, Words, classes, distinct
 
 TRAIN_ROWS = 6000
@@ -41,6 +42,8 @@ SPAN = 6
 LANDMARKS = 160
 #: Words of each class that the model is fitted on, at most.
 TRAIN_WORDS = 4000
+#: Words of other texts among which the hardest are looked for, those with the smallest hashes.
+OTHER_WORDS = 60000
 #: A toxic word is in so many toxic texts at least, and is so many times as frequent there as in others.
 LEAST_TEXTS, LEAST_RATIO = 3, 8.0
 #: And so unlikely to be there by chance (twice the log-likelihood ratio).
@@ -161,12 +164,17 @@ def kernel(counts: list[tuple[np.ndarray, np.ndarray]], landmarks: list[tuple[np
     return out
 
 
-def one_of_near_copies(texts: list[list[str]], hashes: int = 16) -> np.ndarray:
-    """For each list of words, the first list that shares at least two of eight pairs of minimal hashes of its word pairs."""
-    rng = np.random.default_rng(5)
-    mul = rng.integers(1, 2**62, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    ids: dict[str, int] = {}
-    root = list(range(len(texts)))
+def low_hashes(words: list[str], hashes: int = 16) -> list[int]:
+    """Minimal hashes of the pairs of words that follow each other."""
+    mul = np.random.default_rng(5).integers(1, 2**62, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
+    pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(w) > 1 else w
+    return ((pair[:, None] ^ (pair[:, None] >> np.uint64(29))) * mul).min(0).view(np.int64).tolist() if len(pair) else []
+
+
+def one_of_near_copies(low: list[list[int]]) -> list[int]:
+    """The places of texts that share fewer than two of eight pairs of minimal hashes with any before them."""
+    root = list(range(len(low)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -175,20 +183,14 @@ def one_of_near_copies(texts: list[list[str]], hashes: int = 16) -> np.ndarray:
         return x
 
     seen: dict[tuple, int] = {}
-    for i, words in enumerate(texts):
-        w = np.array([ids.setdefault(x, len(ids)) for x in words], np.uint64)
-        pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(w) > 1 else w
-        if not len(pair):
-            continue
-        low = ((pair[:, None] ^ (pair[:, None] >> np.uint64(29))) * mul).min(0)
-        keys = [(b, int(low[2 * b]), int(low[2 * b + 1])) for b in range(hashes // 2)]
-        common = Counter(find(seen[k]) for k in keys if k in seen)
-        for r, n in common.items():
+    for i, h in enumerate(low):
+        keys = [(k, h[k], h[k + 1]) for k in range(0, len(h), 2)]
+        for r, n in Counter(find(seen[k]) for k in keys if k in seen).items():
             if n >= 2:
                 root[find(i)] = find(r)
         for k in keys:
             seen.setdefault(k, i)
-    return np.array([find(i) for i in range(len(texts))])
+    return [i for i in range(len(low)) if find(i) == i]
 
 
 def words_of(text: str) -> list[str]:
@@ -197,30 +199,19 @@ def words_of(text: str) -> list[str]:
     return [letters[a: a + n] for a, n in places.tolist()]
 
 
-def learnt(texts: list[list[str]], y: np.ndarray, seed: int = 0) -> Model:
-    """A model from the words of labelled texts."""
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(DIMENSIONS))
-    group = one_of_near_copies(texts)
-    first = np.flatnonzero(group == np.arange(len(texts)))
-    total = {k: max(int((y[first] == k).sum()), 1) for k in (0, 1)}
-    seen = {0: Counter(), 1: Counter()}
-    for i in first:
-        seen[int(y[i])].update(set(texts[i]))
-    share = total[1] / (total[0] + total[1])
+def margins_of(model: Model, words: list[str]) -> np.ndarray:
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    return model.margins(np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), np.cumsum(sizes) - sizes, sizes)
 
-    def evidence(n: int, m: int) -> float:
-        return 2 * sum(k * np.log(k / (n + m) / s) for k, s in ((n, share), (m, 1 - share)) if k)
 
-    toxic = {w for w, n in seen[1].items() if n >= LEAST_TEXTS and len(w) > 2 and n / total[1] >= LEAST_RATIO * seen[0][w] / total[0] and evidence(n, seen[0][w]) >= LEAST_EVIDENCE}
-    if not toxic:
-        return Model(np.zeros(DIMENSIONS))
+def trained(toxic: list[str], frequent: list[str], others: list[str], seed: int = 0) -> Model:
+    """A model that tells toxic words from frequent ones and those of the others that are hardest to tell."""
     rng = np.random.default_rng(seed)
-    clean = sorted(w for w in seen[0] if len(w) > 2 and w not in toxic)
-    frequent = sorted(clean, key=lambda w: (-seen[0][w], w))[: TRAIN_WORDS // 4]
-    some = [clean[i] for i in rng.permutation(len(clean))[: TRAIN_WORDS // 4]]
-    good, bad = sorted(toxic)[:TRAIN_WORDS], sorted({*frequent, *some})
-    for again in (False, True, True):
+    good, others = sorted(toxic), sorted(set(others) - set(toxic))
+    bad = sorted({*(w for w in frequent if w not in set(toxic)), *(others[i] for i in rng.permutation(len(others))[: TRAIN_WORDS // 4])})
+    if not good or not bad:
+        return Model(np.zeros(DIMENSIONS))
+    for again in (False, True):
         words = [*good, *bad]
         label = np.array([1] * len(good) + [-1] * len(bad))
         counts = counts_of(words)
@@ -236,28 +227,57 @@ def learnt(texts: list[list[str]], y: np.ndarray, seed: int = 0) -> Model:
         for (h, v), x in zip(marks, alpha, strict=True):
             np.add.at(weights, h, v * x)
         model = Model(weights, float(w[-1]))
-        if again or not clean:
+        if again or not others:
             break
-        letters = np.frombuffer("".join(clean).encode("utf-32-le"), "<u4")
-        sizes = np.fromiter(map(len, clean), np.int64, len(clean))
-        hard = np.argsort(-model.margins(letters, np.cumsum(sizes) - sizes, sizes), kind="stable")[: TRAIN_WORDS // 2]
-        bad = sorted({*bad, *(clean[i] for i in hard)})
-    a, b = calibration(model.of_texts([" ".join(x for x in texts[i] if len(x) > 1) for i in first]), y[first])
-    return Model(weights, model.bias, a, b)
+        bad = sorted({*bad, *(others[i] for i in np.argsort(-margins_of(model, others), kind="stable")[: TRAIN_WORDS // 2])})
+    return model
 
 
 def fit(df: DataFrame, labels: DataFrame, learnt_from: Column, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from the rows of ``labels.toxic`` for which ``learnt_from`` holds, train_rows at most."""
+    """A model from the rows of ``labels.toxic`` for which ``learnt_from`` holds, train_rows at most.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The driver gets minimal hashes, words up to TRAIN_WORDS and OTHER_WORDS, and a margin of each row.
+    """
+    sample = cut(training_rows(df, labels, "toxic", learnt_from, train_rows).select("doc_id", "label", "text").repartition(4, "doc_id"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [low_hashes(list(dict.fromkeys(words_of(t)))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "label", "low"])
+
+    rows = sorted(sample.mapInArrow(hashed, "doc_id long, label int, low array<long>").collect(), key=lambda r: r["doc_id"])
+    rows = [rows[i] for i in one_of_near_copies([list(r["low"]) for r in rows])]
+    total = Counter(r["label"] for r in rows)
+    if len(total) < 2:
+        return Model(np.zeros(DIMENSIONS))
+    first = F.broadcast(df.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long"))  # train_rows at most
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [list({w for w in words_of(t) if len(w) > 2}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(lists, pa.list_(pa.string()))], ["label", "words"])
+
+    words = sample.join(first, "doc_id").mapInArrow(worded, "label int, words array<string>").select("label", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.sum("label").alias("n"), F.sum(1 - F.col("label")).alias("m"))
+    share = total[1] / (total[0] + total[1])
+    part = lambda k, s: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (F.col("n") + F.col("m")) / s)).otherwise(0.0)
+    is_toxic = (F.col("n") >= LEAST_TEXTS) & (F.col("n") / total[1] >= LEAST_RATIO * F.col("m") / total[0]) & (F.col("evidence") >= LEAST_EVIDENCE)
+    counts = cut(counts.withColumn("evidence", 2 * (part("n", share) + part("m", 1 - share))).withColumn("toxic", is_toxic))
+    picked = lambda rows, most: [r["word"] for r in rows.limit(most).select("word").collect()]
+    other = counts.filter("NOT toxic AND m > 0")
+    model = trained(
+        picked(counts.filter("toxic").orderBy(F.desc("evidence"), "word"), TRAIN_WORDS),
+        picked(other.orderBy(F.desc("m"), "word"), TRAIN_WORDS // 4),
+        picked(other.orderBy(F.xxhash64("word"), "word"), OTHER_WORDS),
+    )
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # a text teaches the words it has, once each and in order of first use
-            lists = [list(dict.fromkeys(words_of(t))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(model.of_texts(batch.column("text").to_pylist()))], ["label", "value"])
 
-    sample = training_rows(df, labels, "toxic", learnt_from, train_rows).mapInArrow(run, "doc_id long, label int, words array<string>")
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])  # train_rows at most
-    return learnt([list(r["words"]) for r in rows], np.array([r["label"] for r in rows]))
+    known = sample.join(first, "doc_id").mapInArrow(valued, "label int, value double").collect()
+    model.a, model.b = calibration(np.array([r["value"] for r in known]), np.array([r["label"] for r in known]))
+    return model
 
 
 def held_out() -> Column:
