@@ -1 +1,97 @@
-"""Registered queries."""
+"""Queries over users, activity and counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from calspark.operators import identity, product
+
+from .registry import query
+
+
+@query("a1_series_per_source", "SELECT source, count(*) AS n FROM v_series GROUP BY source")
+def _(t):
+    return t.series.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a2_items_per_import", "SELECT draft_id, count(*) AS n FROM v_slots GROUP BY draft_id")
+def _(t):
+    return t.slots.groupBy("draft_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a3_distinct_subjects", """
+WITH s AS (SELECT coalesce('account:' || CAST(i.account_id AS VARCHAR), u.platform || ':' || CAST(u.external_id AS VARCHAR)) AS subject, e.event_id
+  FROM v_cal_events e JOIN v_users u ON u.user_id = e.user_id LEFT JOIN v_identities i ON i.platform = u.platform AND i.external_id = u.external_id)
+SELECT count(DISTINCT subject) AS subjects, count(*) AS activity FROM s""")
+def _(t):
+    return identity.linked(t.cal_events, t.users, t.identities).agg(F.countDistinct("subject").alias("subjects"), F.count(F.lit(1)).alias("activity"))
+
+
+@query("a4_first_seen", """
+WITH u AS (SELECT coalesce('account:' || CAST(i.account_id AS VARCHAR), u.platform || ':' || CAST(u.external_id AS VARCHAR)) AS subject, u.created_at, i.created_at AS linked_at
+  FROM v_users u LEFT JOIN v_identities i ON i.platform = u.platform AND i.external_id = u.external_id)
+SELECT subject, min(least(created_at, coalesce(linked_at, created_at))) AS registered_at FROM u GROUP BY subject""")
+def _(t):
+    users = identity.resolved(t.users, t.identities).select("subject", F.col("created_at").alias("seen_at"))
+    links = t.identities.select(F.concat(F.lit("account:"), F.col("account_id").cast("string")).alias("subject"), F.col("created_at").alias("seen_at"))
+    return product.first_seen(users, links)
+
+
+COHORT = """
+r AS (SELECT subject_id AS subject, min(CAST(registered_at AS TIMESTAMP)) AS registered_at FROM v_subject_users GROUP BY subject_id),
+c AS (SELECT r.subject, max(coalesce(a.active_at >= r.registered_at + INTERVAL 14 DAY AND a.active_at < r.registered_at + INTERVAL 21 DAY, false)) AS retained
+  FROM r LEFT JOIN v_activity a ON a.subject_id = r.subject
+  WHERE r.registered_at > TIMESTAMP '1995-04-01' AND r.registered_at + INTERVAL 21 DAY <= TIMESTAMP '1998-12-01' GROUP BY r.subject)"""
+
+
+def cohort(t):
+    registered = product.first_seen(t.subject_users.select(F.col("subject_id").alias("subject"), F.col("registered_at").cast("timestamp_ntz").alias("seen_at")))
+    activity = t.activity.select(F.col("subject_id").alias("subject"), F.col("active_at").cast("timestamp_ntz").alias("active_at"))
+    return product.week_three(registered, activity, "1995-04-01 00:00:00", "1998-12-01 00:00:00")
+
+
+@query("a5_week_three_cohort", f"WITH {COHORT} SELECT subject, retained FROM c")
+def _(t):
+    return cohort(t)
+
+
+@query("a5_retention", f"WITH {COHORT} SELECT count(*) AS cohort, CAST(sum(CAST(retained AS INT)) AS BIGINT) AS retained, round((527 * 35.0 / 100 + sum(CAST(retained AS INT))) / (527 + count(*)) * 100, 1) AS percent FROM c")
+def _(t):
+    return product.blended(cohort(t), 527, 35.0)
+
+
+@query("a6_growth", "SELECT 7451 + greatest(count(*) - 100, 0) AS total FROM events")
+def _(t):
+    return product.grown(7451, t.events.agg(F.count(F.lit(1)).alias("n")), "n", 100)
+
+
+@query("a11_mean_confidence", "SELECT draft_id, round(avg(coalesce(CASE WHEN weekday <> 3 THEN confidence END, 0.7)), 6) AS confidence FROM v_slots GROUP BY draft_id")
+def _(t):
+    return t.slots.groupBy("draft_id").agg(F.round(F.avg(F.coalesce(F.when(F.col("weekday") != 3, F.col("confidence")), F.lit(0.7))), 6).alias("confidence"))
+
+
+@query("a13_merged_calendars", """
+SELECT event_type AS kind, min(CASE WHEN user_id % 3 = 0 THEN user_id END) AS first_name, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total, bool_or(event_id % 97 = 0) AS truncated FROM events GROUP BY event_type""")
+def _(t):
+    return t.events.groupBy(F.col("event_type").alias("kind")).agg(F.min(F.when(F.col("user_id") % 3 == 0, F.col("user_id"))).alias("first_name"), F.sum(F.floor("value")).alias("total"), F.bool_or(F.col("event_id") % 97 == 0).alias("truncated"))
+
+
+@query("a16_import_counters", """
+SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS created, count(*) FILTER (WHERE event_type = 'purchase') AS duplicates, count(*) FILTER (WHERE ts < $NOW) AS skipped_past, count(*) > 1000 AS truncated FROM events GROUP BY user_id""")
+def _(t):
+    return t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "signup").alias("created"), F.count_if(F.col("event_type") == "purchase").alias("duplicates"), F.count_if(F.col("ts") < F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")).alias("skipped_past"), (F.count(F.lit(1)) > 1000).alias("truncated"))
+
+
+@query("d6_account_merge", """
+SELECT s.series_id, coalesce(CASE WHEN account_id % 4 = 0 THEN account_id + 1 END, account_id) AS account_id FROM v_series s""")
+def _(t):
+    moves = t.series.select("account_id").distinct().filter("account_id % 4 = 0").withColumn("new_account_id", F.col("account_id") + 1)
+    return identity.merged(t.series, moves).select("series_id", "account_id")
+
+
+@query("d10_snapshot_once", "SELECT min(event_id) AS captured, count(*) AS n FROM events")
+def _(t):
+    """A snapshot is written where there is none; the second one stays out."""
+    taken = t.events.agg(F.min("event_id").alias("captured"), F.count(F.lit(1)).alias("n"))
+    again = t.events.filter("event_id > 10").agg(F.min("event_id").alias("captured"), F.count(F.lit(1)).alias("n"))
+    return taken.unionByName(again.join(taken.select(F.lit(True).alias("there")), F.lit(True), "left_anti"))
