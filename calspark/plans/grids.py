@@ -1 +1,243 @@
-"""Registered queries."""
+"""Queries over sheets of cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from calspark.functions import text as T
+from calspark.operators import grid
+
+from .registry import query
+
+DATE = "'^[0-9]{4}-[0-9]{2}-[0-9]{2}$'"
+HINTS = f"""
+headers AS (SELECT file_id, row_no FROM v_cells GROUP BY file_id, row_no HAVING count(*) FILTER (WHERE regexp_matches(text, {DATE})) >= 2 AND count(*) FILTER (WHERE NOT regexp_matches(text, {DATE})) <= 1),
+marked AS (SELECT c.*, h.row_no IS NOT NULL AS header FROM v_cells c LEFT JOIN headers h ON h.file_id = c.file_id AND h.row_no = c.row_no),
+hinted AS (SELECT *, last_value(CASE WHEN header THEN text END IGNORE NULLS) OVER (PARTITION BY file_id, col_no ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS d FROM marked),
+hints AS (SELECT file_id, row_no, col_no, text, CAST(d AS DATE) AS date_hint FROM hinted WHERE NOT header)"""
+
+
+def hints(t):
+    return grid.date_hints(t.cells, grid.header_rows(t.cells))
+
+
+def merges(t):
+    return t.cells.filter("row_no % 5 = 2 AND col_no = 2").select("file_id", F.col("row_no").alias("r1"), F.col("col_no").alias("c1"), (F.col("row_no") + 1).alias("r2"), (F.col("col_no") + 1).alias("c2"))
+
+
+@query("g2_merged_fill", """
+WITH m AS (SELECT file_id, row_no AS r1, text FROM v_cells WHERE row_no % 5 = 2 AND col_no = 2)
+SELECT c.file_id, c.row_no, c.col_no, coalesce(m.text, c.text) AS text FROM v_cells c LEFT JOIN m ON m.file_id = c.file_id AND c.row_no BETWEEN m.r1 AND m.r1 + 1 AND c.col_no BETWEEN 2 AND 3""")
+def _(t):
+    return grid.filled(t.cells, merges(t))
+
+
+@query("j15_containment", """
+WITH m AS (SELECT file_id, row_no AS r1 FROM v_cells WHERE row_no % 5 = 2 AND col_no = 2)
+SELECT c.file_id, c.row_no, c.col_no, m.r1, 2 AS c1 FROM v_cells c JOIN m ON m.file_id = c.file_id AND c.row_no BETWEEN m.r1 AND m.r1 + 1 AND c.col_no BETWEEN 2 AND 3""")
+def _(t):
+    places = merges(t).select("file_id", "r1", "c1", F.explode(F.sequence("r1", "r2")).alias("row_no"), "c2").select("file_id", "r1", "c1", "row_no", F.explode(F.sequence("c1", "c2")).alias("col_no"))
+    return t.cells.join(places, grid.CELL).select(*grid.CELL, "r1", "c1")
+
+
+@query("a14_row_counters", f"SELECT file_id, row_no, count(*) FILTER (WHERE regexp_matches(text, {DATE})) AS n_dates, count(*) FILTER (WHERE NOT regexp_matches(text, {DATE})) AS n_labels FROM v_cells GROUP BY file_id, row_no")
+def _(t):
+    dates = F.count_if(T.is_pure_date(F.col("text")))
+    return t.cells.groupBy("file_id", "row_no").agg(dates.alias("n_dates"), (F.count(F.lit(1)) - dates).alias("n_labels"))
+
+
+@query("g3_header_rows", f"WITH {HINTS} SELECT file_id, row_no FROM headers")
+def _(t):
+    return grid.header_rows(t.cells).select("file_id", "row_no")
+
+
+@query("g4_date_hints", f"WITH {HINTS} SELECT file_id, row_no, col_no, date_hint FROM hints")
+def _(t):
+    return hints(t).select(*grid.CELL, "date_hint")
+
+
+@query("j14_asof_header", f"WITH {HINTS} SELECT date_hint, count(*) AS n FROM hints GROUP BY date_hint")
+def _(t):
+    return hints(t).groupBy("date_hint").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j16_evidence", f"WITH {HINTS} SELECT file_id, row_no, col_no FROM hints WHERE regexp_matches(text, ' (08|09|10|11|12):30$') AND date_hint IS NOT NULL")
+def _(t):
+    wanted = t.spark.range(8, 13).select((F.col("id") * 60 + 30).cast("int").alias("clock"))
+    cells = hints(t).filter("date_hint IS NOT NULL").select(*grid.CELL, F.explode(T.clocks(F.col("text"))).alias("clock"))
+    return cells.join(wanted, "clock", "left_semi").select(*grid.CELL).distinct()
+
+
+@query("j17_label_match", """
+WITH l AS (SELECT DISTINCT lower(p_type) AS label FROM part), d AS (SELECT conv_id, turn, text FROM conversations)
+SELECT d.conv_id, d.turn, l.label FROM d JOIN l ON contains(' ' || regexp_replace(lower(d.text), '[^a-z0-9]+', ' ', 'g') || ' ', ' ' || regexp_replace(l.label, '[^a-z0-9]+', ' ', 'g') || ' ')""")
+def _(t):
+    """Labels are found by their first word, an equal key, and then compared whole."""
+    folded = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")
+    labels = t.part.select(F.lower("p_type").alias("label")).distinct().withColumn("folded", folded("label")).withColumn("word", F.split("folded", " ")[0])
+    said = t.conversations.select("conv_id", "turn", F.concat(F.lit(" "), folded("text"), F.lit(" ")).alias("said"))
+    words = said.select("conv_id", "turn", "said", F.explode(F.array_distinct(F.split("said", " "))).alias("word"))
+    return words.join(labels, "word").filter(F.col("said").contains(F.concat(F.lit(" "), "folded", F.lit(" ")))).select("conv_id", "turn", "label")
+
+
+@query("w8_carry_forward", "SELECT file_id, row_no, col_no, last_value(CASE WHEN row_no % 4 = 1 THEN text END IGNORE NULLS) OVER (PARTITION BY file_id, col_no ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS label FROM v_cells")
+def _(t):
+    return grid.carried(t.cells, F.when(F.col("row_no") % 4 == 1, F.col("text")), "label").select(*grid.CELL, "label")
+
+
+@query("g16_carried_context", "SELECT file_id, row_no, col_no, last_value(CASE WHEN length(text) < 14 THEN text END IGNORE NULLS) OVER (PARTITION BY file_id, col_no ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS context FROM v_cells")
+def _(t):
+    return grid.carried(t.cells, F.when(F.length("text") < 14, F.col("text")), "context").select(*grid.CELL, "context")
+
+
+@query("w9_block_extents", f"""
+WITH {HINTS}, x AS (SELECT file_id, row_no, lead(row_no) OVER (PARTITION BY file_id ORDER BY row_no) AS n FROM headers), l AS (SELECT file_id, max(row_no) AS last_row FROM v_cells GROUP BY file_id)
+SELECT x.file_id, x.row_no AS first_row, coalesce(n - 1, last_row) AS end_row FROM x JOIN l ON l.file_id = x.file_id""")
+def _(t):
+    return grid.extents(grid.header_rows(t.cells), t.cells.groupBy("file_id").agg(F.max("row_no").alias("last_row")))
+
+
+@query("g5_weekday_hint", "SELECT series_id, weekday FROM v_series")
+def _(t):
+    names = F.array(*map(F.lit, ("Понедельник", "вторник", "Среда", "четверг", "пятница", "СУББОТА", "воскресенье")))
+    return t.series.select("series_id", T.weekday_index(F.element_at(names, (F.col("weekday") + 1).cast("int"))).alias("weekday"))
+
+
+@query("g6_parity_hint", """
+WITH w AS (SELECT file_id, row_no, min(CASE WHEN col_no = 1 THEN row_no % 3 END) AS k FROM v_cells GROUP BY file_id, row_no)
+SELECT file_id, row_no // 4 AS block, CASE WHEN count(DISTINCT CASE WHEN k < 2 THEN k END) = 2 THEN 'every' WHEN max(CASE WHEN k < 2 THEN k END) = 0 THEN 'odd' WHEN max(CASE WHEN k < 2 THEN k END) = 1 THEN 'even' END AS parity FROM w GROUP BY 1, 2""")
+def _(t):
+    rows = t.cells.filter("col_no = 1").selectExpr("file_id", "row_no div 4 AS block", "CASE row_no % 3 WHEN 0 THEN 'I' WHEN 1 THEN 'II' END AS mark")
+    weeks = rows.groupBy("file_id", "block").agg(F.collect_set(F.when(F.col("mark") == "I", "odd").when(F.col("mark") == "II", "even")).alias("p"))
+    return weeks.select("file_id", "block", F.when(F.size("p") == 2, "every").otherwise(F.try_element_at("p", F.lit(1))).alias("parity"))
+
+
+@query("g7_header_extent", "SELECT file_id, least(coalesce(min(CASE WHEN regexp_matches(text, ' [0-9]{2}:30$') THEN row_no END) - 1, 3), 12) AS header_rows FROM v_cells GROUP BY file_id")
+def _(t):
+    return grid.header_extent(t.cells)
+
+
+@query("g8_axis_columns", "SELECT file_id, col_no FROM v_cells WHERE row_no > 1 GROUP BY file_id, col_no HAVING bool_and(length(text) > 6)")
+def _(t):
+    return grid.axis_columns(t.cells.filter("row_no > 1"), F.length("text") > 6)
+
+
+@query("u5_span_intersection", "SELECT file_id, col_no FROM v_cells WHERE row_no IN (2, 3, 4) AND length(text) > 10 GROUP BY file_id, col_no HAVING count(DISTINCT row_no) = 3")
+def _(t):
+    rows = t.cells.filter(F.col("row_no").isin(2, 3, 4) & (F.length("text") > 10))
+    return rows.groupBy("file_id", "col_no").agg(F.countDistinct("row_no").alias("levels")).filter("levels = 3").select("file_id", "col_no")
+
+
+@query("g9_ambiguity", "SELECT file_id, row_no, count(DISTINCT text) AS n_groups, count(DISTINCT text) > 1 AS ambiguous FROM v_cells WHERE row_no <= 3 GROUP BY file_id, row_no")
+def _(t):
+    return t.cells.filter("row_no <= 3").groupBy("file_id", "row_no").agg(F.countDistinct("text").alias("n_groups")).withColumn("ambiguous", F.col("n_groups") > 1)
+
+
+@query("w13_column_blocks", """
+WITH c AS (SELECT DISTINCT file_id, col_no FROM v_cells WHERE col_no <> 3), g AS (SELECT *, CASE WHEN col_no - lag(col_no) OVER (PARTITION BY file_id ORDER BY col_no) <= 1 THEN 0 ELSE 1 END AS new FROM c),
+b AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY col_no) AS block FROM g) SELECT file_id, CAST(block AS BIGINT) AS block, min(col_no) AS first_col, max(col_no) AS last_col FROM b GROUP BY file_id, block""")
+def _(t):
+    return grid.islands(t.cells.filter("col_no <> 3").select("file_id", "col_no").distinct())
+
+
+@query("g10_nearest_block", """
+WITH c AS (SELECT DISTINCT file_id, col_no FROM v_cells) SELECT file_id, col_no, CASE WHEN col_no <= 3 THEN 1 ELSE 2 END AS block FROM c WHERE col_no <> 3 OR true""")
+def _(t):
+    """The nearest block of axis columns, the left one of two as near."""
+    columns = t.cells.select("file_id", "col_no").distinct()
+    blocks = grid.islands(columns.filter("col_no <> 3"))
+    near = F.greatest(F.col("first_col") - F.col("col_no"), F.col("col_no") - F.col("last_col"), F.lit(0))
+    return columns.join(blocks, "file_id").groupBy("file_id", "col_no").agg(F.min_by("block", F.struct(near.alias("d"), F.col("first_col"))).cast("int").alias("block"))
+
+
+@query("g11_row_slots", f"""
+WITH {HINTS} SELECT file_id, row_no, col_no, date_hint AS day, (CAST(regexp_extract(text, '([0-9]{{2}}):30$', 1) AS INT) * 60 + 30) AS start_min, least(CAST(regexp_extract(text, '([0-9]{{2}}):30$', 1) AS INT) * 60 + 120, 1439) AS end_min,
+  trim(regexp_replace(text, ' [0-9]{{2}}:30$', '')) AS title FROM hints WHERE regexp_matches(text, ' [0-9]{{2}}:30$') AND date_hint IS NOT NULL""")
+def _(t):
+    rows = hints(t).filter("date_hint IS NOT NULL").withColumn("clocks", T.clocks(F.col("text"))).filter(F.size("clocks").between(1, 2))
+    title = F.trim(F.regexp_replace("text", T.CLOCK, ""))
+    span = grid.default_interval(F.col("clocks")[0], F.try_element_at("clocks", F.lit(2)), F.lit(False))
+    return rows.filter(title != "").select(*grid.CELL, F.col("date_hint").alias("day"), span["start_min"].alias("start_min"), span["end_min"].alias("end_min"), title.alias("title"))
+
+
+@query("g12_interval_defaults", """
+SELECT position, CASE WHEN position % 3 = 0 THEN greatest(start_min - 30, 0) ELSE start_min END AS start_min, CASE WHEN position % 3 = 0 THEN start_min WHEN position % 3 = 1 THEN end_min ELSE least(start_min + 90, 1439) END AS end_min FROM v_slots""")
+def _(t):
+    span = grid.default_interval(F.col("start_min"), F.when(F.col("position") % 3 == 1, F.col("end_min")), F.col("position") % 3 == 0)
+    return t.slots.select("position", span["start_min"].alias("start_min"), span["end_min"].alias("end_min"))
+
+
+@query("g13_proposals", f"""
+WITH {HINTS}, p AS (SELECT file_id, row_no, CASE WHEN row_no % 7 = 0 THEN 99 ELSE col_no END AS col_no, CASE WHEN col_no = 4 THEN 'invented' ELSE split_part(text, ' ', 1) END AS title, 570 AS start_min FROM v_cells)
+SELECT p.file_id, p.row_no, p.col_no, p.title, CASE WHEN h.text IS NULL THEN 'cell' WHEN NOT contains(lower(h.text), lower(p.title)) THEN 'title' WHEN NOT regexp_matches(h.text, ' 09:30$') THEN 'time' WHEN h.date_hint IS NULL THEN 'date' END AS reason
+FROM p LEFT JOIN hints h ON h.file_id = p.file_id AND h.row_no = p.row_no AND h.col_no = p.col_no""")
+def _(t):
+    p = t.cells.select("file_id", "row_no", F.when(F.col("row_no") % 7 == 0, 99).otherwise(F.col("col_no")).alias("col_no"), F.when(F.col("col_no") == 4, "invented").otherwise(F.split("text", " ")[0]).alias("title"), F.lit(570).alias("start_min"), F.lit(None).cast("date").alias("date"))
+    return grid.verified(p, hints(t)).select(*grid.CELL, "title", "reason")
+
+
+@query("g14_missed_cells", "SELECT file_id, row_no, col_no FROM v_cells WHERE regexp_matches(text, ' [0-9]{2}:30$') AND col_no % 2 = 0")
+def _(t):
+    return grid.missed(t.cells, t.cells.filter("col_no % 2 = 1")).select(*grid.CELL)
+
+
+@query("g15_timeless_cells", "SELECT file_id, count(*) AS n FROM v_cells WHERE length(text) >= 12 AND NOT regexp_matches(text, ' [0-9]{2}:30$') AND NOT regexp_matches(text, '^[0-9.]+$') GROUP BY file_id")
+def _(t):
+    rows = t.cells.filter((F.length("text") >= 12) & (F.size(T.clocks(F.col("text"))) == 0) & ~F.col("text").rlike("^[0-9.]+$"))
+    return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g17_sheet_selection", "SELECT file_id, file_id % 2 = 1 AS selected FROM (SELECT DISTINCT file_id FROM v_cells)")
+def _(t):
+    """The sheets that an instruction names as a whole word."""
+    sheets = t.cells.select("file_id").distinct().withColumn("name", F.concat(F.lit("sheet "), F.col("file_id").cast("string")))
+    said = F.when(F.col("file_id") % 2 == 1, F.concat(F.lit("read "), "name", F.lit(" only"))).otherwise("read others")
+    return sheets.select("file_id", F.concat(F.lit(" "), said, F.lit(" ")).contains(F.concat(F.lit(" "), "name", F.lit(" "))).alias("selected"))
+
+
+@query("g18_dash_clocks", """
+WITH c AS (SELECT file_id, col_no, row_no, CASE WHEN col_no % 2 = 0 THEN CAST(8 + row_no % 9 AS VARCHAR) || '-30' ELSE '9-30' END AS text FROM v_cells), k AS (SELECT file_id, col_no, count(DISTINCT text) >= 2 AS ok FROM c GROUP BY 1, 2)
+SELECT c.file_id, c.row_no, c.col_no, CASE WHEN ok THEN replace(text, '-', ':') ELSE text END AS text FROM c JOIN k ON k.file_id = c.file_id AND k.col_no = c.col_no""")
+def _(t):
+    cells = t.cells.select(*grid.CELL, F.when(F.col("col_no") % 2 == 0, F.concat((8 + F.col("row_no") % 9).cast("string"), F.lit("-30"))).otherwise("9-30").alias("text"))
+    pattern = r"^([01]?[0-9]|2[0-3])-([0-5][0-9])$"
+    clocked = cells.groupBy("file_id", "col_no").agg((F.countDistinct(F.when(F.col("text").rlike(pattern), F.col("text"))) >= 2).alias("ok"))
+    return cells.join(clocked, ["file_id", "col_no"]).select(*grid.CELL, F.when(F.col("ok"), F.regexp_replace("text", pattern, "$1:$2")).otherwise(F.col("text")).alias("text"))
+
+
+@query("g1_date_formulas", """
+SELECT p_partkey // 10 AS file_id, p_partkey % 10 AS cell, CASE WHEN p_partkey // 10 % 5 = 4 AND p_partkey % 10 > 6 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(p_partkey // 10 % 28 AS INT) + CAST(7 * (p_partkey % 10) AS INT) AS DATE) END AS day FROM part
+WHERE p_partkey >= 10 AND p_partkey // 10 < (SELECT max(p_partkey) // 10 FROM part)""")
+def _(t):
+    """Each cell is the one before plus a week; in every fifth file the last three refer to each other."""
+    c = t.part.select(F.expr("p_partkey div 10").alias("file_id"), (F.col("p_partkey") % 10).alias("cell")).filter("file_id >= 1")
+    c = c.join(F.broadcast(c.agg(F.max("file_id").alias("last"))), F.col("file_id") < F.col("last")).drop("last")
+    loop = (F.col("file_id") % 5 == 4) & (F.col("cell") > 6)
+    day = F.when(F.col("cell") == 0, F.date_add(F.lit("2024-01-01").cast("date"), (F.col("file_id") % 28).cast("int")))
+    ref = F.when(loop, F.when(F.col("cell") == 7, 9).otherwise(F.col("cell") - 1)).when(F.col("cell") > 0, F.col("cell") - 1)
+    return grid.resolved_dates(c.select("file_id", "cell", day.alias("day"), ref.alias("ref"), F.lit(7).alias("plus")), 16)
+
+
+@query("a9_top_labels", "SELECT label, n FROM (SELECT lower(p_type) AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(p_type)) AS rn FROM part GROUP BY 1) WHERE rn <= 16")
+def _(t):
+    return t.part.groupBy(F.lower("p_type").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(16)
+
+
+@query("l6_candidate_caps", "SELECT l_partkey, l_orderkey, l_linenumber, rn FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC, l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn <= 8")
+def _(t):
+    rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("l_discount"), "l_shipdate", "l_orderkey", "l_linenumber"))
+    return t.lineitem.withColumn("rn", rn).filter("rn <= 8").select("l_partkey", "l_orderkey", "l_linenumber", "rn")
+
+
+@query("w12_chunks")
+def _(t):
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
+    return grid.chunked(lines, "doc_id", "line_no", 9000)
+
+
+@query("w14_reading_order", """
+SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, l_extendedprice, l_partkey) AS text FROM lineitem GROUP BY l_orderkey""")
+def _(t):
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_quantity").alias("y"), F.col("l_extendedprice").alias("x"), "l_partkey"))).alias("lines"))
+    return lines.select("l_orderkey", F.array_join(F.transform("lines", lambda r: r["l_partkey"].cast("string")), " ").alias("text"))

@@ -1 +1,203 @@
-"""Registered queries."""
+"""Queries over texts: documents, dialogue turns, links and messages made from the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from calspark.functions import text as T
+
+from .registry import query
+
+
+@query("t1_masks")
+def _(t):
+    """Java's look-behind has no counterpart in DuckDB; a test compares it with brute force."""
+    return t.documents.select("doc_id", F.sha2(T.masked(F.col("text")), 256).alias("masked_sha256"), F.expr("char_length(text)").alias("n"))
+
+
+@query("t1_email_mask", r"SELECT doc_id, sha256(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS masked_sha256 FROM documents")
+def _(t):
+    return t.documents.select("doc_id", F.sha2(F.regexp_replace("text", T.EMAIL, T.EMAIL_MARK), 256).alias("masked_sha256"))
+
+
+@query("t2_mark_cleanup", r"""
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' [LINK] ( ) ok , [PHONE]', '\[(LINK|PHONE|EMAIL)\]', ' ', 'g'), '\(\s*\)|\[\s*\]', ' ', 'g'), '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ,;:') AS text FROM conversations
+WHERE NOT regexp_matches(text, '[^ -~\n]') AND NOT regexp_matches(text, '^[ ,;:]|[ ,;:]$')""")
+def _(t):
+    rows = t.conversations.filter(~F.col("text").rlike(r"[^ -~\n]") & ~F.col("text").rlike(r"^[ ,;:]|[ ,;:]$"))
+    return rows.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [LINK] ( ) ok , [PHONE]"))).alias("text"))
+
+
+@query("t3_event_title", "SELECT doc_id, left(upper(left(coalesce(nullif(trim(text), ''), 'Event'), 1)) || substr(coalesce(nullif(trim(text), ''), 'Event'), 2), 255) AS title FROM documents WHERE NOT contains(left(text, 1), 'ß')")
+def _(t):
+    return t.documents.filter(~F.left("text", F.lit(1)).contains("ß")).select("doc_id", T.event_title(F.col("text"), "Event").alias("title"))
+
+
+@query("t4_collapse", r"SELECT conv_id, turn, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1200) AS text FROM conversations")
+def _(t):
+    return t.conversations.select("conv_id", "turn", T.collapsed(F.col("text")).alias("text"))
+
+
+@query("t5_normal_title", r"SELECT l_orderkey, l_linenumber, lower(regexp_replace(regexp_replace(p_name || ' - ' || p_type, '[^A-Za-z0-9_]+', ' ', 'g'), '^ | $', '', 'g')) AS title FROM lineitem JOIN part ON p_partkey = l_partkey")
+def _(t):
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    return rows.select("l_orderkey", "l_linenumber", T.normal_title(F.concat_ws(" - ", "p_name", "p_type")).alias("title"))
+
+
+@query("t6_title_similarity")
+def _(t):
+    """Titles of the same user against each other; the ratio has no counterpart in SQL."""
+    e = t.cal_events.filter("event_id % 5 = 0").select("user_id", "event_id", "title")
+    other = e.select("user_id", F.col("event_id").alias("other_id"), F.col("title").alias("other"))
+    pairs = e.join(other, "user_id").filter((F.col("event_id") < F.col("other_id")) & (F.col("other_id") - F.col("event_id") < 50))
+    return pairs.select("event_id", "other_id", F.round(T.similarity(F.col("title"), F.col("other")), 6).alias("score"))
+
+
+@query("t7_occurrence_date", """
+WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS today, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS k, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 - 100 AS INT) AS DATE) AS d FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN today WHEN 1 THEN today + 1 WHEN 2 THEN today + 2 ELSE
+  CASE WHEN make_date(year(today), month(d), least(day(d), 28)) < today - 1 THEN make_date(year(today) + 1, month(d), least(day(d), 28)) ELSE make_date(year(today), month(d), least(day(d), 28)) END END AS day FROM m""")
+def _(t):
+    d = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("today")).withColumn("d", F.date_add("today", (F.col("o_orderkey") % 200 - 100).cast("int")))
+    message = F.when(F.col("o_orderkey") % 4 == 3, F.concat_ws(".", F.least(F.dayofmonth("d"), F.lit(28)).cast("string"), F.month("d").cast("string"))).otherwise(F.try_element_at(F.array(*map(F.lit, ("сегодня", "завтра", "послезавтра"))), (F.col("o_orderkey") % 4 + 1).cast("int")))
+    return d.select("o_orderkey", T.occurrence_date(F.concat(F.lit("зачёт "), message), F.col("today")).alias("day"))
+
+
+@query("t8_date_range", """
+WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 500 - 20 AS INT) AS DATE) AS b FROM orders)
+SELECT o_orderkey, CASE WHEN b >= a AND b - a <= 370 THEN a END AS first, CASE WHEN b >= a AND b - a <= 370 THEN b END AS last, CASE WHEN b < a THEN 'order' WHEN b - a > 370 THEN 'long' END AS error FROM m""")
+def _(t):
+    m = t.orders.select("o_orderkey", F.to_date("o_orderdate").alias("a")).withColumn("b", F.date_add("a", (F.col("o_orderkey") % 500 - 20).cast("int")))
+    day = lambda c: F.date_format(c, "dd.MM.yyyy")
+    r = T.date_range(F.concat(F.lit("с "), day("a"), F.lit(" по "), day("b")), F.col("a"))
+    return m.select("o_orderkey", r.alias("r")).select("o_orderkey", "r.first", "r.last", "r.error")
+
+
+@query("t9_bare_period", "SELECT o_orderkey, o_orderkey % 3 = 0 AS bare FROM orders")
+def _(t):
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("на период с "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("экзамен "), day)).otherwise("на весь период")
+    return t.orders.select("o_orderkey", T.is_bare_period(message).alias("bare"))
+
+
+@query("t11_intent", "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'cancel' WHEN 1 THEN 'rename' WHEN 2 THEN 'edit' WHEN 3 THEN 'skip' ELSE 'new' END AS intent FROM conversations WHERE NOT regexp_matches(lower(text), 'skip')")
+def _(t):
+    head = F.element_at(F.array(*map(F.lit, ("отмени ", "переименуй ", "перенеси ", "пропусти ", "запиши "))), (F.col("turn") % 5 + 1).cast("int"))
+    return t.conversations.filter(~F.lower("text").rlike("skip")).select("conv_id", "turn", T.intent(F.concat(head, "text")).alias("intent"))
+
+
+@query("t12_time_hint", "SELECT event_id, event_id % 2 = 0 AS timed FROM events")
+def _(t):
+    message = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("встреча в "), F.date_format("ts", "HH:mm"))).otherwise("встреча")
+    return t.events.select("event_id", T.has_time_hint(message).alias("timed"))
+
+
+@query("t13_clocks", "SELECT event_id, hour(ts) * 60 + minute(ts) AS first_clock, CASE WHEN (hour(ts) * 60 + minute(ts)) = 570 THEN 1 ELSE 2 END AS n FROM events")
+def _(t):
+    found = T.clocks(F.concat(F.date_format("ts", "HH:mm"), F.lit(" room 12.345, then 9.30 and 09:30")))
+    return t.events.select("event_id", found[0].cast("long").alias("first_clock"), F.size(found).alias("n"))
+
+
+@query("t14_cell_tests", r"SELECT file_id, row_no, col_no, regexp_matches(text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AS pure_date, regexp_matches(text, ' [0-9]{2}:30$') AS timed FROM v_cells")
+def _(t):
+    return t.cells.select("file_id", "row_no", "col_no", T.is_pure_date(F.col("text")).alias("pure_date"), (F.size(T.clocks(F.col("text"))) > 0).alias("timed"))
+
+
+@query("t15_cell_text", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS text FROM lineitem")
+def _(t):
+    number = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".0"))
+    date = F.concat(F.to_date("l_shipdate").cast("string"), F.lit(" 00:00:00"))
+    even = F.col("l_linenumber") % 2 == 0
+    return t.lineitem.select("l_orderkey", "l_linenumber", T.cell_text(F.when(even, "number").otherwise("date"), F.when(even, number).otherwise(date)).alias("text"))
+
+
+@query("t16_week_marks", """
+SELECT position, CASE WHEN position % 3 = 1 THEN '' ELSE array_to_string(generate_series(1 + position % 4, 4 + position % 4), ',') END AS weeks, CASE WHEN position % 3 = 1 THEN '1,5' ELSE '' END AS except_weeks, title
+FROM v_slots WHERE position % 3 < 2""")
+def _(t):
+    rows = t.slots.filter("position % 3 < 2").withColumn("a", 1 + F.col("position") % 4)
+    marked = F.when(F.col("position") % 3 == 1, F.concat(F.lit("кр. 5,1 н. "), "title")).otherwise(F.concat(F.col("a").cast("string"), F.lit("-"), (F.col("a") + 3).cast("string"), F.lit(" н. "), "title"))
+    m = rows.select("position", T.week_marks(marked).alias("m"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return m.select("position", joined(F.col("m.weeks")).alias("weeks"), joined(F.col("m.except_weeks")).alias("except_weeks"), "m.title")
+
+
+@query("t20_evidence", "SELECT p_partkey, p_partkey % 2 = 0 AS supported FROM part WHERE length(p_type) >= 4")
+def _(t):
+    words = F.filter(T.title_words(F.col("p_type")), lambda w: F.length(w) >= 4)
+    source = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("room: "), "p_type")).otherwise("nothing of it")
+    return t.part.filter("length(p_type) >= 4").select("p_partkey", (T.supported(F.col("p_type"), source) & (F.size(words) > 0)).alias("supported"))
+
+
+@query("t21_selection_key", "SELECT p_partkey, lower(replace(replace(p_name || '-' || p_type, ' ', ''), '-', '')) AS key FROM part")
+def _(t):
+    return t.part.select("p_partkey", T.selection_key(F.concat_ws("-", "p_name", "p_type")).alias("key"))
+
+
+@query("t22_links", r"SELECT page_id, replace(url, 'http://', 'https://') AS link, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\.', '') AS name FROM pages WHERE regexp_matches(url, '^http')")
+def _(t):
+    webcal = F.concat(F.lit("see "), F.regexp_replace("url", "^https?://", "webcal://"))
+    link = T.calendar_link(webcal)
+    return t.pages.filter(F.col("url").rlike("^http")).select("page_id", link.alias("link"), T.link_name(link).alias("name"))
+
+
+@query("t23_interval_label", """
+SELECT event_id, CASE WHEN all_day THEN CASE WHEN CAST(start_at AS DATE) = CAST(deadline - INTERVAL 1 DAY AS DATE) THEN strftime(start_at, '%d.%m.%Y') ELSE strftime(start_at, '%d.%m.%Y') || '-' || strftime(deadline - INTERVAL 1 DAY, '%d.%m.%Y') END
+  ELSE strftime(start_at, '%d.%m.%Y %H:%M') || '-' || CASE WHEN CAST(start_at AS DATE) = CAST(deadline AS DATE) THEN strftime(deadline, '%H:%M') ELSE strftime(deadline, '%d.%m.%Y %H:%M') END END AS label FROM v_cal_events""")
+def _(t):
+    return t.cal_events.select("event_id", T.interval_label(F.col("start_at"), F.col("deadline"), F.col("all_day")).alias("label"))
+
+
+@query("t24_source_label", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'photo' ELSE p_name || '.xlsx' END AS label FROM part")
+def _(t):
+    return t.part.select("p_partkey", T.source_label(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, ".JPG").otherwise(".xlsx"))).alias("label"))
+
+
+@query("t25_inbox_key", "SELECT event_id, sha256(coalesce(json_extract_string(props, '$.id'), json_extract_string(props, '$.k'), event_type)) AS inbox_key FROM events")
+def _(t):
+    return t.events.select("event_id", F.sha2(F.coalesce(F.get_json_object("props", "$.id"), F.get_json_object("props", "$.k"), "event_type"), 256).alias("inbox_key"))
+
+
+@query("t26_html_escape", "SELECT page_id, sha256(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped_sha256 FROM pages")
+def _(t):
+    return t.pages.select("page_id", F.sha2(T.html_escaped(F.col("html")), 256).alias("escaped_sha256"))
+
+
+@query("t19_json_repair", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def _(t):
+    answer = F.concat(F.lit("Here you are: ```json\n"), F.regexp_replace("props", '"k"', '"_k_"'), F.lit("\n```"))
+    return t.events.select("event_id", F.get_json_object(T.repaired_json(answer), "$.k").alias("k"))
+
+
+@query("w2_last_turns", "SELECT account_id, turn_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY turn_id DESC) AS rn FROM v_turns) WHERE rn <= 6")
+def _(t):
+    rn = F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("turn_id")))
+    return t.turns.withColumn("rn", rn).filter("rn <= 6").select("account_id", "turn_id")
+
+
+@query("w3_latest_ref", "SELECT account_id, arg_max(event_ref, turn_id) FILTER (WHERE event_ref IS NOT NULL) AS event_ref FROM v_turns GROUP BY account_id HAVING count(event_ref) > 0")
+def _(t):
+    return t.turns.filter("event_ref IS NOT NULL").groupBy("account_id").agg(F.max_by("event_ref", "turn_id").alias("event_ref"))
+
+
+@query("j18_token_overlap", """
+WITH s AS (SELECT DISTINCT account_id, series_id, lower(title) AS title FROM v_series), w AS (SELECT account_id, series_id, unnest(string_split(title, ' ')) AS word FROM s), q AS (SELECT account_id, unnest(string_split(max(title), ' ')) AS word FROM s GROUP BY account_id)
+SELECT DISTINCT w.account_id, w.series_id FROM w JOIN q ON q.account_id = w.account_id AND q.word = w.word WHERE length(w.word) > 2""")
+def _(t):
+    s = t.series.select("account_id", "series_id", F.split(F.lower("title"), " ").alias("words"), F.lower("title").alias("title"))
+    words = s.select("account_id", "series_id", F.explode("words").alias("word")).filter("length(word) > 2")
+    asked = s.groupBy("account_id").agg(F.max("title").alias("title")).select("account_id", F.explode(F.split("title", " ")).alias("word"))
+    return words.join(asked, ["account_id", "word"], "left_semi").select("account_id", "series_id").distinct()
+
+
+@query("j19_fuzzy_titles")
+def _(t):
+    """Titles of a user's events that are like the title asked for; the ratio is only computed where it can reach 0.45."""
+    e = t.cal_events.filter("status = 'confirmed'").select("user_id", "event_id", "title", "start_at")
+    asked = e.filter("event_id % 50 = 0").select("user_id", F.col("event_id").alias("query_id"), F.col("title").alias("query"), F.col("start_at").alias("near"))
+    shorter, both = F.least(F.length("query"), F.length("title")), F.length("query") + F.length("title")
+    pairs = asked.join(e, "user_id").filter((2 * shorter / both >= 0.45) & (F.to_date("start_at") == F.to_date("near")))
+    scored = pairs.withColumn("score", F.round(T.similarity(F.col("query"), F.col("title")), 6)).filter("score >= 0.45")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "start_at", "event_id"))
+    return scored.withColumn("place", place).filter("place <= 8").select("query_id", "event_id", "score", "place")
