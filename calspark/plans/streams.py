@@ -1 +1,171 @@
-"""Registered queries."""
+"""Queries over streams and over files of calendars, archives, delimited texts and workbooks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from calspark.operators import recurrence
+from calspark.sources import calendars, files
+from calspark.streaming import jobs
+
+from .calendar import ENTRIES, entries
+from .registry import query
+
+
+def event_stream(t):
+    """The events table as a stream, its times with a zone, as watermarks need."""
+    return jobs.source(t.spark, f"{t.sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def entry_rows(t):
+    return entries(t).select("subject", F.concat_ws("-", F.lit("event"), F.col("event_id").cast("string")).alias("uid"), "title", "start_at", "end_at", "all_day")
+
+
+@query("s9_feed_lines", f"""
+WITH {ENTRIES} SELECT event_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:event-' || CAST(event_id AS VARCHAR) || chr(13) || chr(10) || 'SUMMARY:' || regexp_replace(title, '([,;\\\\])', '\\\\\\1', 'g') || chr(13) || chr(10) ||
+  CASE WHEN all_day THEN 'DTSTART;VALUE=DATE:' || strftime(start_at, '%Y%m%d') ELSE 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%S') || 'Z' END || chr(13) || chr(10) ||
+  CASE WHEN all_day THEN 'DTEND;VALUE=DATE:' || strftime(CASE WHEN CAST(end_at AS DATE) > CAST(start_at AS DATE) THEN end_at ELSE start_at + INTERVAL 1 DAY END, '%Y%m%d') ELSE 'DTEND:' || strftime(end_at, '%Y%m%dT%H%M%S') || 'Z' END || chr(13) || chr(10) || 'END:VEVENT' AS lines FROM entries""")
+def _(t):
+    rows = entries(t).withColumn("uid", F.concat_ws("-", F.lit("event"), F.col("event_id").cast("string")))
+    return calendars.feed_lines(rows).select("event_id", "lines")
+
+
+@query("s1_calendar_files", f"""
+WITH {ENTRIES} SELECT 'event-' || CAST(event_id AS VARCHAR) AS uid, title AS summary, start_at, CASE WHEN all_day AND CAST(end_at AS DATE) <= CAST(start_at AS DATE) THEN date_trunc('day', start_at) + INTERVAL 1 DAY WHEN all_day THEN date_trunc('day', end_at) ELSE end_at END AS end_at, all_day FROM entries""")
+def _(t):
+    """Each subject's feed, read back as a file."""
+    made = calendars.feeds(entry_rows(t), "subject").select(F.concat("subject", F.lit(".ics")).alias("file_name"), F.col("text").cast("binary").alias("content"))
+    return calendars.events(made).select("uid", "summary", "start_at", "end_at", "all_day")
+
+
+@query("s2_archives", "SELECT CAST(doc_id // 7 AS VARCHAR) || '.zip' AS file_name, 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS member, sha256(text) AS content_sha256 FROM documents")
+def _(t):
+    docs = t.documents.select(F.expr("doc_id div 7").alias("box"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+    return files.members(files.archived(docs, "box")).select("file_name", "member", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("s3_delimited", """
+SELECT 'nation-' || CAST(p_size AS VARCHAR) || '.csv' AS file_name, count(*) * 3 AS n_cells, max(p_name) AS last_name FROM part GROUP BY p_size""")
+def _(t):
+    delimiter = F.element_at(F.array(*map(F.lit, (",", ";", "\t", "|"))), (F.col("p_size") % 4 + 1).cast("int"))
+    lines = t.part.select("p_size", "p_partkey", F.concat_ws("\u0001", F.col("p_partkey").cast("string"), "p_name", "p_type").alias("line"), delimiter.alias("d"))
+    made = lines.groupBy("p_size", "d").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\r\n").alias("text"))
+    made = made.select(F.concat(F.lit("nation-"), F.col("p_size").cast("string"), F.lit(".csv")).alias("file_name"), F.replace("text", F.lit("\u0001"), F.col("d")).cast("binary").alias("content"))
+    cells = files.delimited(made)
+    return cells.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_cells"), F.max(F.when(F.col("col_no") == 2, F.col("text"))).alias("last_name"))
+
+
+@query("s4_workbooks", "SELECT CAST(file_id AS VARCHAR) || '.xlsx' AS file_name, row_no, col_no, text FROM v_cells")
+def _(t):
+    return files.workbook_cells(files.workbooks(t.cells, "file_id")).select("file_name", "row_no", "col_no", "text")
+
+
+@query("s5_file_kinds", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' WHEN 2 THEN 'xlsx' ELSE 'html' END AS kind FROM pages")
+def _(t):
+    head = F.when(F.col("page_id") % 4 == 0, F.unhex(F.lit("255044462D312E37"))).when(F.col("page_id") % 4 == 1, F.unhex(F.lit("89504E470D0A1A0A"))).when(F.col("page_id") % 4 == 2, F.unhex(F.lit("504B030414000600"))).otherwise(F.lit("").cast("binary"))
+    name = F.concat(F.lit("upload."), F.when(F.col("page_id") % 4 == 2, "xlsx").otherwise("html"))
+    return t.pages.select("page_id", files.file_kind(F.concat(head, F.col("html").cast("binary")), name).alias("kind"))
+
+
+@query("r7_exdates_and_overrides", """
+WITH d AS (SELECT p_partkey AS uid, CAST(unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS DATE) AS day FROM part)
+SELECT uid, CASE WHEN uid % 3 = 0 AND day = DATE '2024-01-05' THEN DATE '2024-01-20' ELSE day END AS day FROM d WHERE NOT (uid % 2 = 0 AND day = DATE '2024-01-03')""")
+def _(t):
+    rules = t.part.select(F.col("p_partkey").alias("uid"), F.lit("2024-01-01").cast("date").alias("first_day"), F.lit("DAILY").alias("freq"), F.lit(1).alias("interval_n"), F.lit(10).alias("count_n"), F.lit(None).cast("date").alias("until_day"), F.lit(None).cast("array<int>").alias("by_days"))
+    days = recurrence.rule_days(rules, "2024-06-01").select("uid", "day")
+    gone = t.part.filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("uid"), F.lit("2024-01-03").cast("date").alias("day"))
+    moved = t.part.filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("uid"), F.lit("2024-01-05").cast("date").alias("day"), F.lit("2024-01-20").cast("date").alias("new_day"))
+    return calendars.overridden(calendars.without_dates(days, gone), moved)
+
+
+@query("r9_alarms", "SELECT event_id, start_at - to_minutes(CAST(15 * (1 + event_id % 5) AS INT)) AS alarm_at FROM v_cal_events")
+def _(t):
+    trigger = F.concat(F.lit("-PT"), (15 * (1 + F.col("event_id") % 5)).cast("string"), F.lit("M"))
+    minutes = calendars.duration_minutes(trigger)
+    return t.cal_events.select("event_id", (F.col("start_at") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("alarm_at"))
+
+
+INBOX = "sha256(concat(event_type, ':', CAST(user_id AS VARCHAR), ':', CAST(CAST(ts AS DATE) AS VARCHAR)))"
+
+
+@query("x1_inbox_once", f"SELECT DISTINCT {INBOX} AS inbox_key FROM events")
+def _(t):
+    key = F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.to_date("ts").cast("string")), 256)
+    return jobs.drained(jobs.without_repeats(event_stream(t).select(key.alias("inbox_key"), "ts"), ["inbox_key"], "ts", "2 days").select("inbox_key"))
+
+
+@query("s8_inbox_source", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def _(t):
+    counted = jobs.drained(event_stream(t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n_rows")), "complete")
+    return jobs.last_batch(counted).select("event_type", F.col("n_rows").alias("n"))
+
+
+@query("x3_due_ticks", """
+SELECT e.event_id, e.user_id FROM events e WHERE e.event_type <> 'error' AND e.ts <= $NOW AND e.event_id % 5 <> 0""")
+def _(t):
+    """Each micro-batch takes the reminders that are due; those acknowledged before are known from a table."""
+    acked = t.events.filter("event_id % 5 = 0").select("event_id")
+    due = event_stream(t).filter((F.col("event_type") != "error") & (F.col("ts") <= F.lit("2024-01-15 12:00:00").cast("timestamp")))
+    return jobs.drained(due.join(acked, "event_id", "left_anti").select("event_id", "user_id"))
+
+
+@query("x4_delivery_gate", """
+WITH k AS (SELECT user_id AS event_id, event_id AS item_id, ts, event_type = 'click' AS ack FROM events WHERE event_type IN ('click', 'view')),
+b AS (SELECT *, lag(ack) OVER (PARTITION BY event_id ORDER BY ts, item_id) AS before FROM k)
+SELECT event_id, item_id, CASE WHEN coalesce(before, true) THEN 'send' ELSE 'blocked' END AS decision FROM b WHERE NOT ack""")
+def _(t):
+    rows = event_stream(t).filter(F.col("event_type").isin("click", "view")).select(F.col("user_id").alias("event_id"), F.col("ts").alias("at"), F.when(F.col("event_type") == "click", "ack").otherwise("reminder").alias("kind"), F.col("event_id").alias("item_id"))
+    return jobs.drained(jobs.gated(rows))
+
+
+@query("x5_daily_summary_once", "SELECT DISTINCT user_id AS account_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS local_date FROM events")
+def _(t):
+    rows = event_stream(t).select(F.col("user_id").alias("account_id"), F.to_date(F.col("ts") + F.expr("interval 3 hours")).alias("local_date"), "ts")
+    return jobs.drained(jobs.without_repeats(rows, ["account_id", "local_date"], "ts", "2 days").select("account_id", "local_date"))
+
+
+@query("x6_rolling_context", "SELECT account_id, turn_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY turn_id DESC) AS rn FROM v_turns) WHERE rn <= 6")
+def _(t):
+    turns = jobs.source(t.spark, f"{t.sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("account_id"), (F.col("conv_id") * 1000 + F.col("turn")).cast("long").alias("turn_id"))
+    states = jobs.drained(jobs.last_turns(turns))
+    latest = states.withColumn("rn", F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("seen")))).filter("rn = 1")
+    return latest.select("account_id", F.explode("turns").alias("turn_id"))
+
+
+@query("x7_codes_in_time", """
+SELECT i.user_id, i.event_id AS issue_id, u.event_id AS use_id FROM events i JOIN events u ON u.user_id = i.user_id AND u.ts >= i.ts AND u.ts <= i.ts + INTERVAL 10 MINUTE WHERE i.event_type = 'signup' AND u.event_type = 'click'""")
+def _(t):
+    issued = event_stream(t).filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("issue_id"), F.col("ts").alias("issued_at"))
+    used = event_stream(t).filter("event_type = 'click'").select("user_id", F.col("event_id").alias("use_id"), F.col("ts").alias("used_at"))
+    return jobs.drained(jobs.redeemed(issued, used))
+
+
+@query("j20_code_redemption", """
+SELECT i.user_id, i.event_id AS issue_id, min(u.event_id) AS use_id FROM events i JOIN events u ON u.user_id = i.user_id AND u.ts >= i.ts AND u.ts < i.ts + INTERVAL 10 MINUTE AND u.event_type = 'click' WHERE i.event_type = 'signup' GROUP BY 1, 2""")
+def _(t):
+    """Batch form: times go to ten-minute buckets, so that the join is on equal keys."""
+    at = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    issued = t.events.filter("event_type = 'signup'").select("user_id", F.col("event_id").alias("issue_id"), F.col("ts").alias("issued_at"), F.explode(F.array(F.floor(at / 600), F.floor(at / 600) + 1)).alias("bucket"))
+    used = t.events.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("use_id"), F.col("ts").alias("used_at"), F.floor(at / 600).alias("bucket"))
+    found = issued.join(used, ["user_id", "bucket"]).filter((F.col("used_at") >= F.col("issued_at")) & (F.col("used_at") < F.col("issued_at") + F.expr("interval 10 minutes")))
+    return found.groupBy("user_id", "issue_id").agg(F.min("use_id").alias("use_id"))
+
+
+@query("x8_daily_activity", "SELECT CAST(ts AS DATE) AS day, count(*) AS n_events FROM events GROUP BY 1")
+def _(t):
+    rows = jobs.last_batch(jobs.drained(jobs.activity(event_stream(t), "ts", "1 day").select("w", F.col("n").alias("n_events")), "complete"))
+    return rows.select(F.to_date("w.start").alias("day"), "n_events")
+
+
+@query("x8_sliding_activity", """
+WITH d AS (SELECT event_id, date_trunc('day', ts) AS d FROM events) SELECT CAST(d - to_days(CAST(k AS INT)) AS DATE) AS first_day, count(*) AS n_events FROM d CROSS JOIN generate_series(0, 6) g(k) GROUP BY 1""")
+def _(t):
+    rows = jobs.last_batch(jobs.drained(jobs.activity(event_stream(t), "ts", "7 days", "1 day").select("w", F.col("n").alias("n_events")), "complete"))
+    return rows.select(F.to_date("w.start").alias("first_day"), "n_events")
+
+
+@query("x8_sessions")
+def _(t):
+    """Sessions that are over by the watermark; the last ones stay open."""
+    return jobs.drained(jobs.sessions(event_stream(t), "ts", "30 minutes"))
