@@ -41,4 +41,4 @@ def confirmed(slots: DataFrame, series: DataFrame) -> DataFrame:
 
 def undone(series: DataFrame, sources: DataFrame) -> DataFrame:
     """Series without those that the given imports made."""
-    return series.join(sources.select("source"), "source", "left_anti")
+    return series.join(sources.select("source"), "source", "left_anti").select(*series.columns)

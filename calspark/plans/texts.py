@@ -22,11 +22,11 @@ def _(t):
 
 
 @query("t2_mark_cleanup", r"""
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' [LINK] ( ) ok , [PHONE]', '\[(LINK|PHONE|EMAIL)\]', ' ', 'g'), '\(\s*\)|\[\s*\]', ' ', 'g'), '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ,;:') AS text FROM conversations
+SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]', '\[(ССЫЛКА|ТЕЛЕФОН|EMAIL)\]', ' ', 'g'), '\(\s*\)|\[\s*\]', ' ', 'g'), '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ,;:') AS text FROM conversations
 WHERE NOT regexp_matches(text, '[^ -~\n]') AND NOT regexp_matches(text, '^[ ,;:]|[ ,;:]$')""")
 def _(t):
     rows = t.conversations.filter(~F.col("text").rlike(r"[^ -~\n]") & ~F.col("text").rlike(r"^[ ,;:]|[ ,;:]$"))
-    return rows.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [LINK] ( ) ok , [PHONE]"))).alias("text"))
+    return rows.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]"))).alias("text"))
 
 
 @query("t3_event_title", "SELECT doc_id, left(upper(left(coalesce(nullif(trim(text), ''), 'Event'), 1)) || substr(coalesce(nullif(trim(text), ''), 'Event'), 2), 255) AS title FROM documents WHERE NOT contains(left(text, 1), 'ß')")
@@ -77,7 +77,7 @@ def _(t):
 @query("t9_bare_period", "SELECT o_orderkey, o_orderkey % 3 = 0 AS bare FROM orders")
 def _(t):
     day = F.date_format("o_orderdate", "dd.MM.yyyy")
-    message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("на период с "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("экзамен "), day)).otherwise("на весь период")
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("период с "), day, F.lit(" по "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("экзамен с "), day, F.lit(" по "), day)).otherwise(F.concat(F.lit("период с "), day))
     return t.orders.select("o_orderkey", T.is_bare_period(message).alias("bare"))
 
 
@@ -113,7 +113,7 @@ def _(t):
 
 
 @query("t16_week_marks", """
-SELECT position, CASE WHEN position % 3 = 1 THEN '' ELSE array_to_string(generate_series(1 + position % 4, 4 + position % 4), ',') END AS weeks, CASE WHEN position % 3 = 1 THEN '1,5' ELSE '' END AS except_weeks, title
+SELECT position, CASE WHEN position % 3 = 1 THEN '' ELSE array_to_string(generate_series(1 + position % 4, 4 + position % 4), ',') END AS weeks, CASE WHEN position % 3 = 1 THEN '1,5' ELSE '' END AS except_weeks, upper(left(title, 1)) || substr(title, 2) AS title
 FROM v_slots WHERE position % 3 < 2""")
 def _(t):
     rows = t.slots.filter("position % 3 < 2").withColumn("a", 1 + F.col("position") % 4)
@@ -201,3 +201,24 @@ def _(t):
     scored = pairs.withColumn("score", F.round(T.similarity(F.col("query"), F.col("title")), 6)).filter("score >= 0.45")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "start_at", "event_id"))
     return scored.withColumn("place", place).filter("place <= 8").select("query_id", "event_id", "score", "place")
+
+
+@query("t10_supersedes", "SELECT o_orderkey, o_orderkey % 3 = 1 AS supersedes FROM orders")
+def _(t):
+    day = F.date_format("o_orderdate", "dd.MM.yyyy")
+    message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("с "), day, F.lit(" по "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("экзамен "), day)).otherwise("вторая группа")
+    return t.orders.select("o_orderkey", T.supersedes(message, F.to_date("o_orderdate")).alias("supersedes"))
+
+
+@query("t17_edit_merge", """
+SELECT event_id, date_trunc('day', CASE WHEN event_id % 2 = 0 THEN deadline ELSE start_at END) + (CASE WHEN event_id % 3 = 0 THEN deadline ELSE start_at END - date_trunc('day', CASE WHEN event_id % 3 = 0 THEN deadline ELSE start_at END)) AS start_at,
+  date_trunc('day', CASE WHEN event_id % 2 = 0 THEN deadline ELSE start_at END) + (CASE WHEN event_id % 3 = 0 THEN deadline ELSE start_at END - date_trunc('day', CASE WHEN event_id % 3 = 0 THEN deadline ELSE start_at END)) + (deadline - start_at) AS end_at FROM v_cal_events""")
+def _(t):
+    m = T.merged_interval(F.col("start_at"), F.col("deadline"), F.col("deadline"), F.col("deadline"), F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.lit(False))
+    return t.cal_events.select("event_id", m.alias("m")).select("event_id", "m.start_at", "m.end_at")
+
+
+@query("t18_transcripts", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE regexp_matches(text, '^[A-Za-z]') AND regexp_matches(text, '[A-Za-z.]$')")
+def _(t):
+    rows = t.conversations.filter(F.col("text").rlike("^[A-Za-z]") & F.col("text").rlike("[A-Za-z.]$"))
+    return rows.select("conv_id", "turn", T.transcript(F.concat(F.lit(" «"), "text", F.lit("»"))).alias("text"))

@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MOST_BYTES = 5_000_000
+#: The upper half of one-byte texts as Latin letters and as windows-1251 has it; Spark decodes the former only.
+UPPER_HALF = tuple(bytes(b for b in range(128, 256) if b != 0x98).decode(c) for c in ("latin-1", "cp1251"))
 
 
 def decoded(content: Column) -> Column:
     """Bytes as text: UTF-8 with or without its mark, else windows-1251."""
-    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "windows-1251"))
+    text = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.translate(F.decode(content, "ISO-8859-1"), *UPPER_HALF))
     return F.regexp_replace(text, "^﻿", "")
 
 
