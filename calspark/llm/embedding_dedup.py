@@ -41,7 +41,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     """Rows after random signs and transforms; all vectors of a size are rotated alike."""
-    size = 1 << max(1, int(np.ceil(np.log2(x.shape[1]))))
+    size = 1 << max(3, int(np.ceil(np.log2(x.shape[1]))))  # axes enough for the probes, also of small vectors
     rng = np.random.default_rng([seed, size])
     out = np.zeros((len(x), size))
     out[:, : x.shape[1]] = x
