@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import calibration, chance
-from .shared import documents, pieces_of
+from .shared import documents, pieces_of, smallest_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts with candidates that the trees are fitted on, those with the smallest hashes of doc_id.
@@ -248,7 +248,7 @@ def learnt(rows: list[tuple[list[float], int, bool, str]]) -> Trees | None:
 
 def fit(df: DataFrame, train_texts: int = TRAIN_TEXTS) -> Trees | None:
     """From the texts that hold a digit or "@", train_texts at most."""
-    sample = documents(df).filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(train_texts)
+    sample = smallest_hashes(documents(df).filter(F.col("text").rlike("[0-9@]")), train_texts, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import calibration, chance, dual_coordinate_descent
-from .shared import documents, pieces_of
+from .shared import documents, pieces_of, smallest_hashes
 from .words import Words, distinct, split
 
 TRAIN_ROWS = 6000
@@ -94,7 +94,7 @@ def remainder(of: int) -> Column:
 def training_rows(df: DataFrame, labels: DataFrame, label: str, learnt: Column, rows: int) -> DataFrame:
     """doc_id, text and label of at most so many labelled rows for which ``learnt`` holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learnt)
-    known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    known = smallest_hashes(known.groupBy("doc_id").agg(F.max("label").alias("label")), rows, "doc_id")
     return documents(df).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .linear import calibration, chance, dual_coordinate_descent
 from .quality import remainder, training_rows
-from .shared import cut, documents, pieces_of, ragged
+from .shared import cut, documents, pieces_of, ragged, smallest_hashes
 from .words import LETTER, SPACE, Words, classes, distinct
 
 TRAIN_ROWS = 6000
@@ -268,7 +268,7 @@ def fit(df: DataFrame, labels: DataFrame, learnt_from: Column, train_rows: int =
     model = trained(
         picked(counts.filter("toxic").orderBy(F.desc("evidence"), "word"), TRAIN_WORDS),
         picked(other.orderBy(F.desc("m"), "word"), TRAIN_WORDS // 4),
-        picked(other.orderBy(F.xxhash64("word"), "word"), OTHER_WORDS),
+        picked(smallest_hashes(other, OTHER_WORDS, "word"), OTHER_WORDS),
     )
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
