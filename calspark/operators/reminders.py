@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .intervals import ntz
 
-#: Minutes before the start.
+# Minutes before the start, most reminders by preference, most valid times.
 STANDARD = (1440, 720, 60, 30, 15)
 LIMITS = {"minimal": 1, "balanced": 2, "frequent": 3}
 MOST_VALID = 4
