@@ -165,7 +165,12 @@ def _(t):
     return rows.select(F.to_date("w.start").alias("first_day"), "n_events")
 
 
-@query("x8_sessions")
+@query("x8_sessions", """
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+w AS (SELECT user_id, min(ts) AS from_at, max(ts) + INTERVAL 30 MINUTE AS to_at, count(*) AS n FROM s GROUP BY user_id, k)
+SELECT * FROM w WHERE to_at <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def _(t):
     """Sessions that are over by the watermark; the last ones stay open."""
-    return jobs.drained(jobs.sessions(event_stream(t), "ts", "30 minutes"))
+    rows = jobs.drained(jobs.sessions(event_stream(t), "ts", "30 minutes"))
+    return rows.select("user_id", F.col("from_at").cast("timestamp_ntz").alias("from_at"), F.col("to_at").cast("timestamp_ntz").alias("to_at"), "n")
