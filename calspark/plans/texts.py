@@ -47,11 +47,16 @@ def _(t):
 
 @query("t6_title_similarity")
 def _(t):
-    """Titles of the same user against each other; the ratio has no counterpart in SQL."""
-    e = t.cal_events.filter("event_id % 5 = 0").select("user_id", "event_id", "title")
-    other = e.select("user_id", F.col("event_id").alias("other_id"), F.col("title").alias("other"))
-    pairs = e.join(other, "user_id").filter((F.col("event_id") < F.col("other_id")) & (F.col("other_id") - F.col("event_id") < 50))
-    return pairs.select("event_id", "other_id", F.round(T.similarity(F.col("title"), F.col("other")), 6).alias("score"))
+    """Each title of a user as the query against each other one, both ways, and against itself if several events have it.
+
+    n_events and n_others count the events with either title; a pair of titles is scored once, however many users have it.
+    Events without a title have no pairs. The ratio has no counterpart in SQL.
+    """
+    e = t.cal_events.groupBy("user_id", "title").agg(F.count(F.lit(1)).alias("n_events"))
+    other = e.select("user_id", F.col("title").alias("other"), F.col("n_events").alias("n_others"))
+    pairs = e.join(other, "user_id").filter((F.col("title") != F.col("other")) | (F.col("n_events") > 1))
+    scores = pairs.select("title", "other").distinct().withColumn("score", F.round(T.similarity(F.col("title"), F.col("other")), 6))
+    return pairs.join(scores, ["title", "other"]).select("user_id", "title", "other", "n_events", "n_others", "score")
 
 
 @query("t7_occurrence_date", """
@@ -112,15 +117,27 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", T.cell_text(F.when(even, "number").otherwise("date"), F.when(even, number).otherwise(date)).alias("text"))
 
 
+def week_marks(slots):
+    """Titles of slots with marks of all weeks but two, of four weeks, or with none, taken apart."""
+    rows = slots.withColumn("a", 1 + F.col("position") % 4)
+    span = F.concat(F.col("a").cast("string"), F.lit("-"), (F.col("a") + 3).cast("string"), F.lit(" н. "), "title")
+    marked = F.when(F.col("position") % 3 == 1, F.concat(F.lit("кр. 5,1 н. "), "title")).when(F.col("position") % 3 == 0, span).otherwise(F.col("title"))
+    m = rows.select("position", T.week_marks(marked).alias("m"))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return m.select("position", joined(F.col("m.weeks")).alias("weeks"), joined(F.col("m.except_weeks")).alias("except_weeks"), "m.title")
+
+
 @query("t16_week_marks", """
 SELECT position, CASE WHEN position % 3 = 1 THEN '' ELSE array_to_string(generate_series(1 + position % 4, 4 + position % 4), ',') END AS weeks, CASE WHEN position % 3 = 1 THEN '1,5' ELSE '' END AS except_weeks, upper(left(title, 1)) || substr(title, 2) AS title
 FROM v_slots WHERE position % 3 < 2""")
 def _(t):
-    rows = t.slots.filter("position % 3 < 2").withColumn("a", 1 + F.col("position") % 4)
-    marked = F.when(F.col("position") % 3 == 1, F.concat(F.lit("кр. 5,1 н. "), "title")).otherwise(F.concat(F.col("a").cast("string"), F.lit("-"), (F.col("a") + 3).cast("string"), F.lit(" н. "), "title"))
-    m = rows.select("position", T.week_marks(marked).alias("m"))
-    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return m.select("position", joined(F.col("m.weeks")).alias("weeks"), joined(F.col("m.except_weeks")).alias("except_weeks"), "m.title")
+    return week_marks(t.slots.filter("position % 3 < 2"))
+
+
+@query("t16_all_week_marks")
+def _(t):
+    """t16_week_marks over all slots: those that its SQL leaves out have titles without marks, which stay as they are."""
+    return week_marks(t.slots)
 
 
 @query("t20_evidence", "SELECT p_partkey, p_partkey % 2 = 0 AS supported FROM part WHERE length(p_type) >= 4")
