@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap_of, cut, documents, in_bitmap, pieces_of, width
+from .shared import bitmap_of, cut, documents, in_bitmap, own_ids, pieces_of, width
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes hashed by one task at a time.
@@ -156,6 +156,7 @@ def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int
 
 
 def one_of_each(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose id is the one that stays; rows that share an id stay or go together."""
-    gone = exact_duplicates(df).filter(~F.col("kept")).select("doc_id").distinct()
-    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    """One row of each class of copies, with all its columns; rows that share an id or have none are judged one by one."""
+    rows = own_ids(df)
+    gone = exact_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("row_id"))
+    return rows.join(gone, "row_id", "left_anti").select(*df.columns)

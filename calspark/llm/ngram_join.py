@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .bucket_join import TILE, compared, dealt, halves, matrix, owned, tiles
 from .components import components
-from .shared import bitmap_of, cut, documents, grouped, in_bitmap, pieces_of
+from .shared import bitmap_of, cut, documents, grouped, in_bitmap, own_ids, pieces_of
 from .words import LETTER, NUMBER, Words, classes, numbers
 
 WORDS = 5
@@ -208,6 +208,7 @@ def near_documents(df: DataFrame, bits: int = BITMAP_BITS, **blocks: int) -> Dat
 
 
 def one_of_each(df: DataFrame, **blocks: int) -> DataFrame:
-    """The rows of ``df``, with all their columns, whose document is the first of its class; rows without an id stay."""
-    gone = near_documents(df, **blocks).filter(~F.col("kept")).select("doc_id")
-    return df.join(gone, "doc_id", "left_anti").select(*df.columns)
+    """One row of each class, with all its columns; rows that share an id or have none are compared like all others."""
+    rows = own_ids(df)
+    gone = near_documents(rows.select(F.col("row_id").alias("doc_id"), "text"), **blocks).filter(~F.col("kept")).select(F.col("doc_id").alias("row_id"))
+    return rows.join(gone, "row_id", "left_anti").select(*df.columns)

@@ -45,6 +45,24 @@ def kept_between_stages(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def own_ids(df: DataFrame) -> DataFrame:
+    """``df`` with a column row_id that no two rows share: doc_id where it is one row's alone, else a number beyond all ids.
+
+    Rows that repeat both id and text are one row. Rows without an id or with another's are checkpointed, so their
+    numbers hold; a table where every row has its own id is only counted.
+    """
+    ids = df.select(F.col("doc_id").cast("long").alias("row_id"))
+    several = cut(ids.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR row_id IS NULL").select("row_id"))
+    rows = df.withColumn("row_id", F.col("doc_id").cast("long"))
+    if several.isEmpty():
+        return rows
+    low, top = ids.agg(F.coalesce(F.min("row_id"), F.lit(0)), F.coalesce(F.max("row_id"), F.lit(0))).first()
+    others = rows.join(several, "row_id", "left_semi").unionByName(rows.filter("row_id IS NULL")).dropDuplicates(["row_id", "text"])
+    number = F.monotonically_increasing_id()
+    others = cut(others.withColumn("row_id", F.lit(top + 1) + number if top < 2**62 else F.lit(low - 1) - number))
+    return rows.filter("row_id IS NOT NULL").join(several, "row_id", "left_anti").unionByName(others)
+
+
 def width(df: DataFrame) -> int:
     """Partitions that a shuffle gets."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
