@@ -58,7 +58,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), special=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

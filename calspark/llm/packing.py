@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -53,8 +54,30 @@ def codec(path: str) -> tuple[Merges, np.ndarray, np.ndarray]:
     return merges, inner, final
 
 
-def encode_batch(path: str, texts: list[str]) -> Iterator[bytes]:
-    """The ids of each text as little-endian 32-bit numbers."""
+@functools.cache
+def added_tokens(path: str) -> tuple[re.Pattern, dict[str, bytes]]:
+    """Where the vocabulary's added tokens stand in a raw text, the longest first, and the id of each."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if any(x.get(flag) for x in found for flag in ("normalized", "single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens are found in raw texts only, without a look at what stands beside them")
+    names = sorted((x["content"] for x in found), key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, names)) or '(?!)'})"), {x["content"]: x["id"].to_bytes(4, "little") for x in found}
+
+
+def encode_batch(path: str, texts: list[str], special: bool = False) -> Iterator[bytes]:
+    """The ids of each text as little-endian 32-bit numbers; strings of added tokens are ordinary text unless ``special``."""
+    if not special:
+        yield from _encoded(path, texts)
+        return
+    pattern, ids = added_tokens(path)
+    parts = [pattern.split(t) for t in texts]  # every second part is an added token
+    plain = _encoded(path, [t for own in parts for t in own[::2]])
+    for own in parts:
+        yield b"".join(ids[t] if i % 2 else next(plain) for i, t in enumerate(own))
+
+
+def _encoded(path: str, texts: list[str]) -> Iterator[bytes]:
     merges, inner, final = codec(path)
     words = split(list(map(normal, texts)), keep_spaces=False)
     codes, model = distinct(words)
@@ -68,14 +91,14 @@ def encode_batch(path: str, texts: list[str]) -> Iterator[bytes]:
         yield b"".join(map(ids.__getitem__, at[a:b]))
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 of the pieces of every document."""
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_batch(path, batch.column("text").to_pylist()), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode_batch(path, batch.column("text").to_pylist(), special), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at: at + 4 * capacity]
@@ -205,9 +228,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE,
     return np.sort(np.array(p.runs, RUN), order=["length", "first"])
 
 
-def pack(df: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
-    found = cut(pieces(df, path, capacity).withColumn("part", F.spark_partition_id()))
+def pack(df: DataFrame, path: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece; ``special`` as in ``encode_batch``."""
+    found = cut(pieces(df, path, capacity, special).withColumn("part", F.spark_partition_id()))
     counts = cut(found.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
     # at most one row for each length
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -35,7 +35,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), special=True)
 
 
 STAGES = [
