@@ -34,15 +34,17 @@ def _(t):
 @query("s1_calendar_files", f"""
 WITH {ENTRIES} SELECT 'event-' || CAST(event_id AS VARCHAR) AS uid, title AS summary, start_at, CASE WHEN all_day AND CAST(end_at AS DATE) <= CAST(start_at AS DATE) THEN date_trunc('day', start_at) + INTERVAL 1 DAY WHEN all_day THEN date_trunc('day', end_at) ELSE end_at END AS end_at, all_day FROM entries""")
 def _(t):
-    """Each subject's feed, read back as a file."""
-    made = calendars.feeds(entry_rows(t), "subject").select(F.concat("subject", F.lit(".ics")).alias("file_name"), F.col("text").cast("binary").alias("content"))
+    """Each subject's feed, read back as files."""
+    made = calendars.feeds(entry_rows(t), "subject").select(F.concat("subject", F.lit("."), "part", F.lit(".ics")).alias("file_name"), F.col("text").cast("binary").alias("content"))
     return calendars.events(made).select("uid", "summary", "start_at", "end_at", "all_day")
 
 
 @query("s2_archives", "SELECT CAST(doc_id // 7 AS VARCHAR) || '.zip' AS file_name, 'doc-' || CAST(doc_id AS VARCHAR) || '.txt' AS member, sha256(text) AS content_sha256 FROM documents")
 def _(t):
-    docs = t.documents.select(F.expr("doc_id div 7").alias("box"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
-    return files.members(files.archived(docs, "box")).select("file_name", "member", F.sha2("content", 256).alias("content_sha256"))
+    """Boxes of documents, read back; a large box is several archives. Those without an id share the box named null."""
+    docs = t.documents.select(F.coalesce(F.expr("doc_id div 7").cast("string"), F.lit("null")).alias("box"), F.concat(F.lit("doc-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt")).alias("member"), F.col("text").cast("binary").alias("content"))
+    read = files.members(files.archived(docs, "box"))
+    return read.select(F.nullif(F.regexp_replace("file_name", r"\.[0-9-]+\.zip$", ".zip"), F.lit("null.zip")).alias("file_name"), F.nullif(F.col("member"), F.lit("doc-null.txt")).alias("member"), F.sha2("content", 256).alias("content_sha256"))
 
 
 @query("s3_delimited", """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 5_000_000
@@ -16,6 +16,21 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(text, "^﻿", "")
 
 
+def dealt(rows: DataFrame, key: str, order: list[str], size: Column, most_bytes: int, most_rows: int = 2**31 - 1) -> DataFrame:
+    """``rows`` with the part of their key's file (part, 0-0-0 first) that they go to: no part has more bytes or rows than allowed.
+
+    A row of over half the bytes is a part of its own; only such a row can make a part too large, by itself.
+    """
+    half = most_bytes // 2
+    rows = rows.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long")).withColumn("_alone", F.col("_size") > half)
+    before = Window.partitionBy(key, "_alone").orderBy(*order)
+    rows = rows.withColumn("_large", F.when(F.col("_alone"), F.row_number().over(before)).otherwise(0))
+    rows = rows.withColumn("_cut", F.when(F.col("_alone"), 0).otherwise(F.floor((F.sum("_size").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")) / half)))
+    place = F.row_number().over(Window.partitionBy(key, "_alone", "_large", "_cut").orderBy(*order)) - 1
+    rows = rows.withColumn("part", F.concat_ws("-", F.col("_large").cast("string"), F.col("_cut").cast("string"), F.floor(place / most_rows).cast("string")))
+    return rows.drop("_size", "_alone", "_large", "_cut")
+
+
 def property_of(event: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(event, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)), F.lit(""))
 
@@ -32,20 +47,22 @@ def duration_minutes(value: Column) -> Column:
 
 
 def events(files: DataFrame) -> DataFrame:
-    """A row for each event of each file (file_name, content); files over the size are left to the caller's quarantine."""
+    """A row for each event of each file (file_name, content); a file over MOST_BYTES is one row with the reason in reject."""
     text = F.regexp_replace(decoded(F.col("content")), r"\r?\n[ \t]", "")  # folded lines
-    texts = files.filter(F.length("content") <= MOST_BYTES).select("file_name", F.slice(F.split(text, r"(?m)^BEGIN:VEVENT\s*$"), F.lit(2), F.lit(2**31 - 1)).alias("events"))
+    large = F.length("content") > MOST_BYTES
+    texts = files.filter(~large).select("file_name", F.slice(F.split(text, r"(?m)^BEGIN:VEVENT\s*$"), F.lit(2), F.lit(2**31 - 1)).alias("events"))
     rows = texts.select("file_name", F.posexplode("events").alias("place", "event"))
     event, e = F.regexp_extract("event", r"(?s)^(.*?)(?:\nEND:VEVENT|\z)", 1), F.col("event")
     rows = rows.withColumn("event", event)
     start = property_of(e, "DTSTART")
     trigger = property_of(F.regexp_extract("event", r"(?s)BEGIN:VALARM(.*?)END:VALARM", 1), "TRIGGER")
     unescaped = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"\\([,;\\])", "$1")
-    return rows.select(
+    read = rows.select(
         "file_name", "place", property_of(e, "UID").alias("uid"), unescaped(property_of(e, "SUMMARY")).alias("summary"), unescaped(property_of(e, "LOCATION")).alias("location"),
         property_of(e, "STATUS").alias("status"), moment(start).alias("start_at"), moment(property_of(e, "DTEND")).alias("end_at"), (F.length(start) == 8).alias("all_day"),
-        duration_minutes(property_of(e, "DURATION")).alias("duration_min"), duration_minutes(trigger).alias("alarm_min"), property_of(e, "RRULE").alias("rrule"),
+        duration_minutes(property_of(e, "DURATION")).alias("duration_min"), duration_minutes(trigger).alias("alarm_min"), property_of(e, "RRULE").alias("rrule"), F.lit(None).cast("string").alias("reject"),
     )
+    return read.unionByName(files.filter(large).select("file_name", F.lit("bytes").alias("reject")), allowMissingColumns=True)
 
 
 def feed_lines(entries: DataFrame) -> DataFrame:
@@ -60,11 +77,12 @@ def feed_lines(entries: DataFrame) -> DataFrame:
     return entries.withColumn("lines", lines)
 
 
-def feeds(entries: DataFrame, key: str) -> DataFrame:
-    """One calendar text for each key, its events in order of start."""
-    rows = feed_lines(entries).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_at", "uid", "lines"))).alias("events"))
+def feeds(entries: DataFrame, key: str, most_bytes: int = MOST_BYTES - 1000) -> DataFrame:
+    """Calendar texts of each key (key, part, text), its events in order of start, in as many parts as keep each under the size."""
+    rows = dealt(feed_lines(entries), key, ["start_at", "uid", "lines"], F.octet_length("lines") + 2, most_bytes)
+    rows = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("start_at", "uid", "lines"))).alias("events"))
     body = F.array_join(F.transform("events", lambda x: x["lines"]), "\r\n")
-    return rows.select(key, F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), body, F.lit("END:VCALENDAR"), F.lit("")).alias("text"))
+    return rows.select(key, "part", F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), body, F.lit("END:VCALENDAR"), F.lit("")).alias("text"))
 
 
 def without_dates(days: DataFrame, exdates: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .calendars import decoded
+from .calendars import dealt, decoded
 
 MOST_MEMBERS, MOST_BYTES = 20, 20_000_000
 CELLS = "file_name string, sheet string, row_no int, col_no int, kind string, text string"
@@ -32,7 +32,10 @@ def file_kind(content: Column, name: Column) -> Column:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """file_name, member and content of the files in each archive; broken archives give none."""
+    """file_name, member and content of the files in each archive; broken archives give none.
+
+    Members beyond MOST_MEMBERS, or all of an archive over MOST_BYTES, have no content and the reason in reject.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -42,25 +45,31 @@ def members(files: DataFrame) -> DataFrame:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
                     continue
-                own = [x for x in archive.infolist() if not x.is_dir() and not x.filename.startswith("__MACOSX/")][:MOST_MEMBERS]
-                if sum(x.file_size for x in own) <= MOST_BYTES:
-                    rows += [(name, x.filename, archive.read(x)) for x in own]
-            yield pd.DataFrame(rows, columns=["file_name", "member", "content"])
+                own = [x for x in archive.infolist() if not x.is_dir() and not x.filename.startswith("__MACOSX/")]
+                large = sum(x.file_size for x in own[:MOST_MEMBERS]) > MOST_BYTES
+                reasons = ["bytes" if large else "members" if i >= MOST_MEMBERS else None for i in range(len(own))]
+                rows += [(name, x.filename, None if why else archive.read(x), why) for x, why in zip(own, reasons, strict=True)]
+            yield pd.DataFrame(rows, columns=["file_name", "member", "content", "reject"])
+
+    return files.select("file_name", "content").mapInPandas(run, "file_name string, member string, content binary, reject string")
 
-    return files.select("file_name", "content").mapInPandas(run, "file_name string, member string, content binary")
 
+def archived(files: DataFrame, key: str, most_bytes: int = MOST_BYTES, most_members: int = MOST_MEMBERS) -> DataFrame:
+    """Archives for each key, of its files (member, content): the sink beside ``members``, whose caps no archive exceeds.
 
-def archived(files: DataFrame, key: str) -> DataFrame:
-    """An archive for each key, of its files (member, content): the sink beside ``members``."""
+    The first is named key.zip, the others key.part.zip; only a file that is too large by itself makes one over the cap.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
             for name, content in sorted(zip(group["member"], group["content"], strict=True)):
                 archive.writestr(zipfile.ZipInfo(name), content)
-        return pd.DataFrame({"file_name": [f"{group[key].iloc[0]}.zip"], "content": [out.getvalue()]})
+        part = group["part"].iloc[0]
+        return pd.DataFrame({"file_name": [f"{group[key].iloc[0]}{'' if part == '0-0-0' else f'.{part}'}.zip"], "content": [out.getvalue()]})
 
-    return files.groupBy(key).applyInPandas(run, "file_name string, content binary")
+    rows = dealt(files, key, ["member", "content"], F.octet_length("content"), most_bytes, most_members)
+    return rows.groupBy(key, "part").applyInPandas(run, "file_name string, content binary")
 
 
 def delimited(files: DataFrame) -> DataFrame:
