@@ -21,12 +21,22 @@ def _(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace("text", T.EMAIL, T.EMAIL_MARK), 256).alias("masked_sha256"))
 
 
+def cleaned(turns):
+    return turns.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]"))).alias("text"))
+
+
 @query("t2_mark_cleanup", r"""
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]', '\[(ССЫЛКА|ТЕЛЕФОН|EMAIL)\]', ' ', 'g'), '\(\s*\)|\[\s*\]', ' ', 'g'), '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ,;:') AS text FROM conversations
 WHERE NOT regexp_matches(text, '[^ -~\n]') AND NOT regexp_matches(text, '^[ ,;:]|[ ,;:]$')""")
 def _(t):
     rows = t.conversations.filter(~F.col("text").rlike(r"[^ -~\n]") & ~F.col("text").rlike(r"^[ ,;:]|[ ,;:]$"))
-    return rows.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]"))).alias("text"))
+    return cleaned(rows)
+
+
+@query("t2_all_mark_cleanup")
+def _(t):
+    """t2_mark_cleanup over all turns, also those that its SQL leaves out."""
+    return cleaned(t.conversations)
 
 
 @query("t3_event_title", "SELECT doc_id, left(upper(left(coalesce(nullif(trim(text), ''), 'Event'), 1)) || substr(coalesce(nullif(trim(text), ''), 'Event'), 2), 255) AS title FROM documents WHERE NOT contains(left(text, 1), 'ß')")
@@ -34,6 +44,12 @@ def _(t):
     return t.documents.filter(~F.left("text", F.lit(1)).contains("ß")).select("doc_id", T.event_title(F.col("text"), "Event").alias("title"))
 
 
+@query("t3_all_event_titles")
+def _(t):
+    """t3_event_title over all documents; DuckDB has no capital of the sharp s that its SQL leaves out."""
+    return t.documents.select("doc_id", T.event_title(F.col("text"), "Event").alias("title"))
+
+
 @query("t4_collapse", r"SELECT conv_id, turn, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 1200) AS text FROM conversations")
 def _(t):
     return t.conversations.select("conv_id", "turn", T.collapsed(F.col("text")).alias("text"))
@@ -86,10 +102,20 @@ def _(t):
     return t.orders.select("o_orderkey", T.is_bare_period(message).alias("bare"))
 
 
+def intents(turns):
+    head = F.element_at(F.array(*map(F.lit, ("отмени ", "переименуй ", "перенеси ", "пропусти ", "запиши "))), (F.col("turn") % 5 + 1).cast("int"))
+    return turns.select("conv_id", "turn", T.intent(F.concat(head, "text")).alias("intent"))
+
+
 @query("t11_intent", "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'cancel' WHEN 1 THEN 'rename' WHEN 2 THEN 'edit' WHEN 3 THEN 'skip' ELSE 'new' END AS intent FROM conversations WHERE NOT regexp_matches(lower(text), 'skip')")
 def _(t):
-    head = F.element_at(F.array(*map(F.lit, ("отмени ", "переименуй ", "перенеси ", "пропусти ", "запиши "))), (F.col("turn") % 5 + 1).cast("int"))
-    return t.conversations.filter(~F.lower("text").rlike("skip")).select("conv_id", "turn", T.intent(F.concat(head, "text")).alias("intent"))
+    return intents(t.conversations.filter(~F.lower("text").rlike("skip")))
+
+
+@query("t11_all_intents")
+def _(t):
+    """t11_intent over all turns, also those that its SQL leaves out: with the word skip in them they are requests to skip."""
+    return intents(t.conversations)
 
 
 @query("t12_time_hint", "SELECT event_id, event_id % 2 = 0 AS timed FROM events")
@@ -235,7 +261,17 @@ def _(t):
     return t.cal_events.select("event_id", m.alias("m")).select("event_id", "m.start_at", "m.end_at")
 
 
+def transcripts(turns):
+    return turns.select("conv_id", "turn", T.transcript(F.concat(F.lit(" «"), "text", F.lit("»"))).alias("text"))
+
+
 @query("t18_transcripts", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE regexp_matches(text, '^[A-Za-z]') AND regexp_matches(text, '[A-Za-z.]$')")
 def _(t):
     rows = t.conversations.filter(F.col("text").rlike("^[A-Za-z]") & F.col("text").rlike("[A-Za-z.]$"))
-    return rows.select("conv_id", "turn", T.transcript(F.concat(F.lit(" «"), "text", F.lit("»"))).alias("text"))
+    return transcripts(rows)
+
+
+@query("t18_all_transcripts")
+def _(t):
+    """t18_transcripts over all turns, also those that its SQL leaves out."""
+    return transcripts(t.conversations)
