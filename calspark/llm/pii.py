@@ -4,21 +4,25 @@ Plain patterns give the base spans (e-mail, ip, card, phone), which always stay.
 further, overlapping spans: spelled-out addresses, spaced or defanged ips, numbers with other separators. Boosted
 trees judge each by its format (digits, separators, check sum, part sizes) and its context (the characters and the
 digits around it); thresholds for each kind are set on calibrated chances so that hardly a wrong candidate
-passes. The trees are fitted on the driver from a bounded sample of candidates (TRAIN_TEXTS texts): base spans and
-base spans respelled in place are the positives; candidates of a wrong format, respelled likewise, and what the
-generators find in texts without base spans are the negatives. Most texts have neither digits nor "@" and are
-passed over by one search.
+passes. The trees are fitted on the driver from a bounded sample (TRAIN_TEXTS texts, EXAMPLES examples): base spans
+and base spans respelled in place are the positives; candidates of a wrong format, respelled likewise, and what the
+generators find elsewhere are the negatives, but for candidates that look like a real respelling: nobody knows what
+they are, so they teach nothing. Most texts have neither digits nor "@" and are passed over by one search.
 
 Defined cases: null text counts as empty and has no spans; overlapping spans of different kinds are all listed and
-redacted once; repeated rows each get a row; without a single base span in the sample only base spans are found.
+redacted once; repeated rows each get a row; without a single base span in the sample only base spans are found; the
+work grows in proportion to a text's length, whatever is in it (a million digits, zeros or addresses in a row).
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,8 +34,10 @@ from .linear import calibration, chance
 from .shared import documents, pieces_of, smallest_hashes
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts with candidates that the trees are fitted on, those with the smallest hashes of doc_id.
-TRAIN_TEXTS = 3000
+#: Texts with candidates that the trees are fitted on, those with the smallest hashes, and examples from them.
+TRAIN_TEXTS, EXAMPLES = 3000, 30_000
+#: Ways in which each base span is written anew.
+RESPELLINGS = 8
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 16
 #: Wrong candidates among those that pass, at most, on the part of the sample held back for calibration.
 WRONG = 0.01
@@ -40,12 +46,14 @@ BATCH_BYTES = 8_000_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+#: Numbers joined by dots, as many as there are: every four in a row are an address.
+DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 ANY = re.compile(r"[0-9@]")
-#: A search for the literal comes first, so texts without one cost little.
-SPELLED = [re.compile(r" at [A-Za-z0-9-]+ ?(?:\.|[(\[{]?dot\b)[A-Za-z ()\[\]{}]"), *(re.compile(re.escape(x)) for x in ("(at)", "[at]", "{at}"))]
+#: Marks of a spelled-out address, looked for in lower case; a search for the literal comes first, so texts without one cost little.
+MARKS = ("(at)", "[at]", "{at}")
+SPELLED = re.compile(r" at [a-z0-9-]+ ?(?:\.|[(\[{]?dot\b)[a-z ()\[\]{}]")
 DIGIT = re.compile(r"[0-9]")
 AT, DOT = r"(?: ?(?:@|\(at\)|\[at\]|\{at\}) ?| at )", r"(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?| dot )"
 WIDE = {
@@ -82,25 +90,56 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    """Leftmost dotted fours of parts up to 255 that don't overlap; those with a greater part are passed over whole."""
+    found = []
+    for m in DOTTED.finditer(text):
+        parts = m[0].split(".")
+        at = m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k: k + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in four)):
+                found.append((at, end))
+            at = end + 1
+    return found
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """The spans of the plain patterns, by kind, then start."""
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if not DIGIT.search(text):
         return out
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", a, b) for a, b in addresses(text)]
     out += [("card", m.start(), m.end()) for m in CARD.finditer(text) if 13 <= len(d := digits_of(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(digits_of(m[0])) <= 15]
     return out
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def spelled_out(text: str) -> bool:
+    """Whether a text without "@" may hold an address."""
+    low = text.lower()
+    return any(x in low for x in MARKS) or SPELLED.search(low) is not None
+
+
+def candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """What the generators propose; spans may overlap."""
-    kinds = [k for k in KINDS if ("@" in text or any(r.search(text) for r in SPELLED) if k == "email" else DIGIT.search(text))]
-    return [(k, m.start(), m.end()) for k in kinds for m in WIDE[k].finditer(text)]
+    for k in KINDS:
+        if ("@" in text or spelled_out(text)) if k == "email" else DIGIT.search(text):
+            yield from ((k, m.start(), m.end()) for m in WIDE[k].finditer(text))
 
 
-FEATURES = 20
+def plausible(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether a candidate may be what people write on purpose: it is never taken for a wrong one."""
+    span, digits = text[start:end].lower(), digits_of(text[start:end])
+    if kind == "email":
+        return re.search(r"[a-z]{2}\Z", span) is not None and ("@" in span or any(x in span for x in MARKS) or " at " in span and re.search(r"\bdot\b", span) is not None)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in re.findall("[0-9]+", span)) and not re.search("[,-]", span)
+    if kind == "card":
+        return luhn(digits)
+    return span.startswith(("+", "00")) and 9 <= len(digits) <= 15
 
 
 def described(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -116,16 +155,23 @@ def described(text: str, kind: str, start: int, end: int) -> list[float]:
         max((int(p[:6]) for p in parts), default=0), float(luhn(digits)) if digits else 0.0, span.count("."), float("+" in span) + float(span.startswith("00")),
         float("(" in span and ")" in span), len(set(marks)), len(marks), float("@" in span), float("(at)" in low or "[at]" in low or "{at}" in low),
         float(bool(re.search(r"\bdot\b", low))), float(" at " in low), float(before[-1:].isalnum()) + 2 * float(after[:1].isalnum()),
-        float(bool(re.search(r"[0-9]", before))) + float(bool(re.search(r"[0-9]", after))), word, sum(len(x) for x in low.split(" ")[-1:]),
+        float(bool(re.search(r"[0-9]", before))) + float(bool(re.search(r"[0-9]", after))), word, len(low.rsplit(" ", 1)[-1]),
+        float(plausible(text, kind, start, end)), float(bool(re.search(r"[a-z0-9] ?\. [A-Z]", span))), sum(low.count(x) for x in (*MARKS, "(dot)", "[dot]", "{dot}", " dot ")),
     ]
 
 
+def renamed(email: str, rng: np.random.Generator) -> str:
+    """Half of the time without digits, so that these don't tell an address from other words."""
+    return re.sub("[0-9]", "", email) if rng.random() < 0.5 and re.fullmatch(r"[^@]*[^@0-9][^@]*@[A-Za-z-]+(\.[A-Za-z-]+)+", email) else email
+
+
 def respelled(text: str, span: tuple[str, int, int], rng: np.random.Generator) -> tuple[str, tuple[str, int, int]]:
     """The text with the span written another way, and where it then is."""
     kind, start, end = span
     old, pick = text[start:end], lambda *x: x[int(rng.integers(len(x)))]
     if kind == "email":
-        new = old.replace("@", pick("(at)", "[at]", " (at) ", " at ", " [at] ")).replace(".", pick(".", " dot ", "(dot)", " (dot) ", "[dot]"))
+        old = renamed(old, rng)
+        new = old.replace("@", pick("(at)", "[at]", "{at}", " (at) ", " at ", " [at] ", " AT ", "(AT)")).replace(".", pick(".", " dot ", "(dot)", " (dot) ", "[dot]", " DOT "))
     elif kind == "ip":
         new = old.replace(".", pick("[.]", "(.)", " . "))
     elif kind == "card":
@@ -136,13 +182,15 @@ def respelled(text: str, span: tuple[str, int, int], rng: np.random.Generator) -
     return text[:start] + new + text[end:], (kind, start, start + len(new))
 
 
-def broken(text: str, span: tuple[str, int, int], rng: np.random.Generator) -> tuple[str, tuple[str, int, int]] | None:
+def broken(text: str, span: tuple[str, int, int], rng: np.random.Generator) -> tuple[str, tuple[str, int, int]]:
     """The text with a span of nearly the same look that is not what it seems."""
     kind, start, end = span
-    old = text[start:end]
+    old, pick = text[start:end], lambda *x: x[int(rng.integers(len(x)))]
     if kind == "email":
-        new = " at ".join(re.findall(r"[A-Za-z]{2,}", old)[:2])
-        return (text[:start] + new + " " + text[end:], (kind, start, start + len(new))) if " at " in new else None
+        # a name at a place, and the next sentence
+        name, place = renamed(old, rng).split("@")
+        new = name + pick(" at ", " AT ", "@", " @ ") + place.split(".")[0] + pick(". ", " . ") + pick("The", "It", "This", "But", "Then", "He")
+        return text[:start] + new + text[end:], (kind, start, start + len(new))
     if kind == "ip":
         new = re.sub(r"[0-9]+", str(int(rng.integers(256, 999))), old, count=1)
     elif kind == "card":
@@ -208,22 +256,47 @@ def boosted(x: np.ndarray, y: np.ndarray) -> Trees:
     return trees
 
 
-def overlaps(a: tuple[str, int, int], others: list[tuple[str, int, int]]) -> bool:
-    return any(a[1] < e and s < a[2] for _, s, e in others)
+class Covered:
+    """Disjoint stretches of a text, in order."""
+
+    def __init__(self, spans: Iterable[tuple[str, int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, span: tuple[str, int, int]) -> bool:
+        i = bisect.bisect_left(self.starts, span[2])
+        return i > 0 and self.ends[i - 1] > span[1]
+
+    def add(self, span: tuple[str, int, int]) -> None:
+        """A span that meets none of the others."""
+        i = bisect.bisect_left(self.starts, span[1])
+        self.starts.insert(i, span[1])
+        self.ends.insert(i, span[2])
 
 
-def examples(text: str) -> list[tuple[list[float], int, bool, str]]:
+def examples(text: str) -> Iterator[tuple[list[float], int, bool, str]]:
     """(features, whether it is right, whether it is for calibration, kind) of what a text teaches."""
     seed = zlib.crc32(text.encode())
-    rng, base, part, rows = np.random.default_rng(seed), base_spans(text), seed % 3 == 0, []
+    rng, base, part = np.random.default_rng(seed), base_spans(text), seed % 3 == 0
     for kind, start, end in base:
         window, near = text[max(0, start - 200): end + 200], (kind, min(start, 200), min(start, 200) + end - start)
-        right, wrong = respelled(window, near, rng), broken(window, near, rng)
-        rows += [(described(window, *near), 1, part, kind), (described(right[0], *right[1]), 1, part, kind)]
-        if wrong and not any(s == wrong[1] for s in base_spans(wrong[0])):
-            other = respelled(*wrong, rng)
-            rows += [(described(x, *at), 0, part, kind) for x, at in (wrong, other)]
-    return rows + [(described(text, *c), 0, part, c[0]) for c in candidates(text) if not overlaps(c, base)]
+        yield described(window, *near), 1, part, kind
+        for _ in range(RESPELLINGS):
+            right, wrong = respelled(window, near, rng), broken(window, near, rng)
+            yield described(right[0], *right[1]), 1, part, kind
+            if not any(s == wrong[1] for s in base_spans(wrong[0])):
+                x, at = wrong if kind == "email" or rng.random() < 0.5 else respelled(*wrong, rng)
+                yield described(x, *at), 0, part, kind
+    covered = Covered(base)
+    for c in candidates(text):
+        if not covered.meets(c) and not plausible(text, *c):
+            yield described(text, *c), 0, part, c[0]
 
 
 def learnt(rows: list[tuple[list[float], int, bool, str]]) -> Trees | None:
@@ -246,31 +319,37 @@ def learnt(rows: list[tuple[list[float], int, bool, str]]) -> Trees | None:
     return trees
 
 
-def fit(df: DataFrame, train_texts: int = TRAIN_TEXTS) -> Trees | None:
-    """From the texts that hold a digit or "@", train_texts at most."""
+def fit(df: DataFrame, train_texts: int = TRAIN_TEXTS, most: int = EXAMPLES) -> Trees | None:
+    """From the texts that hold a digit or "@", train_texts at most, and their examples with the smallest hashes."""
     sample = smallest_hashes(documents(df).filter(F.col("text").rlike("[0-9@]")), train_texts, "doc_id", "text")
+    kinds = (pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [e for t in batch.column("text").to_pylist() for e in examples(t)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.string()), strict=True)], ["x", "y", "part", "kind"])
+            for text in batch.column("text").to_pylist():
+                for rows in itertools.batched(examples(text), 2048):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["x", "y", "part", "kind"])
 
-    rows = sample.mapInArrow(run, "x array<double>, y int, part boolean, kind string").collect()
+    rows = sample.mapInArrow(run, "x array<double>, y int, part boolean, kind string")
+    rows = rows.orderBy(F.xxhash64("x", "y", "kind")).limit(most).collect()
     return learnt(sorted((list(r["x"]), r["y"], r["part"], r["kind"]) for r in rows))
 
 
 def found_spans(text: str, trees: Trees | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, all spans), each by kind, then start."""
-    if not ANY.search(text) and not any(r.search(text) for r in SPELLED):
+    if not ANY.search(text) and not spelled_out(text):
         return [], []
     base = base_spans(text)
-    more = [c for c in candidates(text) if not overlaps(c, base)] if trees else []
-    if more:
-        p = chance(trees.margins(np.array([described(text, *c) for c in more], float)), trees.a, trees.b)
-        more = [c for c, x in sorted(zip(more, p, strict=True), key=lambda y: -y[1]) if x >= trees.thresholds[c[0]]]
-        more = [c for i, c in enumerate(more) if not overlaps(c, more[:i])]
-    return base, sorted({*base, *more}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    covered, more = Covered(base), []
+    for some in itertools.batched((c for c in candidates(text) if not covered.meets(c)) if trees else (), 4096):
+        p = chance(trees.margins(np.array([described(text, *c) for c in some], float)), trees.a, trees.b)
+        more += [(x, c) for c, x in zip(some, p.tolist(), strict=True) if x >= trees.thresholds[c[0]]]
+    taken, chosen = Covered(), []
+    for _, c in sorted(more, key=lambda y: -y[0]):  # the likelier one of two that overlap
+        if not taken.meets(c):
+            taken.add(c)
+            chosen.append(c)
+    return base, sorted({*base, *chosen}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def written(spans: list[tuple[str, int, int]]) -> str:
@@ -284,7 +363,8 @@ def spans(df: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             found = [found_spans(t, trees) for t in batch.column("text").to_pylist()]
-            counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
+            kinds = [Counter(s[0] for s in base) for base, _ in found]
+            counts = [pa.array([n[k] for n in kinds], pa.int64()) for k in KINDS]
             hashes = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, hashes, pa.array([written(every) for _, every in found], pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
