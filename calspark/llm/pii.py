@@ -36,6 +36,8 @@ from .shared import documents, pieces_of, smallest_hashes
 KINDS = ("email", "ip", "card", "phone")
 #: Texts with candidates that the trees are fitted on, those with the smallest hashes, and examples from them.
 TRAIN_TEXTS, EXAMPLES = 3000, 30_000
+#: Base spans, and other candidates, of one text that the trees are fitted on, at most (chosen at random).
+TEXT_SPANS = 64
 #: Ways in which each base span is written anew.
 RESPELLINGS = 8
 TREES, DEPTH, RATE, BINS = 40, 3, 0.3, 16
@@ -284,7 +286,8 @@ def examples(text: str) -> Iterator[tuple[list[float], int, bool, str]]:
     """(features, whether it is right, whether it is for calibration, kind) of what a text teaches."""
     seed = zlib.crc32(text.encode())
     rng, base, part = np.random.default_rng(seed), base_spans(text), seed % 3 == 0
-    for kind, start, end in base:
+    some = lambda x: [x[i] for i in sorted(rng.permutation(len(x))[:TEXT_SPANS])]
+    for kind, start, end in some(base):
         window, near = text[max(0, start - 200): end + 200], (kind, min(start, 200), min(start, 200) + end - start)
         yield described(window, *near), 1, part, kind
         for _ in range(RESPELLINGS):
@@ -294,9 +297,8 @@ def examples(text: str) -> Iterator[tuple[list[float], int, bool, str]]:
                 x, at = wrong if kind == "email" or rng.random() < 0.5 else respelled(*wrong, rng)
                 yield described(x, *at), 0, part, kind
     covered = Covered(base)
-    for c in candidates(text):
-        if not covered.meets(c) and not plausible(text, *c):
-            yield described(text, *c), 0, part, c[0]
+    for c in some([c for c in candidates(text) if not covered.meets(c) and not plausible(text, *c)]):
+        yield described(text, *c), 0, part, c[0]
 
 
 def learnt(rows: list[tuple[list[float], int, bool, str]]) -> Trees | None:
