@@ -1,18 +1,20 @@
 """Text quality by naive Bayes support vectors.
 
-Features are indicators of n-grams (1 to 3) of word shapes: a word's letters become case, size and whether the
-word is repeated right away; marks and digits stay what they are. Indicators are scaled by the log-count ratio
-of the classes, and a linear hinge-loss model is fitted to them by dual coordinate descent; margins are
-calibrated to chances. The model is fitted on the driver from a bounded sample of labelled rows (TRAIN_ROWS, those
-with the smallest hashes of doc_id); scoring is one pass without a shuffle.
+Features are indicators of n-grams (1 to 3) of word shapes and of words (1 and 2). A word's shape is case, size and
+whether the word is repeated right away; marks and digits stay what they are. Indicators are scaled by the log-count
+ratio of the classes (counted without the row itself where a row is learnt from), those of shapes and those of words
+to length one, and a linear hinge-loss model is fitted to them by dual coordinate descent. The model is fitted
+on the driver from a bounded sample of labelled rows (TRAIN_ROWS, those with the smallest hashes of doc_id); a third of
+them is held back, and margins are calibrated to chances on these. Scoring is one pass without a shuffle.
 
 Defined cases: null text counts as empty, and an empty text has a score (that of no feature); without labels of
 both classes the score is 0.5 for all; doc_id null is held out; repeated rows each get a row; repeated labels of
-an id count once (the greatest).
+an id count once (the greatest), as do rows that repeat an id (the smallest text); texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 
 from .linear import calibration, chance, dual_coordinate_descent
 from .shared import documents, pieces_of, smallest_hashes
-from .words import Words, distinct, split
+from .words import Words, distinct, numbers, split
 
 TRAIN_ROWS = 6000
+#: Hashed n-grams of shapes, then as many of words.
 DIMENSIONS = 1 << 16
+SHAPES, WORDS = 3, 2
 SMOOTHING = 1.0
 COST = 1.0
 BATCH_BYTES = 6_000_000
@@ -65,26 +69,33 @@ def shapes(words: Words) -> np.ndarray:
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every feature that a text has, once each, by text."""
+    """(text, feature) of every feature that a text has, once each, in any order."""
     words = split(texts, keep_spaces=False)
-    shape = shapes(words)
     doc = np.repeat(np.arange(len(texts)), words.counts)
-    mixed = np.zeros(len(shape), np.uint64)
-    keys = []
-    for n in range(1, 4):
-        if len(shape) < n:
-            break
-        mixed = (mixed[: len(shape) - n + 1] + shape[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        same = doc[: len(mixed)] == doc[n - 1:]
-        keys.append(doc[: len(mixed)][same] * DIMENSIONS + (mixed[same] % np.uint64(DIMENSIONS)).astype(np.int64))
+    low, high = numbers(words) if len(words.starts) else (np.zeros(0, np.uint64),) * 2
+    word = low ^ (high * np.uint64(0xC2B2AE3D27D4EB4F))
+    keys = [doc[: len(h)][same] * (2 * DIMENSIONS) + first + (h[same] % np.uint64(DIMENSIONS)).astype(np.int64)
+            for first, values, most in ((0, shapes(words), SHAPES), (DIMENSIONS, word, WORDS)) for h, same in grams(values, doc, most)]
     import pandas as pd
 
     found = pd.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-    return found // DIMENSIONS, found % DIMENSIONS
+    return found // (2 * DIMENSIONS), found % (2 * DIMENSIONS)
+
 
+def scales(doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+    """What the indicators of each text are multiplied by, those of shapes and those of words: one over the root of their number."""
+    n = np.bincount(doc * 2 + (feature >= DIMENSIONS), minlength=2 * n).reshape(n, 2)
+    return 1 / np.sqrt(np.maximum(n, 1))
 
 
+def grams(values: np.ndarray, doc: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the n-grams that start at each place, and whether they lie in one text."""
+    mixed = np.zeros(len(values), np.uint64)
+    for n in range(1, min(most, len(values)) + 1):
+        mixed = (mixed[: len(values) - n + 1] + values[n - 1:]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(31)
+        yield mixed, doc[: len(mixed)] == doc[n - 1:]
+
 
 def remainder(of: int) -> Column:
     """crc32 of the id as text, modulo so much."""
@@ -95,7 +106,8 @@ def training_rows(df: DataFrame, labels: DataFrame, label: str, learnt: Column,
     """doc_id, text and label of at most so many labelled rows for which ``learnt`` holds."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & learnt)
     known = smallest_hashes(known.groupBy("doc_id").agg(F.max("label").alias("label")), rows, "doc_id")
-    return documents(df).join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    own = documents(df).join(F.broadcast(known), "doc_id")
+    return own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(df: DataFrame, labels: DataFrame, learnt: Column, train_rows: int = TRAIN_ROWS) -> Model:
@@ -104,24 +116,36 @@ def fit(df: DataFrame, labels: DataFrame, learnt: Column, train_rows: int = TRAI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             doc, feature = features(batch.column("text").to_pylist())
-            lists = [x.tolist() for x in np.split(feature, np.searchsorted(doc, np.arange(1, batch.num_rows)))] if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "label", "features"])
-
-    sample = training_rows(df, labels, "quality", learnt, train_rows).mapInArrow(run, "doc_id long, label int, features array<int>")
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])  # train_rows at most
-    y = np.array([r["label"] for r in rows])
-    if len(set(y.tolist())) < 2:
-        return Model(np.zeros(DIMENSIONS))
-    at = [np.unique(np.array(r["features"], np.int64)) for r in rows]
-    counts = [SMOOTHING + np.bincount(np.concatenate([a for a, c in zip(at, y, strict=True) if c == k] or [np.zeros(0, np.int64)]), minlength=DIMENSIONS) for k in (0, 1)]
-    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    ratio[(counts[0] + counts[1]) < 2 * SMOOTHING + 3] = 0  # seen too seldom to tell
-    sparse = [(np.append(a, DIMENSIONS), np.append(ratio[a] / np.sqrt(max(len(a), 1)), 1.0)) for a in at]
-    share = y.mean()
-    w = dual_coordinate_descent(sparse, 2 * y - 1, DIMENSIONS + 1, COST * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)))
-    # the row's own scale belongs to its values, so margins are sums divided by the root of the number of features
-    own = np.array([float(w[i] @ v) for i, v in sparse])
-    return Model(w[:DIMENSIONS] * ratio, float(w[DIMENSIONS]), *calibration(own, y))
+            feature, doc = feature[np.argsort(doc, kind="stable")], np.sort(doc)
+            lists = [x.astype("<i4").tobytes() for x in np.split(feature, np.searchsorted(doc, np.arange(1, batch.num_rows)))] if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.binary())], ["doc_id", "label", "features"])
+
+    sample = training_rows(df, labels, "quality", learnt, train_rows).mapInArrow(run, "doc_id long, label int, features binary")
+    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])  # train_rows at most, of 2 * DIMENSIONS features at most
+    back = np.array([zlib.crc32(b"%d back" % r["doc_id"]) % 3 == 0 for r in rows], bool)
+    y = np.array([r["label"] for r in rows], int)
+    if len(set(y[~back].tolist())) < 2 or len(set(y[back].tolist())) < 2:
+        return Model(np.zeros(2 * DIMENSIONS))
+    at = [np.frombuffer(r["features"], "<i4") for r in rows]
+    counts = [np.full(2 * DIMENSIONS, SMOOTHING) for _ in (0, 1)]
+    for a, label, held in zip(at, y.tolist(), back.tolist(), strict=True):
+        if not held:
+            counts[label][a] += 1
+    total = [c.sum() for c in counts]
+    seldom = counts[0] + counts[1] < 2 * SMOOTHING + 3  # seen too seldom to tell
+    ratio = np.where(seldom, 0, np.log(counts[1] / total[1]) - np.log(counts[0] / total[0]))
+    sparse = []
+    for a, label, held in zip(at, y.tolist(), back.tolist(), strict=True):
+        telling, scale = a[~seldom[a]], scales(np.zeros(len(a), np.int64), a, 1)[0]
+        # a row that was counted is left out of its own ratios: a word of one text alone would tell its label
+        own = [counts[k][telling] - (not held and label == k) for k in (0, 1)]
+        values = np.log(own[1] / total[1]) - np.log(own[0] / total[0])
+        sparse.append((np.append(telling, np.int32(2 * DIMENSIONS)), np.append(values * scale[(telling >= DIMENSIONS).astype(int)], 1.0).astype(np.float32)))
+    learnt_rows, known = np.flatnonzero(~back), y[~back]
+    share = known.mean()
+    w = dual_coordinate_descent([sparse[i] for i in learnt_rows], 2 * known - 1, 2 * DIMENSIONS + 1, COST * np.where(known == 1, 0.5 / share, 0.5 / (1 - share)))
+    held = np.array([float(w[sparse[i][0]] @ sparse[i][1]) for i in np.flatnonzero(back)])
+    return Model(w[:-1] * ratio, float(w[-1]), *calibration(held, y[back]))
 
 
 def score(df: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -130,8 +154,8 @@ def score(df: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             doc, feature = features(batch.column("text").to_pylist())
-            n = np.bincount(doc, minlength=batch.num_rows)
-            margin = np.bincount(doc, model.weights[feature], batch.num_rows) / np.sqrt(np.maximum(n, 1)) + model.bias
+            scale = scales(doc, feature, batch.num_rows)[doc, (feature >= DIMENSIONS).astype(np.int64)] if len(doc) else np.zeros(0)
+            margin = np.bincount(doc, model.weights[feature] * scale, batch.num_rows) + model.bias
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chance(margin, model.a, model.b))], [*batch.schema.names, name])
 
     fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
