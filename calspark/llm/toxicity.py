@@ -3,22 +3,31 @@
 The kernel compares words by the subsequences of three letters that they share: letters may have others between
 them, and each letter spanned costs a factor of DECAY, so an insult with letters inserted or left out stays near
 itself. Marks and digits inside a word are dropped and single letters in a row are put together before, which
-closes the gaps of spelled-out words. A word's subsequences are hashed into DIMENSIONS counts, and kernel values are
-products of those, scaled to length one. Landmarks are words of the labelled sentences; kernel values to them,
-whitened by the landmarks' own kernel matrix, are the features of a linear hinge-loss model. As features and model
-are linear in the hashed counts, both fold into one weight for each of them, and a distinct word of a batch costs a few
-look-ups. The margins of a text's few most toxic words add up and are calibrated to a chance.
+closes the gaps of spelled-out words. The kernel of two sentences is the sum over their distinct words. A word's subsequences
+are hashed into DIMENSIONS counts, and kernel values are products of those, scaled to length one. Landmarks are words
+of the labelled sentences, those that tell the classes best first; kernel values to them, whitened by the landmarks'
+own kernel matrix, are the features of a sentence, from which a linear hinge-loss model is fitted.
+
+Labels are given for texts, so sentences are learnt as multiple instances: a toxic text has a toxic sentence, a clean
+one has none. The evidence of the landmarks (log-likelihood ratios of their counts) points out a sentence of each text
+first; models are then fitted to what is pointed out, ROUNDS times, and each points out the worst sentences anew. Toxic
+texts whose worst sentence is like those of clean texts teach nothing in a round; clean sentences are kept from
+all rounds. Every sentence of every
+labelled text takes part. A sentence is cut where it has more than WINDOW words. As features and model are linear in
+the hashed counts, both fold into one weight for each count, and a distinct word of a batch costs a few look-ups. A
+text is as toxic as its worst sentence; the chance of that is calibrated on the third of the texts that was held back.
 
 Labelled texts are a bounded sample (TRAIN_ROWS, those with the smallest hashes of doc_id); near copies among them
-count once. A sentence of a toxic text is taken for toxic if it holds a word that many more toxic than other
-texts have; hard negatives are the words of other texts that a first model takes for toxic.
+count once.
 
-Defined cases: null text counts as empty; texts without letters have the score of no word; without labels of both
-classes the score is 0.5 for all; doc_id null is held out; repeated rows each get a row.
+Defined cases: null text counts as empty; an empty sentence belongs to every text, so texts without letters have its
+score; without labels of both classes the score is 0.5 for all; doc_id null is held out; repeated rows each get a
+row, and the one of smallest text is learnt from; texts of any length are read whole.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .linear import calibration, chance, dual_coordinate_descent
 from .quality import remainder, training_rows
-from .shared import cut, documents, pieces_of, ragged, smallest_hashes
+from .shared import cut, documents, pieces_of, ragged, width
 from .words import LETTER, SPACE, Words, classes, distinct
 
 TRAIN_ROWS = 6000
@@ -40,44 +49,42 @@ DECAY = 0.6
 #: Letters from the first to the last of a subsequence, at most.
 SPAN = 6
 LANDMARKS = 160
-#: Words of each class that the model is fitted on, at most.
-TRAIN_WORDS = 4000
-#: Words of other texts among which the hardest are looked for, those with the smallest hashes.
-OTHER_WORDS = 60000
-#: A toxic word is in so many toxic texts at least, and is so many times as frequent there as in others.
-LEAST_TEXTS, LEAST_RATIO = 3, 8.0
-#: And so unlikely to be there by chance (twice the log-likelihood ratio).
-LEAST_EVIDENCE = 16.0
-COST = 4.0
+#: Words of a sentence, at most, and models fitted one after the other.
+WINDOW, ROUNDS = 2, 3
+#: Share of the clean texts whose worst sentence a toxic text's has to exceed to be learnt from.
+TYPICAL = 0.98
+COST = 1.0
 BATCH_BYTES = 6_000_000
-#: Words of a margin over FLOOR count, by what is over it; the MOST_TOXIC greatest of a text are added up.
-FLOOR, MOST_TOXIC = -1.0, 3
+#: End a sentence where white space follows.
+ENDS = [ord(c) for c in ".!?;:\n。！？"]
 #: Stand for a word's begin and end in its subsequences.
 BEGIN, END = 2, 3
 STEPS = [(j, k) for k in range(2, SPAN) for j in range(1, k)]
 
 
-def letter_words(texts: list[str]) -> tuple[Words, np.ndarray]:
-    """The words of each text as letters alone, single letters in a row as one word; and their code points."""
+def letter_words(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The words of each text as letters alone (single letters in a row as one word), their code points, their sentences."""
     lower = [t.lower() for t in texts]
     points = np.frombuffer("".join(lower).encode("utf-32-le"), "<u4")
     kind = classes()[points]
     doc = np.repeat(np.arange(len(lower)), [len(t) for t in lower])
+    after_space = np.append(kind[1:] == SPACE, True)
+    ends = np.cumsum(np.isin(points, ENDS) & after_space) + doc if len(points) else doc
     kept = (kind == LETTER) | (kind == SPACE)
-    letter, points, doc = kind[kept] == LETTER, points[kept], doc[kept]
+    letter, points, doc, ends = kind[kept] == LETTER, points[kept], doc[kept], ends[kept]
     if not letter.any():
         empty = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint8), empty, empty, np.zeros(len(lower), np.int64)), np.zeros(0, np.uint32)
+        return Words(np.zeros(0, np.uint8), empty, empty, np.zeros(len(lower), np.int64)), np.zeros((0, 2), np.int64), empty
     begins = letter.copy()
     begins[1:] &= ~letter[:-1] | (doc[1:] != doc[:-1])
     rank = np.cumsum(letter) - 1
     starts = rank[begins]
-    letters, owner = points[letter], doc[begins]
+    letters, owner, ends = points[letter], doc[begins], ends[begins]
     sizes = np.diff(np.append(starts, len(letters)))
     single = sizes == 1
     joined = np.zeros(len(starts), bool)
     joined[1:] = single[1:] & single[:-1] & (owner[1:] == owner[:-1])
-    starts, owner = starts[~joined], owner[~joined]
+    starts, owner, ends = starts[~joined], owner[~joined], ends[~joined]
     sizes = np.diff(np.append(starts, len(letters)))
     each = np.ones(len(letters), np.uint8)
     for least in (0x80, 0x800, 0x10000):
@@ -86,7 +93,16 @@ def letter_words(texts: list[str]) -> tuple[Words, np.ndarray]:
     np.cumsum(each, out=offset[1:])
     data = np.frombuffer(letters.tobytes().decode("utf-32-le").encode(), np.uint8)
     words = Words(data, offset[starts], offset[starts + sizes] - offset[starts], np.bincount(owner, minlength=len(lower)))
-    return words, np.stack([starts, sizes], 1) if len(starts) else np.zeros((0, 2), np.int64)
+    return words, np.stack([starts, sizes], 1), windows(owner, ends)
+
+
+def windows(owner: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """A number for each stretch of up to WINDOW words of one sentence."""
+    new = np.ones(len(owner), bool)
+    new[1:] = (sentence[1:] != sentence[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(new)
+    inside = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
+    return np.cumsum(new | (inside % WINDOW == 0)) - 1
 
 
 def subsequences(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -108,34 +124,38 @@ def subsequences(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) ->
 
 @dataclass
 class Model:
-    """Margin of a word = bias + (its counts, scaled to length one) * weights."""
+    """Margin of a sentence = bias + the sum of its distinct words' (their counts, scaled to length one) * weights."""
 
     weights: np.ndarray
     bias: float = 0.0
     a: float = 0.0
     b: float = 0.0
 
-    def margins(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def of_words(self, letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         total, square = np.zeros(len(starts)), np.zeros(len(starts))
         for word, h, weight in subsequences(letters, starts, sizes):
             total += np.bincount(word, self.weights[h], len(starts)) * weight
             square += np.bincount(word, minlength=len(starts)) * weight**2
-        return np.where(square > 0, total / np.sqrt(np.maximum(square, 1e-12)), 0.0) + self.bias
+        return np.where(square > 0, total / np.sqrt(np.maximum(square, 1e-12)), 0.0)
+
+    def of_sentences(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The margins of all sentences, and the text of each."""
+        words, places, sentence = letter_words(texts)
+        if not len(places):
+            return np.zeros(0), np.zeros(0, np.int64)
+        codes, model = distinct(words)
+        points = np.frombuffer(bytes(words.data).decode().encode("utf-32-le"), "<u4")
+        margins = self.of_words(points, places[model, 0], places[model, 1])[codes]
+        for back in range(1, WINDOW):  # a word again in its sentence adds nothing
+            margins[back:][(codes[back:] == codes[:-back]) & (sentence[back:] == sentence[:-back])] = 0
+        first = np.flatnonzero(np.diff(sentence, prepend=-1))
+        return np.bincount(sentence, margins) + self.bias, np.repeat(np.arange(len(texts)), words.counts)[first]
 
     def of_texts(self, texts: list[str]) -> np.ndarray:
-        """By how much the most toxic words of each text are over the floor."""
-        words, places = letter_words(texts)
-        out = np.zeros(len(texts))
-        if len(places):
-            codes, model = distinct(words)
-            lower = np.frombuffer(bytes(words.data).decode().encode("utf-32-le"), "<u4")
-            m = self.margins(lower, places[model, 0], places[model, 1])[codes]
-            over = np.flatnonzero(m > FLOOR)
-            doc = np.repeat(np.arange(len(texts)), words.counts)[over]
-            order = np.lexsort((-m[over], doc))
-            doc, m = doc[order], m[over][order]
-            place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            np.add.at(out, doc[place < MOST_TOXIC], m[place < MOST_TOXIC] - FLOOR)
+        """The margin of the worst sentence of each text, an empty one among them."""
+        margins, doc = self.of_sentences(texts)
+        out = np.full(len(texts), self.bias)
+        np.maximum.at(out, doc, margins)
         return out
 
 
@@ -194,51 +214,87 @@ def one_of_near_copies(low: list[list[int]]) -> list[int]:
 
 
 def words_of(text: str) -> list[str]:
-    words, places = letter_words([text])
+    words, places, _ = letter_words([text])
     letters = bytes(words.data).decode()
     return [letters[a: a + n] for a, n in places.tolist()]
 
 
-def margins_of(model: Model, words: list[str]) -> np.ndarray:
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    return model.margins(np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), np.cumsum(sizes) - sizes, sizes)
+def sentences_of(text: str) -> list[list[str]]:
+    words, places, sentence = letter_words([text])
+    letters = bytes(words.data).decode()
+    out: list[list[str]] = [[] for _ in range(int(sentence[-1]) + 1 if len(sentence) else 0)]
+    for (a, n), k in zip(places.tolist(), sentence.tolist(), strict=True):
+        out[k].append(letters[a: a + n])
+    return out
 
 
-def trained(toxic: list[str], frequent: list[str], others: list[str], seed: int = 0) -> Model:
-    """A model that tells toxic words from frequent ones and those of the others that are hardest to tell."""
-    rng = np.random.default_rng(seed)
-    good, others = sorted(toxic), sorted(set(others) - set(toxic))
-    bad = sorted({*(w for w in frequent if w not in set(toxic)), *(others[i] for i in rng.permutation(len(others))[: TRAIN_WORDS // 4])})
-    if not good or not bad:
-        return Model(np.zeros(DIMENSIONS))
-    for again in (False, True):
-        words = [*good, *bad]
-        label = np.array([1] * len(good) + [-1] * len(bad))
-        counts = counts_of(words)
-        pick = [*rng.permutation(len(good))[: LANDMARKS * 5 // 8], *(len(good) + rng.permutation(len(bad))[: LANDMARKS * 3 // 8])]
-        marks = [counts[i] for i in pick]
-        values, vectors = np.linalg.eigh(kernel(marks, marks))
-        keep = values > 1e-6
-        whiten = vectors[:, keep] / np.sqrt(values[keep])
-        z = kernel(counts, marks) @ whiten
-        rows = [(np.arange(z.shape[1] + 1), np.append(r, 1.0)) for r in z]
-        w = dual_coordinate_descent(rows, label, z.shape[1] + 1, COST * np.where(label > 0, max(1.0, len(bad) / len(good) / 4), 1.0), epochs=30)
-        weights, alpha = np.zeros(DIMENSIONS), whiten @ w[:-1]
-        for (h, v), x in zip(marks, alpha, strict=True):
+class Landmarks:
+    """Hashed counts of the landmark words, and what makes kernel values to them features of unit covariance."""
+
+    def __init__(self, words: list[str]):
+        self.counts = counts_of(words)
+        values, vectors = np.linalg.eigh(kernel(self.counts, self.counts))
+        keep = values > 1e-3
+        self.whiten = vectors[:, keep] / np.sqrt(values[keep])
+
+    def features(self, words: list[str]) -> np.ndarray:
+        """Of the sentence of these words; the last one is the bias."""
+        table = np.zeros(DIMENSIONS)
+        for h, v in counts_of(sorted(set(words))) if words else []:
+            np.add.at(table, h, v)
+        return np.append(np.array([table[h] @ v for h, v in self.counts]) @ self.whiten, 1.0)
+
+    def folded(self, alpha: np.ndarray, bias: float = 0.0) -> Model:
+        """Kernel values to the landmarks times alpha, as weights of hashed counts."""
+        weights = np.zeros(DIMENSIONS)
+        for (h, v), x in zip(self.counts, alpha, strict=True):
             np.add.at(weights, h, v * x)
-        model = Model(weights, float(w[-1]))
-        if again or not others:
-            break
-        bad = sorted({*bad, *(others[i] for i in np.argsort(-margins_of(model, others), kind="stable")[: TRAIN_WORDS // 2])})
-    return model
+        return Model(weights, bias)
+
+    def fitted(self, toxic: np.ndarray, clean: np.ndarray) -> Model:
+        """The hinge-loss model of feature rows; clean rows have the same total cost as toxic ones at most fourfold."""
+        rows = [(slice(None), r) for r in (*toxic, *clean)]
+        label = np.array([1] * len(toxic) + [-1] * len(clean))
+        cost = COST * np.where(label > 0, max(1.0, len(clean) / max(len(toxic), 1) / 4), 1.0)
+        w = dual_coordinate_descent(rows, label, self.whiten.shape[1] + 1, cost, epochs=15)
+        return self.folded(self.whiten @ w[:-1], float(w[-1]))
+
+
+def worst(model: Model | dict[str, float], text: str) -> tuple[float, list[str]]:
+    """The sentence with the greatest margin, or with the word of most evidence, the first of equals; an empty one without words."""
+    sentences = sentences_of(text)
+    if isinstance(model, Model):
+        values = model.of_sentences([text])[0]
+    else:
+        values = np.array([max(model.get(w, 0.0) for w in own) for own in sentences])
+    return (float(values.max()), sentences[int(values.argmax())]) if sentences else (model.bias if isinstance(model, Model) else 0.0, [])
+
+
+def landmark_words(sample: DataFrame, total: Counter) -> dict[str, float]:
+    """The words of the labelled texts that tell toxic ones best, the most frequent of others, and some at random, with the evidence of the first."""
+
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [sorted(set(words_of(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(lists, pa.list_(pa.string()))], ["label", "words"])
+
+    words = sample.mapInArrow(worded, "label int, words array<string>").select("label", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.sum("label").alias("n"), F.sum(1 - F.col("label")).alias("m"))
+    share = total[1] / (total[0] + total[1])
+    part = lambda k, s: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (F.col("n") + F.col("m")) / s)).otherwise(0.0)
+    counts = cut(counts.withColumn("evidence", part("n", share) + part("m", 1 - share)).withColumn("toxic", F.col("n") > share * (F.col("n") + F.col("m"))))
+    some = LANDMARKS // 8
+    picked = [(counts.filter("toxic"), [F.desc("evidence"), "word"], LANDMARKS - 2 * some), (counts.filter("NOT toxic"), [F.desc("m"), "word"], some), (counts, [F.xxhash64("word"), "word"], some)]
+    found = {r["word"]: r["evidence"] if r["toxic"] else 0.0 for rows, order, most in picked for r in rows.orderBy(*order).limit(most).collect()}
+    return {w: x / max(1e-9, *found.values(), 0.0) for w, x in sorted(found.items())}
 
 
 def fit(df: DataFrame, labels: DataFrame, learnt_from: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from the rows of ``labels.toxic`` for which ``learnt_from`` holds, train_rows at most.
 
-    The driver gets minimal hashes, words up to TRAIN_WORDS and OTHER_WORDS, and a margin of each row.
+    The driver gets minimal hashes of each row, LANDMARKS words, and in each round the features of a sentence of each row.
     """
-    sample = cut(training_rows(df, labels, "toxic", learnt_from, train_rows).select("doc_id", "label", "text").repartition(4, "doc_id"))
+    sample = cut(training_rows(df, labels, "toxic", learnt_from, train_rows).select("doc_id", "label", "text").repartition(width(df), "doc_id"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,36 +303,42 @@ def fit(df: DataFrame, labels: DataFrame, learnt_from: Column, train_rows: int =
 
     rows = sorted(sample.mapInArrow(hashed, "doc_id long, label int, low array<long>").collect(), key=lambda r: r["doc_id"])
     rows = [rows[i] for i in one_of_near_copies([list(r["low"]) for r in rows])]
-    total = Counter(r["label"] for r in rows)
+    back = {r["doc_id"] for r in rows if zlib.crc32(b"%d back" % r["doc_id"]) % 3 == 0}
+    total = Counter(r["label"] for r in rows if r["doc_id"] not in back)
     if len(total) < 2:
         return Model(np.zeros(DIMENSIONS))
-    first = F.broadcast(df.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long"))  # train_rows at most
-
-    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [list({w for w in words_of(t) if len(w) > 2}) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(lists, pa.list_(pa.string()))], ["label", "words"])
-
-    words = sample.join(first, "doc_id").mapInArrow(worded, "label int, words array<string>").select("label", F.explode("words").alias("word"))
-    counts = words.groupBy("word").agg(F.sum("label").alias("n"), F.sum(1 - F.col("label")).alias("m"))
-    share = total[1] / (total[0] + total[1])
-    part = lambda k, s: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (F.col("n") + F.col("m")) / s)).otherwise(0.0)
-    is_toxic = (F.col("n") >= LEAST_TEXTS) & (F.col("n") / total[1] >= LEAST_RATIO * F.col("m") / total[0]) & (F.col("evidence") >= LEAST_EVIDENCE)
-    counts = cut(counts.withColumn("evidence", 2 * (part("n", share) + part("m", 1 - share))).withColumn("toxic", is_toxic))
-    picked = lambda rows, most: [r["word"] for r in rows.limit(most).select("word").collect()]
-    other = counts.filter("NOT toxic AND m > 0")
-    model = trained(
-        picked(counts.filter("toxic").orderBy(F.desc("evidence"), "word"), TRAIN_WORDS),
-        picked(other.orderBy(F.desc("m"), "word"), TRAIN_WORDS // 4),
-        picked(smallest_hashes(other, OTHER_WORDS, "word"), OTHER_WORDS),
-    )
+    ids = df.sparkSession.createDataFrame([(r["doc_id"], r["doc_id"] in back) for r in rows], "doc_id long, back boolean")
+    sample = cut(sample.join(F.broadcast(ids), "doc_id"))  # train_rows at most
+    learnt = sample.filter("NOT back")
+    evidence = landmark_words(learnt, total)
+    landmarks = Landmarks(list(evidence))
+    model, hard = evidence, None
+
+    def pointed_out(model: Model | dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of the worst sentence of each toxic text, if it is no typical one, and of each clean text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [worst(model, t) for t in batch.column("text").to_pylist()]
+                values = [landmarks.features(own).tobytes() for _, own in found]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v for v, _ in found], pa.float64()), pa.array(values, pa.binary())], ["doc_id", "label", "value", "features"])
+
+        found = sorted(learnt.mapInArrow(run, "doc_id long, label int, value double, features binary").collect(), key=lambda r: r["doc_id"])
+        x, y, value = np.array([np.frombuffer(r["features"]) for r in found]), np.array([r["label"] for r in found]), np.array([r["value"] for r in found])
+        telling = value > np.quantile(value[y == 0], TYPICAL)
+        return x[(y == 1) & telling] if (telling & (y == 1)).any() else x[y == 1], x[y == 0]
+
+    for _ in range(ROUNDS):
+        toxic, clean = pointed_out(model)
+        hard = clean if hard is None else np.unique(np.concatenate([hard, clean]), axis=0)
+        model = landmarks.fitted(toxic, hard)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(model.of_texts(batch.column("text").to_pylist()))], ["label", "value"])
 
-    known = sample.join(first, "doc_id").mapInArrow(valued, "label int, value double").collect()
-    model.a, model.b = calibration(np.array([r["value"] for r in known]), np.array([r["label"] for r in known]))
+    known = sample.filter("back").mapInArrow(valued, "label int, value double").collect()
+    model.a, model.b = calibration(np.array([r["value"] for r in known]), np.array([r["label"] for r in known])) if len({r["label"] for r in known}) > 1 else (1.0, 0.0)
     return model
 
 

@@ -37,6 +37,25 @@ def test_quality_without_usable_labels(spark, tables):
     assert quality.quality(odd(spark).limit(0), tables[1]).collect() == []
 
 
+def test_quality_catches_bad_texts(spark, tables):
+    docs, labels = tables
+    found = quality.quality(docs, labels).join(labels, "doc_id").filter("held_out AND quality = 0")
+    n, caught = found.agg(F.count(F.lit(1)), F.sum(1 - F.col("predicted"))).first()
+    assert n > 10 and caught / n > 0.85
+
+
+def test_quality_features_equal_brute_force():
+    texts = ["A b A b", "", "x, x", "Über uns über"]
+    doc, feature = quality.features(texts)
+    for i, t in enumerate(texts):
+        alone = set(quality.features([t])[1].tolist())
+        assert set(feature[doc == i].tolist()) == alone
+        words = re.findall(r"[^\W\d_]+|[0-9]|[^\s\w]+", t)
+        grams = {tuple(words[k: k + n]) for n in (1, 2) for k in range(len(words) - n + 1)}
+        assert sum(f >= quality.DIMENSIONS for f in alone) == len(grams)
+    assert len(doc) == len(set(zip(doc.tolist(), feature.tolist())))
+
+
 def test_quality_of_odd_rows(spark, tables):
     docs = odd(spark).drop("score").withColumn("score", F.lit("clash"))
     model = quality.fit(tables[0], tables[1], ~quality.held_out())
@@ -56,10 +75,51 @@ def test_toxicity_of_odd_rows(spark, tables):
     assert len(rows) == 7 and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_inserted_letters_stay_near():
-    model = toxicity.trained(["idiot", "moron", "stupid", "worthless"], ["table", "window", "the", "station"], ["garden", "river", "motion", "student", "portion", "mountain"] * 5)
-    toxic, clean = model.of_texts(["you idxiot", "i d i o t", "an id-iot", "so stuupid"]), model.of_texts(["a table by the window", "the garden", ""])
+def gapped(a, b):
+    """The kernel of two words by brute force: hashed triples of letters, three to six places wide, scaled to length one."""
+    def counts(word):
+        padded = [toxicity.BEGIN, *map(ord, word), toxicity.END]
+        out = {}
+        for i in range(len(padded)):
+            for j in range(i + 1, len(padded)):
+                for k in range(j + 1, min(i + toxicity.SPAN, len(padded))):
+                    key = (padded[i], padded[j], padded[k])
+                    out[key] = out.get(key, 0) + toxicity.DECAY ** (k - i - 2)
+        return out
+
+    x, y = counts(a), counts(b)
+    norm = lambda z: np.sqrt(sum(v * v for v in z.values()))
+    return sum(v * y.get(k, 0) for k, v in x.items()) / norm(x) / norm(y)
+
+
+def test_kernel_equals_brute_force():
+    words = ["idiot", "idxiot", "moron", "table", "stbl", "ab"]
+    found = toxicity.counts_of(words)
+    merged = []
+    for h, v in found:  # counts of equal triples add up
+        total = np.zeros(toxicity.DIMENSIONS)
+        np.add.at(total, h, v)
+        merged.append(total / np.sqrt(total @ total))
+    want = np.array([[gapped(a, b) for b in words] for a in words])
+    assert np.abs(np.array(merged) @ np.array(merged).T - want).max() < 0.02
+
+
+def test_landmark_features_reproduce_the_kernel():
+    """Nyström: among landmarks themselves products of features are kernel values; folded weights give the same margins."""
+    words = ["idiot", "moron", "table", "window"]
+    marks = toxicity.Landmarks(words)
+    x = np.array([marks.features([w])[:-1] for w in words])
+    assert np.allclose(x @ x.T, toxicity.kernel(marks.counts, marks.counts), atol=1e-6)
+    model = marks.fitted(np.array([marks.features([w]) for w in words[:2]]), np.array([marks.features([w]) for w in words[2:]]))
+    toxic, clean = model.of_texts(["you idxiot", "i d i o t", "an id-iot", "moronn"]), model.of_texts(["a table by the window", "the garden", ""])
     assert min(toxic) > max(clean)
+    assert toxicity.worst(model, "The table. An idiot here! A window")[1] == ["an", "idiot"]
+
+
+def test_sentences_hold_every_word():
+    text = "One two three four five. Six\nseven; eight, i d i o t x.y"
+    assert [w for own in toxicity.sentences_of(text) for w in own] == toxicity.words_of(text)
+    assert all(len(own) <= toxicity.WINDOW for own in toxicity.sentences_of(text)) and toxicity.sentences_of(" 1 ") == []
 
 
 def test_hinge_loss_by_coordinates():
@@ -68,6 +128,10 @@ def test_hinge_loss_by_coordinates():
     y = np.sign(x @ np.array([1, -2, 0.5, 0, 1]))
     w = linear.dual_coordinate_descent([(np.arange(5), r) for r in x], y, 5, np.ones(200), epochs=60)
     assert (np.sign(x @ w) == y).mean() > 0.97
+    # the loss is no greater than nearby: it is convex, so this is the minimum
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    exact = linear.dual_coordinate_descent([(np.arange(5), r) for r in x], y, 5, np.ones(200), epochs=3000)
+    assert all(loss(exact) <= loss(exact + rng.normal(size=5) * step) + 1e-6 for step in (0.5, 0.05, 0.005) for _ in range(50))
 
 
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
