@@ -138,7 +138,7 @@ def plausible(text: str, kind: str, start: int, end: int) -> bool:
     if kind == "email":
         return re.search(r"[a-z]{2}\Z", span) is not None and ("@" in span or any(x in span for x in MARKS) or " at " in span and re.search(r"\bdot\b", span) is not None)
     if kind == "ip":
-        return all(int(p) <= 255 for p in re.findall("[0-9]+", span)) and not re.search("[,-]", span)
+        return all(int(p.lstrip("0")[:4] or "0") <= 255 for p in re.findall("[0-9]+", span)) and not re.search("[,-]", span)
     if kind == "card":
         return luhn(digits)
     return span.startswith(("+", "00")) and 9 <= len(digits) <= 15
