@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import grouped, width
+from .shared import cut, grouped, joined, width
 
 #: Rows of a block, and what their sizes may add up to.
 BLOCK_ROWS, BLOCK_SIZE = 1024, 2_000_000
@@ -28,10 +28,10 @@ def tiles(rows: DataFrame, per_table: int, block_rows: int = BLOCK_ROWS, block_s
     every = every.dropDuplicates(["id", "table", "key"]) if per_table > 1 else every
     members = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y"), F.sum("size").alias("total")]
     buckets = every.groupBy("table", "key").agg(*members).filter("n > 1")
-    kept = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("table", "key")).alias("first"), F.max("total").alias("total"))
+    kept = cut(buckets.groupBy("n", "x", "y").agg(F.min(F.struct("table", "key")).alias("first"), F.max("total").alias("total")))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("total") / block_size)).cast("int")
-    kept = kept.select("first.table", "first.key", blocks.alias("blocks"))
-    found = every.join(kept, ["table", "key"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
+    kept = kept.select("first.table", "first.key", "n", blocks.alias("blocks"))
+    found = joined(every, kept, ["table", "key"], "n", kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     found = found.select("table", "key", "id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return found.select("table", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id")
 

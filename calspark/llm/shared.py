@@ -68,6 +68,25 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a key that any task can take.
+HOT_ROWS = 64
+
+
+def hot_and_usual(df: DataFrame, found: DataFrame, n: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``found`` (a row for each key, with the number of its rows) by whether a key has more than its share of ``total`` rows.
+
+    As the shares of hot keys add up to ``total``, they are fewer than the partitions of a shuffle: they may be broadcast.
+    """
+    share = max(HOT_ROWS, total // width(df))
+    return F.broadcast(found.filter(F.col(n) > share)), found.filter(F.col(n) <= share)
+
+
+def joined(rows: DataFrame, found: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a row for each key, which has their number ``n``; rows of hot keys are not shuffled."""
+    hot, usual = hot_and_usual(rows, found, n, total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(usual, keys))
+
+
 def smallest_hashes(df: DataFrame, limit: int, *columns: str) -> DataFrame:
     """The rows with the smallest hashes of the columns, ``limit`` at most; rows equal in them count once.
 
@@ -107,20 +126,35 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - begins, lengths)
 
 
-def in_bitmap(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+def in_bitmap(bitmap: np.ndarray | None, h: np.ndarray) -> np.ndarray:
+    """Whether each value may be a key of the bitmap; without one, all may."""
+    if bitmap is None:
+        return np.ones(len(h), bool)
     bit = h % (len(bitmap) * 8)
     return (bitmap[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
 
 
-def bitmap_of(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit for each value of the column, modulo ``bits``: so many bits whatever the rows, a few KB a row of the result."""
-    bit = F.expr(f"{column} % {bits}L + 1")  # positions are counted from 1
-    rows = df.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+#: Bits for each key, and of a bitmap, at most (64 MB): more keys than a fourth of these are joined without it.
+KEY_BITS, MOST_BITS = 16, 1 << 29
+
+
+def bits_for(keys: int, most: int = MOST_BITS) -> int | None:
+    """The bits of a bitmap that lets hardly any other key through; None where it would have to be too large."""
+    bits = max(1 << 16, -(-keys * KEY_BITS // 32768) * 32768)
+    return min(bits, most) if keys * 4 <= most else None
+
+
+def bitmap_of(df: DataFrame, column: str, bits: int | None) -> np.ndarray | None:
+    """A bit for each value of the column, modulo ``bits`` (a multiple of 32768), whatever the rows; None without bits."""
+    if bits is None:
+        return None
+    at = F.pmod(column, F.lit(bits)) + 1  # positions are counted from 1
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        at = (r["bucket"] - 1) * 4096
+        first = (r["bucket"] - 1) * 4096
         part = np.frombuffer(r["bits"], np.uint8)
-        out[at: at + len(part)] |= part[: len(out) - at]
+        out[first: first + len(part)] |= part[: len(out) - first]
     return out
 
 
