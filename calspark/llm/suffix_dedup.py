@@ -5,14 +5,15 @@ four steps, each a pass or a shuffle:
 
 1. Anchors. The least hash of GRAM bytes within each string of MATCH bytes is its anchor: equal strings have equal
    anchors. Starts in a row with the same anchor make a piece, the bytes of all strings that start there. Anchors
-   that occur once can't take part in a repetition; the others are noted in bitmaps of fixed size.
-2. Pieces with a noted anchor. Equal pieces are repeated throughout; different pieces of an anchor go to the shard of
-   that anchor.
+   that occur once can't take part in a repetition; the others are noted in bitmaps, sized by their number and of 64 MB
+   at most (beyond 134 million anchors every piece is shuffled, and joins decide).
+2. Pieces with a noted anchor. Equal pieces (by a cryptographic digest of 128 bits) are one piece with a count and are
+   repeated throughout; different pieces of an anchor go to the shard of that anchor.
 3. Shards. Each has the suffix array of its pieces (Larsson-Sadakane refinement: groups of equal prefixes are
    sorted by the rank of what follows, which doubles the prefix each time) and its common prefixes (Kasai, for all
    pieces in step). Neighbours with MATCH bytes in common are repeated. An anchor with more pieces than a
-   shard holds is dealt to several; these hand over sorted digests of the strings that are new to them, by ranges, which
-   are merged by binary search.
+   shard holds is dealt to several; these hand over the strings that are new to them in order, by ranges (as
+   cryptographic digests, so that no bytes are sent twice), and these are merged by binary search.
 4. The starts found are joined with the texts of their documents, and the bytes they cover are cut out.
 
 Defined cases: null text counts as empty; texts shorter than MATCH lose nothing; matches never cross documents but may
@@ -27,11 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap_of, cut, documents, grouped, in_bitmap, pieces_of, ragged, width
+from .shared import bitmap_of, bits_for, cut, documents, grouped, in_bitmap, joined, pieces_of, ragged, width
 
 MATCH, GRAM = 400, 128
 WINDOW = MATCH - GRAM + 1
@@ -40,7 +40,6 @@ PIECE_STARTS = 512
 #: Bytes of a shard, about.
 SHARD_BYTES = 2_000_000
 BATCH_BYTES = 4_000_000
-BITMAP_BITS = 1 << 25
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,6 +70,12 @@ def least(h: np.ndarray, window: int, ufunc=np.minimum) -> np.ndarray:
     return ufunc(back[: len(h)], forth[window - 1: window - 1 + len(h)])
 
 
+def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of a cryptographic digest of each stretch of the data: equal ones have equal bytes."""
+    found = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 class Pieces:
     """The pieces of a batch of texts: text, first start, number of starts, anchor, digest, whether it may repeat in itself."""
 
@@ -113,10 +118,8 @@ class Pieces:
         inside = ragged(lo, hi - lo)
         own = np.repeat(np.arange(len(lo)), hi - lo)
         self.multi = (np.bincount(own, h[chosen[inside]].view(np.int64) == self.anchor[own], len(lo)) > 1) | (parts[owner] > 1)
-        whole, size = self.data.tobytes(), self.count + match - 1
-        both = b"".join([xxhash.xxh3_128_digest(whole[a:b]) for a, b in zip(self.at.tolist(), (self.at + size).tolist(), strict=True)])
-        self.digest = np.frombuffer(both, np.int64).reshape(-1, 2)
-        self.size = size
+        self.size = self.count + match - 1
+        self.digest = digests(self.data.tobytes(), self.at, self.at + self.size)
 
 
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
@@ -132,18 +135,17 @@ def _anchors(match: int, gram: int):
     return run
 
 
-def _noted(repeated: np.ndarray, contested: np.ndarray, bits: int, match: int, gram: int):
+def _noted(repeated: np.ndarray | None, contested: np.ndarray | None, match: int, gram: int):
     """The pieces whose anchor is in a bitmap; one of equal ones has its bytes along if its anchor is contested."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             p = Pieces(_bytes(batch), match, gram)
-            bit = p.anchor % bits
-            on = np.flatnonzero(in_bitmap(repeated, bit))
+            on = np.flatnonzero(in_bitmap(repeated, p.anchor))
             shown = np.zeros(len(on), bool)
             _, first = np.unique(p.digest[on].copy().view("i8,i8").ravel(), return_index=True) if len(on) else (None, np.zeros(0, np.int64))
             shown[first] = True
-            shown &= in_bitmap(contested, bit[on])
+            shown &= in_bitmap(contested, p.anchor[on])
             whole = p.data.tobytes()
             body = [whole[p.at[i]: p.at[i] + p.size[i]] if s else None for i, s in zip(on.tolist(), shown.tolist(), strict=True)]
             rows = pa.array(p.text[on])
@@ -225,28 +227,6 @@ def common_prefixes(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ord
     return out
 
 
-def digests(data: np.ndarray, match: int) -> np.ndarray:
-    """Two hashes of the ``match`` bytes from each place on."""
-    out = []
-    for salt in (np.uint64(0), np.uint64(0xD6E8FEB86659FD93)):
-        h, length, at, total = eights(data) ^ salt, 8, 0, np.zeros(len(data), np.uint64)
-        left = match - match % 8
-        while left:
-            if left & length:
-                moved = np.zeros(len(data), np.uint64)
-                moved[: max(len(data) - at, 0)] = h[at:]
-                total = (total ^ (total >> np.uint64(31))) * M1 + moved
-                at, left = at + length, left - length
-            h, length = doubled(h, length), length * 2
-        if match % 8:  # the last bytes overlap those before
-            moved = np.zeros(len(data), np.uint64)
-            last = eights(data) ^ salt
-            moved[: max(len(data) - match + 8, 0)] = last[match - 8:]
-            total = (total ^ (total >> np.uint64(31))) * M1 + moved
-        out.append((total ^ (total >> np.uint64(32))).view(np.int64))
-    return np.stack(out, 1)
-
-
 def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and number of each stretch of consecutive places (sorted)."""
     new = np.ones(len(places), bool)
@@ -295,7 +275,7 @@ def _shards(match: int):
             parts = shard.column("parts")[0].as_py()
             if parts > 1:
                 valid = ragged(begins, count)
-                digest = digests(data, match)[valid]
+                digest = digests(data.tobytes(), valid, valid + match)
                 # strings found twice here stand for themselves once, without asking back
                 asks = ~found[valid] & single[piece[valid]]
                 ranges = (digest[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
@@ -330,24 +310,26 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows({"doc_id": s["docs"][on].tolist(), "text_hash": s["hashes"][on], "first": s["starts"][on], "count": np.ones(len(on), np.int64)}, len(on))
 
 
-def repeated_starts(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, bits: int = BITMAP_BITS) -> DataFrame:
+def repeated_starts(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, text_hash, first and count: runs of starts of strings that are at another place too. ``df`` has text as bytes."""
     anchors = df.select("text").mapInArrow(_anchors(match, gram), "anchor long, d0 long, multi boolean")
     anchors = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("d0").alias("low"), F.max("d0").alias("high"), F.max("multi").alias("multi"))
-    anchors = cut(anchors.filter("n > 1 OR multi").select(F.pmod("anchor", F.lit(bits)).alias("bit"), (F.col("multi") | (F.col("low") != F.col("high"))).alias("contested")))
-    repeated, contested = bitmap_of(anchors, "bit", bits), bitmap_of(anchors.filter("contested"), "bit", bits)
+    anchors = cut(anchors.filter("n > 1 OR multi").select("anchor", (F.col("multi") | (F.col("low") != F.col("high"))).alias("contested")))
+    n, m = anchors.agg(F.count(F.lit(1)), F.count_if("contested")).first()
+    repeated, contested = bitmap_of(anchors, "anchor", bits_for(n)), bitmap_of(anchors.filter("contested"), "anchor", bits_for(m))
     schema = "doc_id long, text_hash long, first long, count long, anchor long, d0 long, d1 long, multi boolean, body binary"
-    noted = cut(df.mapInArrow(_noted(repeated, contested, bits, match, gram), schema))
+    noted = cut(df.mapInArrow(_noted(repeated, contested, match, gram), schema))
     key = ["anchor", "d0", "d1"]
-    counts = noted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    whole = noted.drop("body").join(counts.filter("n > 1"), key).select("doc_id", "text_hash", "first", "count")
+    counts = cut(noted.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
+    several = counts.filter("n > 1")
+    whole = joined(noted.drop("body"), several, key, "n", several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("doc_id", "text_hash", "first", "count")
     pieces = noted.filter("body IS NOT NULL").dropDuplicates(key).join(counts, key)
     sizes = noted.filter("body IS NOT NULL").groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"), F.max("multi").alias("some"), F.count(F.lit(1)).alias("k"))
     # an anchor with one piece that can't repeat in itself has nothing to compare; it got here by the bitmap or as equal pieces
-    sizes = cut(sizes.filter("k > 1 OR some").select("anchor", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "bytes"))
+    sizes = cut(sizes.filter("k > 1 OR some").select("anchor", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "bytes", "k"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    pieces = pieces.join(sizes.drop("bytes"), "anchor").withColumn("part", F.pmod(F.xxhash64("d0", "d1"), F.col("parts")).cast("int"))
+    pieces = joined(pieces, sizes, ["anchor"], "bytes", total).withColumn("part", F.pmod(F.xxhash64("d0", "d1"), F.col("parts")).cast("int"))
     # anchors in one part share shards; others have shards of their own
     pieces = pieces.withColumn("shard", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor").bitwiseOR(F.lit(-(2**63)))))
     pieces = pieces.select("doc_id", "text_hash", "first", "count", "anchor", "n", "parts", "part", "shard", "body")
@@ -378,18 +360,19 @@ def _removed(match: int):
     return run
 
 
-def without_repeats(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, bits: int = BITMAP_BITS) -> DataFrame:
+def without_repeats(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     base = documents(df).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    runs = repeated_starts(base, match, gram, shard_bytes, bits)
-    runs = cut(runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "count")).alias("runs")))
-    touched = bitmap_of(runs.select(F.pmod("text_hash", F.lit(bits)).alias("bit")), "bit", bits)
+    runs = repeated_starts(base, match, gram, shard_bytes)
+    # a set: rows that repeat id and text have the same runs
+    runs = cut(runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "count")).alias("runs")))
+    touched = bitmap_of(runs, "text_hash", bits_for(runs.count()))
     schema = "doc_id long, text_hash long, text binary"
 
     def only(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = in_bitmap(touched, batch.column("text_hash").to_numpy() % bits)
+                hit = in_bitmap(touched, batch.column("text_hash").to_numpy())
                 yield batch.filter(pa.array(hit == inside))
 
         return run

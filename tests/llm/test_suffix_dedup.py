@@ -42,7 +42,7 @@ def test_equals_brute_force(spark, seed, match, shard_bytes):
     """Also with anchors dealt to many shards, which are merged by their digests."""
     rows = made(seed)
     df = spark.createDataFrame(rows, "doc_id long, text string, runs string")
-    got = without_repeats(df, match, 8, shard_bytes, 1 << 16)
+    got = without_repeats(df, match, 8, shard_bytes)
     assert sorted(str(tuple(r)) for r in got.collect()) == brute(rows, match)
 
 
