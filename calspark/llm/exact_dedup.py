@@ -4,8 +4,10 @@ A text is normalised by deleting white space; its UTF-8 bytes are hashed as poly
 hash of a concatenation follows from the hashes of its parts, H(AB) = H(A) * r^|B| + H(B), so a huge text is cut
 into chunks that are normalised and hashed in parallel and joined by length-shifted arithmetic. Texts with equal
 fingerprints are then compared chunk by chunk with the document that would stay; whatever differs is grouped by
-its whole content instead. Only texts whose fingerprint is in a bitmap of repeated ones (of fixed size, made by
-Spark, broadcast) are shuffled for that; the bitmap may let others through, which a join then removes.
+its whole content instead. Only texts whose fingerprint is in a bitmap of repeated ones are shuffled for that (sized
+by their number, of 64 MB at most, made by Spark, broadcast); it may let others through, which a join then removes,
+and beyond 134 million repeated fingerprints that join alone decides. The rows of a large group are dealt to several
+tasks from the start (a salt), each with its own copy of the text that stays.
 
 Defined cases: null text counts as empty, all empty texts are equal; a null doc_id is an id like any other and
 sorts last; repeated rows each get a row; other columns are ignored; an empty table gives no rows.
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap_of, cut, documents, in_bitmap, own_ids, pieces_of, width
+from .shared import bitmap_of, bits_for, cut, documents, hot_and_usual, in_bitmap, own_ids, pieces_of, width
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes hashed by one task at a time.
@@ -29,10 +31,8 @@ CHUNK_BYTES = 1 << 16
 #: Two primes under 2^31 and a base for each.
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 741103597)
-#: Copies of one text that are compared in one task.
-GROUP_ROWS = 4096
-#: Bits of the bitmap of repeated fingerprints: 2 MB.
-BITMAP_BITS = 1 << 24
+#: Copies of one text that are compared in one task, and their bytes.
+GROUP_ROWS, GROUP_BYTES = 4096, 1 << 25
 BATCH_BYTES = 8_000_000
 
 
@@ -129,28 +129,36 @@ def _equal_by_chunks(a: str, b: str, n_bytes: str, chunk_bytes: int) -> Column:
     return F.forall(at, lambda k: cut_at(a, k) == cut_at(b, k))
 
 
-def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES, group_rows: int = GROUP_ROWS, bits: int = BITMAP_BITS) -> DataFrame:
+def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     key, polynomial = ["h0", "h1", "n_bytes"], Polynomial(primes, bases, chunk_bytes)
     light = cut(fingerprints(df, polynomial, None, chunk_bytes).drop("norm"))
     several = light.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(_better()).alias("best")).filter("n > 1")
-    several = cut(several.select(*key, F.col("best.doc_id").alias("keep_id"), F.ceil(F.col("n") / group_rows).cast("int").alias("salts")))
-    # the texts of groups: a large group is dealt to several tasks, each with its own copy of the text that stays
-    repeated = fingerprints(df, polynomial, bitmap_of(several, "h0", bits), chunk_bytes)
-    members = repeated.join(several.hint("shuffle_hash"), key).withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_cp"), F.col("salts")).cast("int"))
-    members = cut(members)
+    salts = F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("n") * F.col("n_bytes") / GROUP_BYTES)).cast("int")
+    several = cut(several.select(*key, "n", F.col("best.doc_id").alias("keep_id"), F.least(salts, F.col("n").cast("int")).alias("salts")))
+    several = several.withColumn("weight", F.col("n") * (F.col("n_bytes") + 64))
+    repeats, total = several.agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    # the texts of groups: the largest groups are known to all tasks and dealt to several
+    large, _ = hot_and_usual(df, several, "weight", total)
+    large = large.select(*key, "salts")
+    repeated = fingerprints(df, polynomial, bitmap_of(several, "h0", bits_for(repeats)), chunk_bytes).join(large, key, "left")
+    repeated = repeated.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_cp", F.spark_partition_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    spread = several.join(large.withColumnRenamed("salts", "parts"), key, "left").withColumn("salts", F.coalesce("parts", F.lit(1))).drop("parts")
+    members = cut(repeated.join(spread.select(*key, "keep_id", "salts", every).hint("shuffle_hash"), [*key, "salt"]))
     models = members.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(*key, "salts", F.col("norm").alias("model"))
     models = models.groupBy(*key).agg(F.first("salts").alias("salts"), F.first("model").alias("model"))
-    models = models.select(*key, "model", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    same = members.join(models.hint("shuffle_merge"), [*key, "salt"]).withColumn("equal", _equal_by_chunks("norm", "model", "n_bytes", chunk_bytes))
-    same = cut(same.select("doc_id", "n_cp", *key, "keep_id", "text_sha256", "equal", F.when(~F.col("equal"), F.col("norm")).alias("other")))
-    sizes = same.filter("equal").groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"))
-    found = same.filter("equal").join(sizes, key).select("doc_id", "keep_id", "group_size", "text_sha256")
+    same = members.join(models.select(*key, "model", every).hint("shuffle_merge"), [*key, "salt"]).withColumn("equal", _equal_by_chunks("norm", "model", "n_bytes", chunk_bytes))
+    same = cut(same.select("doc_id", "n_cp", *key, "salt", "salts", "keep_id", "text_sha256", "equal", F.when(~F.col("equal"), F.col("norm")).alias("other")))
+    sizes = same.filter("equal").groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.first("salts").alias("salts"))
+    found = same.filter("equal").join(sizes.select(*key, "group_size", every), [*key, "salt"]).select("doc_id", "keep_id", "group_size", "text_sha256")
     # equal fingerprints of different texts: grouped by the whole content
     rest = same.filter("not equal")
-    classes = rest.groupBy("other").agg(F.count(F.lit(1)).alias("group_size"), F.max(_better()).alias("best"))
-    rest = rest.drop("keep_id").join(classes, "other").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "text_sha256")
-    alone = light.join(several.select(*key), key, "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
+    classes = rest.groupBy("other").agg(F.count(F.lit(1)).alias("group_size"), F.max(_better()).alias("best"), F.first("salts").alias("salts"))
+    rest = rest.select("doc_id", "other", "salt", "text_sha256").join(classes.select("other", "group_size", "best", every), ["other", "salt"])
+    rest = rest.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "text_sha256")
+    alone = light.join(large.select(*key), key, "left_anti").join(several.select(*key), key, "left_anti")
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     out = alone.unionByName(found).unionByName(rest)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 

@@ -31,7 +31,7 @@ def test_equals_brute_force(spark, primes, group_rows):
     rows = [*made(150, 1), (None, "ab", "c", 2), (7, "a b", "c", 2)]
     rows = [(100 + i if d == 7 else d, *r) for i, (d, *r) in enumerate(rows)]
     df = spark.createDataFrame(rows, SCHEMA)
-    got = exact_duplicates(df, primes=primes, bases=(5, 7), chunk_bytes=1024, group_rows=group_rows, bits=1 << 16)
+    got = exact_duplicates(df, primes=primes, bases=(5, 7), chunk_bytes=1024, group_rows=group_rows)
     assert sorted(str(tuple(r)) for r in got.collect()) == brute(rows)
 
 
