@@ -4,7 +4,8 @@ A document is the set of its shingles of five words. BANDS bands of BAND_ROWS mi
 document: two with similarity s share one with chance 1 - (1 - s^rows)^bands, which is over 0.9996 from 0.8 on.
 Documents with the same words are one row with a weight, so exact copies are never paired; candidates come from a
 shuffle on band hashes and are verified on their full shingle sets, block by block (bucket_join). Sets are made
-only for documents that some bucket needs, in a second pass over the texts.
+only for documents that some bucket needs, in a second pass over the texts (told by a bitmap sized by their
+number, of 64 MB at most; beyond 134 million such documents sets are made for all and a join decides).
 
 Defined cases: null text counts as empty; words are runs of letters and digits in lower case; a text of one to four
 words is one shingle of all its words; a text without words links with nothing and is a class of its own; a
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bucket_join import TILE, compared, dealt, halves, matrix, owned, tiles
 from .components import components
-from .shared import bitmap_of, cut, documents, grouped, in_bitmap, own_ids, pieces_of
+from .shared import bitmap_of, bits_for, cut, documents, grouped, in_bitmap, joined, own_ids, pieces_of
 from .words import LETTER, NUMBER, Words, classes, numbers
 
 WORDS = 5
@@ -32,7 +33,6 @@ WORDS = 5
 SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 20, 5
 BATCH_BYTES = 6_000_000
-BITMAP_BITS = 1 << 24
 #: Columns of shingles multiplied at a time, and pairs up to which sets are intersected one by one.
 COLUMNS, FEW_PAIRS = 4096, 24
 
@@ -111,12 +111,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(lists.tolist(), pa.list_(pa.int64()))], ["doc_id", "size", "d0", "d1", "keys"])
 
 
-def _sets(bitmap: np.ndarray):
+def _sets(bitmap: np.ndarray | None):
     """The shingle sets, sorted, of the documents in a bitmap of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column("bit").to_numpy())))
+            batch = batch.filter(pa.array(in_bitmap(bitmap, batch.column("h").to_numpy())))
             for part in pieces_of([batch], "text", BATCH_BYTES):
                 words, counts = word_hashes(part.column("text").to_pylist())
                 h, sizes = shingles(words, counts)
@@ -178,7 +178,7 @@ def _similar(tile: pa.RecordBatch, a: np.ndarray, b: np.ndarray, owned_pairs) ->
     return out & (common * SIMILAR[1] >= SIMILAR[0] * (sizes[a][:, None] + sizes[b][None, :] - common))
 
 
-def near_documents(df: DataFrame, bits: int = BITMAP_BITS, **blocks: int) -> DataFrame:
+def near_documents(df: DataFrame, **blocks: int) -> DataFrame:
     """doc_id, class_id (smallest doc_id reachable by links), n_links and kept of every document.
 
     n_links counts the other documents with a similarity of 0.8 or more, copies included.
@@ -186,23 +186,24 @@ def near_documents(df: DataFrame, bits: int = BITMAP_BITS, **blocks: int) -> Dat
     base = documents(df)
     light = cut(base.filter("doc_id IS NOT NULL").mapInArrow(_signed, "doc_id long, size long, d0 long, d1 long, keys array<long>"))
     ids = light.groupBy("doc_id").agg(F.min(F.struct("d0", "d1")).alias("d")).select("doc_id", F.col("d.d0").alias("d0"), F.col("d.d1").alias("d1"))
-    groups = ids.groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    groups = cut(ids.groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("weight")))
     rows = light.join(groups.withColumnRenamed("id", "doc_id"), ["doc_id", "d0", "d1"]).filter("keys IS NOT NULL").dropDuplicates(["doc_id"])
     rows = cut(rows.select(F.col("doc_id").alias("id"), "size", "d0", "d1", "weight", "keys"))
     pairs = tiles(rows, 1, **blocks).join(rows.select("id", "weight", "keys"), "id")
     schema = "id long, table int, key long, lo int, hi int, block int, weight long, keys array<long>"
     needed = cut(dealt(pairs.select("id", "table", "key", "lo", "hi", "block", "weight", "keys")).mapInArrow(_needed, schema))
-    bit = F.pmod(F.xxhash64("id"), F.lit(bits))
-    bitmap = bitmap_of(needed.select("id").distinct().select(bit.alias("bit")), "bit", bits)
-    texts = base.filter("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("bit"))
+    wanted = cut(needed.select(F.xxhash64("id").alias("h")).distinct())
+    bitmap = bitmap_of(wanted, "h", bits_for(wanted.count()))
+    texts = base.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
     sets = texts.mapInArrow(_sets(bitmap), "id long, d0 long, d1 long, shingles array<long>").dropDuplicates(["id", "d0", "d1"])
     sets = sets.join(rows.select("id", "d0", "d1"), ["id", "d0", "d1"], "left_semi").drop("d0", "d1")
     found = cut(compared(needed.join(sets, "id"), _similar, 1))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
     classes_ = groups.join(links, "id", "left").join(roots, "id", "left").join(rows.select("id", F.lit(1).alias("full")), "id", "left")
-    classes_ = classes_.select("d0", "d1", "full", F.coalesce("component", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    out = ids.join(classes_, ["d0", "d1"]).select("doc_id", F.when(F.col("full") == 1, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("full") == 1, F.col("n")).otherwise(0).cast("long").alias("n_links"))
+    classes_ = classes_.select("d0", "d1", "full", "weight", F.coalesce("component", "id").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    total = groups.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    out = joined(ids, cut(classes_), ["d0", "d1"], "weight", total).select("doc_id", F.when(F.col("full") == 1, F.col("class")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("full") == 1, F.col("n")).otherwise(0).cast("long").alias("n_links"))
     none = base.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
