@@ -33,7 +33,7 @@ DIMENSIONS = 1 << 16
 SHAPES, WORDS = 3, 2
 SMOOTHING = 1.0
 COST = 1.0
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 1_500_000
 
 
 @dataclass
