@@ -79,7 +79,8 @@ def rule_days(events: DataFrame, horizon: str) -> DataFrame:
     e = events.withColumns({"last": last, "step": F.coalesce("interval_n", F.lit(1)), "broken": ~F.coalesce(known, F.lit(False))})
     n = F.greatest(F.datediff("last", "first_day"), F.lit(-1))
     months = F.col("step") * F.when(F.col("freq") == "YEARLY", 12).otherwise(1)
-    daily = F.transform(F.sequence(F.lit(0), F.floor(n / F.col("step")).cast("int")), lambda i: F.date_add("first_day", i * F.col("step")))
+    steps = F.least(F.floor(n / F.col("step")), F.greatest(F.col("count_n") - 1, F.lit(0))).cast("int")  # least() passes over nulls
+    daily = F.transform(F.sequence(F.lit(0), steps), lambda i: F.date_add("first_day", i * F.col("step")))
     monday = F.date_sub("first_day", F.weekday("first_day"))
     weekly = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((n + 6) / (7 * F.col("step"))).cast("int")), lambda i: F.transform(F.array_sort(F.coalesce("by_days", F.array(F.weekday("first_day")))), lambda d: F.date_add(monday, (i * 7 * F.col("step") + d).cast("int")))))
     monthly = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.months_between("last", "first_day"), F.lit(-1)) / months).cast("int")), lambda i: F.add_months("first_day", (i * months).cast("int"))), lambda d: F.dayofmonth(d) == F.dayofmonth("first_day"))

@@ -81,6 +81,30 @@ def _(t):
     return calendars.overridden(calendars.without_dates(days, gone), moved)
 
 
+@query("r9_calendar_alarms", """
+SELECT event_id, unnest([start_at - INTERVAL 15 MINUTE, deadline + INTERVAL 10 MINUTE, start_at - INTERVAL 1 DAY]) AS alarm_at FROM v_cal_events WHERE deadline >= start_at""")
+def _(t):
+    """Every alarm of an event: before its start, after its end, at a fixed time."""
+    stamp = lambda c: F.concat(F.date_format(c, "yyyyMMdd'T'HHmmss"), F.lit("Z"))
+    e = t.cal_events.filter("deadline >= start_at")
+    alarm = lambda trigger: F.concat_ws("\n", F.lit("BEGIN:VALARM"), trigger, F.lit("END:VALARM"))
+    fixed = F.concat(F.lit("TRIGGER;VALUE=DATE-TIME:"), stamp(F.col("start_at") - F.expr("interval 1 day")))
+    text = F.concat_ws("\n", F.lit("BEGIN:VEVENT"), alarm(F.lit("TRIGGER:-PT15M")), F.concat(F.lit("DTSTART:"), stamp(F.col("start_at"))), F.concat(F.lit("DTEND:"), stamp(F.col("deadline"))), alarm(F.lit("TRIGGER;RELATED=END:PT10M")), alarm(fixed), F.lit("END:VEVENT"))
+    read = calendars.events(e.select(F.col("event_id").cast("string").alias("file_name"), text.cast("binary").alias("content")))
+    return read.select(F.col("file_name").cast("long").alias("event_id"), F.explode("alarms").alias("alarm_at"))
+
+
+@query("s3_quoted_fields", "SELECT p_partkey, 1 AS col_no, CAST(p_partkey AS VARCHAR) AS text FROM part UNION ALL SELECT p_partkey, 2, p_name || ', \"' || p_type || '\"' FROM part UNION ALL SELECT p_partkey, 3, p_brand || chr(10) || p_type FROM part")
+def _(t):
+    """Fields with delimiters, quotes and line ends in them; each file holds a line for each of some fifty parts."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), quoted(F.concat(F.col("p_name"), F.lit(', "'), F.col("p_type"), F.lit('"'))), quoted(F.concat_ws("\n", "p_brand", "p_type")))
+    made = t.part.withColumn("line", line).groupBy(F.expr("p_partkey div 50").cast("string").alias("file_name")).agg(F.array_join(F.array_sort(F.collect_list("line")), "\r\n").cast("binary").alias("content"))
+    cells = files.delimited(made)
+    key = F.max(F.when(F.col("col_no") == 1, F.col("text"))).over(Window.partitionBy("file_name", "row_no")).cast("long")
+    return cells.select(key.alias("p_partkey"), "col_no", "text")
+
+
 @query("r9_alarms", "SELECT event_id, start_at - to_minutes(CAST(15 * (1 + event_id % 5) AS INT)) AS alarm_at FROM v_cal_events")
 def _(t):
     trigger = F.concat(F.lit("-PT"), (15 * (1 + F.col("event_id") % 5)).cast("string"), F.lit("M"))

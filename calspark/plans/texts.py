@@ -236,11 +236,11 @@ def _(t):
 
 @query("j19_fuzzy_titles")
 def _(t):
-    """Titles of a user's events that are like the title asked for; the ratio is only computed where it can reach 0.45."""
+    """Titles of a user's events that are like the title asked for, on the same day, by a score of 0.45 at least."""
     e = t.cal_events.filter("status = 'confirmed'").select("user_id", "event_id", "title", "start_at")
     asked = e.filter("event_id % 50 = 0").select("user_id", F.col("event_id").alias("query_id"), F.col("title").alias("query"), F.col("start_at").alias("near"))
-    shorter, both = F.least(F.length("query"), F.length("title")), F.length("query") + F.length("title")
-    pairs = asked.join(e, "user_id").filter((2 * shorter / both >= 0.45) & (F.to_date("start_at") == F.to_date("near")))
+    day = lambda rows, at: rows.withColumn("day", F.to_date(at))
+    pairs = day(asked, "near").join(day(e, "start_at"), ["user_id", "day"])
     scored = pairs.withColumn("score", F.round(T.similarity(F.col("query"), F.col("title")), 6)).filter("score >= 0.45")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "start_at", "event_id"))
     return scored.withColumn("place", place).filter("place <= 8").select("query_id", "event_id", "score", "place")

@@ -32,7 +32,7 @@ def file_kind(content: Column, name: Column) -> Column:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """file_name, member and content of the files in each archive; broken archives give none.
+    """file_name, member and content of the files in each archive; a broken archive is one row with the reason in reject.
 
     Members beyond MOST_MEMBERS, or all of an archive over MOST_BYTES, have no content and the reason in reject.
     """
@@ -44,6 +44,7 @@ def members(files: DataFrame) -> DataFrame:
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
+                    rows.append((name, None, None, "broken"))
                     continue
                 own = [x for x in archive.infolist() if not x.is_dir() and not x.filename.startswith("__MACOSX/")]
                 large = sum(x.file_size for x in own[:MOST_MEMBERS]) > MOST_BYTES
@@ -73,12 +74,21 @@ def archived(files: DataFrame, key: str, most_bytes: int = MOST_BYTES, most_memb
 
 
 def delimited(files: DataFrame) -> DataFrame:
-    """Cells of delimited texts; the delimiter is that of , ; tab | which a file has most."""
+    """Cells of delimited texts; the delimiter is that of , ; tab | which a file has most, outside quotes.
+
+    A field in quotes may hold delimiters, line ends and doubled quotes; a quote that is never closed is an ordinary letter.
+    """
     text = F.regexp_replace(decoded(F.col("content")), r"\r\n?", "\n")
-    counted = F.array(*(F.struct((F.length("text") - F.length(F.replace("text", F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate((",", ";", "\t", "|"))))
+    bare = F.regexp_replace("text", r"\"[^\"]*\"", "")
+    counted = F.array(*(F.struct((F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("n"), F.lit(-i).alias("i"), F.lit(d).alias("d")) for i, d in enumerate((",", ";", "\t", "|"))))
     rows = files.select("file_name", text.alias("text")).withColumn("d", F.array_max(counted)["d"])
-    lines = rows.select("file_name", "d", F.posexplode(F.split(F.regexp_replace("text", r"\n+$", ""), "\n")).alias("row_no", "line"))
-    cells = lines.select("file_name", (F.col("row_no") + 1).alias("row_no"), F.posexplode(F.split("line", F.concat(F.lit(r"\Q"), "d", F.lit(r"\E")))).alias("col_no", "text"))
+    # a line ends, or a field, where no quoted field is open: quotes up to there come in pairs
+    lines = F.regexp_extract_all(F.regexp_replace("text", r"\n+$", ""), F.lit(r"(?s)((?:\"(?:[^\"]|\"\")*\"|[^\n])*)(?:\n|$)"), F.lit(1))
+    lines = rows.select("file_name", "d", F.posexplode(lines).alias("row_no", "line"))
+    field = F.concat(F.lit(r'(?s)(?:^|\Q'), "d", F.lit(r'\E)(\s*\"(?:[^\"]|\"\")*\"\s*(?=\Q'), "d", F.lit(r'\E|$)|(?:(?!\Q'), "d", F.lit(r'\E).)*)'))
+    cells = lines.select("file_name", (F.col("row_no") + 1).alias("row_no"), F.posexplode(F.regexp_extract_all("line", field, F.lit(1))).alias("col_no", "text"))
+    quoted = F.trim("text").rlike(r'(?s)^\".*\"$') & (F.length(F.trim("text")) > 1)
+    cells = cells.withColumn("text", F.when(quoted, F.replace(F.regexp_extract(F.trim("text"), r'(?s)^\"(.*)\"$', 1), F.lit('""'), F.lit('"'))).otherwise(F.col("text")))
     return cells.select("file_name", "row_no", (F.col("col_no") + 1).alias("col_no"), F.trim("text").alias("text")).filter("text <> ''")
 
 
@@ -89,14 +99,27 @@ def _column(ref: str) -> int:
     return n
 
 
+def _letters(n: int) -> str:
+    """The name of a column: A to Z, AA and so on."""
+    return (_letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
+
+
 def workbook_cells(files: DataFrame) -> DataFrame:
-    """Cells of the visible sheets of workbooks; error cells are left out. The XML is read from zip members as it streams by."""
+    """Cells of the visible sheets of workbooks; error cells are left out. The XML is read from zip members as it streams by.
+
+    A file that is no workbook is one row of kind "broken", for quarantine.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name, content in zip(batch["file_name"], batch["content"], strict=True):
-                archive = zipfile.ZipFile(io.BytesIO(content))
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                    archive.getinfo("xl/workbook.xml")
+                except (zipfile.BadZipFile, KeyError):
+                    rows.append((name, None, None, None, "broken", None))
+                    continue
                 names = set(archive.namelist())
                 shared = []
                 if "xl/sharedStrings.xml" in names:
@@ -126,7 +149,7 @@ def workbooks(cells: DataFrame, key: str) -> DataFrame:
     def run(group: pd.DataFrame) -> pd.DataFrame:
         lines = []
         for row_no, own in group.sort_values(["row_no", "col_no"]).groupby("row_no"):
-            made = "".join(f'<c r="{chr(64 + c)}{row_no}" t="inlineStr"><is><t>{escape(t)}</t></is></c>' for c, t in zip(own["col_no"], own["text"], strict=True))
+            made = "".join(f'<c r="{_letters(c)}{row_no}" t="inlineStr"><is><t>{escape(t)}</t></is></c>' for c, t in zip(own["col_no"], own["text"], strict=True))
             lines.append(f'<row r="{row_no}">{made}</row>')
         space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
         out = io.BytesIO()

@@ -109,14 +109,15 @@ def test_calendar_texts(spark):
     ics = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nUID:1\r\nSUMMARY:Long\r\n  name\\, cut\r\nDTSTART;TZID=Europe/Moscow:20260907T170000\r\nDURATION:PT1H30M\r\nBEGIN:VALARM\r\nTRIGGER:-PT15M\r\nEND:VALARM\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nUID:2\r\nSUMMARY:Día\r\nDTSTART;VALUE=DATE:20260908\r\nRRULE:FREQ=WEEKLY;COUNT=4\r\nSTATUS:CANCELLED\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
     df = spark.createDataFrame([("a.ics", bytearray(b"\xef\xbb\xbf" + ics.encode())), ("b.ics", bytearray("BEGIN:VEVENT\nUID:3\nSUMMARY:Зачёт\nDTSTART:20260101T080000\nEND:VEVENT\n".encode("cp1251"))), ("c.ics", bytearray(b""))], "file_name string, content binary")
     got = {r["uid"]: r for r in calendars.events(df).collect()}
-    assert got["1"]["summary"] == "Long name, cut" and got["1"]["start_at"] == T(2026, 9, 7, 17) and got["1"]["duration_min"] == 90 and got["1"]["alarm_min"] == -15
+    assert got["1"]["summary"] == "Long name, cut" and got["1"]["start_at"] == T(2026, 9, 7, 14) and got["1"]["zone"] == "Europe/Moscow" and got["1"]["duration_min"] == 90 and got["1"]["alarm_min"] == -15
     assert got["2"]["all_day"] and got["2"]["rrule"] == "FREQ=WEEKLY;COUNT=4" and got["2"]["status"] == "CANCELLED" and got["3"]["summary"] == "Зачёт"
 
 
 def test_archives_and_kinds(spark):
     docs = spark.createDataFrame([(1, "a.txt", bytearray(b"x")), (1, "b.txt", bytearray(b"y")), (2, "__MACOSX/c", bytearray(b"z"))], "box long, member string, content binary")
     boxes = files.archived(docs, "box")
-    assert sorted((r["file_name"], r["member"], bytes(r["content"])) for r in files.members(boxes.union(spark.createDataFrame([("bad.zip", bytearray(b"PK"))], boxes.schema))).collect()) == [("1.zip", "a.txt", b"x"), ("1.zip", "b.txt", b"y")]
+    assert sorted((r["file_name"], r["member"], bytes(r["content"])) for r in files.members(boxes).collect()) == [("1.zip", "a.txt", b"x"), ("1.zip", "b.txt", b"y")]
+    assert [tuple(r) for r in files.members(spark.createDataFrame([("bad.zip", bytearray(b"PK"))], boxes.schema)).collect()] == [("bad.zip", None, None, "broken")]
     assert {r[0] for r in boxes.select(files.file_kind(F.col("content"), F.col("file_name"))).collect()} == {"zip"}
 
 
