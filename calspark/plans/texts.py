@@ -9,6 +9,8 @@ from calspark.functions import text as T
 
 from .registry import query
 
+NOISE = "|".join(T.NOISE).replace("dimatorzok", "(?i:dimatorzok)")
+
 
 @query("t1_masks")
 def _(t):
@@ -21,32 +23,21 @@ def _(t):
     return t.documents.select("doc_id", F.sha2(F.regexp_replace("text", T.EMAIL, T.EMAIL_MARK), 256).alias("masked_sha256"))
 
 
-def cleaned(turns):
-    return turns.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]"))).alias("text"))
-
-
-@query("t2_mark_cleanup", r"""
-SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]', '\[(ССЫЛКА|ТЕЛЕФОН|EMAIL)\]', ' ', 'g'), '\(\s*\)|\[\s*\]', ' ', 'g'), '\s+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ,;:') AS text FROM conversations
-WHERE NOT regexp_matches(text, '[^ -~\n]') AND NOT regexp_matches(text, '^[ ,;:]|[ ,;:]$')""")
-def _(t):
-    rows = t.conversations.filter(~F.col("text").rlike(r"[^ -~\n]") & ~F.col("text").rlike(r"^[ ,;:]|[ ,;:]$"))
-    return cleaned(rows)
-
-
-@query("t2_all_mark_cleanup")
-def _(t):
-    """t2_mark_cleanup over all turns, also those that its SQL leaves out."""
-    return cleaned(t.conversations)
+# A character of a word, and white space, as Java takes them; DuckDB's own \b and \s know less.
+WORD, SPACE = r"\p{L}\p{M}\p{Nd}\p{Pc}", r"[\t\n\v\f\r ]"
 
 
-@query("t3_event_title", "SELECT doc_id, left(upper(left(coalesce(nullif(trim(text), ''), 'Event'), 1)) || substr(coalesce(nullif(trim(text), ''), 'Event'), 2), 255) AS title FROM documents WHERE NOT contains(left(text, 1), 'ß')")
+@query("t2_mark_cleanup", rf"""
+WITH m AS (SELECT conv_id, turn, regexp_replace(text || ' [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]', '(^|[^{WORD}])(?:на|по|от|to|at|by) \[(?:ССЫЛКА|ТЕЛЕФОН|EMAIL)\]', '\1 ', 'g') AS text FROM conversations),
+  u AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\[(?:ССЫЛКА|ТЕЛЕФОН|EMAIL)\]', ' ', 'g'), '\({SPACE}*\)|\[{SPACE}*\]', ' ', 'g') AS text FROM m)
+SELECT conv_id, turn, trim(rtrim(regexp_replace(regexp_replace(text, '{SPACE}+', ' ', 'g'), ' ([,.;:!?])', '\1', 'g'), ' ,;:')) AS text FROM u""")
 def _(t):
-    return t.documents.filter(~F.left("text", F.lit(1)).contains("ß")).select("doc_id", T.event_title(F.col("text"), "Event").alias("title"))
+    return t.conversations.select("conv_id", "turn", T.without_marks(F.concat("text", F.lit(" [ССЫЛКА] ( ) ok , [ТЕЛЕФОН]"))).alias("text"))
 
 
-@query("t3_all_event_titles")
+@query("t3_event_title", "SELECT doc_id, left(upper(replace(left(coalesce(nullif(trim(text), ''), 'Event'), 1), 'ß', 'SS')) || substr(coalesce(nullif(trim(text), ''), 'Event'), 2), 255) AS title FROM documents")
 def _(t):
-    """t3_event_title over all documents; DuckDB has no capital of the sharp s that its SQL leaves out."""
+    """DuckDB has no capital of the sharp s, so its SQL says it."""
     return t.documents.select("doc_id", T.event_title(F.col("text"), "Event").alias("title"))
 
 
@@ -102,20 +93,13 @@ def _(t):
     return t.orders.select("o_orderkey", T.is_bare_period(message).alias("bare"))
 
 
-def intents(turns):
-    head = F.element_at(F.array(*map(F.lit, ("отмени ", "переименуй ", "перенеси ", "пропусти ", "запиши "))), (F.col("turn") % 5 + 1).cast("int"))
-    return turns.select("conv_id", "turn", T.intent(F.concat(head, "text")).alias("intent"))
-
-
-@query("t11_intent", "SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'cancel' WHEN 1 THEN 'rename' WHEN 2 THEN 'edit' WHEN 3 THEN 'skip' ELSE 'new' END AS intent FROM conversations WHERE NOT regexp_matches(lower(text), 'skip')")
+@query("t11_intent", rf"""
+SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'new' WHEN turn % 5 = 3 OR regexp_matches(lower(text), '(^|[^{WORD}])(пропустить|пропусти|не будет|skip)([^{WORD}]|$)') THEN 'skip'
+  WHEN turn % 5 = 0 THEN 'cancel' WHEN turn % 5 = 1 THEN 'rename' WHEN turn % 5 = 2 THEN 'edit' ELSE 'new' END AS intent FROM conversations""")
 def _(t):
-    return intents(t.conversations.filter(~F.lower("text").rlike("skip")))
-
-
-@query("t11_all_intents")
-def _(t):
-    """t11_intent over all turns, also those that its SQL leaves out: with the word skip in them they are requests to skip."""
-    return intents(t.conversations)
+    """A turn with a request to skip is one, whatever it begins with."""
+    head = F.element_at(F.array(*map(F.lit, ("отмени ", "переименуй ", "перенеси ", "пропусти ", "запиши "))), (F.col("turn") % 5 + 1).cast("int"))
+    return t.conversations.select("conv_id", "turn", T.intent(F.concat(head, "text")).alias("intent"))
 
 
 @query("t12_time_hint", "SELECT event_id, event_id % 2 = 0 AS timed FROM events")
@@ -143,9 +127,12 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", T.cell_text(F.when(even, "number").otherwise("date"), F.when(even, number).otherwise(date)).alias("text"))
 
 
-def week_marks(slots):
-    """Titles of slots with marks of all weeks but two, of four weeks, or with none, taken apart."""
-    rows = slots.withColumn("a", 1 + F.col("position") % 4)
+@query("t16_week_marks", """
+SELECT position, CASE WHEN position % 3 = 0 THEN array_to_string(generate_series(1 + position % 4, 4 + position % 4), ',') ELSE '' END AS weeks, CASE WHEN position % 3 = 1 THEN '1,5' ELSE '' END AS except_weeks, CASE WHEN position % 3 = 2 THEN title ELSE upper(left(title, 1)) || substr(title, 2) END AS title
+FROM v_slots""")
+def _(t):
+    """Titles of slots with marks of all weeks but two, of four weeks, or with none, taken apart; the last stay as they are."""
+    rows = t.slots.withColumn("a", 1 + F.col("position") % 4)
     span = F.concat(F.col("a").cast("string"), F.lit("-"), (F.col("a") + 3).cast("string"), F.lit(" н. "), "title")
     marked = F.when(F.col("position") % 3 == 1, F.concat(F.lit("кр. 5,1 н. "), "title")).when(F.col("position") % 3 == 0, span).otherwise(F.col("title"))
     m = rows.select("position", T.week_marks(marked).alias("m"))
@@ -153,19 +140,6 @@ def week_marks(slots):
     return m.select("position", joined(F.col("m.weeks")).alias("weeks"), joined(F.col("m.except_weeks")).alias("except_weeks"), "m.title")
 
 
-@query("t16_week_marks", """
-SELECT position, CASE WHEN position % 3 = 1 THEN '' ELSE array_to_string(generate_series(1 + position % 4, 4 + position % 4), ',') END AS weeks, CASE WHEN position % 3 = 1 THEN '1,5' ELSE '' END AS except_weeks, upper(left(title, 1)) || substr(title, 2) AS title
-FROM v_slots WHERE position % 3 < 2""")
-def _(t):
-    return week_marks(t.slots.filter("position % 3 < 2"))
-
-
-@query("t16_all_week_marks")
-def _(t):
-    """t16_week_marks over all slots: those that its SQL leaves out have titles without marks, which stay as they are."""
-    return week_marks(t.slots)
-
-
 @query("t20_evidence", "SELECT p_partkey, p_partkey % 2 = 0 AS supported FROM part WHERE length(p_type) >= 4")
 def _(t):
     words = F.filter(T.title_words(F.col("p_type")), lambda w: F.length(w) >= 4)
@@ -261,17 +235,11 @@ def _(t):
     return t.cal_events.select("event_id", m.alias("m")).select("event_id", "m.start_at", "m.end_at")
 
 
-def transcripts(turns):
-    return turns.select("conv_id", "turn", T.transcript(F.concat(F.lit(" «"), "text", F.lit("»"))).alias("text"))
-
-
-@query("t18_transcripts", r"SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations WHERE regexp_matches(text, '^[A-Za-z]') AND regexp_matches(text, '[A-Za-z.]$')")
-def _(t):
-    rows = t.conversations.filter(F.col("text").rlike("^[A-Za-z]") & F.col("text").rlike("[A-Za-z.]$"))
-    return transcripts(rows)
-
-
-@query("t18_all_transcripts")
+@query("t18_transcripts", rf"""
+WITH q AS (SELECT conv_id, turn, trim(regexp_replace(' «' || text || '»', '{SPACE}+', ' ', 'g')) AS text FROM conversations),
+  u AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '^[«"''„“]+', ''), '[»"''“”]+([.!?…]*)$', '\1')) AS text FROM q),
+  n AS (SELECT *, regexp_replace(text, '{NOISE}', '', 'g') AS rest FROM u)
+SELECT conv_id, turn, CASE WHEN NOT regexp_matches(text, '\p{{L}}') OR length(text) <= 60 AND rest <> text AND len(list_filter(string_split(rest, ' '), lambda w: w <> '')) <= 3 THEN ''
+  ELSE regexp_replace(text, '(?i)(^|[^{WORD}])(без){SPACE}+0?(\d{{1,2}})[.:]0?(\d{{1,2}})([^{WORD}]|$)', '\1\2 \3 минут \4\5', 'g') END AS text FROM n""")
 def _(t):
-    """t18_transcripts over all turns, also those that its SQL leaves out."""
-    return transcripts(t.conversations)
+    return t.conversations.select("conv_id", "turn", T.transcript(F.concat(F.lit(" «"), "text", F.lit("»"))).alias("text"))

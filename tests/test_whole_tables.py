@@ -37,7 +37,7 @@ def test_week_marks_of_all_slots(spark):
         p, a, title = r["position"], 1 + r["position"] % 4, r["title"]
         capital = title[:1].upper() + title[1:]
         want.append((p, *((",".join(map(str, range(a, a + 4))), "", capital), ("", "1,5", capital), ("", "", title))[p % 3]))
-    got = catalog.queries()["t16_all_week_marks"](spark, SF).collect()
+    got = catalog.queries()["t16_week_marks"](spark, SF).collect()
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -51,13 +51,13 @@ def test_texts_of_any_letters(spark, tmp_path):
     rows = [(1, 4, "привет, мир"), (1, 0, ", начало"), (1, 1, "«в кавычках»"), (1, 2, "end;"), (2, 4, "skip it"), (2, 0, "skipper"), (2, 5, "please skip"), (3, 0, "123"), (3, 1, None), (3, 3, "восемь!")]
     sf = table(spark, tmp_path, "conversations", rows, "conv_id long, turn long, text string")
     run = lambda name, column: {(r["conv_id"], r["turn"]): r[column] for r in catalog.queries()[name](spark, sf).collect()}
-    assert run("t2_all_mark_cleanup", "text") == {(1, 4): "привет, мир ok", (1, 0): ", начало ok", (1, 1): "«в кавычках» ok", (1, 2): "end; ok", (2, 4): "skip it ok", (2, 0): "skipper ok", (2, 5): "please skip ok", (3, 0): "123 ok", (3, 1): None, (3, 3): "восемь! ok"}
-    assert run("t18_all_transcripts", "text") == {(1, 4): "привет, мир", (1, 0): ", начало", (1, 1): "в кавычках", (1, 2): "end;", (2, 4): "skip it", (2, 0): "skipper", (2, 5): "please skip", (3, 0): "", (3, 1): None, (3, 3): "восемь!"}
-    assert run("t11_all_intents", "intent") == {(1, 4): "new", (1, 0): "cancel", (1, 1): "rename", (1, 2): "edit", (2, 4): "skip", (2, 0): "cancel", (2, 5): "skip", (3, 0): "cancel", (3, 1): "new", (3, 3): "skip"}
+    assert run("t2_mark_cleanup", "text") == {(1, 4): "привет, мир ok", (1, 0): ", начало ok", (1, 1): "«в кавычках» ok", (1, 2): "end; ok", (2, 4): "skip it ok", (2, 0): "skipper ok", (2, 5): "please skip ok", (3, 0): "123 ok", (3, 1): None, (3, 3): "восемь! ok"}
+    assert run("t18_transcripts", "text") == {(1, 4): "привет, мир", (1, 0): ", начало", (1, 1): "в кавычках", (1, 2): "end;", (2, 4): "skip it", (2, 0): "skipper", (2, 5): "please skip", (3, 0): "", (3, 1): None, (3, 3): "восемь!"}
+    assert run("t11_intent", "intent") == {(1, 4): "new", (1, 0): "cancel", (1, 1): "rename", (1, 2): "edit", (2, 4): "skip", (2, 0): "cancel", (2, 5): "skip", (3, 0): "cancel", (3, 1): "new", (3, 3): "skip"}
 
 
 def test_titles_of_all_documents(spark, tmp_path):
     rows = [(1, "ßeta"), (2, " ñandú "), (3, None), (4, "  "), (5, "зачёт"), (6, "x" * 300)]
     sf = table(spark, tmp_path, "documents", rows, "doc_id long, text string")
     want = {1: "SSeta", 2: "Ñandú", 3: "Event", 4: "Event", 5: "Зачёт", 6: "X" + "x" * 254}
-    assert {r["doc_id"]: r["title"] for r in catalog.queries()["t3_all_event_titles"](spark, sf).collect()} == want
+    assert {r["doc_id"]: r["title"] for r in catalog.queries()["t3_event_title"](spark, sf).collect()} == want
