@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from calspark.functions import text as T
 
+from .folds import folded
+
 CELL = ["file_id", "row_no", "col_no"]
 
 
@@ -109,13 +111,12 @@ def resolved_dates(cells: DataFrame, most: int = 100) -> DataFrame:
 
 
 def chunked(lines: DataFrame, key: str, order: str, most_chars: int) -> DataFrame:
-    """A chunk number for each line: a new chunk before a line that would exceed the size. A fold over a document's lines."""
-    doc = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.char_length("text").alias("n")))).alias("lines"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("used"), F.array().cast(f"array<struct<{order}:bigint,chunk:int>>").alias("out"))
+    """A chunk number for each line: a new chunk before a line that would exceed the size. A line without text counts as empty."""
 
-    def placed(s, x):
-        full = (s["used"] > 0) & (s["used"] + x["n"] > most_chars)
-        chunk = s["chunk"] + full.cast("int")
-        return F.struct(chunk.alias("chunk"), (F.when(full, 0).otherwise(s["used"]) + x["n"]).alias("used"), F.concat(s["out"], F.array(F.struct(x[order].cast("bigint").alias(order), chunk.alias("chunk")))).alias("out"))
+    def placed(state: list, n: int) -> int:
+        full = state[1] > 0 and state[1] + n > most_chars
+        state[:] = [state[0] + full, n if full else state[1] + n]
+        return state[0]
 
-    return doc.select(key, F.explode(F.aggregate("lines", start, placed, lambda s: s["out"])).alias("x")).select(key, f"x.{order}", "x.chunk")
+    rows = lines.select(key, F.col(order).cast("bigint").alias(order), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    return folded(rows, [key], [order], ["n"], "chunk", lambda: [0, 0], placed).select(key, order, F.col("chunk").cast("int").alias("chunk"))

@@ -27,6 +27,25 @@ def first_identity(identities: DataFrame) -> DataFrame:
     return identities.groupBy("account_id").agg(F.min_by("platform", "external_id").alias("platform"), F.min("external_id").alias("external_id"))
 
 
+def judged_moves(requests: DataFrame, identities: DataFrame) -> DataFrame:
+    """Requests to move account_id into new_account_id, with a reject: same where there is nothing to do, platform where
+    both have an identity on one platform; null where the move may be made."""
+    own = identities.select("account_id", "platform").distinct()
+    theirs = own.withColumnRenamed("account_id", "new_account_id")
+    clash = requests.select("account_id", "new_account_id").distinct().join(own, "account_id").join(theirs, ["new_account_id", "platform"], "left_semi")
+    clash = clash.select("account_id", "new_account_id", F.lit(True).alias("clash")).distinct()
+    reject = F.when(F.col("account_id") == F.col("new_account_id"), "same").when(F.col("clash"), "platform")
+    return requests.join(clash, ["account_id", "new_account_id"], "left").withColumn("reject", reject).drop("clash")
+
+
 def merged(rows: DataFrame, moves: DataFrame) -> DataFrame:
-    """Rows with account_id replaced where ``moves`` (account_id, new_account_id) says so."""
+    """Rows with account_id replaced where ``moves`` (account_id, new_account_id) says so: identities, series, drafts, turns, delivery states."""
     return rows.join(moves, "account_id", "left").withColumn("account_id", F.coalesce("new_account_id", "account_id")).drop("new_account_id").select(*rows.columns)
+
+
+def merged_preferences(preferences: DataFrame, moves: DataFrame) -> DataFrame:
+    """Preferences after the moves: an account without its own takes those of the least account that moves into it."""
+    rest = [c for c in preferences.columns if c != "account_id"]
+    moved = preferences.join(moves, "account_id").groupBy("new_account_id").agg(F.min_by(F.struct(*rest), "account_id").alias("p"))
+    taken = moved.select(F.col("new_account_id").alias("account_id"), "p.*").join(preferences.select("account_id"), "account_id", "left_anti")
+    return preferences.unionByName(taken)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 DAY_SECONDS = 86400
 
 
@@ -97,17 +101,18 @@ def peak_concurrency(entries: DataFrame) -> DataFrame:
 def lanes(entries: DataFrame) -> DataFrame:
     """The least free lane of each timed event of a day, in order of start; a lane is free when its last event is over.
 
-    The fold over a day's sorted events keeps the ends of the lanes as its state.
+    Events without a start or an end have no lane.
     """
-    timed = entries.filter(~F.col("all_day")).withColumn("day", F.to_date("start_at"))
-    day = timed.groupBy("subject", "day").agg(F.array_sort(F.collect_list(F.struct(seconds("start_at").alias("s"), seconds("end_at").alias("e"), F.col("event_id").alias("id")))).alias("events"))
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<id:bigint,lane:int>>").alias("out"))
-
-    def placed(state: Column, x: Column) -> Column:
-        free = F.filter(F.sequence(F.lit(1), F.greatest(F.size(state["ends"]), F.lit(1))), lambda i: (i <= F.size(state["ends"])) & (F.try_element_at(state["ends"], i) <= x["s"]))
-        lane = F.coalesce(F.try_element_at(free, F.lit(1)), F.size(state["ends"]) + 1)
-        ends = F.when(lane > F.size(state["ends"]), F.concat(state["ends"], F.array(x["e"]))).otherwise(F.transform(state["ends"], lambda e, i: F.when(i + 1 == lane, x["e"]).otherwise(e)))
-        return F.struct(ends.alias("ends"), F.concat(state["out"], F.array(F.struct(x["id"].alias("id"), (lane - 1).cast("int").alias("lane")))).alias("out"))
-
-    out = day.select("subject", "day", F.explode(F.aggregate("events", start, placed, lambda s: s["out"])).alias("x"))
-    return out.select("subject", "day", F.col("x.id").alias("event_id"), F.col("x.lane").alias("lane"))
+    timed = entries.filter(~F.col("all_day") & F.col("start_at").isNotNull() & F.col("end_at").isNotNull())
+    rows = timed.select("subject", F.to_date("start_at").alias("day"), "event_id", seconds("start_at").alias("s"), seconds("end_at").alias("e"))
+
+    def placed(state: list, s: int, e: int) -> int:
+        busy, free = state  # heaps of (end, lane) and of lanes that were used before
+        while busy and busy[0][0] <= s:
+            heappush(free, heappop(busy)[1])
+        lane = heappop(free) if free else len(busy)
+        heappush(busy, (e, lane))
+        return lane
+
+    out = folded(rows, ["subject", "day"], ["s", "e", "event_id"], ["s", "e"], "lane", lambda: [[], []], placed)
+    return out.select("subject", "day", "event_id", F.col("lane").cast("int").alias("lane"))

@@ -89,6 +89,31 @@ def _(t):
     return identity.merged(t.series, moves).select("series_id", "account_id")
 
 
+#: Each user as an account of its own, and requests of three users of four: into the next, into one of the same platform, into itself.
+MERGES = """i AS (SELECT user_id AS account_id, platform FROM v_users),
+  r AS (SELECT account_id, account_id + CASE account_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS new_account_id FROM i WHERE account_id % 4 < 3),
+  m AS (SELECT *, CASE WHEN r.account_id = r.new_account_id THEN 'same' WHEN EXISTS (SELECT 1 FROM i a JOIN i b ON a.platform = b.platform WHERE a.account_id = r.account_id AND b.account_id = r.new_account_id) THEN 'platform' END AS reject FROM r)"""
+
+
+def merge_requests(t):
+    own = t.users.select(F.col("user_id").alias("account_id"), "platform")
+    into = F.col("account_id") + F.when(F.col("account_id") % 4 == 0, 1).when(F.col("account_id") % 4 == 1, 2).otherwise(0)
+    return identity.judged_moves(own.filter("account_id % 4 < 3").select("account_id", into.alias("new_account_id")), own)
+
+
+@query("d6_merge_requests", f"WITH {MERGES} SELECT account_id, new_account_id, reject FROM m")
+def _(t):
+    return merge_requests(t)
+
+
+@query("d6_merged_preferences", f"""
+WITH {MERGES}, p AS (SELECT user_id AS account_id, user_id % 5 AS summary_hour FROM v_users WHERE user_id % 3 <> 0)
+SELECT * FROM p UNION ALL SELECT new_account_id, summary_hour FROM m JOIN p USING (account_id) WHERE reject IS NULL AND new_account_id NOT IN (SELECT account_id FROM p)""")
+def _(t):
+    preferences = t.users.filter("user_id % 3 <> 0").select(F.col("user_id").alias("account_id"), (F.col("user_id") % 5).alias("summary_hour"))
+    return identity.merged_preferences(preferences, merge_requests(t).filter("reject IS NULL").select("account_id", "new_account_id"))
+
+
 @query("d10_snapshot_once", "SELECT min(event_id) AS captured, count(*) AS n FROM events")
 def _(t):
     """A snapshot is written where there is none; the second one stays out."""

@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from calspark.operators import grid, intervals, product, recurrence, reminders, slots
+from calspark.operators import grid, identity, intervals, product, recurrence, reminders, slots
 from calspark.sources import calendars, files
 
 D, T = dt.date, dt.datetime
@@ -45,6 +45,29 @@ def test_lanes_never_overlap_and_are_as_many_as_the_peak(spark):
     assert most == peak
 
 
+def test_lanes_equal_brute_force(spark):
+    """The least lane whose last event is over, tried one by one, also with events of equal times."""
+    rows, _ = made(spark, 200, 5)
+    rows += [("t", 900 + i, T(2024, 1, 1, 10), T(2024, 1, 1, 10 + i % 2), False) for i in range(6)] + [("t", 990, None, T(2024, 1, 1), False)]
+    want, ends = {}, {}
+    for s, i, start, end, all_day in sorted((r for r in rows if r[2] and not r[4]), key=lambda r: (r[2], r[3], r[1])):
+        day = ends.setdefault((s, start.date()), [])
+        lane = next((n for n, e in enumerate(day) if e <= start), len(day))
+        day[lane:lane + 1] = [end]
+        want[i] = lane
+    assert {r["event_id"]: r["lane"] for r in intervals.lanes(spark.createDataFrame(rows, ENTRY)).collect()} == want
+
+
+def test_account_merges(spark):
+    own = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "b"), (4, "c")], "account_id long, platform string")
+    requests = spark.createDataFrame([(2, 1), (3, 1), (4, 4), (4, 2), (4, 3)], "account_id long, new_account_id long")
+    judged = {(r[0], r[1]): r[2] for r in identity.judged_moves(requests, own).collect()}
+    assert judged == {(2, 1): None, (3, 1): "platform", (4, 4): "same", (4, 2): "platform", (4, 3): None}
+    moves = spark.createDataFrame([(2, 1), (5, 1), (4, 3)], "account_id long, new_account_id long")
+    preferences = spark.createDataFrame([(2, 8), (5, 9), (4, None), (3, 7)], "account_id long, hour int")
+    assert sorted(tuple(r) for r in identity.merged_preferences(preferences, moves).filter("hour IS NOT NULL").collect()) == [(1, 8), (2, 8), (3, 7), (5, 9)]
+
+
 def test_academic_weeks(spark):
     days = [(D(2026, 9, 1), D(2026, 9, 1)), (D(2026, 9, 1), D(2026, 9, 7)), (D(2026, 10, 12), D(2026, 10, 12)), (D(2027, 2, 8), D(2027, 2, 15)), (D(2030, 9, 1), D(2030, 9, 2))]
     df = spark.createDataFrame([(i, *d) for i, d in enumerate(days)], "i int, f date, d date").orderBy("i")
@@ -126,6 +149,20 @@ def test_chunks(spark):
     assert [r["chunk"] for r in grid.chunked(df, "doc_id", "line_no", 8).orderBy("line_no").collect()] == [0, 0, 1, 2, 3]
 
 
+def test_chunks_equal_brute_force(spark):
+    """Long documents too, lines of all lengths, empty ones and one without text."""
+    rnd = random.Random(1)
+    rows = [(d, i, rnd.choice([None, "", "x" * rnd.randint(1, 12)])) for d in (None, 1, 2) for i in range(30_000 if d == 2 else 40)]
+    want, state = {}, {}
+    for d, i, text in rows:
+        chunk, used = state.get(d, (0, 0))
+        n = len(text or "")
+        chunk, used = (chunk + 1, n) if used and used + n > 20 else (chunk, used + n)
+        want[d, i], state[d] = chunk, (chunk, used)
+    got = grid.chunked(spark.createDataFrame(rows, "doc_id long, line_no int, text string"), "doc_id", "line_no", 20)
+    assert {(r["doc_id"], r["line_no"]): r["chunk"] for r in got.collect()} == want
+
+
 def test_date_formulas(spark):
     rows = [(1, 0, D(2026, 1, 1), None, None)] + [(1, i, None, i - 1, 7) for i in range(1, 6)] + [(1, 8, None, 9, 1), (1, 9, None, 8, 1)]
     df = spark.createDataFrame(rows, "file_id long, cell long, day date, ref long, plus int")
