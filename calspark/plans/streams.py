@@ -10,6 +10,7 @@ from calspark.sources import calendars, files
 from calspark.streaming import jobs
 
 from .calendar import ENTRIES, entries
+from .recurrences import FIRST, LAST, WEEKLY
 from .registry import query
 
 
@@ -22,15 +23,41 @@ def entry_rows(t):
     return entries(t).select("subject", F.concat_ws("-", F.lit("event"), F.col("event_id").cast("string")).alias("uid"), "title", "start_at", "end_at", "all_day")
 
 
-@query("s9_feed_lines", f"""
-WITH {ENTRIES} SELECT event_id, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:event-' || CAST(event_id AS VARCHAR) || chr(13) || chr(10) || 'SUMMARY:' || regexp_replace(title, '([,;\\\\])', '\\\\\\1', 'g') || chr(13) || chr(10) ||
+#: The lines of an entry with a uid.
+LINES = f"""'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || uid || chr(13) || chr(10) || 'SUMMARY:' || regexp_replace(title, '([,;\\\\])', '\\\\\\1', 'g') || chr(13) || chr(10) ||
   CASE WHEN all_day THEN 'DTSTART;VALUE=DATE:' || strftime(start_at, '%Y%m%d') ELSE 'DTSTART:' || strftime(start_at, '%Y%m%dT%H%M%S') || 'Z' END || chr(13) || chr(10) ||
-  CASE WHEN all_day THEN 'DTEND;VALUE=DATE:' || strftime(CASE WHEN CAST(end_at AS DATE) > CAST(start_at AS DATE) THEN end_at ELSE start_at + INTERVAL 1 DAY END, '%Y%m%d') ELSE 'DTEND:' || strftime(end_at, '%Y%m%dT%H%M%S') || 'Z' END || chr(13) || chr(10) || 'END:VEVENT' AS lines FROM entries""")
+  CASE WHEN all_day THEN 'DTEND;VALUE=DATE:' || strftime(CASE WHEN CAST(end_at AS DATE) > CAST(start_at AS DATE) THEN end_at ELSE start_at + INTERVAL 1 DAY END, '%Y%m%d') ELSE 'DTEND:' || strftime(end_at, '%Y%m%dT%H%M%S') || 'Z' END || chr(13) || chr(10) || 'END:VEVENT'"""
+#: 60 days before and 370 days after now.
+FEED_SINCE, FEED_FIRST, FEED_LAST = "2023-11-16 12:00:00", "2023-11-16", "2025-01-19"
+
+
+@query("s9_feed_lines", f"""
+WITH {ENTRIES}, u AS (SELECT *, 'event-' || CAST(event_id AS VARCHAR) AS uid FROM entries) SELECT event_id, {LINES} AS lines FROM u""")
 def _(t):
     rows = entries(t).withColumn("uid", F.concat_ws("-", F.lit("event"), F.col("event_id").cast("string")))
     return calendars.feed_lines(rows).select("event_id", "lines")
 
 
+@query("s9_account_feeds", f"""
+WITH {ENTRIES}, {WEEKLY.replace(FIRST, FEED_FIRST).replace(LAST, FEED_LAST)},
+  x AS (SELECT subject, CASE WHEN platform = 'a' THEN 't-' ELSE 'm-' END || CAST(event_id AS VARCHAR) AS uid, title, start_at, end_at, all_day FROM entries WHERE end_at >= TIMESTAMP '{FEED_SINCE}'
+    UNION ALL SELECT 'account:' || CAST(account_id AS VARCHAR), replace(ref, ':', '-'), title, start_at, end_at, false FROM occurrences),
+  l AS (SELECT subject, uid, start_at, {LINES} AS lines FROM x)
+SELECT subject, count(*) AS n_events, sha256('BEGIN:VCALENDAR' || chr(13) || chr(10) || 'VERSION:2.0' || chr(13) || chr(10) || 'PRODID:-//calspark//feed//EN' || chr(13) || chr(10) || 'CALSCALE:GREGORIAN' || chr(13) || chr(10) || 'METHOD:PUBLISH' || chr(13) || chr(10) ||
+  string_agg(lines, chr(13) || chr(10) ORDER BY start_at, uid, lines) || chr(13) || chr(10) || 'END:VCALENDAR' || chr(13) || chr(10)) AS text_sha256 FROM l GROUP BY subject""")
+def _(t):
+    """Each subject's calendar text: its events that ended in the last 60 days or later, and its classes from then to 370 days on.
+
+    The SQL makes one text of a subject; a subject with over 2.5 MB of lines has several here.
+    """
+    own = entries(t).filter(F.col("end_at") >= F.lit(FEED_SINCE).cast("timestamp_ntz"))
+    own = own.select("subject", F.concat_ws("-", F.when(F.col("platform") == "a", "t").otherwise("m"), F.col("event_id").cast("string")).alias("uid"), "title", "start_at", "end_at", "all_day")
+    held = recurrence.occurrences(t.series, t.series_exceptions, FEED_FIRST, FEED_LAST)
+    held = held.select(F.concat(F.lit("account:"), F.col("account_id").cast("string")).alias("subject"), F.replace("ref", F.lit(":"), F.lit("-")).alias("uid"), "title", "start_at", "end_at", F.lit(False).alias("all_day"))
+    made = calendars.feeds(own.unionByName(held), "subject")
+    return made.select("subject", F.regexp_count("text", F.lit("BEGIN:VEVENT")).cast("long").alias("n_events"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("s1_calendar_files", f"""
 WITH {ENTRIES} SELECT 'event-' || CAST(event_id AS VARCHAR) AS uid, title AS summary, start_at, CASE WHEN all_day AND CAST(end_at AS DATE) <= CAST(start_at AS DATE) THEN date_trunc('day', start_at) + INTERVAL 1 DAY WHEN all_day THEN date_trunc('day', end_at) ELSE end_at END AS end_at, all_day FROM entries""")
 def _(t):

@@ -149,7 +149,7 @@ def feed_lines(entries: DataFrame) -> DataFrame:
     stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
     day = lambda c: F.date_format(c, "yyyyMMdd")
     last = F.when(F.to_date("end_at") > F.to_date("start_at"), day("end_at")).otherwise(F.date_format(F.date_add(F.to_date("start_at"), 1), "yyyyMMdd"))
-    title = F.regexp_replace(F.col("title"), r"([,;\\])", r"\\$1")
+    title = F.replace(F.regexp_replace(F.col("title"), r"([,;\\])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
     begin = F.when(F.col("all_day"), F.concat(F.lit("DTSTART;VALUE=DATE:"), day("start_at"))).otherwise(F.concat(F.lit("DTSTART:"), stamp("start_at"), F.lit("Z")))
     end = F.when(F.col("all_day"), F.concat(F.lit("DTEND;VALUE=DATE:"), last)).otherwise(F.concat(F.lit("DTEND:"), stamp("end_at"), F.lit("Z")))
     lines = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "uid"), F.concat(F.lit("SUMMARY:"), title), begin, end, F.lit("END:VEVENT"))
@@ -161,7 +161,7 @@ def feeds(entries: DataFrame, key: str, most_bytes: int = MOST_BYTES - 1000) ->
     rows = dealt(feed_lines(entries), key, ["start_at", "uid", "lines"], F.octet_length("lines") + 2, most_bytes)
     rows = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("start_at", "uid", "lines"))).alias("events"))
     body = F.array_join(F.transform("events", lambda x: x["lines"]), "\r\n")
-    return rows.select(key, "part", F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), body, F.lit("END:VCALENDAR"), F.lit("")).alias("text"))
+    return rows.select(key, "part", F.concat_ws("\r\n", F.lit("BEGIN:VCALENDAR"), F.lit("VERSION:2.0"), F.lit("PRODID:-//calspark//feed//EN"), F.lit("CALSCALE:GREGORIAN"), F.lit("METHOD:PUBLISH"), body, F.lit("END:VCALENDAR"), F.lit("")).alias("text"))
 
 
 def without_dates(days: DataFrame, exdates: DataFrame) -> DataFrame:
