@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, centroids, embedding_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
 
 from .exact_dedup import exact_duplicates
 from .shared import table
@@ -87,6 +87,36 @@ FROM embeddings e LEFT JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(rounds: int = centroids.ROUNDS) -> str:
+    """Each round is two steps: cN are the centroids, aN the nearest of them for each vector."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT rid, vec_id, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+    SELECT rid, vec_id, v, k, list_sum([(v[i] - c[i]) * (v[i] - c[i]) FOR i IN range(1, 65)]) AS d FROM kept, c{r}) GROUP BY ALL
+)"""
+    moved = """c{n} AS MATERIALIZED (
+  SELECT k, coalesce(m, c) AS c FROM c{r} LEFT JOIN (
+    SELECT k, list((t - ((t % n) + n) % n) // n ORDER BY i) AS m FROM (
+      SELECT k, i, sum(v[i])::BIGINT AS t, count(*) AS n FROM a{r}, (SELECT unnest(range(1, 65)) AS i) GROUP BY k, i) GROUP BY k) USING (k)
+)"""
+    steps = ["""kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)""", """c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS k, v AS c FROM kept QUALIFY k < 40
+)"""]
+    for r in range(rounds):
+        steps += [nearest.format(r=r), moved.format(r=r, n=r + 1)]
+    steps.append(nearest.format(r=rounds))
+    return "WITH " + ", ".join(steps) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -99,8 +129,9 @@ def queries() -> dict:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_centroids": op11_centroids,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroids": _op11_sql()}
