@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, centroids, embedding_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, centroids, divergence, embedding_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
 
 from .exact_dedup import exact_duplicates
 from .shared import table
@@ -117,6 +117,42 @@ SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTIT
 FROM a{rounds} JOIN c{rounds} USING (k)"""
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), o AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM o GROUP BY ALL HAVING count(DISTINCT rid) >= 10),
+cells AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*) AS v, sum(total)::HUGEINT + 2 * count(*) AS whole FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+sums AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(sum(c.n), 0)::HUGEINT + 2 * coalesce(l.v, 0) AS whole
+  FROM groups g LEFT JOIN langs l USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source, l.v
+), p AS MATERIALIZED (
+  SELECT s.lang, s.source, k.term, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // s.whole AS p, coalesce(c.n, 0) AS n
+  FROM sums s JOIN kept k ON k.lang = s.lang LEFT JOIN cells c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0)::BIGINT AS value
+  FROM sums a JOIN sums b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY ALL
+), terms AS (
+  SELECT p.lang, p.source, p.term AS item, p.p, 1 + (1000000000::HUGEINT * (k.total + 2)) // l.whole AS q
+  FROM p JOIN kept k ON k.lang = p.lang AND k.term = p.term JOIN langs l ON l.lang = p.lang WHERE p.n > 0
+), own AS (
+  SELECT lang, source, item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value, row_number() OVER (PARTITION BY lang, source ORDER BY ((p - q) * (p - q)) // (p + q) DESC, item) AS rank
+  FROM terms WHERE p > q QUALIFY rank <= 10
+)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM own
+"""
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -130,8 +166,9 @@ def queries() -> dict:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_toxicity": op10_toxicity,
         "op11_centroids": op11_centroids,
+        "op12_divergence": op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroids": _op11_sql()}
+    return {"op7_embedding_dedup": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_centroids": _op11_sql(), "op12_divergence": OP12_SQL}
