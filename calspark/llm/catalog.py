@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, centroids, divergence, embedding_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_counts, toxicity
+from . import byte_bpe, centroids, divergence, embedding_dedup, ngram_join, packing, phrases, pii, quality, suffix_dedup, token_counts, toxicity
 
 from .exact_dedup import exact_duplicates
 from .shared import table
@@ -153,6 +153,10 @@ UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM own
 """
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.without_phrases(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_ngram_join": op1_ngram_join,
@@ -167,6 +171,7 @@ def queries() -> dict:
         "op10_toxicity": op10_toxicity,
         "op11_centroids": op11_centroids,
         "op12_divergence": op12_divergence,
+        "op13_phrases": op13_phrases,
     }
 
 

@@ -76,6 +76,34 @@ def digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.frombuffer(found, np.int64).reshape(-1, 2)
 
 
+def anchored(h: np.ndarray, begins: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of starts (so many in each text, from its first place on) with the same anchor, the least of ``window`` hashes from there.
+
+    Returned are text, first place, number of starts, anchor, and whether a run may hold a string twice.
+    """
+    minima = least(h, window)
+    at = ragged(begins, starts)
+    text = np.repeat(np.arange(len(begins)), starts)
+    value = minima[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
+    run = np.flatnonzero(new)
+    length_of = np.diff(np.append(run, len(at)))
+    parts = -(-length_of // PIECE_STARTS)
+    cuts = ragged(np.zeros(len(run), np.int64), parts) * PIECE_STARTS
+    owner = np.repeat(np.arange(len(run)), parts)
+    first = at[run[owner]] + cuts
+    count = np.minimum(length_of[owner] - cuts, PIECE_STARTS)
+    anchor = value[run[owner]].view(np.int64)
+    # places that are the least of some window; a piece with two of its own value may repeat in itself
+    chosen = np.flatnonzero(least(minima[::-1], window, np.maximum)[::-1] == h)
+    lo, hi = np.searchsorted(chosen, first), np.searchsorted(chosen, first + count + window - 1)
+    inside = ragged(lo, hi - lo)
+    own = np.repeat(np.arange(len(lo)), hi - lo)
+    multi = (np.bincount(own, h[chosen[inside]].view(np.int64) == anchor[own], len(lo)) > 1) | (parts[owner] > 1)
+    return text[run[owner]], first, count, anchor, multi
+
+
 class Pieces:
     """The pieces of a batch of texts: text, first start, number of starts, anchor, digest, whether it may repeat in itself."""
 
@@ -96,28 +124,8 @@ class Pieces:
             length *= 2
         if length < gram:
             raise ValueError("gram has to be a power of two from 8 on")
-        minima = least(h, window)
-        at = ragged(self.begins, starts)
-        text = np.repeat(np.arange(len(texts)), starts)
-        value = minima[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-        run = np.flatnonzero(new)
-        length_of = np.diff(np.append(run, len(at)))
-        parts = -(-length_of // PIECE_STARTS)
-        cuts = ragged(np.zeros(len(run), np.int64), parts) * PIECE_STARTS
-        owner = np.repeat(np.arange(len(run)), parts)
-        self.at = at[run[owner]] + cuts
-        self.count = np.minimum(length_of[owner] - cuts, PIECE_STARTS)
-        self.text = text[run[owner]]
+        self.text, self.at, self.count, self.anchor, self.multi = anchored(h, self.begins, starts, window)
         self.first = self.at - self.begins[self.text]
-        self.anchor = value[run[owner]].view(np.int64)
-        # places that are the least of some window; a piece with two of its own value may repeat in itself
-        chosen = np.flatnonzero(least(minima[::-1], window, np.maximum)[::-1] == h)
-        lo, hi = np.searchsorted(chosen, self.at), np.searchsorted(chosen, self.at + self.count + window - 1)
-        inside = ragged(lo, hi - lo)
-        own = np.repeat(np.arange(len(lo)), hi - lo)
-        self.multi = (np.bincount(own, h[chosen[inside]].view(np.int64) == self.anchor[own], len(lo)) > 1) | (parts[owner] > 1)
         self.size = self.count + match - 1
         self.digest = digests(self.data.tobytes(), self.at, self.at + self.size)
 
