@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, grouped, pieces_of, width
+from .shared import cut, grouped, joined, pieces_of, width
 
 #: A term of the vocabulary is in so many documents of the language at least.
 LEAST_DOCUMENTS = 10
@@ -41,6 +41,8 @@ LEVEL_BYTES = BLOCK_TERMS // 4
 #: Groups of a set; two sets are a tile.
 SET_GROUPS = 32
 BATCH_BYTES = 4_000_000
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 400_000
 #: Words of bitsets that are combined at a time.
 WORDS_AT_ONCE = 1 << 21
 
@@ -49,17 +51,27 @@ TERM_BYTES = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences and documents of each term of each group in a batch."""
+    """Occurrences and documents of each term of each group, handed on whenever there are HELD_TERMS of them."""
+    count, docs, held = defaultdict(Counter), defaultdict(Counter), 0
     for batch in pieces_of(batches, "text", BATCH_BYTES):
-        count, docs = defaultdict(Counter), defaultdict(Counter)
         for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
             terms = bytes(text.as_buffer()).translate(TERM_BYTES).split()
-            count[lang, source].update(terms)
+            own = count[lang, source]
+            held -= len(own)
+            own.update(terms)
             docs[lang, source].update(set(terms))
-        for (lang, source), own in count.items():
-            n = len(own)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.array([docs[lang, source][t] for t in own], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
+            held += len(own)
+        if held > HELD_TERMS:
+            yield from _held(count, docs)
+            count, docs, held = defaultdict(Counter), defaultdict(Counter), 0
+    yield from _held(count, docs)
+
+
+def _held(count: dict, docs: dict) -> Iterator[pa.RecordBatch]:
+    for (lang, source), own in count.items():
+        n = len(own)
+        columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(list(own.values()), pa.int64()), pa.array([docs[lang, source][t] for t in own], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "count", "docs"])
 
 
 def shares(counts: np.ndarray, whole: int) -> np.ndarray:
@@ -162,10 +174,10 @@ def divergence(df: DataFrame, least_documents: int = LEAST_DOCUMENTS, top: int =
     cells = cut(cells.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs")))
     kept = cells.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents)
     kept = cut(kept.select("lang", "term", "total", F.floor(F.log2("total")).cast("int").alias("band")))
-    bands = kept.groupBy("lang", "band").agg(F.ceil(F.count(F.lit(1)) / block_terms).cast("int").alias("buckets"))
-    placed = kept.join(bands, ["lang", "band"]).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int"))
-    # the numbers of terms within their block, which holds a bounded number of them
-    placed = placed.withColumn("number", F.row_number().over(Window.partitionBy("lang", "band", "bucket").orderBy("term")))
+    bands = cut(kept.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("n"))).withColumn("buckets", F.ceil(F.col("n") / block_terms).cast("int"))
+    placed = joined(kept, bands, ["lang", "band"], "n", kept.count()).withColumn("bucket", F.pmod(F.xxhash64("term"), F.col("buckets")).cast("int"))
+    # the numbers of terms within their block, which holds a bounded number of them; blocks are dealt one by one, not by band
+    placed = placed.drop("n").repartition(width(df), "lang", "band", "bucket").withColumn("number", F.row_number().over(Window.partitionBy("lang", "band", "bucket").orderBy("term")))
     found = cut(cells.drop("docs").join(placed.drop("buckets"), ["lang", "term"]))
     langs = docs.select("lang").distinct().join(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("total").alias("n")), "lang", "left")
     langs = langs.select("lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("n", F.lit(0)).alias("n_lang"))
