@@ -32,8 +32,8 @@ from .token_counts import byte_letters, normal
 from .words import distinct, split
 
 CAPACITY = 2048
-#: Lengths over this share of the capacity are grouped; the others are small.
-LARGE = 1 / 8
+#: Lengths over a share of the capacity are grouped, the others are small: plans are made for these shares until one can't be bettered.
+LARGE = (1 / 3, 1 / 2, 1 / 8)
 GROUPS = 64
 BATCH_BYTES = 6_000_000
 END_ID = 0
@@ -199,11 +199,9 @@ class Plan:
     def small(self) -> None:
         """Best fit, greatest lengths first; new sequences where nothing has room."""
         for x in sorted((x for x, n in self.left.items() if n), reverse=True):
-            for room in range(x, self.capacity + 1):
-                while self.left[x] and self.room.get(room):
-                    self.put(x, self.take(room, self.left[x]), room)
-                if not self.left[x]:
-                    break
+            # what is left beside a piece may take another of its length: the least room is looked for again
+            while self.left[x] and (room := next((r for r in range(x, self.capacity + 1) if self.room.get(r)), None)):
+                self.put(x, self.take(room, self.left[x]), room)
             while n := self.left[x]:
                 each = self.capacity // x
                 ranges, room = self.open(-(-n // each)), self.capacity
@@ -220,12 +218,17 @@ class Plan:
                     self.room[room] += ranges
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> np.ndarray:
-    """The runs that place so many pieces of each length, by length and first piece."""
-    p = Plan(counts, capacity)
-    p.large(int(capacity * large), groups)
-    p.small()
-    return np.sort(np.array(p.runs, RUN), order=["length", "first"])
+def plan(counts: dict[int, int], capacity: int = CAPACITY, large: tuple[float, ...] = LARGE, groups: int = GROUPS) -> np.ndarray:
+    """The runs that place so many pieces of each length, by length and first piece: of the plans tried, the one with the fewest sequences."""
+    least, best = -(-sum(x * n for x, n in counts.items()) // capacity), None
+    for share in large:
+        p = Plan(counts, capacity)
+        p.large(int(capacity * share), groups)
+        p.small()
+        best = p if best is None or p.sequences < best.sequences else best
+        if best.sequences == least:
+            break
+    return np.sort(np.array(best.runs, RUN), order=["length", "first"])
 
 
 def pack(df: DataFrame, path: str, capacity: int = CAPACITY, special: bool = False) -> DataFrame:

@@ -83,6 +83,17 @@ def test_longest_match_counts_equal_brute_force(spark):
         assert got[i] == (len(words), sum(greedy(w.encode()) for w in words))
 
 
+def best_fit_decreasing(lengths, capacity):
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        i = min((i for i, room in enumerate(rooms) if room >= x), key=rooms.__getitem__, default=None)
+        if i is None:
+            rooms.append(capacity - x)
+        else:
+            rooms[i] -= x
+    return len(rooms)
+
+
 def test_packing(spark):
     path = tokenizer("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -105,7 +116,7 @@ def test_packing(spark):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 64
-    assert len(by_sequence) <= 1.1 * sum(r["length"] for r in got) / 64 + 2
+    assert len(by_sequence) <= best_fit_decreasing([r["length"] for r in got], 64)
     assert packing.pack(frame(spark, []), path).collect() == []
 
 
@@ -119,5 +130,11 @@ def test_plans_place_every_piece_once(counts):
         ends = [0, *(o + n for o, n, _ in sorted(own))]
         assert [o for o, *_ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
     assert sorted((n, k) for own in places.values() for _, n, k in own) == sorted((n, k) for n, c in counts.items() for k in range(c))
-    total = sum(n * c for n, c in counts.items())
-    assert len(places) <= 1.12 * total / 2048 + 2
+    assert len(places) <= best_fit_decreasing([n for n, c in counts.items() for _ in range(c)], 2048)
+
+
+def test_as_few_sequences_as_best_fit(spark):
+    """On the given table, the least number that there can be."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack(rows, tokenizer("word_bpe_49k.json"), special=True).select("sequence_id", "length").collect()
+    assert len({r["sequence_id"] for r in got}) == -(-sum(r["length"] for r in got) // 2048)
