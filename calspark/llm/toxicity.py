@@ -5,20 +5,21 @@ them, and each letter spanned costs a factor of DECAY, so an insult with letters
 itself. Marks and digits inside a word are dropped and single letters in a row are put together before, which
 closes the gaps of spelled-out words. The kernel of two sentences is the sum over their distinct words. A word's subsequences
 are hashed into DIMENSIONS counts, and kernel values are products of those, scaled to length one. Landmarks are words
-of the labelled sentences, those that tell the classes best first; kernel values to them, whitened by the landmarks'
+of the labelled sentences, those that tell the classes best first, if unlike each other; kernel values to them, whitened by the landmarks'
 own kernel matrix, are the features of a sentence, from which a linear hinge-loss model is fitted.
 
-Labels are given for texts, so sentences are learnt as multiple instances: a toxic text has a toxic sentence, a clean
-one has none. The evidence of the landmarks (log-likelihood ratios of their counts) points out a sentence of each text
-first; models are then fitted to what is pointed out, ROUNDS times, and each points out the worst sentences anew. Toxic
-texts whose worst sentence is like those of clean texts teach nothing in a round; clean sentences are kept from
-all rounds. Every sentence of every
-labelled text takes part. A sentence is cut where it has more than WINDOW words. As features and model are linear in
-the hashed counts, both fold into one weight for each count, and a distinct word of a batch costs a few look-ups. A
-text is as toxic as its worst sentence; the chance of that is calibrated on the third of the texts that was held back.
+Labels are given for texts, so sentences are learnt as multiple instances: a toxic text has toxic ones, a clean
+one has none. An instance is LONGEST words in a row of a sentence, beginning at each of its words, so no two neighbours are
+ever apart; longer instances were tried on the texts held back and drown an insult in the words around it. The evidence of the
+landmarks (log-likelihood ratios of their counts) points out the WORST instances of each text first; models are then
+fitted to what is pointed out, ROUNDS times, and each points out the worst ones anew. Instances of toxic texts
+that are like the worst of clean texts teach nothing in a round, but are judged again in the next; those of clean texts are kept from all
+rounds. Every word of every labelled text takes part. As features and model are linear in the hashed counts, both fold into one weight for each
+count, and a distinct word of a batch costs a few look-ups. The margin of a text is the mean of its TOP worst
+instances; its chance is calibrated on the third of the labelled texts that was held back. All settings were chosen on that
+third, never on rows held out.
 
-Labelled texts are a bounded sample (TRAIN_ROWS, those with the smallest hashes of doc_id); near copies among them
-count once.
+Labelled texts are a bounded sample (TRAIN_ROWS, those with the smallest hashes of doc_id).
 
 Defined cases: null text counts as empty; an empty sentence belongs to every text, so texts without letters have its
 score; without labels of both classes the score is 0.5 for all; doc_id null is held out; repeated rows each get a
@@ -34,7 +35,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +48,16 @@ DIMENSIONS = 1 << 18
 DECAY = 0.6
 #: Letters from the first to the last of a subsequence, at most.
 SPAN = 6
-LANDMARKS = 160
-#: Words of a sentence, at most, and models fitted one after the other.
-WINDOW, ROUNDS = 2, 3
-#: Share of the clean texts whose worst sentence a toxic text's has to exceed to be learnt from.
+LANDMARKS = 240
+#: Words of most evidence that landmarks are chosen from, and the kernel value from which two are too near to both be one.
+CANDIDATES, NEAR = 1500, 0.7
+#: Words of an instance, at most, and from where one begins to where the next does.
+LONGEST, STRIDE = 2, 1
+#: Models fitted one after the other, and the worst instances of a text that each is fitted to.
+ROUNDS, WORST = 3, 5
+#: Instances whose mean margin is that of a text.
+TOP = 2
+#: Share of the worst instances of clean texts that one of a toxic text has to exceed to be learnt from.
 TYPICAL = 0.98
 COST = 1.0
 BATCH_BYTES = 6_000_000
@@ -93,16 +99,34 @@ def letter_words(texts: list[str]) -> tuple[Words, np.ndarray, np.ndarray]:
     np.cumsum(each, out=offset[1:])
     data = np.frombuffer(letters.tobytes().decode("utf-32-le").encode(), np.uint8)
     words = Words(data, offset[starts], offset[starts + sizes] - offset[starts], np.bincount(owner, minlength=len(lower)))
-    return words, np.stack([starts, sizes], 1), windows(owner, ends)
+    return words, np.stack([starts, sizes], 1), ends
 
 
-def windows(owner: np.ndarray, sentence: np.ndarray) -> np.ndarray:
-    """A number for each stretch of up to WINDOW words of one sentence."""
-    new = np.ones(len(owner), bool)
+def instances(owner: np.ndarray, sentence: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, instance) for the distinct words of each instance, and the text of each.
+
+    An instance is a whole sentence, or, of a longer one, LONGEST words in a row; these begin every STRIDE words, so they overlap.
+    """
+    n = len(owner)
+    new = np.ones(n, bool)
     new[1:] = (sentence[1:] != sentence[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    inside = np.arange(len(owner)) - np.repeat(first, np.diff(np.append(first, len(owner))))
-    return np.cumsum(new | (inside % WINDOW == 0)) - 1
+    of = np.cumsum(new) - 1
+    size = np.diff(np.append(first, n))
+    number = 1 + np.maximum(-(-(size - LONGEST) // STRIDE), 0)
+    base = np.cumsum(number) - number
+    before = np.full(n, -1, np.int64)  # the same word before in the sentence
+    order = np.lexsort((np.arange(n), codes, of))
+    again = (codes[order][1:] == codes[order][:-1]) & (of[order][1:] == of[order][:-1])
+    before[order[1:][again]] = order[:-1][again]
+    step = (np.arange(n) - first[of]) // STRIDE
+    words, found = [], []
+    for back in range(LONGEST // STRIDE):
+        k = step - back
+        on = np.flatnonzero((k >= 0) & (k < number[of]) & (before < first[of] + k * STRIDE))
+        words.append(on)
+        found.append(base[of[on]] + k[on])
+    return np.concatenate(words), np.concatenate(found), np.repeat(owner[first], number)
 
 
 def subsequences(letters: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -144,19 +168,19 @@ class Model:
         if not len(places):
             return np.zeros(0), np.zeros(0, np.int64)
         codes, model = distinct(words)
+        word, instance, doc = instances(np.repeat(np.arange(len(texts)), words.counts), sentence, codes)
         points = np.frombuffer(bytes(words.data).decode().encode("utf-32-le"), "<u4")
         margins = self.of_words(points, places[model, 0], places[model, 1])[codes]
-        for back in range(1, WINDOW):  # a word again in its sentence adds nothing
-            margins[back:][(codes[back:] == codes[:-back]) & (sentence[back:] == sentence[:-back])] = 0
-        first = np.flatnonzero(np.diff(sentence, prepend=-1))
-        return np.bincount(sentence, margins) + self.bias, np.repeat(np.arange(len(texts)), words.counts)[first]
+        return np.bincount(instance, margins[word], len(doc)) + self.bias, doc
 
     def of_texts(self, texts: list[str]) -> np.ndarray:
-        """The margin of the worst sentence of each text, an empty one among them."""
+        """The mean margin of the TOP worst instances of each text; empty ones stand in where there are fewer."""
         margins, doc = self.of_sentences(texts)
-        out = np.full(len(texts), self.bias)
-        np.maximum.at(out, doc, margins)
-        return out
+        order = np.lexsort((-margins, doc))
+        margins, doc = margins[order], doc[order]
+        top = np.arange(len(doc)) - np.searchsorted(doc, doc) < TOP
+        n = np.bincount(doc[top], minlength=len(texts))
+        return (np.bincount(doc[top], margins[top], len(texts)) + (TOP - n) * self.bias) / TOP
 
 
 def counts_of(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -184,35 +208,6 @@ def kernel(counts: list[tuple[np.ndarray, np.ndarray]], landmarks: list[tuple[np
     return out
 
 
-def low_hashes(words: list[str], hashes: int = 16) -> list[int]:
-    """Minimal hashes of the pairs of words that follow each other."""
-    mul = np.random.default_rng(5).integers(1, 2**62, hashes).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    w = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
-    pair = (w[:-1] * np.uint64(0x9E3779B97F4A7C15) + w[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(w) > 1 else w
-    return ((pair[:, None] ^ (pair[:, None] >> np.uint64(29))) * mul).min(0).view(np.int64).tolist() if len(pair) else []
-
-
-def one_of_near_copies(low: list[list[int]]) -> list[int]:
-    """The places of texts that share fewer than two of eight pairs of minimal hashes with any before them."""
-    root = list(range(len(low)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    seen: dict[tuple, int] = {}
-    for i, h in enumerate(low):
-        keys = [(k, h[k], h[k + 1]) for k in range(0, len(h), 2)]
-        for r, n in Counter(find(seen[k]) for k in keys if k in seen).items():
-            if n >= 2:
-                root[find(i)] = find(r)
-        for k in keys:
-            seen.setdefault(k, i)
-    return [i for i in range(len(low)) if find(i) == i]
-
-
 def words_of(text: str) -> list[str]:
     words, places, _ = letter_words([text])
     letters = bytes(words.data).decode()
@@ -220,10 +215,15 @@ def words_of(text: str) -> list[str]:
 
 
 def sentences_of(text: str) -> list[list[str]]:
+    """The distinct words of each instance."""
     words, places, sentence = letter_words([text])
+    if not len(places):
+        return []
     letters = bytes(words.data).decode()
-    out: list[list[str]] = [[] for _ in range(int(sentence[-1]) + 1 if len(sentence) else 0)]
-    for (a, n), k in zip(places.tolist(), sentence.tolist(), strict=True):
+    word, instance, doc = instances(np.zeros(len(places), np.int64), sentence, distinct(words)[0])
+    out: list[list[str]] = [[] for _ in doc]
+    for i, k in zip(word.tolist(), instance.tolist(), strict=True):
+        a, n = places[i].tolist()
         out[k].append(letters[a: a + n])
     return out
 
@@ -260,14 +260,29 @@ class Landmarks:
         return self.folded(self.whiten @ w[:-1], float(w[-1]))
 
 
-def worst(model: Model | dict[str, float], text: str) -> tuple[float, list[str]]:
-    """The sentence with the greatest margin, or with the word of most evidence, the first of equals; an empty one without words."""
+def worst(model: Model | dict[str, float], text: str, most: int = WORST) -> list[tuple[float, list[str]]]:
+    """The instances with the greatest margins, or with the words of most evidence, the first of equals; an empty one of a text without words."""
     sentences = sentences_of(text)
+    if not sentences:
+        return [(model.bias if isinstance(model, Model) else 0.0, [])]
     if isinstance(model, Model):
         values = model.of_sentences([text])[0]
     else:
         values = np.array([max(model.get(w, 0.0) for w in own) for own in sentences])
-    return (float(values.max()), sentences[int(values.argmax())]) if sentences else (model.bias if isinstance(model, Model) else 0.0, [])
+    return [(float(values[i]), sentences[i]) for i in np.argsort(-values, kind="stable")[:most]]
+
+
+def unlike_each_other(words: list[str], most: int) -> list[int]:
+    """The first words, as many as asked for, that are not near to a word before them, then the first others."""
+    if not words:
+        return []
+    counts = counts_of(words)
+    near = kernel(counts, counts) > NEAR
+    picked: list[int] = []
+    for i in range(len(words)):
+        if len(picked) < most and not near[i, picked].any():
+            picked.append(i)
+    return sorted(picked + [i for i in range(len(words)) if i not in set(picked)][: most - len(picked)])
 
 
 def landmark_words(sample: DataFrame, total: Counter) -> dict[str, float]:
@@ -284,47 +299,45 @@ def landmark_words(sample: DataFrame, total: Counter) -> dict[str, float]:
     part = lambda k, s: F.when(F.col(k) > 0, F.col(k) * F.ln(F.col(k) / (F.col("n") + F.col("m")) / s)).otherwise(0.0)
     counts = cut(counts.withColumn("evidence", part("n", share) + part("m", 1 - share)).withColumn("toxic", F.col("n") > share * (F.col("n") + F.col("m"))))
     some = LANDMARKS // 8
-    picked = [(counts.filter("toxic"), [F.desc("evidence"), "word"], LANDMARKS - 2 * some), (counts.filter("NOT toxic"), [F.desc("m"), "word"], some), (counts, [F.xxhash64("word"), "word"], some)]
-    found = {r["word"]: r["evidence"] if r["toxic"] else 0.0 for rows, order, most in picked for r in rows.orderBy(*order).limit(most).collect()}
+    picked = [(counts.filter("toxic"), [F.desc("evidence"), "word"], CANDIDATES), (counts.filter("NOT toxic"), [F.desc("m"), "word"], some), (counts, [F.xxhash64("word"), "word"], some)]
+    best, *others = [rows.orderBy(*order).limit(most).collect() for rows, order, most in picked]
+    unlike = [best[i] for i in unlike_each_other([r["word"] for r in best], LANDMARKS - 2 * some)]
+    found = {r["word"]: r["evidence"] if r["toxic"] else 0.0 for rows in (unlike, *others) for r in rows}
     return {w: x / max(1e-9, *found.values(), 0.0) for w, x in sorted(found.items())}
 
 
 def fit(df: DataFrame, labels: DataFrame, learnt_from: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """A model from the rows of ``labels.toxic`` for which ``learnt_from`` holds, train_rows at most.
 
-    The driver gets minimal hashes of each row, LANDMARKS words, and in each round the features of a sentence of each row.
+    The driver gets ids and labels, CANDIDATES words, and in each round the features of WORST instances of each row.
     """
     sample = cut(training_rows(df, labels, "toxic", learnt_from, train_rows).select("doc_id", "label", "text").repartition(width(df), "doc_id"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [low_hashes(list(dict.fromkeys(words_of(t)))) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(low, pa.list_(pa.int64()))], ["doc_id", "label", "low"])
-
-    rows = sorted(sample.mapInArrow(hashed, "doc_id long, label int, low array<long>").collect(), key=lambda r: r["doc_id"])
-    rows = [rows[i] for i in one_of_near_copies([list(r["low"]) for r in rows])]
+    rows = sample.select("doc_id", "label").collect()  # train_rows at most
     back = {r["doc_id"] for r in rows if zlib.crc32(b"%d back" % r["doc_id"]) % 3 == 0}
     total = Counter(r["label"] for r in rows if r["doc_id"] not in back)
     if len(total) < 2:
         return Model(np.zeros(DIMENSIONS))
     ids = df.sparkSession.createDataFrame([(r["doc_id"], r["doc_id"] in back) for r in rows], "doc_id long, back boolean")
-    sample = cut(sample.join(F.broadcast(ids), "doc_id"))  # train_rows at most
+    sample = cut(sample.join(F.broadcast(ids), "doc_id"))
     learnt = sample.filter("NOT back")
     evidence = landmark_words(learnt, total)
     landmarks = Landmarks(list(evidence))
     model, hard = evidence, None
 
     def pointed_out(model: Model | dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Features of the worst sentence of each toxic text, if it is no typical one, and of each clean text."""
+        """Features of the worst instances of toxic texts, those that are no typical ones, and of clean texts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = [worst(model, t) for t in batch.column("text").to_pylist()]
-                values = [landmarks.features(own).tobytes() for _, own in found]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([v for v, _ in found], pa.float64()), pa.array(values, pa.binary())], ["doc_id", "label", "value", "features"])
-
-        found = sorted(learnt.mapInArrow(run, "doc_id long, label int, value double, features binary").collect(), key=lambda r: r["doc_id"])
-        x, y, value = np.array([np.frombuffer(r["features"]) for r in found]), np.array([r["label"] for r in found]), np.array([r["value"] for r in found])
+                at = pa.array(np.repeat(np.arange(batch.num_rows), [len(own) for own in found]))
+                every = [x for own in found for x in own]
+                values = [landmarks.features(own).astype(np.float32).tobytes() for _, own in every]
+                columns = [batch.column("doc_id").take(at), batch.column("label").take(at), pa.array([v for v, _ in every], pa.float64()), pa.array(values, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "label", "value", "features"])
+
+        found = sorted(learnt.mapInArrow(run, "doc_id long, label int, value double, features binary").collect(), key=lambda r: (r["doc_id"], -r["value"], r["features"]))
+        x, y, value = np.array([np.frombuffer(r["features"], np.float32) for r in found], np.float64), np.array([r["label"] for r in found]), np.array([r["value"] for r in found])
         telling = value > np.quantile(value[y == 0], TYPICAL)
         return x[(y == 1) & telling] if (telling & (y == 1)).any() else x[y == 1], x[y == 0]
 

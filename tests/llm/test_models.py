@@ -66,8 +66,11 @@ def test_quality_of_odd_rows(spark, tables):
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out")
-    n, right = found.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == F.col("predicted")).cast("int"))).first()
-    assert n > 500 and right / n > 0.96
+    count = {(r["toxic"], r["predicted"]): r["count"] for r in found.groupBy("toxic", "predicted").count().collect()}
+    toxic, clean = count[1, 1] + count.get((1, 0), 0), count[0, 0] + count.get((0, 1), 0)
+    print("recall", count[1, 1], toxic, "clean flagged", count.get((0, 1), 0), clean)
+    assert toxic > 60 and count[1, 1] / toxic >= 0.8
+    assert clean > 400 and count.get((0, 1), 0) / clean <= 0.02
 
 
 def test_toxicity_of_odd_rows(spark, tables):
@@ -113,13 +116,15 @@ def test_landmark_features_reproduce_the_kernel():
     model = marks.fitted(np.array([marks.features([w]) for w in words[:2]]), np.array([marks.features([w]) for w in words[2:]]))
     toxic, clean = model.of_texts(["you idxiot", "i d i o t", "an id-iot", "moronn"]), model.of_texts(["a table by the window", "the garden", ""])
     assert min(toxic) > max(clean)
-    assert toxicity.worst(model, "The table. An idiot here! A window")[1] == ["an", "idiot"]
+    assert "idiot" in toxicity.worst(model, "The table. An idiot here! A window")[0][1]
 
 
-def test_sentences_hold_every_word():
-    text = "One two three four five. Six\nseven; eight, i d i o t x.y"
-    assert [w for own in toxicity.sentences_of(text) for w in own] == toxicity.words_of(text)
-    assert all(len(own) <= toxicity.WINDOW for own in toxicity.sentences_of(text)) and toxicity.sentences_of(" 1 ") == []
+def test_instances_hold_all_neighbours():
+    text = "One two three four five. Six\nseven; eight, i d i o t x.y one one. end"
+    found = toxicity.sentences_of(text)
+    assert found[:4] == [["one", "two"], ["two", "three"], ["three", "four"], ["four", "five"]]
+    assert {w for own in found for w in own} == set(toxicity.words_of(text)) and ["end"] in found and ["one"] in found
+    assert toxicity.sentences_of(" 1 ") == []
 
 
 def test_hinge_loss_by_coordinates():
