@@ -68,20 +68,20 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns.values()], [*columns])
 
 
-def _whole(polynomial: Polynomial, bitmap: np.ndarray | None):
-    """Normalises and hashes short texts; with a bitmap only texts in it come back, with their bytes."""
+def _whole(polynomial: Polynomial, bitmap: np.ndarray | None, content: bool):
+    """Normalises and hashes short texts; with a bitmap only texts in it come back; with ``content`` their bytes, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "piece", BATCH_BYTES):
             norm = [bytes(x.as_buffer()).translate(None, SPACES) for x in batch.column("piece")]
             h = np.array([polynomial.chunk(x) for x in norm], np.int64).reshape(-1, 2)
-            at = np.arange(len(h)) if bitmap is None else np.flatnonzero(in_bitmap(bitmap, h[:, 0]))
+            at = np.flatnonzero(in_bitmap(bitmap, h[:, 0]))
             rows = pa.array(at)
             yield _batch({
                 "doc_id": batch.column("doc_id").take(rows), "n_cp": batch.column("n_cp").take(rows),
                 "n_bytes": pa.array([len(norm[i]) for i in at], pa.int64()), "h0": pa.array(h[at, 0]), "h1": pa.array(h[at, 1]),
                 "text_sha256": pa.array([hashlib.sha256(norm[i]).hexdigest() for i in at], pa.string()),
-                "norm": pa.nulls(len(at), pa.binary()) if bitmap is None else pa.array([norm[i] for i in at], pa.binary()),
+                "norm": pa.array([norm[i] for i in at], pa.binary()) if content else pa.nulls(len(at), pa.binary()),
             })
 
     return run
@@ -99,11 +99,11 @@ def _chunks(polynomial: Polynomial):
     return run
 
 
-def fingerprints(df: DataFrame, polynomial: Polynomial, bitmap: np.ndarray | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_cp, n_bytes, h0, h1 and text_sha256 of every row, or of those in a bitmap together with norm."""
+def fingerprints(df: DataFrame, polynomial: Polynomial, bitmap: np.ndarray | None = None, content: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, n_cp, n_bytes, h0, h1, text_sha256 and norm (null without ``content``) of every short row in the bitmap, or all; of long ones anyway."""
     base = documents(df).select("doc_id", F.char_length("text").alias("n_cp"), F.col("text").cast("binary").alias("piece"))
     schema = "doc_id long, n_cp int, n_bytes long, h0 long, h1 long, text_sha256 string, norm binary"
-    short = base.filter(F.octet_length("piece") <= chunk_bytes).mapInArrow(_whole(polynomial, bitmap), schema)
+    short = base.filter(F.octet_length("piece") <= chunk_bytes).mapInArrow(_whole(polynomial, bitmap, content), schema)
     long = base.filter(F.octet_length("piece") > chunk_bytes).withColumn("row_id", F.monotonically_increasing_id())
     last = F.floor((F.octet_length("piece") - 1) / chunk_bytes).cast("int")
     chunk = long.select("row_id", "piece", F.explode(F.sequence(F.lit(0), last)).alias("k")).select("row_id", "k", F.substring("piece", F.col("k") * chunk_bytes + 1, F.lit(chunk_bytes)).alias("piece"))
@@ -132,7 +132,7 @@ def _equal_by_chunks(a: str, b: str, n_bytes: str, chunk_bytes: int) -> Column:
 def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int = CHUNK_BYTES, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     key, polynomial = ["h0", "h1", "n_bytes"], Polynomial(primes, bases, chunk_bytes)
-    light = cut(fingerprints(df, polynomial, None, chunk_bytes).drop("norm"))
+    light = cut(fingerprints(df, polynomial, chunk_bytes=chunk_bytes).drop("norm"))
     several = light.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max(_better()).alias("best")).filter("n > 1")
     salts = F.greatest(F.ceil(F.col("n") / group_rows), F.ceil(F.col("n") * F.col("n_bytes") / GROUP_BYTES)).cast("int")
     several = cut(several.select(*key, "n", F.col("best.doc_id").alias("keep_id"), F.least(salts, F.col("n").cast("int")).alias("salts")))
@@ -142,7 +142,7 @@ def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int
     # the texts of groups: the largest groups are known to all tasks and dealt to several
     large, _ = hot_and_usual(df, several, "weight", total)
     large = large.select(*key, "salts")
-    repeated = fingerprints(df, polynomial, bitmap_of(several, "h0", bits_for(repeats)), chunk_bytes).join(large, key, "left")
+    repeated = fingerprints(df, polynomial, bitmap_of(several, "h0", bits_for(repeats)), True, chunk_bytes).join(large, key, "left")
     repeated = repeated.withColumn("salt", F.pmod(F.xxhash64("doc_id", "n_cp", F.spark_partition_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
     spread = several.join(large.withColumnRenamed("salts", "parts"), key, "left").withColumn("salts", F.coalesce("parts", F.lit(1))).drop("parts")
     members = cut(repeated.join(spread.select(*key, "keep_id", "salts", every).hint("shuffle_hash"), [*key, "salt"]))
@@ -165,6 +165,6 @@ def exact_duplicates(df: DataFrame, primes=PRIMES, bases=BASES, chunk_bytes: int
 
 def one_of_each(df: DataFrame) -> DataFrame:
     """One row of each class of copies, with all its columns; rows that share an id or have none are judged one by one."""
-    rows = own_ids(df)
-    gone = exact_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("row_id"))
-    return rows.join(gone, "row_id", "left_anti").select(*df.columns)
+    rows, own = own_ids(df)
+    gone = exact_duplicates(rows.select(F.col(own).alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias(own))
+    return rows.join(gone, own, "left_anti").select(*df.columns)

@@ -210,6 +210,6 @@ def near_documents(df: DataFrame, **blocks: int) -> DataFrame:
 
 def one_of_each(df: DataFrame, **blocks: int) -> DataFrame:
     """One row of each class, with all its columns; rows that share an id or have none are compared like all others."""
-    rows = own_ids(df)
-    gone = near_documents(rows.select(F.col("row_id").alias("doc_id"), "text"), **blocks).filter(~F.col("kept")).select(F.col("doc_id").alias("row_id"))
-    return rows.join(gone, "row_id", "left_anti").select(*df.columns)
+    rows, own = own_ids(df)
+    gone = near_documents(rows.select(F.col(own).alias("doc_id"), "text"), **blocks).filter(~F.col("kept")).select(F.col("doc_id").alias(own))
+    return rows.join(gone, own, "left_anti").select(*df.columns)

@@ -4,8 +4,8 @@ Features are indicators of n-grams (1 to 3) of word shapes and of words (1 and 2
 whether the word is repeated right away; marks and digits stay what they are. Indicators are scaled by the log-count
 ratio of the classes (counted without the row itself where a row is learnt from), those of shapes and those of words
 to length one, and a linear hinge-loss model is fitted to them by dual coordinate descent. The model is fitted
-on the driver from a bounded sample of labelled rows (TRAIN_ROWS, those with the smallest hashes of doc_id); a third of
-them is held back, and margins are calibrated to chances on these. Scoring is one pass without a shuffle.
+on the driver from a bounded sample of labelled rows (TRAIN_ROWS and TRAIN_BYTES, those with the smallest hashes of doc_id); a third of
+them is held back, and margins are calibrated to chances on these. Features of fewer than three sampled rows count nothing. Scoring is one pass without a shuffle.
 
 Defined cases: null text counts as empty, and an empty text has a score (that of no feature); without labels of
 both classes the score is 0.5 for all; doc_id null is held out; repeated rows each get a row; repeated labels of
@@ -24,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linear import calibration, chance, dual_coordinate_descent
-from .shared import documents, pieces_of, smallest_hashes
+from .shared import cut, documents, free_name, pieces_of, smallest_hashes
 from .words import Words, distinct, numbers, split
 
 TRAIN_ROWS = 6000
+#: Bytes of features (four each) that the driver takes: rows with the smallest hashes of doc_id first.
+TRAIN_BYTES = 256_000_000
 #: Hashed n-grams of shapes, then as many of words.
 DIMENSIONS = 1 << 16
 SHAPES, WORDS = 3, 2
@@ -110,8 +112,8 @@ def training_rows(df: DataFrame, labels: DataFrame, label: str, learnt: Column,
     return own.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
-def fit(df: DataFrame, labels: DataFrame, learnt: Column, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model from the rows of ``labels.quality`` for which ``learnt`` holds, train_rows at most."""
+def fit(df: DataFrame, labels: DataFrame, learnt: Column, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """A model from the rows of ``labels.quality`` for which ``learnt`` holds, train_rows and train_bytes of features at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
@@ -121,7 +123,13 @@ def fit(df: DataFrame, labels: DataFrame, learnt: Column, train_rows: int = TRAI
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.binary())], ["doc_id", "label", "features"])
 
     sample = training_rows(df, labels, "quality", learnt, train_rows).mapInArrow(run, "doc_id long, label int, features binary")
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])  # train_rows at most, of 2 * DIMENSIONS features at most
+    # train_rows sizes at most, then the features that TRAIN_BYTES have room for
+    sample = cut(sample)
+    sizes = sample.select("doc_id", F.octet_length("features").alias("bytes")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    room = np.cumsum([r["bytes"] for r in sizes]) <= train_bytes
+    if not room.all():
+        sample = sample.join(F.broadcast(df.sparkSession.createDataFrame([(r["doc_id"],) for r, fits in zip(sizes, room, strict=True) if fits], "doc_id long")), "doc_id")
+    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
     back = np.array([zlib.crc32(b"%d back" % r["doc_id"]) % 3 == 0 for r in rows], bool)
     y = np.array([r["label"] for r in rows], int)
     if len(set(y[~back].tolist())) < 2 or len(set(y[back].tolist())) < 2:
@@ -174,7 +182,7 @@ def quality(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
 
 
 def accepted(df: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of ``df``, with all their columns, that the model takes for good."""
-    model = fit(df, labels, ~held_out(), train_rows)
-    found = score(df.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), model, "_quality_score")
-    return found.filter("_quality_score >= 0.5").drop("_quality_score")
+    """The rows of ``df``, with all their columns, that the model takes for good; a null text comes back empty."""
+    model, own = fit(df, labels, ~held_out(), train_rows), free_name(df, "quality_score")
+    found = score(df.withColumn("text", F.coalesce(F.col("text"), F.lit(""))), model, own)
+    return found.filter(F.col(own) >= 0.5).drop(own)

@@ -24,6 +24,8 @@ def documents(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in ``spark.checkpoint.dir``; only a local session without it gets its own."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
+        if spark.sparkContext.getCheckpointDir() is None:  # set on the session, after its context was made
+            spark.sparkContext.setCheckpointDir(named)
         return named
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local["):
@@ -45,22 +47,31 @@ def kept_between_stages(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def own_ids(df: DataFrame) -> DataFrame:
-    """``df`` with a column row_id that no two rows share: doc_id where it is one row's alone, else a number beyond all ids.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or something like it that is no column of ``df`` in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_ids(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a column (its name is returned) that no two rows share: doc_id where it is one row's alone, else a number beyond all ids.
 
     Rows that repeat both id and text are one row. Rows without an id or with another's are checkpointed, so their
     numbers hold; a table where every row has its own id is only counted.
     """
-    ids = df.select(F.col("doc_id").cast("long").alias("row_id"))
-    several = cut(ids.groupBy("row_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR row_id IS NULL").select("row_id"))
-    rows = df.withColumn("row_id", F.col("doc_id").cast("long"))
+    own = free_name(df, "row_id")
+    ids = df.select(F.col("doc_id").cast("long").alias(own))
+    several = cut(ids.groupBy(own).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(own).isNull()).select(own))
+    rows = df.withColumn(own, F.col("doc_id").cast("long"))
     if several.isEmpty():
-        return rows
-    low, top = ids.agg(F.coalesce(F.min("row_id"), F.lit(0)), F.coalesce(F.max("row_id"), F.lit(0))).first()
-    others = rows.join(several, "row_id", "left_semi").unionByName(rows.filter("row_id IS NULL")).dropDuplicates(["row_id", "text"])
+        return rows, own
+    low, top = ids.agg(F.coalesce(F.min(own), F.lit(0)), F.coalesce(F.max(own), F.lit(0))).first()
+    others = rows.join(several, own, "left_semi").unionByName(rows.filter(F.col(own).isNull())).dropDuplicates([own, "text"])
     number = F.monotonically_increasing_id()
-    others = cut(others.withColumn("row_id", F.lit(top + 1) + number if top < 2**62 else F.lit(low - 1) - number))
-    return rows.filter("row_id IS NOT NULL").join(several, "row_id", "left_anti").unionByName(others)
+    others = cut(others.withColumn(own, F.lit(top + 1) + number if top < 2**62 else F.lit(low - 1) - number))
+    return rows.filter(F.col(own).isNotNull()).join(several, own, "left_anti").unionByName(others), own
 
 
 def width(df: DataFrame) -> int:
