@@ -89,3 +89,37 @@ def rule_days(events: DataFrame, horizon: str) -> DataFrame:
     limited = F.when(F.col("count_n").isNotNull(), F.slice(kept, F.lit(1), F.col("count_n"))).otherwise(kept)
     out = e.withColumn("days", F.when(F.col("broken"), F.array(F.lit(None).cast("date"))).otherwise(limited))
     return out.select("uid", "broken", F.explode("days").alias("day"))
+
+
+def days_between(first_day: Column, rule: Column, first: Column, last: Column) -> Column:
+    """The days of a rule (freq, interval_n, count_n, until_day, by_days) from ``first`` to ``last``, both included, as an array.
+
+    Counting starts where the window does, however long ago the rule began: which steps fall into it, and the numbers that
+    they have among all of the rule's, follow by division. Only a COUNT over days that some months lack is counted out.
+    """
+    step = F.coalesce(rule["interval_n"], F.lit(1))
+    end = F.least(last, F.coalesce(rule["until_day"], last))
+    below = lambda number: rule["count_n"].isNull() | (number < rule["count_n"])
+    since = lambda day, per: F.floor(F.datediff(day, first_day) / per).cast("int")
+    steps = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi), F.lit(1))).otherwise(F.array().cast("array<int>"))
+    none, inside = F.array().cast("array<date>"), lambda d: (d >= first) & (d <= end) & (d >= first_day)
+    # days
+    daily = F.filter(steps(F.greatest(since(F.date_sub(first, 1), step) + 1, F.lit(0)), since(end, step)), below)
+    daily = F.transform(daily, lambda i: F.date_add(first_day, i * step))
+    # weeks, counted from the Monday of the first; the first may lack some of its days
+    monday, own = F.date_sub(first_day, F.weekday(first_day)), F.array_sort(F.array_distinct(F.coalesce(rule["by_days"], F.array(F.weekday(first_day)))))
+    week = lambda day: F.floor(F.datediff(day, monday) / (step * 7)).cast("int")
+    missing = F.size(F.filter(own, lambda d: d < F.weekday(first_day)))
+    dated = lambda w: F.transform(own, lambda d, j: F.struct(F.date_add(monday, (w * 7 * step + d).cast("int")).alias("day"), (w * F.size(own) + j - missing).alias("number")))
+    weekly = F.flatten(F.transform(steps(F.greatest(week(first), F.lit(0)), week(end)), dated))
+    weekly = F.transform(F.filter(weekly, lambda d: inside(d["day"]) & below(d["number"])), lambda d: d["day"])
+    # months and years: a day that a month lacks is left out, and not counted
+    months = step * F.when(rule["freq"] == "YEARLY", 12).otherwise(1)
+    month = lambda day: F.floor(((F.year(day) - F.year(first_day)) * 12 + F.month(day) - F.month(first_day)) / months).cast("int")
+    counted = rule["count_n"].isNotNull()
+    monthly = F.transform(steps(F.when(counted, 0).otherwise(F.greatest(month(first), F.lit(0))), month(end)), lambda i: F.add_months(first_day, (i * months).cast("int")))
+    monthly = F.filter(monthly, lambda d: F.dayofmonth(d) == F.dayofmonth(first_day))
+    monthly = F.when(counted, F.slice(monthly, F.lit(1), F.coalesce(rule["count_n"], F.lit(0)))).otherwise(monthly)
+    freq = rule["freq"]
+    days = F.when(freq == "DAILY", daily).when(freq == "WEEKLY", weekly).when(freq.isin("MONTHLY", "YEARLY"), F.filter(monthly, inside))
+    return F.when((end < first) | (end < first_day), none).otherwise(days)

@@ -108,6 +108,51 @@ def _(t):
     return calendars.overridden(calendars.without_dates(days, gone), moved)
 
 
+#: The days of what an order's calendar says (see ``order_calendars``), unfolded from the first one, without a look at the window.
+RULES = """
+o AS (SELECT o_orderkey AS k, CAST(DATE '2020-01-01' + CAST(o_orderkey % 1200 AS INTEGER) AS DATE) AS f, o_orderkey % 4 AS kind, o_orderkey % 5 AS lim, 1 + o_orderkey % 2 AS step FROM orders),
+c AS (
+  SELECT k, f, lim, kind, step, CAST(f + CAST(i * step AS INTEGER) AS DATE) AS d FROM (SELECT *, unnest(range(0, 1600)) AS i FROM o WHERE kind = 0)
+  UNION ALL SELECT k, f, lim, kind, step, CAST(f + CAST(1 - isodow(f) + i * step * 7 + w AS INTEGER) AS DATE) FROM (SELECT *, unnest(range(0, 240)) AS i FROM o WHERE kind = 1), (SELECT unnest([0, 3]) AS w)
+  UNION ALL SELECT k, f, lim, kind, step, CAST(f + to_months(CAST(i * step AS INTEGER)) AS DATE) FROM (SELECT *, unnest(range(0, 60)) AS i FROM o WHERE kind = 2)
+  UNION ALL SELECT k, f, lim, kind, step, CAST(f + to_months(CAST(12 * i * step AS INTEGER)) AS DATE) FROM (SELECT *, unnest(range(0, 6)) AS i FROM o WHERE kind = 3)
+), n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d) AS rn FROM c WHERE d >= f AND (kind < 2 OR day(d) = day(f))),
+days AS (SELECT k, d FROM n WHERE (lim <> 0 OR rn <= CASE kind WHEN 0 THEN 800 WHEN 1 THEN 250 WHEN 2 THEN 30 ELSE 3 END) AND (lim <> 1 OR d <= DATE '2024-01-25'))"""
+
+
+def order_calendars(t):
+    """A calendar file for each order: a rule that began years ago, with an end or a count or neither, some with exceptions, further
+    dates, a moved start; half of them in UTC and half at the clock of a zone."""
+    k = F.col("o_orderkey")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 1200).cast("int")), "yyyyMMdd")
+    at = lambda name, stamp: F.when(k % 2 == 0, F.concat(F.lit(f"{name}:"), stamp, F.lit("Z"))).otherwise(F.concat(F.lit(f"{name};TZID=Europe/Berlin:"), stamp))
+    freq = F.element_at(F.array(*map(F.lit, ("DAILY", "WEEKLY;BYDAY=TH,MO", "MONTHLY", "YEARLY"))), (k % 4 + 1).cast("int"))
+    count = F.element_at(F.array(*map(F.lit, ("800", "250", "30", "3"))), (k % 4 + 1).cast("int"))
+    limit = F.when(k % 5 == 0, F.concat(F.lit(";COUNT="), count)).when(k % 5 == 1, F.lit(";UNTIL=20240125T225959Z")).otherwise("")
+    lines = [
+        F.lit("BEGIN:VCALENDAR"), F.lit("begin:vevent"), F.concat(F.lit("uid:o"), k.cast("string")), F.concat(F.lit("Summary:Order "), k.cast("string")), at("DTSTART", F.concat(day, F.lit("T090000"))),
+        F.concat(F.lit("RRULE:FREQ="), freq, F.lit(";INTERVAL="), (1 + k % 2).cast("string"), limit),
+        F.when(k % 3 == 0, at("EXDATE", F.lit("20240122T090000,20240129T090000"))), F.when(k % 7 == 0, at("RDATE", F.lit("20240201T103000"))), F.lit("END:VEVENT"),
+        F.when(k % 6 == 0, F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:o"), k.cast("string")), F.lit("SUMMARY:Moved"), F.lit("RECURRENCE-ID:20240118T090000Z"), F.lit("DTSTART:20240119T150000Z"), F.lit("END:VEVENT"))),
+        F.lit("END:VCALENDAR"),
+    ]
+    return t.orders.select(k.cast("string").alias("file_name"), F.concat_ws("\r\n", *lines).cast("binary").alias("content"))
+
+
+@query("r7_calendar_rules", f"""
+WITH {RULES},
+made AS (
+  SELECT k, CAST(d AS TIMESTAMP) + INTERVAL 9 HOUR AS local FROM days WHERE NOT (k % 3 = 0 AND d IN (DATE '2024-01-22', DATE '2024-01-29'))
+  UNION SELECT o_orderkey, TIMESTAMP '2024-02-01 10:30:00' FROM orders WHERE o_orderkey % 7 = 0
+), starts AS (SELECT k, local - to_hours(CAST(k % 2 AS INTEGER)) AS start_at FROM made)
+SELECT k, 'Order ' || k AS summary, start_at FROM starts WHERE start_at >= TIMESTAMP '2024-01-15' AND start_at < TIMESTAMP '2024-02-12' AND NOT (k % 6 = 0 AND start_at = TIMESTAMP '2024-01-18 09:00:00')
+UNION ALL SELECT o_orderkey, 'Moved', TIMESTAMP '2024-01-19 15:00:00' FROM orders WHERE o_orderkey % 6 = 0""")
+def _(t):
+    """Four weeks of rules read from texts; these are dealt by file, which the gathering of moved starts keeps."""
+    found = calendars.occurrences(calendars.events(order_calendars(t).repartition("file_name")), "2024-02-12", "2024-01-15")
+    return found.select(F.col("file_name").cast("long").alias("k"), "summary", "start_at")
+
+
 @query("r9_calendar_alarms", """
 SELECT event_id, unnest([start_at - INTERVAL 15 MINUTE, deadline + INTERVAL 10 MINUTE, start_at - INTERVAL 1 DAY]) AS alarm_at FROM v_cal_events WHERE deadline >= start_at""")
 def _(t):

@@ -7,9 +7,11 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calspark.functions.text import let
 from calspark.operators import recurrence
 
 MOST_BYTES = 5_000_000
+ZONES = sorted(zoneinfo.available_timezones() - {"localtime", "Factory"})
 #: The upper half of one-byte texts as Latin letters and as windows-1251 has it; Spark decodes the former only.
 UPPER_HALF = tuple(bytes(b for b in range(128, 256) if b != 0x98).decode(c) for c in ("latin-1", "cp1251"))
 
@@ -35,19 +37,24 @@ def dealt(rows: DataFrame, key: str, order: list[str], size: Column, most_bytes:
     return rows.drop("_size", "_alone", "_large", "_cut")
 
 
+def known_zone(zone: Column) -> Column:
+    """One literal, as hundreds of them in each expression take seconds to plan."""
+    return F.array_contains(F.split(F.lit("|".join(ZONES)), "[|]"), zone)
+
+
 def property_of(event: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(event, rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)), F.lit(""))
+    return F.nullif(F.trim(F.regexp_extract(event, rf"(?mi)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)), F.lit(""))
 
 
 def parameter_of(event: Column, name: str, parameter: str) -> Column:
-    return F.nullif(F.regexp_extract(event, rf"(?m)^{name};(?:[^:\r\n]*;)?{parameter}=\"?([^:;\"\r\n]+)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(event, rf"(?mi)^{name};(?:[^:\r\n]*;)?{parameter}=\"?([^:;\"\r\n]+)", 1), F.lit(""))
 
 
 def moment(value: Column, zone: Column | None = None) -> Column:
     """A time as written; with a zone the same instant in UTC, unless it is a day or ends with Z. Unknown zones count as UTC."""
     at = F.try_to_timestamp(F.regexp_replace(value, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")).cast("timestamp_ntz")
     if zone is not None:
-        known = F.when(zone.isin(sorted(zoneinfo.available_timezones() - {"localtime", "Factory"})), zone).otherwise("UTC")
+        known = F.when(known_zone(zone), zone).otherwise("UTC")
         at = F.when(value.endswith("Z"), at).otherwise(F.convert_timezone(F.coalesce(known, F.lit("UTC")), F.lit("UTC"), at))
     return F.coalesce(at, F.try_to_timestamp(value, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
 
@@ -76,7 +83,7 @@ def rule_of(rrule: Column, zone: Column) -> Column:
 
 def alarms_of(event: Column, start: Column, end: Column, zone: Column, recurring: Column) -> Column:
     """The instants of all alarms: before or after the start, or the end (RELATED=END); fixed ones only where nothing recurs."""
-    triggers = F.regexp_extract_all(event, F.lit(r"(?m)^TRIGGER(?:;[^:\r\n]*)?:[^\r\n]*"), F.lit(0))
+    triggers = F.regexp_extract_all(event, F.lit(r"(?mi)^TRIGGER(?:;[^:\r\n]*)?:[^\r\n]*"), F.lit(0))
 
     def at(t: Column) -> Column:
         value = F.trim(F.regexp_extract(t, ":(.*)$", 1))
@@ -84,64 +91,75 @@ def alarms_of(event: Column, start: Column, end: Column, zone: Column, recurring
         from_ = F.when(F.upper(t).rlike("^TRIGGER;[^:]*RELATED=END"), F.coalesce(end, start)).otherwise(start)
         return F.when(minutes.isNotNull(), from_ + F.make_dt_interval(F.lit(0), F.lit(0), minutes)).when(~recurring, moment(value, zone))
 
-    return F.filter(F.transform(triggers, at), lambda x: x.isNotNull())
+    return F.when(F.upper(event).contains("TRIGGER"), F.filter(F.transform(triggers, at), lambda x: x.isNotNull())).otherwise(F.array().cast("array<timestamp_ntz>"))
 
 
 def events(files: DataFrame, zone: str = "UTC") -> DataFrame:
     """A row for each event of each file (file_name, content); a file over MOST_BYTES is one row with the reason in reject.
 
     Times are in UTC (start_at, end_at, alarms, exdates, recurrence_id), read in the zone of their TZID or, without one,
-    in ``zone``; whole days are as written. A text of bare events without a calendar around it is read as well, and lines
+    in ``zone`` (those of a TZID that isn't known as if in UTC, with zone_known false); whole days are as written. A text of bare events without a calendar around it is read as well, and lines
     that are no property are passed over. rule is the parsed RRULE.
     """
     text = F.regexp_replace(decoded(F.col("content")), r"\r?\n[ \t]", "")  # folded lines
     large = F.length("content") > MOST_BYTES
-    texts = files.filter(~large).select("file_name", F.slice(F.split(text, r"(?m)^BEGIN:VEVENT\s*$"), F.lit(2), F.lit(2**31 - 1)).alias("events"), property_of(text, "X-WR-CALNAME").alias("calendar"))
-    rows = texts.select("file_name", "calendar", F.posexplode("events").alias("place", "event"))
-    rows = rows.withColumn("event", F.regexp_extract("event", r"(?s)^(.*?)(?:\nEND:VEVENT|\z)", 1))
-    rows = rows.withColumn("own", F.regexp_replace("event", r"(?s)BEGIN:VALARM.*?END:VALARM", ""))  # what an alarm says is not the event's
+    # an event and what is its own (what an alarm says is not) are made before they are dealt to rows: each is made once
+    parted = lambda x: let(F.regexp_extract(x, r"(?si)^(.*?)(?:\nEND:VEVENT|\z)", 1), lambda y: F.struct(y.alias("event"), F.regexp_replace(y, r"(?si)BEGIN:VALARM.*?END:VALARM", "").alias("own")))
+    texts = files.filter(~large).select("file_name", F.slice(F.split(text, r"(?mi)^BEGIN:VEVENT\s*$"), F.lit(2), F.lit(2**31 - 1)).alias("events"), property_of(text, "X-WR-CALNAME").alias("calendar"))
+    rows = texts.select("file_name", "calendar", F.posexplode(F.transform("events", parted)).alias("place", "x")).select("file_name", "calendar", "place", "x.event", "x.own")
     e = F.col("own")
-    start, alarm = property_of(e, "DTSTART"), property_of(F.regexp_extract("event", r"(?s)BEGIN:VALARM(.*?)END:VALARM", 1), "TRIGGER")
+    start, alarm = property_of(e, "DTSTART"), property_of(F.regexp_extract("event", r"(?si)BEGIN:VALARM(.*?)END:VALARM", 1), "TRIGGER")
     own_zone = lambda name: F.coalesce(parameter_of(e, name, "TZID"), F.lit(zone))
     unescaped = lambda c: F.regexp_replace(F.regexp_replace(c, r"\\n", "\n"), r"\\([,;\\])", "$1")
     rows = rows.withColumns({
         "start_at": moment(start, own_zone("DTSTART")), "end_at": moment(property_of(e, "DTEND"), own_zone("DTEND")), "all_day": F.length(start) == 8,
         "duration_min": duration_minutes(property_of(e, "DURATION")), "rrule": property_of(e, "RRULE"), "zone": parameter_of(e, "DTSTART", "TZID"),
     })
-    # each EXDATE line has a zone of its own
-    lines = F.regexp_extract_all(e, F.lit(r"(?m)^EXDATE(?:;[^:\r\n]*)?:[^\r\n]*"), F.lit(0))
-    exdates = F.flatten(F.transform(lines, lambda x: F.transform(F.split(F.trim(F.regexp_extract(x, ":(.*)$", 1)), ","), lambda v: moment(v, F.coalesce(parameter_of(x, "EXDATE", "TZID"), F.lit(zone))))))
+
+    def moments(name: str) -> Column:
+        """All starts that lines of this name list, each line in a zone of its own; of a period its start."""
+        lines = F.regexp_extract_all(e, F.lit(rf"(?mi)^{name}(?:;[^:\r\n]*)?:[^\r\n]*"), F.lit(0))
+        read = lambda x, v: moment(F.substring_index(v, "/", 1), F.coalesce(parameter_of(x, name, "TZID"), F.lit(zone)))
+        return F.array_compact(F.flatten(F.transform(lines, lambda x: F.transform(F.split(F.trim(F.regexp_extract(x, ":(.*)$", 1)), ","), lambda v: read(x, v)))))
+
     ends = F.coalesce("end_at", F.col("start_at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("duration_min")))
     read = rows.select(
         "file_name", "calendar", "place", property_of(e, "UID").alias("uid"), unescaped(property_of(e, "SUMMARY")).alias("summary"), unescaped(property_of(e, "LOCATION")).alias("location"),
         property_of(e, "STATUS").alias("status"), "start_at", "end_at", "all_day", "zone", "duration_min", duration_minutes(alarm).alias("alarm_min"), "rrule",
-        F.when(F.col("rrule").isNotNull(), rule_of(F.col("rrule"), own_zone("DTSTART"))).alias("rule"), F.array_compact(exdates).alias("exdates"),
+        F.when(F.col("rrule").isNotNull(), rule_of(F.col("rrule"), own_zone("DTSTART"))).alias("rule"), moments("EXDATE").alias("exdates"), moments("RDATE").alias("rdates"),
+        F.coalesce(known_zone(F.col("zone")), F.lit(True)).alias("zone_known"),
         moment(property_of(e, "RECURRENCE-ID"), own_zone("RECURRENCE-ID")).alias("recurrence_id"),
         alarms_of(F.col("event"), F.col("start_at"), ends, F.coalesce("zone", F.lit(zone)), F.col("rrule").isNotNull()).alias("alarms"), F.lit(None).cast("string").alias("reject"),
     )
     return read.unionByName(files.filter(large).select("file_name", F.lit("bytes").alias("reject")), allowMissingColumns=True)
 
 
-def occurrences(read: DataFrame, horizon: str) -> DataFrame:
-    """file_name, uid, summary, start_at and broken of every occurrence of what ``events`` reads, up to the horizon.
+def occurrences(read: DataFrame, last: str, first: str = "1970-01-01") -> DataFrame:
+    """file_name, uid, summary, start_at and broken of every occurrence of what ``events`` reads, from first to last (excluded).
 
-    Rules are unfolded in local days of their zone and put back to its clock; excluded starts are left out; an event with
-    RECURRENCE-ID takes the place of that start. A rule that says more than ``rule_days`` can unfold gives one broken row.
+    Rules are unfolded in local days of their zone, and only within the window, and put back to its clock; RDATE adds starts,
+    EXDATE takes them out, and an event with RECURRENCE-ID takes the place of that start of its uid. A rule that says more than
+    ``days_between`` can unfold gives one broken row. An event is read and unfolded once: what its uid's other
+    events move is gathered beside it, so there is no join.
     """
-    local = F.when(F.col("all_day"), F.col("start_at")).otherwise(F.convert_timezone(F.lit("UTC"), F.coalesce("zone", F.lit("UTC")), F.col("start_at")))
-    # the shuffle that the joins below need anyway comes first: what was read isn't parsed again for each day of a rule
-    rows = read.filter("reject IS NULL AND start_at IS NOT NULL AND upper(coalesce(status, '')) <> 'CANCELLED'").withColumn("local", local).repartition("file_name", "uid")
-    series = rows.filter("rrule IS NOT NULL AND recurrence_id IS NULL").withColumn("key", F.struct("file_name", "uid", "place"))
-    rules = series.select(F.col("key").alias("uid"), F.to_date("local").alias("first_day"), "rule.freq", "rule.interval_n", "rule.count_n", "rule.until_day", "rule.by_days")
-    days = recurrence.rule_days(rules, horizon).withColumnRenamed("uid", "key")
-    made = series.join(days, "key")
-    clock = F.col("day").cast("timestamp_ntz") + (F.col("local") - F.date_trunc("day", "local").cast("timestamp_ntz"))
-    made = made.withColumn("start_at", F.when(F.col("broken") | F.col("all_day"), F.coalesce(clock, "start_at")).otherwise(F.convert_timezone(F.coalesce("zone", F.lit("UTC")), F.lit("UTC"), clock)))
-    made = made.filter(~F.array_contains("exdates", F.col("start_at")))
-    single = rows.filter("rrule IS NULL OR recurrence_id IS NOT NULL").withColumn("broken", F.lit(False))
-    moved = single.filter("recurrence_id IS NOT NULL").select("file_name", "uid", F.col("recurrence_id").alias("start_at"))
-    columns = ["file_name", "uid", "summary", "start_at", "broken"]
-    return made.join(moved, ["file_name", "uid", "start_at"], "left_anti").select(*columns).unionByName(single.select(*columns))
+    rows = read.filter("reject IS NULL AND start_at IS NOT NULL AND upper(coalesce(status, '')) <> 'CANCELLED'")
+    zone = F.coalesce("zone", F.lit("UTC"))
+    rows = rows.withColumn("zone", F.when(known_zone(zone), zone).otherwise("UTC"))
+    rows = rows.withColumn("local", F.when(F.col("all_day"), F.col("start_at")).otherwise(F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("start_at"))))
+    rows = rows.withColumn("clock", F.col("local") - F.date_trunc("day", "local").cast("timestamp_ntz"))
+    own = F.coalesce("uid", F.concat(F.lit("#"), F.col("place").cast("string")))  # an event without a uid stands alone
+    rows = rows.withColumn("moved", F.collect_set("recurrence_id").over(Window.partitionBy("file_name", own)))
+    since, until = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
+    days = recurrence.days_between(F.to_date("local"), F.col("rule"), F.date_sub(F.to_date(since), 1), F.date_add(F.to_date(until), 1))
+    at = lambda d: d.cast("timestamp_ntz") + F.col("clock")
+    instant = lambda d: F.when(F.col("all_day"), at(d)).otherwise(F.convert_timezone(F.col("zone"), F.lit("UTC"), at(d)))
+    series = F.col("rule").isNotNull() & F.col("recurrence_id").isNull()
+    broken = series & ~F.coalesce(F.col("rule.freq").isin("DAILY", "WEEKLY", "MONTHLY", "YEARLY"), F.lit(False))
+    starts = F.when(series & ~broken, F.transform(days, instant)).otherwise(F.array("start_at"))
+    gone = F.array_union(F.coalesce("exdates", F.array().cast("array<timestamp_ntz>")), "moved")
+    starts = F.when(F.col("recurrence_id").isNotNull() | broken, F.array("start_at")).otherwise(F.array_except(F.array_union(starts, F.coalesce("rdates", F.array().cast("array<timestamp_ntz>"))), gone))
+    rows = rows.select("file_name", "uid", "summary", F.explode(starts).alias("start_at"), broken.alias("broken"))
+    return rows.filter((F.col("start_at") >= since) & (F.col("start_at") < until))
 
 
 def feed_lines(entries: DataFrame) -> DataFrame:
