@@ -110,6 +110,46 @@ def resolved_dates(cells: DataFrame, most: int = 100) -> DataFrame:
     return rows.select("file_id", "cell", "day")
 
 
+TERM = r"([+-]?)(?:\$?([A-Z]{1,3})\$?([0-9]{1,7})|DATE\(([0-9]{4}),([0-9]{1,2}),([0-9]{1,2})\)|([0-9]{1,5}))"
+
+
+def parsed_formula(formula: F.Column) -> F.Column:
+    """day, ref_row, ref_col and plus of a sum of one date or one reference and days, in any order; null for anything else."""
+    plain = F.regexp_replace(F.upper(formula), r"^\s*=|\s+", "")
+    number = lambda x: F.try_to_number(F.nullif(x, F.lit("")), F.lit("9999999")).cast("int")
+
+    def term(t: F.Column) -> F.Column:
+        part = lambda i: F.regexp_extract(t, TERM, i)
+        letters = F.split(part(2), "")
+        column = F.aggregate(letters, F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64)
+        return F.struct(
+            (part(1) == "-").alias("minus"), number(part(3)).alias("row"), F.when(part(2) != "", column).alias("col"),
+            F.try_to_date(F.nullif(F.concat_ws("-", part(4), part(5), part(6)), F.lit("--")), "yyyy-M-d").alias("day"), (part(4) != "").alias("dated"), number(part(7)).alias("days"),
+        )
+
+    def summed(terms: F.Column) -> F.Column:
+        anchors = F.filter(terms, lambda t: t["row"].isNotNull() | t["dated"])
+        plus = F.aggregate(terms, F.lit(0), lambda n, t: n + F.coalesce(F.when(t["minus"], -t["days"]).otherwise(t["days"]), F.lit(0)))
+        one = F.get(anchors, F.lit(0))
+        found = F.struct(one["day"].alias("day"), one["row"].alias("ref_row"), one["col"].alias("ref_col"), plus.alias("plus"))
+        return F.when((F.size(anchors) == 1) & ~one["minus"] & (one["row"].isNotNull() | one["day"].isNotNull()), found)
+
+    return F.when(plain.rlike(rf"^(?:{TERM})(?:(?=[+-]){TERM})*$"), T.let(F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), term), summed))
+
+
+def formula_dates(cells: DataFrame, key: list[str], most: int = 100) -> DataFrame:
+    """key, row_no, col_no and day of every cell that holds a date or a formula of dates; chains up to ``most`` links.
+
+    ``cells`` has text and formula. Cells whose formula is none of ``parsed_formula``, or leads to no date, or around in a cycle, have no day.
+    """
+    at = lambda row, col: F.col(row).cast("long") * 65536 + F.col(col)
+    rows = cells.select(*key, "row_no", "col_no", F.try_to_date("text", "yyyy-MM-dd").alias("own"), "formula", parsed_formula(F.col("formula")).alias("f")).filter("own IS NOT NULL OR formula IS NOT NULL")
+    rows = rows.select(*key, "row_no", "col_no", F.struct(*key).alias("file_id"), at("row_no", "col_no").alias("cell"), "formula", "own", "f.*")
+    day = F.when(F.col("formula").isNull(), F.col("own")).otherwise(F.date_add("day", F.col("plus")))
+    found = resolved_dates(rows.select("file_id", "cell", day.alias("day"), at("ref_row", "ref_col").alias("ref"), "plus"), most)
+    return found.select(*(F.col(f"file_id.{k}").alias(k) for k in key), F.shiftright("cell", 16).cast("int").alias("row_no"), (F.col("cell") % 65536).cast("int").alias("col_no"), "day")
+
+
 def chunked(lines: DataFrame, key: str, order: str, most_chars: int) -> DataFrame:
     """A chunk number for each line: a new chunk before a line that would exceed the size. A line without text counts as empty."""
 

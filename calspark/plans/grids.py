@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calspark.functions import text as T
-from calspark.operators import grid
+from calspark.operators import grid, sheets
+from calspark.sources import files
 
 from .registry import query
 
@@ -217,6 +218,106 @@ def _(t):
     return grid.resolved_dates(c.select("file_id", "cell", day.alias("day"), ref.alias("ref"), F.lit(7).alias("plus")), 16)
 
 
+@query("g1_workbook_formulas", """
+WITH c AS (SELECT p_partkey // 12 AS f, CAST(p_partkey % 12 AS INTEGER) AS r FROM part), m AS (SELECT f, min(r) AS r0 FROM c GROUP BY f)
+SELECT CAST(f AS VARCHAR) || '.xlsx' AS file_name, r + 1 AS row_no, CASE WHEN r0 > 0 OR (f % 5 = 4 AND r > 8) OR r = 7 AND f % 3 = 1 THEN NULL WHEN r > 7 AND f % 3 = 1 THEN NULL ELSE CAST(DATE '2024-01-01' + CAST(f % 28 AS INTEGER) + 7 * r AS DATE) END AS day FROM c JOIN m USING (f)""")
+def _(t):
+    """Workbooks written, read and calculated: a date, then each cell from the one above, in several spellings.
+
+    In every fifth file the last three lead around in a cycle, in every third one a formula is none of dates; a file
+    whose first cell isn't there has no dates at all.
+    """
+    c = t.part.select(F.expr("p_partkey div 12").alias("f"), (F.col("p_partkey") % 12).cast("int").alias("r"))
+    above, loop = F.col("r").cast("string"), (F.col("f") % 5 == 4) & (F.col("r") > 8)
+    spelled = F.element_at(F.array(F.concat(F.lit("A"), above, F.lit("+7")), F.concat(F.lit("= $A$"), above, F.lit(" + 10 - 3")), F.concat(F.lit("7+a"), above)), F.col("r") % 3 + 1)
+    first = F.concat(F.lit("DATE(2023,12,31)+"), (1 + F.col("f") % 28).cast("string"))
+    formula = F.when(F.col("r") == 0, first).when(loop, F.when(F.col("r") == 9, "A12+7").otherwise(spelled)).when((F.col("f") % 3 == 1) & (F.col("r") == 7), F.concat(F.lit("SUM(A1:A"), above, F.lit(")"))).otherwise(spelled)
+    cells = c.select("f", (F.col("r") + 1).alias("row_no"), F.lit(1).alias("col_no"), F.lit(None).cast("string").alias("text"), formula.alias("formula"))
+    parts = files.workbook_parts(files.workbooks(cells, "f"))
+    return grid.formula_dates(parts.filter("kind IN ('number', 'text')"), ["file_name", "sheet"], 16).select("file_name", "row_no", "day")
+
+
+@query("s4_merged_cells", """
+SELECT CAST(p_partkey // 12 AS VARCHAR) || '.xlsx' AS file_name, CAST(p_partkey % 12 + 1 AS INTEGER) AS row_no, c.c AS col_no, p_name AS text FROM part, (SELECT unnest([1, 2, 3]) AS c) c WHERE c.c = 1 OR p_partkey % 2 = 0""")
+def _(t):
+    """Names merged over three columns in every second row, as a workbook has them, filled into all cells that they cover."""
+    wide = F.col("p_partkey") % 2 == 0
+    row = (F.col("p_partkey") % 12 + 1).cast("int")
+    cells = t.part.select(F.expr("p_partkey div 12").alias("f"), row.alias("row_no"), F.lit(1).alias("col_no"), F.col("p_name").alias("text"), F.when(wide, row).alias("last_row"), F.when(wide, 3).alias("last_col"))
+    parts = files.workbook_parts(files.workbooks(cells, "f")).withColumn("file_id", F.struct("file_name", "sheet"))
+    found = parts.filter("kind = 'merge'").select("file_id", F.col("row_no").alias("r1"), F.col("col_no").alias("c1"), F.col("last_row").alias("r2"), F.col("last_col").alias("c2"))
+    return grid.filled(parts.filter("kind = 'text'").select(*grid.CELL, "text"), found).select("file_id.file_name", "row_no", "col_no", "text")
+
+
+#: A timetable for each ten parts: two programmes of two groups each, lectures that a programme shares, days down and weeks beside.
+def timetables(t):
+    c = t.part.select(F.expr("p_partkey div 10").alias("file_id"), (F.col("p_partkey") % 10).cast("int").alias("i"), "p_name")
+    file = c.select("file_id").distinct()
+    number = (1_000_000 + F.col("file_id")).cast("string")  # not that of a group
+    code = lambda j: F.concat(F.lit("GR"), number, F.lit(f"-{j}0{j}"))
+    heads = [(1, 1, F.lit("Timetable")), (2, 4, F.concat(F.lit("Area"), number)), (2, 6, F.lit("Other studies")), (3, 1, F.lit("День")), (3, 2, F.lit("Неделя")), (3, 3, F.lit("Время"))]
+    heads += [(3, 3 + j, code(j)) for j in range(1, 5)]
+    axes = [(4 + 2 * i, 1, F.lit(name)) for i, name in enumerate(("Понедельник", "Вторник", "Среда", "Четверг", "Пятница"))]
+    axes += [(r, 2, F.lit("I" if r % 2 == 0 else "II")) for r in range(4, 14)] + [(r, 3, F.lit(f"{r + 4}:15")) for r in range(4, 14)]
+    fixed = file.select("file_id", F.explode(F.array(*(F.struct(F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), x.alias("text")) for r, c, x in heads + axes))).alias("x")).select("file_id", "x.*")
+    # a part's name stands in a group's column; where its number divides by three, over both groups of the first programme
+    shared = F.col("i") % 3 == 0
+    column = F.when(shared, 4).otherwise(4 + F.col("i") % 4)
+    classes = c.select("file_id", (4 + F.col("i")).alias("row_no"), column.cast("int").alias("col_no"), F.col("p_name").alias("text"), shared.alias("shared"))
+    cells = fixed.unionByName(classes.drop("shared"))
+    m = lambda df, r1, c1, r2, c2: df.select("file_id", r1.cast("int").alias("r1"), c1.cast("int").alias("c1"), r2.cast("int").alias("r2"), c2.cast("int").alias("c2"))
+    merges = m(file, F.lit(2), F.lit(4), F.lit(2), F.lit(5)).unionByName(m(file, F.lit(2), F.lit(6), F.lit(2), F.lit(7)))
+    merges = merges.unionByName(m(classes.filter("shared"), F.col("row_no"), F.lit(4), F.col("row_no"), F.lit(5)))
+    merges = merges.unionByName(m(file.withColumn("r", F.explode(F.array(*map(F.lit, range(4, 14, 2))))), F.col("r"), F.lit(1), F.col("r") + 1, F.lit(1)))
+    return cells, merges
+
+
+def requests(t):
+    """By turns: a group's code, its number alone with its programme, the programme alone, and something else."""
+    f = (1_000_000 + F.col("file_id")).cast("string")
+    asked = F.element_at(F.array(F.concat(F.lit("please GR"), f, F.lit("-202")), F.concat(F.lit("area"), f, F.lit(": 101")), F.concat(F.lit("all of area"), f), F.lit("everything")), (F.col("file_id") % 4 + 1).cast("int"))
+    return t.part.select(F.expr("p_partkey div 10").alias("file_id")).distinct().select("file_id", asked.alias("request"))
+
+
+#: The classes of the timetables, with the last column that each covers.
+CLASSES = "c AS (SELECT p_partkey // 10 AS file_id, CAST(4 + p_partkey % 10 AS INTEGER) AS row_no, CAST(CASE WHEN p_partkey % 10 % 3 = 0 THEN 4 ELSE 4 + p_partkey % 10 % 4 END AS INTEGER) AS col_no, CASE WHEN p_partkey % 10 % 3 = 0 THEN 5 END AS wide FROM part), f AS (SELECT DISTINCT file_id FROM c)"
+
+
+@query("g5_weekday_axes", f"""
+WITH {CLASSES} SELECT file_id, row_no, col_no, CAST((row_no - 4) // 2 AS INTEGER) AS weekday FROM c
+UNION ALL SELECT file_id, r, k, CAST((r - 4) // 2 AS INTEGER) FROM f, (SELECT CAST(unnest(range(4, 14)) AS INTEGER) AS r), (SELECT unnest([2, 3]) AS k)""")
+def _(t):
+    return sheets.weekday_hints(*timetables(t))
+
+
+@query("g6_week_column", f"""
+WITH {CLASSES} SELECT file_id, row_no, col_no, CASE WHEN row_no % 2 = 0 THEN 'odd' ELSE 'even' END AS week FROM c
+UNION ALL SELECT file_id, r, 3, CASE WHEN r % 2 = 0 THEN 'odd' ELSE 'even' END FROM f, (SELECT CAST(unnest(range(4, 14)) AS INTEGER) AS r)
+UNION ALL SELECT file_id, r, 1, 'every' FROM f, (SELECT CAST(unnest(range(4, 14, 2)) AS INTEGER) AS r)""")
+def _(t):
+    return sheets.parity_hints(*timetables(t))
+
+
+@query("g8_projection", f"""
+WITH {CLASSES}, a AS (SELECT file_id, file_id % 4 AS q FROM f)
+SELECT c.file_id, row_no, col_no FROM c JOIN a USING (file_id) WHERE q = 3 OR EXISTS (SELECT 1 FROM (SELECT unnest([4, 5]) AS s) WHERE s BETWEEN col_no AND coalesce(wide, col_no) AND (q = 2 OR s = 5 - q))
+UNION ALL SELECT file_id, r, k FROM a, (SELECT CAST(unnest(range(4, 14)) AS INTEGER) AS r), (SELECT unnest([2, 3]) AS k)
+UNION ALL SELECT file_id, r, 1 FROM a, (SELECT CAST(unnest(range(4, 14, 2)) AS INTEGER) AS r)""")
+def _(t):
+    """The data cells that are left of each timetable by its request."""
+    rows = sheets.marked(*timetables(t))
+    columns = sheets.selected_columns(sheets.matched(rows, requests(t)))
+    return sheets.projected(rows, columns).filter("row_no > 3")
+
+
+@query("g9_subgroups", f"""
+WITH {CLASSES} SELECT file_id, 'GR' || (1000000 + file_id) || '-101,GR' || (1000000 + file_id) || '-202' AS choices FROM c WHERE file_id % 4 = 2 AND wide IS NULL AND col_no IN (4, 5) GROUP BY file_id""")
+def _(t):
+    rows, asked = sheets.marked(*timetables(t)), requests(t)
+    found = sheets.questions(rows, asked, sheets.selected_columns(sheets.matched(rows, asked)))
+    return found.select("file_id", F.array_join("choices", ",").alias("choices"))
+
+
 @query("a9_top_labels", "SELECT label, n FROM (SELECT lower(p_type) AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, lower(p_type)) AS rn FROM part GROUP BY 1) WHERE rn <= 16")
 def _(t):
     return t.part.groupBy(F.lower("p_type").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(16)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -15,8 +17,9 @@ from pyspark.sql import functions as F
 from .calendars import dealt, decoded
 
 MOST_MEMBERS, MOST_BYTES = 20, 20_000_000
-CELLS = "file_name string, sheet string, row_no int, col_no int, kind string, text string"
+CELLS = "file_name string, sheet string, row_no int, col_no int, kind string, text string, formula string, last_row int, last_col int"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
 def file_kind(content: Column, name: Column) -> Column:
@@ -31,6 +34,18 @@ def file_kind(content: Column, name: Column) -> Column:
     )
 
 
+#: What unreadable zip members, XML and references raise.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, EOFError, KeyError, IndexError, ValueError, RuntimeError, NotImplementedError, ElementTree.ParseError)
+
+
+def _content(archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    """The bytes of a member, or the reason why there are none: it is corrupt, encrypted, or packed in an unknown way."""
+    try:
+        return archive.read(member), None
+    except UNREADABLE:
+        return None, "corrupt"
+
+
 def members(files: DataFrame) -> DataFrame:
     """file_name, member and content of the files in each archive; a broken archive is one row with the reason in reject.
 
@@ -49,7 +64,7 @@ def members(files: DataFrame) -> DataFrame:
                 own = [x for x in archive.infolist() if not x.is_dir() and not x.filename.startswith("__MACOSX/")]
                 large = sum(x.file_size for x in own[:MOST_MEMBERS]) > MOST_BYTES
                 reasons = ["bytes" if large else "members" if i >= MOST_MEMBERS else None for i in range(len(own))]
-                rows += [(name, x.filename, None if why else archive.read(x), why) for x, why in zip(own, reasons, strict=True)]
+                rows += [(name, x.filename, *((None, why) if why else _content(archive, x))) for x, why in zip(own, reasons, strict=True)]
             yield pd.DataFrame(rows, columns=["file_name", "member", "content", "reject"])
 
     return files.select("file_name", "content").mapInPandas(run, "file_name string, member string, content binary, reject string")
@@ -104,10 +119,54 @@ def _letters(n: int) -> str:
     return (_letters((n - 1) // 26) if n > 26 else "") + chr(65 + (n - 1) % 26)
 
 
-def workbook_cells(files: DataFrame) -> DataFrame:
-    """Cells of the visible sheets of workbooks; error cells are left out. The XML is read from zip members as it streams by.
-
-    A file that is no workbook is one row of kind "broken", for quarantine.
+def _place(ref: str) -> tuple[int, int]:
+    """Row and column of A1."""
+    return int(re.search(r"[0-9]+", ref)[0]), _column(ref)
+
+
+def _xml(archive: zipfile.ZipFile, name: str):
+    """A member as a stream of XML; one that declares types or entities of its own is refused."""
+    with archive.open(name) as start:
+        if re.search(rb"<!(?:DOCTYPE|ENTITY)", start.read(4096), re.IGNORECASE):
+            raise ValueError("a document type of its own")
+    return archive.open(name)
+
+
+def _sheets(archive: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
+    """Name and member of each visible sheet, by the relations of the workbook."""
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in archive.namelist():
+        for r in ElementTree.parse(_xml(archive, "xl/_rels/workbook.xml.rels")).getroot():
+            targets[r.get("Id")] = posixpath.normpath(posixpath.join("/xl", r.get("Target", ""))).lstrip("/")
+    for i, s in enumerate(ElementTree.parse(_xml(archive, "xl/workbook.xml")).getroot().iter(f"{MAIN}sheet"), 1):
+        if s.get("state", "visible") == "visible":
+            yield s.get("name"), targets.get(s.get(RELATION), f"xl/worksheets/sheet{i}.xml")
+
+
+def _sheet_rows(archive: zipfile.ZipFile, member: str, shared: list[str]) -> Iterator[tuple]:
+    """row_no, col_no, kind, text, formula, last_row and last_col of the cells and merged rectangles of a sheet."""
+    for _, x in ElementTree.iterparse(_xml(archive, member)):
+        if x.tag == f"{MAIN}mergeCell":
+            first, _, last = x.get("ref").partition(":")
+            yield *_place(first), "merge", None, None, *_place(last or first)
+        if x.tag != f"{MAIN}c":
+            continue
+        kind, value, formula = x.get("t", "n"), x.findtext(f"{MAIN}v"), x.findtext(f"{MAIN}f")
+        if kind == "inlineStr":
+            value = "".join(t.text or "" for t in x.iter(f"{MAIN}t"))
+        if kind == "e":
+            value = None
+        if value is not None or formula:
+            text = shared[int(value)] if kind == "s" and value is not None else value
+            yield *_place(x.get("r")), "number" if kind == "n" else "text", text, formula or None, None, None
+        x.clear()
+
+
+def workbook_parts(files: DataFrame) -> DataFrame:
+    """Cells (with their formulas, as written) and merged rectangles (kind "merge", to last_row and last_col) of visible sheets.
+
+    Error cells have no text. The XML is read from zip members as it streams by; a file that is no
+    workbook, or of which any part can't be read, is one row of kind "broken", for quarantine.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,46 +175,50 @@ def workbook_cells(files: DataFrame) -> DataFrame:
             for name, content in zip(batch["file_name"], batch["content"], strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                    archive.getinfo("xl/workbook.xml")
-                except (zipfile.BadZipFile, KeyError):
-                    rows.append((name, None, None, None, "broken", None))
-                    continue
-                names = set(archive.namelist())
-                shared = []
-                if "xl/sharedStrings.xml" in names:
-                    shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.parse(archive.open("xl/sharedStrings.xml")).getroot()]
-                sheets = [(s.get("name"), i) for i, s in enumerate(ElementTree.parse(archive.open("xl/workbook.xml")).getroot().iter(f"{MAIN}sheet"), 1) if s.get("state", "visible") == "visible"]
-                for sheet, i in sheets:
-                    for _, cell in ElementTree.iterparse(archive.open(f"xl/worksheets/sheet{i}.xml")):
-                        if cell.tag != f"{MAIN}c":
-                            continue
-                        kind, value = cell.get("t", "n"), cell.findtext(f"{MAIN}v")
-                        if kind == "inlineStr":
-                            value = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
-                        if value is not None and kind != "e":
-                            ref = cell.get("r")
-                            text = shared[int(value)] if kind == "s" else value
-                            rows.append((name, sheet, int(re.search(r"[0-9]+", ref)[0]), _column(ref), "number" if kind == "n" else "text", text))
-                        cell.clear()
-            yield pd.DataFrame(rows, columns=["file_name", "sheet", "row_no", "col_no", "kind", "text"])
+                    shared = []
+                    if "xl/sharedStrings.xml" in archive.namelist():
+                        shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.parse(_xml(archive, "xl/sharedStrings.xml")).getroot()]
+                    rows += [(name, sheet, *row) for sheet, member in _sheets(archive) for row in list(_sheet_rows(archive, member, shared))]
+                except (*UNREADABLE, TypeError, AttributeError):
+                    rows = [r for r in rows if r[0] != name] + [(name, None, None, None, "broken", None, None, None, None)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")]).astype({c: "Int32" for c in ("row_no", "col_no", "last_row", "last_col")})
 
     return files.select("file_name", "content").mapInPandas(run, CELLS)
 
 
+def workbook_cells(files: DataFrame) -> DataFrame:
+    """Cells with text of the visible sheets of workbooks, and a row of kind "broken" for what is none."""
+    return workbook_parts(files).filter("kind = 'broken' OR (kind <> 'merge' AND text IS NOT NULL)").select("file_name", "sheet", "row_no", "col_no", "kind", "text")
+
+
 def workbooks(cells: DataFrame, key: str) -> DataFrame:
-    """A workbook of one sheet for each key, from its cells: the sink beside ``workbook_cells``."""
-    from xml.sax.saxutils import escape
+    """A workbook of one sheet for each key, from its cells: the sink beside ``workbook_parts``.
+
+    A column formula (null for none) is written beside the text; last_row and last_col, where they are not null, merge the
+    rectangle that begins at the cell.
+    """
+    from xml.sax.saxutils import escape, quoteattr
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        lines = []
+        lines, merged = [], []
         for row_no, own in group.sort_values(["row_no", "col_no"]).groupby("row_no"):
-            made = "".join(f'<c r="{_letters(c)}{row_no}" t="inlineStr"><is><t>{escape(t)}</t></is></c>' for c, t in zip(own["col_no"], own["text"], strict=True))
-            lines.append(f'<row r="{row_no}">{made}</row>')
-        space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+            made = []
+            for c, text, formula, to_row, to_col in zip(own["col_no"], own["text"], own["formula"], own["last_row"], own["last_col"], strict=True):
+                if pd.notna(to_row):
+                    merged.append(f"{_letters(c)}{row_no}:{_letters(int(to_col))}{int(to_row)}")
+                if pd.notna(formula):
+                    made.append(f'<c r="{_letters(c)}{row_no}"><f>{escape(formula)}</f></c>')
+                elif pd.notna(text):
+                    made.append(f'<c r="{_letters(c)}{row_no}" t="inlineStr"><is><t>{escape(text)}</t></is></c>')
+            lines.append(f'<row r="{row_no}">{"".join(made)}</row>')
+        main, relations = MAIN[1:-1], RELATION[1:-3]
+        merges = f'<mergeCells>{"".join(f"<mergeCell ref={quoteattr(m)}/>" for m in merged)}</mergeCells>' if merged else ""
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("xl/workbook.xml", f'<workbook {space}><sheets><sheet name="Sheet1" sheetId="1"/></sheets></workbook>')
-            archive.writestr("xl/worksheets/sheet1.xml", f"<worksheet {space}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+            archive.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId7"/></sheets></workbook>')
+            archive.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="{relations}/worksheet" Target="worksheets/cells.xml"/></Relationships>')
+            archive.writestr("xl/worksheets/cells.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData>{merges}</worksheet>')
         return pd.DataFrame({"file_name": [f"{group[key].iloc[0]}.xlsx"], "content": [out.getvalue()]})
 
-    return cells.select(key, "row_no", "col_no", "text").groupBy(key).applyInPandas(run, "file_name string, content binary")
+    optional = [F.col(c) if c in cells.columns else F.lit(None).cast(t).alias(c) for c, t in (("formula", "string"), ("last_row", "int"), ("last_col", "int"))]
+    return cells.select(key, "row_no", "col_no", "text", *optional).groupBy(key).applyInPandas(run, "file_name string, content binary")
