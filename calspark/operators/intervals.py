@@ -49,21 +49,52 @@ def classified(entries: DataFrame, now: str) -> DataFrame:
     return entries.withColumns({"is_past": F.col("end_at") <= ntz(now), "is_upcoming": ~F.col("is_completed") & (F.col("start_at") > ntz(now))})
 
 
+#: Days that the highest node of a tree of days spans, as a power of two: some 2,800 years.
+LEVELS = 20
+
+
+def dyadic(first: Column, last: Column) -> Column:
+    """The days from first to last as nodes (level, place) of a binary tree of days: two of each level at most."""
+    none = F.array().cast("array<struct<level: int, place: bigint>>")
+    start = F.struct(first.cast("long").alias("l"), (last + 1).cast("long").alias("r"), none.alias("nodes"))
+
+    def step(x: Column, level: Column) -> Column:
+        open_ = x["l"] < x["r"]
+        left, right = open_ & (F.pmod(x["l"], F.lit(2)) == 1), open_ & (F.pmod(x["r"], F.lit(2)) == 1)
+        node = lambda on, place: F.when(on, F.array(F.struct(level.alias("level"), place.cast("long").alias("place")))).otherwise(none)
+        return F.struct(
+            F.shiftright(x["l"] + left.cast("int"), 1).alias("l"), F.shiftright(x["r"] - right.cast("int"), 1).alias("r"),
+            F.concat(x["nodes"], node(left, x["l"]), node(right, x["r"] - 1)).alias("nodes"),
+        )
+
+    return F.when(first == last, F.array(F.struct(F.lit(0).alias("level"), first.cast("long").alias("place")))).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), start, step, lambda x: x["nodes"]))
+
+
 def bucketed_overlaps(a: DataFrame, b: DataFrame, key: str, bucket_seconds: int = DAY_SECONDS) -> DataFrame:
     """Pairs of rows of equal ``key`` whose intervals overlap; columns of a and b as structs ``a`` and ``b``.
 
-    Both sides go to every day that they touch and are joined by key and day, so a busy key is spread over its days; a
-    pair counts on the day on which the later of the two starts.
+    Of two intervals that overlap, the one that starts later starts inside the other. So each interval goes to the nodes of a tree of
+    days that make it up (two a level, however long it is), and each start to the nodes above its day, as far as any interval
+    is on their level; both are joined by key and node, and a busy key is spread over its days. A start lies
+    in one node of an interval, so a pair comes once.
     """
+    day = lambda c: F.floor(c / bucket_seconds)
+    s, e = seconds("start_at"), seconds("end_at")
+
+    def nodes(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col(key), F.struct(*df.columns).alias(name), F.explode(dyadic(day(s), F.greatest(day(e - 1), day(s)))).alias("node"))
+
+    used = nodes(a, "x").select("node.level").unionByName(nodes(b, "x").select("node.level")).agg(F.coalesce(F.collect_set("level"), F.array().cast("array<int>"))).scalar()
 
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        s, e = seconds("start_at"), seconds("end_at")
-        day = lambda c: F.floor(c / bucket_seconds)
-        return df.select(F.col(key), F.struct(*df.columns).alias(name), F.explode(F.sequence(day(s), F.greatest(day(e - 1), day(s)))).alias("bucket"))
+    def starts(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(key), F.struct(*df.columns).alias(name), day(s).alias("day"), used.alias("levels"))
+        above = F.transform("levels", lambda level: F.struct(level.alias("level"), F.floor(F.col("day") / F.pow(F.lit(2), level)).cast("long").alias("place")))
+        return rows.select(key, name, F.explode(above).alias("node"))
 
-    first = F.floor(F.greatest(seconds("a.start_at"), seconds("b.start_at")) / bucket_seconds)
-    joined = dealt(a, "a").join(dealt(b, "b"), [key, "bucket"])
-    return joined.filter((F.col("a.start_at") < F.col("b.end_at")) & (F.col("a.end_at") > F.col("b.start_at")) & (F.col("bucket") == first))
+    overlap = (F.col("a.start_at") < F.col("b.end_at")) & (F.col("a.end_at") > F.col("b.start_at"))
+    later_a = starts(a, "a").join(nodes(b, "b"), [key, "node"]).filter(overlap & (F.col("a.start_at") >= F.col("b.start_at")))
+    later_b = nodes(a, "a").join(starts(b, "b"), [key, "node"]).filter(overlap & (F.col("b.start_at") > F.col("a.start_at")))
+    return later_a.select(key, "a", "b").unionByName(later_b.select(key, "a", "b"))
 
 
 def conflicts(entries: DataFrame) -> DataFrame:

@@ -114,6 +114,31 @@ def _(t):
     return identity.merged_preferences(preferences, merge_requests(t).filter("reject IS NULL").select("account_id", "new_account_id"))
 
 
+#: Fours of users in a row, with three requests each: 0 into 1, 2 into 1, 1 into 3; every third four asks in the other order, and in every
+#: other third account 1 has no identity.
+FOURS = "q AS (SELECT user_id // 4 AS g FROM v_users GROUP BY 1 HAVING count(*) = 4), s AS (SELECT g, CAST(unnest(range(0, 3)) AS INTEGER) AS i FROM q), r AS (SELECT 3 * g + CASE WHEN g % 3 = 1 THEN 2 - i ELSE i END AS request_no, g, i, 4 * g + [0, 2, 1][i + 1] AS account_id, 4 * g + [1, 1, 3][i + 1] AS new_account_id FROM s)"
+
+
+def sequences(t):
+    fours = t.users.groupBy(F.expr("user_id div 4").alias("g")).agg(F.count(F.lit(1)).alias("n")).filter("n = 4").select("g", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    pick = lambda *x: 4 * F.col("g") + F.element_at(F.array(*map(F.lit, x)), F.col("i") + 1)
+    requests = fours.select((3 * F.col("g") + F.when(F.col("g") % 3 == 1, 2 - F.col("i")).otherwise(F.col("i"))).alias("request_no"), pick(0, 2, 1).alias("account_id"), pick(1, 1, 3).alias("new_account_id"))
+    own = t.users.filter("NOT (user_id div 4 % 3 = 0 AND user_id % 4 = 1)").select(F.col("user_id").alias("account_id"), "platform")
+    return identity.merged_in_order(requests, own)
+
+
+@query("d6_merge_sequence", f"""
+WITH {FOURS} SELECT request_no, account_id, new_account_id, CASE WHEN g % 3 = 0 THEN CASE i WHEN 1 THEN 'platform' END WHEN g % 3 = 1 THEN CASE i WHEN 1 THEN NULL ELSE 'platform' END ELSE CASE i WHEN 0 THEN NULL ELSE 'platform' END END AS reject FROM r""")
+def _(t):
+    return sequences(t)[0]
+
+
+@query("d6_merged_accounts", f"""
+WITH {FOURS} SELECT 4 * g + k AS account_id, 4 * g + CASE WHEN g % 3 = 0 THEN CASE k WHEN 2 THEN 2 ELSE 3 END WHEN g % 3 = 1 THEN CASE k WHEN 2 THEN 1 ELSE k END ELSE CASE k WHEN 0 THEN 1 ELSE k END END AS root FROM q, (SELECT unnest(range(0, 4)) AS k)""")
+def _(t):
+    return sequences(t)[1]
+
+
 @query("d10_snapshot_once", "SELECT min(event_id) AS captured, count(*) AS n FROM events")
 def _(t):
     """A snapshot is written where there is none; the second one stays out."""

@@ -190,7 +190,7 @@ INBOX = "sha256(concat(event_type, ':', CAST(user_id AS VARCHAR), ':', CAST(CAST
 @query("x1_inbox_once", f"SELECT DISTINCT {INBOX} AS inbox_key FROM events")
 def _(t):
     key = F.sha2(F.concat_ws(":", "event_type", F.col("user_id").cast("string"), F.to_date("ts").cast("string")), 256)
-    return jobs.drained(jobs.without_repeats(event_stream(t).select(key.alias("inbox_key"), "ts"), ["inbox_key"], "ts", "2 days").select("inbox_key"))
+    return jobs.kept_once(event_stream(t).select(key.alias("inbox_key"), "event_id"), ["inbox_key"], "event_id").select("inbox_key")
 
 
 @query("s8_inbox_source", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
