@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import MOST_BITS, bitmap_of, bits_for, cut, documents, grouped, in_bitmap, joined, pieces_of, ragged, width
+from .shared import MOST_BITS, bitmap_of, bits_for, cut, documents, grouped, in_bitmap, joined, pieces_of, ragged, width, with_rows
 from .suffix_dedup import M1, anchored, digests, doubled, runs_of
 
 WINDOW, GRAM = 35, 8
@@ -223,24 +223,6 @@ def _shards(window: int):
     return run
 
 
-def with_rows(base: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``base`` that have none of ``found`` (by doc_id and text_hash), as far as a bitmap tells, and all others joined with it."""
-    touched = bitmap_of(found, "text_hash", bits_for(found.count()))
-
-    def only(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(in_bitmap(touched, batch.column("text_hash").to_numpy()) == inside))
-
-        return run
-
-    schema = "doc_id long, text_hash long, text binary"
-    other = found.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_hash", "own_hash")
-    texts = base.mapInArrow(only(True), schema)
-    same = texts["doc_id"].eqNullSafe(other["own_id"]) & (texts["text_hash"] == other["own_hash"])
-    return base.mapInArrow(only(False), schema), texts.join(other, same, "left").drop("own_id", "own_hash")
-
-
 def repeated_words(base: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, hot_stretches: int = HOT_STRETCHES) -> DataFrame:
     """doc_id, text_hash and runs (first, count) of the words that repeated windows cover. ``base`` has text as bytes."""
     anchors = base.select("text").mapInArrow(_anchors(window, gram), "anchor long, d0 long, multi boolean")

@@ -5,16 +5,16 @@ four steps, each a pass or a shuffle:
 
 1. Anchors. The least hash of GRAM bytes within each string of MATCH bytes is its anchor: equal strings have equal
    anchors. Starts in a row with the same anchor make a piece, the bytes of all strings that start there. Anchors
-   that occur once can't take part in a repetition; the others are noted in bitmaps, sized by their number and of 64 MB
-   at most (beyond 134 million anchors every piece is shuffled, and joins decide).
-2. Pieces with a noted anchor. Equal pieces (by a cryptographic digest of 128 bits) are one piece with a count and are
-   repeated throughout; different pieces of an anchor go to the shard of that anchor.
-3. Shards. Each has the suffix array of its pieces (Larsson-Sadakane refinement: groups of equal prefixes are
-   sorted by the rank of what follows, which doubles the prefix each time) and its common prefixes (Kasai, for all
-   pieces in step). Neighbours with MATCH bytes in common are repeated. An anchor with more pieces than a
-   shard holds is dealt to several; these hand over the strings that are new to them in order, by ranges (as
+   that occur once can't take part in a repetition; a bitmap of the others, sized by their number and of 64 MB at most, spares most
+   pieces the next shuffle (beyond 134 million anchors all go there, as places of some 60 bytes).
+2. Places of the pieces with a noted anchor. Equal pieces (by a cryptographic digest of 128 bits) are one piece with a count and one
+   place, where its bytes are read.
+3. Shards by anchor. Each has the suffix array of its pieces, those that are at several places twice (Larsson-Sadakane refinement:
+   groups of equal prefixes are sorted by the rank of what follows, which doubles the prefix each time), and its
+   common prefixes (Kasai, for all pieces in step). Neighbours with MATCH bytes in common are repeated. An anchor with more pieces
+   than a shard holds is dealt to several; these hand over the strings that are new to them in order, by ranges (as
    cryptographic digests, so that no bytes are sent twice), and these are merged by binary search.
-4. The starts found are joined with the texts of their documents, and the bytes they cover are cut out.
+4. What is found in a piece holds at all its places. These are joined with the texts of their documents, and the bytes they cover are cut out.
 
 Defined cases: null text counts as empty; texts shorter than MATCH lose nothing; matches never cross documents but may
 overlap and may be within one; repeated rows are places of their own; documents of any length are read whole; a null
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap_of, bits_for, cut, documents, grouped, in_bitmap, joined, pieces_of, ragged, width
+from .shared import bitmap_of, bits_for, cut, documents, grouped, in_bitmap, joined, pieces_of, ragged, width, with_rows
 
 MATCH, GRAM = 400, 128
 WINDOW = MATCH - GRAM + 1
@@ -138,33 +138,48 @@ def _anchors(match: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             p = Pieces(_bytes(batch), match, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(p.anchor), pa.array(p.digest[:, 0].copy()), pa.array(p.multi)], ["anchor", "d0", "multi"])
+            yield pa.RecordBatch.from_arrays([pa.array(p.anchor), pa.array(p.multi)], ["anchor", "multi"])
 
     return run
 
 
-def _noted(repeated: np.ndarray | None, contested: np.ndarray | None, match: int, gram: int):
-    """The pieces whose anchor is in a bitmap; one of equal ones has its bytes along if its anchor is contested."""
+PLACES = "doc_id long, text_hash long, first long, count long, anchor long, d0 long, d1 long, multi boolean"
+
+
+def _noted(repeated: np.ndarray | None, match: int, gram: int):
+    """The places of the pieces whose anchor is in the bitmap, without their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches, "text", BATCH_BYTES):
             p = Pieces(_bytes(batch), match, gram)
             on = np.flatnonzero(in_bitmap(repeated, p.anchor))
-            shown = np.zeros(len(on), bool)
-            _, first = np.unique(p.digest[on].copy().view("i8,i8").ravel(), return_index=True) if len(on) else (None, np.zeros(0, np.int64))
-            shown[first] = True
-            shown &= in_bitmap(contested, p.anchor[on])
-            whole = p.data.tobytes()
-            body = [whole[p.at[i]: p.at[i] + p.size[i]] if s else None for i, s in zip(on.tolist(), shown.tolist(), strict=True)]
             rows = pa.array(p.text[on])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(p.first[on]), pa.array(p.count[on]), pa.array(p.anchor[on]), pa.array(p.digest[on, 0]), pa.array(p.digest[on, 1]), pa.array(p.multi[on]), pa.array(body, pa.binary())],
-                ["doc_id", "text_hash", "first", "count", "anchor", "d0", "d1", "multi", "body"],
+                [batch.column("doc_id").take(rows), batch.column("text_hash").take(rows), pa.array(p.first[on]), pa.array(p.count[on]), pa.array(p.anchor[on]), pa.array(p.digest[on, 0]), pa.array(p.digest[on, 1]), pa.array(p.multi[on])],
+                [c.split()[0] for c in PLACES.split(", ")],
             )
 
     return run
 
 
+BODIES = "shard long, part int, parts int, anchor long, d0 long, d1 long, n long, count long, body binary"
+
+
+def _bodies(match: int):
+    """The bytes of the pieces that were chosen in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces_of(batches, "text", BATCH_BYTES):
+            chosen, texts = batch.column("chosen"), _bytes(batch)
+            of = np.repeat(np.arange(batch.num_rows), np.diff(chosen.offsets.to_numpy())).tolist()
+            own = dict(zip(("first", "shard", "part", "parts", "anchor", "d0", "d1", "n", "count"), chosen.flatten().flatten(), strict=True))
+            body = [texts[i][a: a + c + match - 1] for i, a, c in zip(of, own["first"].to_pylist(), own["count"].to_pylist(), strict=True)]
+            names = [c.split()[0] for c in BODIES.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(own[c] for c in names[:-1]), pa.array(body, pa.binary())], names)
+
+    return run
+
+
 def suffix_array(data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The suffixes of all pieces (each ends with its piece), in order."""
     n = len(data)
@@ -243,7 +258,7 @@ def runs_of(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places[first], np.diff(np.append(first, len(places)))
 
 
-SHARD_SCHEMA = "doc_id long, text_hash long, first long, count long, anchor long, part int, g0 array<long>, g1 array<long>, docs array<long>, hashes array<long>, starts array<long>"
+SHARD_SCHEMA = "d0 long, d1 long, first long, count long, anchor long, part int, g0 array<long>, g1 array<long>, p0 array<long>, p1 array<long>, starts array<long>"
 
 
 def _rows(columns: dict, n: int) -> pa.RecordBatch:
@@ -256,11 +271,19 @@ def _rows(columns: dict, n: int) -> pa.RecordBatch:
 
 
 def _shards(match: int):
-    """Runs of repeated starts within each shard; of an anchor in several parts also the digests of its strings, by range."""
+    """Runs of repeated starts of each piece in a shard; of an anchor in several parts also the digests of its strings, by range.
+
+    A piece that is at several places is there twice: what the suffix array finds of it, it finds in the copy.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in grouped(batches, ["shard", "part"]):
+            _, one = np.unique(np.rec.fromarrays([shard.column("d0").to_numpy(), shard.column("d1").to_numpy()]), return_index=True)  # rows that are there twice
+            shard = shard.take(pa.array(one))
+            d0, d1, count, copies = (shard.column(c).to_numpy() for c in ("d0", "d1", "count", "n"))
             bodies = [bytes(x.as_buffer()) for x in shard.column("body")]
+            own = len(bodies)
+            bodies += [bodies[i] for i in np.flatnonzero(copies > 1)]
             data = np.frombuffer(b"".join(bodies), np.uint8)
             sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
             begins = np.cumsum(sizes) - sizes
@@ -271,23 +294,19 @@ def _shards(match: int):
             again[:-1] |= by_rank[1:]
             found = np.zeros(len(data), bool)
             found[order] = again
-            single = shard.column("n").to_numpy() == 1
-            piece = np.repeat(np.arange(len(sizes)), sizes)
-            first, count, text_hash = (shard.column(c).to_numpy() for c in ("first", "count", "text_hash"))
-            doc = shard.column("doc_id").to_pylist()
-            starts, counts = runs_of(np.flatnonzero(found & single[piece]))
             # runs end with their piece: its last strings reach the end, and suffixes that are shorter are never found
-            own = piece[starts] if len(starts) else starts
+            piece = np.repeat(np.arange(own), sizes[:own])
+            starts, counts = runs_of(np.flatnonzero(found[: len(piece)]))
+            at = piece[starts] if len(starts) else starts
             if len(starts):
-                yield _rows({"doc_id": [doc[i] for i in own], "text_hash": text_hash[own], "first": first[own] + starts - begins[own], "count": counts}, len(own))
+                yield _rows({"d0": d0[at], "d1": d1[at], "first": starts - begins[at], "count": counts}, len(at))
             parts = shard.column("parts")[0].as_py()
             if parts > 1:
-                valid = ragged(begins, count)
+                valid = ragged(begins[:own], count)
                 digest = digests(data.tobytes(), valid, valid + match)
-                # strings found twice here stand for themselves once, without asking back
-                asks = ~found[valid] & single[piece[valid]]
+                # strings found here stand for themselves once, without asking back
                 ranges = (digest[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                place = np.where(asks, first[piece[valid]] + valid - begins[piece[valid]], -1)
+                place = np.where(found[valid], -1, valid - begins[piece[valid]])
                 by = np.lexsort((digest[:, 1], digest[:, 0], ranges))
                 digest, ranges, place, owner = digest[by], ranges[by], place[by], piece[valid][by]
                 keep = np.ones(len(by), bool)
@@ -295,7 +314,7 @@ def _shards(match: int):
                 digest, ranges, place, owner = digest[keep], ranges[keep], place[keep], owner[keep]
                 for r in np.unique(ranges):
                     a = np.flatnonzero(ranges == r)
-                    yield _rows({"anchor": [shard.column("anchor")[0].as_py()], "part": [int(r)], "g0": [digest[a, 0].tolist()], "g1": [digest[a, 1].tolist()], "docs": [[doc[i] for i in owner[a]]], "hashes": [text_hash[owner[a]].tolist()], "starts": [place[a].tolist()]}, 1)
+                    yield _rows({"anchor": [shard.column("anchor")[0].as_py()], "part": [int(r)], "g0": [digest[a, 0].tolist()], "g1": [digest[a, 1].tolist()], "p0": [d0[owner[a]].tolist()], "p1": [d1[owner[a]].tolist()], "starts": [place[a].tolist()]}, 1)
 
     return run
 
@@ -303,7 +322,7 @@ def _shards(match: int):
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Starts of strings that another shard has too: each shard's sorted digests are looked up in all others'."""
     for group in grouped(batches, ["anchor", "part"]):
-        shards = [{c: np.array(group.column(c)[i].as_py(), object if c == "docs" else np.int64) for c in ("g0", "g1", "docs", "hashes", "starts")} for i in range(group.num_rows)]
+        shards = [{c: np.array(group.column(c)[i].as_py(), np.int64) for c in ("g0", "g1", "p0", "p1", "starts")} for i in range(group.num_rows)]
         # a shard's digests are distinct and sorted: a digest is shared if two places of the whole list hold it
         keys = [np.rec.fromarrays([s["g0"], s["g1"]]) for s in shards]
         every = np.sort(np.concatenate(keys), order=["f0", "f1"])
@@ -315,37 +334,40 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shared[i] = np.count_nonzero(every["f1"][low[i]: high[i]] == s["g1"][i]) > 1
             on = np.flatnonzero(shared & (s["starts"] >= 0))
             if len(on):
-                yield _rows({"doc_id": s["docs"][on].tolist(), "text_hash": s["hashes"][on], "first": s["starts"][on], "count": np.ones(len(on), np.int64)}, len(on))
+                yield _rows({"d0": s["p0"][on], "d1": s["p1"][on], "first": s["starts"][on], "count": np.ones(len(on), np.int64)}, len(on))
 
 
 def repeated_starts(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, text_hash, first and count: runs of starts of strings that are at another place too. ``df`` has text as bytes."""
-    anchors = df.select("text").mapInArrow(_anchors(match, gram), "anchor long, d0 long, multi boolean")
-    anchors = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("d0").alias("low"), F.max("d0").alias("high"), F.max("multi").alias("multi"))
-    anchors = cut(anchors.filter("n > 1 OR multi").select("anchor", (F.col("multi") | (F.col("low") != F.col("high"))).alias("contested")))
-    n, m = anchors.agg(F.count(F.lit(1)), F.count_if("contested")).first()
-    repeated, contested = bitmap_of(anchors, "anchor", bits_for(n)), bitmap_of(anchors.filter("contested"), "anchor", bits_for(m))
-    schema = "doc_id long, text_hash long, first long, count long, anchor long, d0 long, d1 long, multi boolean, body binary"
-    noted = cut(df.mapInArrow(_noted(repeated, contested, match, gram), schema))
-    key = ["anchor", "d0", "d1"]
-    counts = cut(noted.groupBy(*key).agg(F.count(F.lit(1)).alias("n")))
-    several = counts.filter("n > 1")
-    whole = joined(noted.drop("body"), several, key, "n", several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]).select("doc_id", "text_hash", "first", "count")
-    pieces = noted.filter("body IS NOT NULL").dropDuplicates(key).join(counts, key)
-    sizes = noted.filter("body IS NOT NULL").groupBy("anchor").agg(F.sum(F.length("body")).alias("bytes"), F.max("multi").alias("some"), F.count(F.lit(1)).alias("k"))
-    # an anchor with one piece that can't repeat in itself has nothing to compare; it got here by the bitmap or as equal pieces
-    sizes = cut(sizes.filter("k > 1 OR some").select("anchor", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "bytes", "k"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    """doc_id, text_hash and runs (first, count) of starts of strings that are at another place too. ``df`` has text as bytes."""
+    anchors = df.select("text").mapInArrow(_anchors(match, gram), "anchor long, multi boolean")
+    anchors = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi")).filter("n > 1 OR multi")
+    anchors = cut(anchors.select("anchor"))
+    noted = cut(df.mapInArrow(_noted(bitmap_of(anchors, "anchor", bits_for(anchors.count())), match, gram), PLACES))
+    key = ["d0", "d1"]
+    counts = noted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"), F.min(F.struct("text_hash", "doc_id", "first", "count", "anchor")).alias("place"))
+    counts = cut(counts.select(*key, "n", "multi", "place.*"))
+    # a piece whose anchor is nowhere else has nothing to be compared with; the bitmap let it through
+    size = (F.col("count") + match - 1) * F.least("n", F.lit(2))
+    sizes = counts.groupBy("anchor").agg(F.sum(size).alias("bytes"), F.sum("n").alias("all"), F.max("multi").alias("some"), F.count(F.lit(1)).alias("k")).filter("all > 1 OR some")
+    sizes = cut(sizes.select("anchor", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "bytes", "k"))
+    total, k = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     shards = max(1, -(-total // shard_bytes))
-    pieces = joined(pieces, sizes, ["anchor"], "bytes", total).withColumn("part", F.pmod(F.xxhash64("d0", "d1"), F.col("parts")).cast("int"))
+    pieces = joined(counts.drop("multi"), sizes.drop("bytes"), ["anchor"], "k", k)
+    part = F.pmod(F.xxhash64(*key), F.col("parts")).cast("int").alias("part")
     # anchors in one part share shards; others have shards of their own
-    pieces = pieces.withColumn("shard", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor").bitwiseOR(F.lit(-(2**63)))))
-    pieces = pieces.select("doc_id", "text_hash", "first", "count", "anchor", "n", "parts", "part", "shard", "body")
-    dealt = pieces.repartition(width(df), "shard", "part").sortWithinPartitions("shard", "part", "anchor")
+    shard = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("anchor"), F.lit(shards))).otherwise(F.col("anchor").bitwiseOR(F.lit(-(2**63)))).alias("shard")
+    places = pieces.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", shard, part, "parts", "anchor", *key, "n", "count")).alias("chosen"))
+    _, texts = with_rows(df, cut(places))
+    bodies = texts.filter("chosen IS NOT NULL").mapInArrow(_bodies(match), BODIES)
+    dealt = bodies.repartition(width(df), "shard", "part").sortWithinPartitions("shard", "part")
     found = cut(dealt.mapInArrow(_shards(match), SHARD_SCHEMA))
-    columns = ["doc_id", "text_hash", "first", "count"]
     merged = found.filter("part IS NOT NULL").repartition(width(df), "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_merged, SHARD_SCHEMA)
-    return whole.unionByName(found.filter("part IS NULL").select(*columns)).unionByName(merged.select(*columns))
+    found = found.filter("part IS NULL").select(*key, "first", "count").unionByName(merged.select(*key, "first", "count"))
+    found = found.groupBy(*key).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    found = cut(found.join(counts.select(*key, "n"), key))
+    everywhere = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    places = joined(noted.select("doc_id", "text_hash", "first", *key), found, key, "n", everywhere)
+    return places.select("doc_id", "text_hash", F.transform("runs", lambda r: F.struct((r["first"] + F.col("first")).alias("first"), r["count"].alias("count"))).alias("runs"))
 
 
 def _removed(match: int):
@@ -373,21 +395,8 @@ def without_repeats(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_b
     base = documents(df).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     runs = repeated_starts(base, match, gram, shard_bytes)
     # a set: rows that repeat id and text have the same runs
-    runs = cut(runs.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("first", "count")).alias("runs")))
-    touched = bitmap_of(runs, "text_hash", bits_for(runs.count()))
-    schema = "doc_id long, text_hash long, text binary"
-
-    def only(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = in_bitmap(touched, batch.column("text_hash").to_numpy())
-                yield batch.filter(pa.array(hit == inside))
-
-        return run
-
-    free = base.mapInArrow(only(False), schema)
+    runs = cut(runs.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_set("runs"))).alias("runs")))
+    free, texts = with_rows(base, runs)
     free = free.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    texts = base.mapInArrow(only(True), schema)
-    runs = runs.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_hash", "own_hash")
-    cleaned = texts.join(runs, texts["doc_id"].eqNullSafe(runs["own_id"]) & (texts["text_hash"] == runs["own_hash"]), "left").select("doc_id", "text", "runs")
+    cleaned = texts.select("doc_id", "text", "runs")
     return free.unionByName(cleaned.mapInArrow(_removed(match), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
