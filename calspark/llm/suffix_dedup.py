@@ -7,11 +7,11 @@ four steps, each a pass or a shuffle:
    anchors. Starts in a row with the same anchor make a piece, the bytes of all strings that start there. Anchors
    that occur once can't take part in a repetition; a bitmap of the others, sized by their number and of 64 MB at most, spares most
    pieces the next shuffle (beyond 134 million anchors all go there, as places of some 60 bytes).
-2. Places of the pieces with a noted anchor. Equal pieces (by a cryptographic digest of 128 bits) are one piece with a count and one
-   place, where its bytes are read.
-3. Shards by anchor. Each has the suffix array of its pieces, those that are at several places twice (Larsson-Sadakane refinement:
-   groups of equal prefixes are sorted by the rank of what follows, which doubles the prefix each time), and its
-   common prefixes (Kasai, for all pieces in step). Neighbours with MATCH bytes in common are repeated. An anchor with more pieces
+2. Places of the pieces with a noted anchor. Equal pieces (by a cryptographic digest of 128 bits) are one piece with a count, and
+   repeated throughout; the bytes of one that has others of its anchor to be compared with are read at one place.
+3. Shards by anchor. Each has the suffix array of its pieces (Larsson-Sadakane refinement: groups of equal prefixes are
+   sorted by the rank of what follows, which doubles the prefix each time), and its common prefixes (Kasai, for all pieces in
+   step). Neighbours with MATCH bytes in common are repeated. An anchor with more pieces
    than a shard holds is dealt to several; these hand over the strings that are new to them in order, by ranges (as
    cryptographic digests, so that no bytes are sent twice), and these are merged by binary search.
 4. What is found in a piece holds at all its places. These are joined with the texts of their documents, and the bytes they cover are cut out.
@@ -273,7 +273,7 @@ def _rows(columns: dict, n: int) -> pa.RecordBatch:
 def _shards(match: int):
     """Runs of repeated starts of each piece in a shard; of an anchor in several parts also the digests of its strings, by range.
 
-    A piece that is at several places is there twice: what the suffix array finds of it, it finds in the copy.
+    Nothing is told of a piece that is at several places: all of it is repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +282,6 @@ def _shards(match: int):
             shard = shard.take(pa.array(one))
             d0, d1, count, copies = (shard.column(c).to_numpy() for c in ("d0", "d1", "count", "n"))
             bodies = [bytes(x.as_buffer()) for x in shard.column("body")]
-            own = len(bodies)
-            bodies += [bodies[i] for i in np.flatnonzero(copies > 1)]
             data = np.frombuffer(b"".join(bodies), np.uint8)
             sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
             begins = np.cumsum(sizes) - sizes
@@ -295,18 +293,19 @@ def _shards(match: int):
             found = np.zeros(len(data), bool)
             found[order] = again
             # runs end with their piece: its last strings reach the end, and suffixes that are shorter are never found
-            piece = np.repeat(np.arange(own), sizes[:own])
-            starts, counts = runs_of(np.flatnonzero(found[: len(piece)]))
+            piece = np.repeat(np.arange(len(sizes)), sizes)
+            single = copies == 1
+            starts, counts = runs_of(np.flatnonzero(found & single[piece]))
             at = piece[starts] if len(starts) else starts
             if len(starts):
                 yield _rows({"d0": d0[at], "d1": d1[at], "first": starts - begins[at], "count": counts}, len(at))
             parts = shard.column("parts")[0].as_py()
             if parts > 1:
-                valid = ragged(begins[:own], count)
+                valid = ragged(begins, count)
                 digest = digests(data.tobytes(), valid, valid + match)
                 # strings found here stand for themselves once, without asking back
                 ranges = (digest[:, 0].view(np.uint64) % np.uint64(parts)).astype(np.int64)
-                place = np.where(found[valid], -1, valid - begins[piece[valid]])
+                place = np.where(~found[valid] & single[piece[valid]], valid - begins[piece[valid]], -1)
                 by = np.lexsort((digest[:, 1], digest[:, 0], ranges))
                 digest, ranges, place, owner = digest[by], ranges[by], place[by], piece[valid][by]
                 keep = np.ones(len(by), bool)
@@ -346,9 +345,8 @@ def repeated_starts(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_b
     key = ["d0", "d1"]
     counts = noted.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.max("multi").alias("multi"), F.min(F.struct("text_hash", "doc_id", "first", "count", "anchor")).alias("place"))
     counts = cut(counts.select(*key, "n", "multi", "place.*"))
-    # a piece whose anchor is nowhere else has nothing to be compared with; the bitmap let it through
-    size = (F.col("count") + match - 1) * F.least("n", F.lit(2))
-    sizes = counts.groupBy("anchor").agg(F.sum(size).alias("bytes"), F.sum("n").alias("all"), F.max("multi").alias("some"), F.count(F.lit(1)).alias("k")).filter("all > 1 OR some")
+    # an anchor with one piece that can't repeat in itself has nothing to compare; it got here by the bitmap or as equal pieces
+    sizes = counts.groupBy("anchor").agg(F.sum(F.col("count") + match - 1).alias("bytes"), F.max("multi").alias("some"), F.count(F.lit(1)).alias("k")).filter("k > 1 OR some")
     sizes = cut(sizes.select("anchor", F.ceil(F.col("bytes") / shard_bytes).cast("int").alias("parts"), "bytes", "k"))
     total, k = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
     shards = max(1, -(-total // shard_bytes))
@@ -364,6 +362,8 @@ def repeated_starts(df: DataFrame, match: int = MATCH, gram: int = GRAM, shard_b
     merged = found.filter("part IS NOT NULL").repartition(width(df), "anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_merged, SHARD_SCHEMA)
     found = found.filter("part IS NULL").select(*key, "first", "count").unionByName(merged.select(*key, "first", "count"))
     found = found.groupBy(*key).agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("first"), "count")).alias("runs")
+    found = found.unionByName(counts.filter("n > 1").select(*key, whole))  # equal pieces
     found = cut(found.join(counts.select(*key, "n"), key))
     everywhere = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     places = joined(noted.select("doc_id", "text_hash", "first", *key), found, key, "n", everywhere)
