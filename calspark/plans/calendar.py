@@ -221,6 +221,13 @@ def _(t):
     return identity.first_identity(t.identities)
 
 
+@query("w10_preferred_identity", """
+SELECT account_id, platform, external_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY platform <> 'b', external_id) AS rn FROM v_identities) WHERE rn = 1""")
+def _(t):
+    """The identity on platform b, where there is one."""
+    return identity.first_identity(t.identities, "b")
+
+
 @query("s10_calendar_json", f"""
 WITH {ENTRIES} SELECT event_id, '{{"id":"' || CASE WHEN platform = 'a' THEN 't:' ELSE 'm:' END || CAST(event_id AS VARCHAR) || '","title":"' || title || '","start":"' || strftime(start_at, '%Y-%m-%dT%H:%M:%S') ||
   '","end":"' || strftime(end_at, '%Y-%m-%dT%H:%M:%S') || '","all_day":' || CAST(all_day AS VARCHAR) || ',"is_completed":' || CAST(is_completed AS VARCHAR) || '}}' AS payload FROM entries""")

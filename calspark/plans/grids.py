@@ -323,6 +323,16 @@ def _(t):
     return t.part.groupBy(F.lower("p_type").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(16)
 
 
+@query("a9_first_spelling", """
+WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE p_type END AS spelled FROM part)
+SELECT arg_min(spelled, p_partkey) AS label, count(*) AS n FROM s GROUP BY lower(spelled) ORDER BY n DESC, lower(label) LIMIT 16""")
+def _(t):
+    """The most frequent labels, whatever their case, as they are spelled where they come first."""
+    spelled = t.part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.lower("p_type")).otherwise(F.col("p_type")).alias("spelled"))
+    found = spelled.groupBy(F.lower("spelled").alias("key")).agg(F.min_by("spelled", "p_partkey").alias("label"), F.count(F.lit(1)).alias("n"))
+    return found.orderBy(F.desc("n"), "key").limit(16).select("label", "n")
+
+
 @query("l6_candidate_caps", "SELECT l_partkey, l_orderkey, l_linenumber, rn FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_discount DESC, l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn <= 8")
 def _(t):
     rn = F.row_number().over(Window.partitionBy("l_partkey").orderBy(F.desc("l_discount"), "l_shipdate", "l_orderkey", "l_linenumber"))
