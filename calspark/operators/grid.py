@@ -160,3 +160,110 @@ def chunked(lines: DataFrame, key: str, order: str, most_chars: int) -> DataFram
 
     rows = lines.select(key, F.col(order).cast("bigint").alias(order), F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
     return folded(rows, [key], [order], ["n"], "chunk", lambda: [0, 0], placed).select(key, order, F.col("chunk").cast("int").alias("chunk"))
+
+
+def row_chunks(cells: DataFrame, most_chars: int = 9000, most_cells: int = 48, place: int = 24) -> DataFrame:
+    """file_id, row_no and chunk: a new chunk before a row that would exceed the characters or the cells of one.
+
+    A cell counts its text and ``place`` characters for where it stands; a row is never cut, so one that is too large by itself is a chunk.
+    """
+
+    def placed(state: list, chars: int, n: int) -> int:
+        full = state[2] > 0 and (state[1] + chars > most_chars or state[2] + n > most_cells)
+        state[:] = [state[0] + full, chars if full else state[1] + chars, n if full else state[2] + n]
+        return state[0]
+
+    rows = cells.groupBy("file_id", "row_no").agg(F.sum(F.coalesce(F.char_length("text"), F.lit(0)) + place).alias("chars"), F.count(F.lit(1)).alias("n"))
+    return folded(rows, ["file_id"], ["row_no"], ["chars", "n"], "chunk", lambda: [0, 0, 0], placed).select("file_id", "row_no", F.col("chunk").cast("int").alias("chunk"))
+
+
+#: A line that begins a section, one that is a row of a table, and how many rows and lines of a section are its header at most.
+SECTION, ROW, HEADER_ROWS, HEADER_LINES = "=== ", r"^(?:T[0-9]+)?R[0-9]+\t", 4, 12
+EDGE = r"[\s\x1c-\x1f\x85\u00a0]"
+
+
+def document_chunks(lines: DataFrame, key: str, order: str, most_chars: int = 9000) -> DataFrame:
+    """key, chunk, n_chars and text: documents in chunks of ``most_chars`` that are cut between lines only.
+
+    A section begins at a line with the mark of one. A section that fits is kept whole; a longer one is cut before the line
+    that would exceed the size, and each of its chunks begins with the section's header. Chunks that follow each other are
+    put together while they fit. Chunks are trimmed, empty ones go; a line without text counts as empty. A chunk is longer
+    than ``most_chars`` only where a header and one line are.
+    """
+    inside = Window.partitionBy(key, "section")
+    rows = lines.select(key, F.col(order).cast("long").alias("line"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("section", F.sum(F.col("text").startswith(SECTION).cast("int")).over(Window.partitionBy(key).orderBy("line")))
+    # where a line stands in its section, and where its text begins and ends without the blanks around it
+    n, upto = F.char_length("text"), inside.orderBy("line")
+    rows = rows.withColumns({"n": n, "lead": n - F.char_length(F.regexp_replace("text", f"^{EDGE}+", "")), "tail": n - F.char_length(F.regexp_replace("text", f"{EDGE}+$", ""))})
+    rows = rows.withColumns({"at": F.sum(F.col("n") + 1).over(upto) - F.col("n") - 1, "seen": F.sum(F.col("text").rlike(ROW).cast("int")).over(upto), "nth": F.row_number().over(upto)})
+    said = F.col("lead") < F.col("n")
+    size = F.max(F.when(said, F.col("at") + F.col("n") - F.col("tail"))).over(inside) - F.min(F.when(said, F.col("at") + F.col("lead"))).over(inside)
+    before = F.col("seen") - F.col("text").rlike(ROW).cast("int")
+    rows = rows.withColumns({"long": F.coalesce(size, F.lit(0)) > most_chars, "header": (before < HEADER_ROWS) & (F.col("nth") <= HEADER_LINES)})
+
+    def part(state: list, n: int, lead: int, tail: int, long: bool, header: bool) -> int:
+        """State: the part, then length, first and last place of text (-1: none) of it, and the same of the header."""
+
+        def with_line(own: list) -> list:
+            start = own[0] + own[3]
+            blank = lead >= n
+            return [start + n, own[1] if blank or own[1] >= 0 else start + lead, own[2] if blank else start + n - tail, True]
+
+        at, own, head = state
+        more = with_line(own)
+        if header or not long:
+            state[:] = [at, more, more]
+            return at
+        if more[2] - more[1] > most_chars:
+            at, more = at + 1, with_line(head)
+        state[:] = [at, more, head]
+        return at
+
+    cut = folded(rows, [key, "section"], ["line"], ["n", "lead", "tail", "long", "header"], "part", lambda: [0, [0, -1, 0, False], [0, -1, 0, False]], part)
+    cut = cut.withColumn("parts", F.max("part").over(inside))
+    own = F.when(F.col("long") & F.col("header"), F.sequence(F.lit(0).cast("long"), F.col("parts"))).otherwise(F.array("part"))
+    pieces = cut.select(key, "section", F.explode(own).alias("part"), "line", "text")
+    joined = lambda rows, *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda r: r["text"]), "\n")
+    trimmed = lambda c: F.regexp_replace(c, f"^{EDGE}+|{EDGE}+$", "")
+    pieces = pieces.groupBy(key, "section", "part").agg(trimmed(joined(pieces, "line")).alias("text")).filter("text <> ''").withColumn("n", F.char_length("text"))
+
+    def packed(state: list, n: int) -> int:
+        full = state[1] > 0 and state[1] + n + 1 > most_chars
+        state[:] = [state[0] + full, n if full or not state[1] else state[1] + n + 1]
+        return state[0]
+
+    placed = folded(pieces, [key], ["section", "part"], ["n"], "chunk", lambda: [0, 0], packed)
+    chunks = placed.groupBy(key, "chunk").agg(joined(placed, "section", "part").alias("text"))
+    return chunks.select(key, F.col("chunk").cast("int").alias("chunk"), F.char_length("text").alias("n_chars"), "text")
+
+
+# Words of headers that are no title, and how the weeks of a row are told.
+NO_TITLE = ("день", "дата", "время", "предмет", "дисциплина", "занятие", "пара", "группа")
+ODD_STEMS, EVEN_STEMS = ("числител", "нечет"), ("знаменател", "чет")
+
+
+def row_slots(cells: DataFrame) -> DataFrame:
+    """file_id, row_no, weekday, start_min, end_min, title, week_pattern and resolved of each row that has a time, under a day.
+
+    The day is the one that the row names, or that of the last row above that names exactly one. The first two clocks are the
+    interval; one alone lasts 90 minutes. A row is resolved if exactly one of its texts is a title (no word of a header, day,
+    time, number or code of a group) and it ends after it starts, on that day; else all but row, day and times are null.
+    Thursday, which begins as the word for even does, tells no weeks.
+    """
+    row = cells.filter("text IS NOT NULL").groupBy("file_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", F.trim("text").alias("text")))).alias("own"))
+    row = row.select("file_id", "row_no", F.filter(F.transform("own", lambda c: c["text"]), lambda x: x != "").alias("own"))
+    row = row.withColumn("text", F.array_join("own", "\t")).withColumn("days", T.weekdays_in(F.col("text")))
+    above = Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    row = row.withColumn("weekday", F.last(F.when(F.size("days") == 1, F.get("days", F.lit(0))), ignorenulls=True).over(above))
+    part = lambda i: F.regexp_extract_all("text", F.lit(T.CLOCK), F.lit(i))
+    row = row.withColumn("clocks", F.zip_with(part(1), part(2), lambda h, m: h.cast("int") * 60 + m.cast("int"))).filter("weekday IS NOT NULL AND size(clocks) > 0")
+    number, group = r"^[№#]?\s*[0-9]+[./-]?[0-9]*$", lambda x: F.exists(T.codes(x), T.is_group_code)
+    other = lambda x: F.lower(x).isin(*NO_TITLE) | (F.size(T.weekdays_in(x)) > 0) | x.rlike(T.CLOCK) | x.rlike(number) | ~x.rlike(r"[\p{L}0-9]") | group(x)
+    titles = F.array_distinct(F.filter("own", lambda x: ~other(x)))
+    end = F.coalesce(F.get("clocks", F.lit(1)), F.get("clocks", F.lit(0)) + 90)
+    row = row.select("file_id", "row_no", "weekday", F.get("clocks", F.lit(0)).alias("start_min"), end.alias("end_min"), titles.alias("titles"), T.plain_words(F.col("text")).alias("words"))
+    begins = lambda stems: F.exists("words", lambda w: F.greatest(*(w.startswith(s) for s in stems)) & ~w.isin(*(n for own in T.DAY_NAMES for n in own)))
+    weeks = F.when(begins(ODD_STEMS), "odd").when(begins(EVEN_STEMS), "even").otherwise("every")
+    good = (F.size("titles") == 1) & (F.col("end_min") > F.col("start_min")) & (F.col("end_min") < 1440)
+    return row.select("file_id", "row_no", "weekday", "start_min", "end_min", F.when(good, F.left(F.get("titles", F.lit(0)), F.lit(255))).alias("title"), F.when(good, weeks).alias("week_pattern"), good.alias("resolved"))

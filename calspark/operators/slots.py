@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calspark.functions import text as T
+
 SIGNATURE = ["title", "weekday", "start_min", "end_min", "week_pattern"]
 
 
@@ -42,3 +44,16 @@ def confirmed(slots: DataFrame, series: DataFrame) -> DataFrame:
 def undone(series: DataFrame, sources: DataFrame) -> DataFrame:
     """Series without those that the given imports made."""
     return series.join(sources.select("source"), "source", "left_anti").select(*series.columns)
+
+
+def skip_candidates(requests: DataFrame, classes: DataFrame, on: list[str]) -> DataFrame:
+    """The classes that each request to skip one can mean: request_id and the columns of ``classes`` but ``on``.
+
+    ``requests`` has request_id (unique), ``on`` and message, ``classes`` has ``on`` and title; both meet where ``on`` is equal.
+    Classes that share a word with the message, beside those of any such request, are meant; where none does, all are. A null message or title has no words.
+    """
+    asked = requests.withColumn("_wanted", F.array_except(T.plain_words(F.coalesce("message", F.lit(""))), F.array(*map(F.lit, T.SKIP_WORDS))))
+    pairs = asked.select("request_id", *on, "_wanted").join(classes.withColumn("_has", T.plain_words(F.coalesce("title", F.lit("")))), on)
+    own = ["request_id", *(c for c in classes.columns if c not in on)]
+    meant = pairs.filter(F.arrays_overlap("_wanted", "_has")).select(own)
+    return meant.unionByName(pairs.join(meant.select("request_id").distinct(), "request_id", "left_anti").select(own))

@@ -162,6 +162,31 @@ def _(t):
     return rows.filter(title != "").select(*grid.CELL, F.col("date_hint").alias("day"), span["start_min"].alias("start_min"), span["end_min"].alias("end_min"), title.alias("title"))
 
 
+TIMETABLE = """
+r AS (SELECT draft_id AS file_id, CAST(row_number() OVER (PARTITION BY draft_id ORDER BY position, title, week_pattern) AS INT) AS row_no, start_min, end_min, week_pattern, title,
+    CASE WHEN position % 3 <> 0 THEN CAST(weekday AS INT) END AS day, CASE WHEN position % 11 = 0 THEN title || ' 2' END AS second, position FROM v_slots),
+  c AS (SELECT *, last_value(day IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY row_no) AS weekday,
+    CASE WHEN position % 4 = 0 THEN start_min + 90 WHEN position % 13 = 0 THEN start_min - 30 ELSE end_min END AS last FROM r)"""
+
+
+@query("g11_timetable_rows", f"""
+WITH {TIMETABLE} SELECT file_id, row_no, weekday, start_min, last AS end_min, CASE WHEN second IS NULL AND last > start_min THEN title END AS title,
+  CASE WHEN second IS NULL AND last > start_min THEN week_pattern END AS week_pattern, second IS NULL AND last > start_min AS resolved FROM c WHERE weekday IS NOT NULL""")
+def _(t):
+    """Rows of a day (not in all), one or two clocks, a number, a group, a title (or two) and the weeks beside the clocks; days come from the rows above."""
+    days = F.array(*(F.lit(own[i % 3].capitalize()) for i, own in enumerate(T.DAY_NAMES)))
+    clock = lambda m: F.format_string("%d:%02d", F.floor(m / 60).cast("int"), m % 60)
+    n, weeks = F.col("position"), F.col("week_pattern")
+    end = F.when(n % 13 == 0, F.col("start_min") - 30).otherwise(F.col("end_min"))
+    times = F.when(n % 4 == 0, clock(F.col("start_min"))).otherwise(F.concat_ws(" - ", clock(F.col("start_min")), clock(end)))
+    told = F.when(weeks == "odd", " (числитель)").when(weeks == "even", ", четная").otherwise("")
+    second = F.when(n % 11 == 0, F.concat("title", F.lit(" 2"))).otherwise(F.concat(F.lit(" "), "title"))
+    texts = [F.when(n % 3 != 0, F.get(days, F.col("weekday"))), F.concat(F.lit("№ "), (n % 7).cast("string")), F.concat(times, told), F.lit("ИС-21"), F.col("title"), second]
+    place = F.row_number().over(Window.partitionBy("draft_id").orderBy("position", "title", "week_pattern"))
+    rows = t.slots.select(F.col("draft_id").alias("file_id"), place.alias("row_no"), F.array(*texts).alias("texts"))
+    return grid.row_slots(rows.select("file_id", "row_no", F.posexplode("texts").alias("col_no", "text")))
+
+
 @query("g12_interval_defaults", """
 SELECT position, CASE WHEN position % 3 = 0 THEN greatest(start_min - 30, 0) ELSE start_min END AS start_min, CASE WHEN position % 3 = 0 THEN start_min WHEN position % 3 = 1 THEN end_min ELSE least(start_min + 90, 1439) END AS end_min FROM v_slots""")
 def _(t):
@@ -345,6 +370,26 @@ def _(t):
     return grid.chunked(lines, "doc_id", "line_no", 9000)
 
 
+@query("w12_row_chunks", """
+WITH RECURSIVE r AS (SELECT file_id, row_no, sum(length(text) + 24) AS chars, count(*) AS n, row_number() OVER (PARTITION BY file_id ORDER BY row_no) AS i FROM v_cells GROUP BY file_id, row_no),
+  c AS (SELECT file_id, row_no, i, chars, n, 0 AS chunk FROM r WHERE i = 1
+    UNION ALL SELECT r.file_id, r.row_no, r.i, CASE WHEN c.chars + r.chars > 900 OR c.n + r.n > 48 THEN r.chars ELSE c.chars + r.chars END, CASE WHEN c.chars + r.chars > 900 OR c.n + r.n > 48 THEN r.n ELSE c.n + r.n END,
+      c.chunk + CASE WHEN c.chars + r.chars > 900 OR c.n + r.n > 48 THEN 1 ELSE 0 END FROM c JOIN r ON r.file_id = c.file_id AND r.i = c.i + 1)
+SELECT file_id, row_no, chunk FROM c""")
+def _(t):
+    """Rows of sheets in chunks of 900 characters and 48 cells at most."""
+    return grid.row_chunks(t.cells, 900)
+
+
+@query("w12_document_chunks")
+def _(t):
+    """Documents of every hundred ids as one text, each a section with its source as the header; the greedy fold is tested against brute force."""
+    mark = F.concat(F.lit("=== "), F.col("source"), F.lit(" ==="))
+    lines = t.documents.select(F.floor(F.col("doc_id") / 100).alias("file_id"), "doc_id", F.posexplode(F.concat(F.array(mark), F.split("text", "\n"))).alias("n", "text"))
+    lines = lines.select("file_id", (F.col("doc_id") * 1000000 + F.col("n")).alias("line_no"), "text")
+    return grid.document_chunks(lines, "file_id", "line_no").select("file_id", "chunk", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("w14_reading_order", """
 SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ' ' ORDER BY l_quantity, l_extendedprice, l_partkey) AS text FROM lineitem GROUP BY l_orderkey""")
 def _(t):

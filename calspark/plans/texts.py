@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from calspark.functions import text as T
+from calspark.operators import slots
 
 from .registry import query
 
@@ -66,6 +67,14 @@ def _(t):
     return pairs.join(scores, ["title", "other"]).select("user_id", "title", "other", "n_events", "n_others", "score")
 
 
+@query("t6_similar_titles")
+def _(t):
+    """The titles of a user that are alike by 0.45 at least, each as the query against each other one; scores as in ``t6_title_similarity``."""
+    e = t.cal_events.select("user_id", "title").distinct()
+    pairs = e.join(e.withColumnRenamed("title", "other"), "user_id").filter("title <> other")
+    return T.scored(pairs, "title", "other", 0.45).select("user_id", "title", "other", "score")
+
+
 @query("t7_occurrence_date", """
 WITH m AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS today, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS k, CAST(CAST(o_orderdate AS DATE) + CAST(o_orderkey % 200 - 100 AS INT) AS DATE) AS d FROM orders)
 SELECT o_orderkey, CASE k WHEN 0 THEN today WHEN 1 THEN today + 1 WHEN 2 THEN today + 2 ELSE
@@ -187,6 +196,18 @@ def _(t):
     return t.events.select("event_id", F.get_json_object(T.repaired_json(answer), "$.k").alias("k"))
 
 
+@query("t19_nested_slots", r"""
+WITH a AS (SELECT event_id, 'Here: {' || repeat('"_note": {"_x": {', CAST(event_id % 4 AS INT)) || '"__slots": [' || props || ', {"_k": ' || CAST(event_id AS VARCHAR) || '}]' || repeat('}}', CAST(event_id % 4 AS INT)) || '} - all.' AS answer FROM events),
+  j AS (SELECT event_id, CAST(regexp_replace(regexp_extract(answer, '\{.*\}'), '"_+(\w+)":', '"\1":', 'g') AS JSON) AS j FROM a),
+  s AS (SELECT event_id, CAST(list_filter(json_extract(j, '$..slots'), lambda x: json_type(x) = 'ARRAY')[1] AS JSON[]) AS own FROM j)
+SELECT event_id, CAST(i - 1 AS INT) AS slot_no, json_extract_string(own[i], '$.k') AS k FROM (SELECT event_id, own, unnest(range(1, len(own) + 1)) AS i FROM s)""")
+def _(t):
+    """Two slots in each answer, up to six objects deep, under keys with marks."""
+    deep = (F.col("event_id") % 4).cast("int")
+    answer = F.concat(F.lit("Here: {"), F.repeat(F.lit('"_note": {"_x": {'), deep), F.lit('"__slots": ['), F.col("props"), F.lit(', {"_k": '), F.col("event_id").cast("string"), F.lit("}]"), F.repeat(F.lit("}}"), deep), F.lit("} - all."))
+    return t.events.select("event_id", F.posexplode(T.slots_of(answer)).alias("slot_no", "slot")).select("event_id", "slot_no", F.get_json_object("slot", "$.k").alias("k"))
+
+
 @query("w2_last_turns", "SELECT account_id, turn_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY turn_id DESC) AS rn FROM v_turns) WHERE rn <= 6")
 def _(t):
     rn = F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("turn_id")))
@@ -208,6 +229,23 @@ def _(t):
     return words.join(asked, ["account_id", "word"], "left_semi").select("account_id", "series_id").distinct()
 
 
+NO_SKIP_WORDS = "['" + "', '".join(T.SKIP_WORDS) + "']"
+
+
+@query("j18_skip_candidates", f"""
+WITH r AS (SELECT series_id AS request_id, account_id, weekday, CASE series_id % 3 WHEN 0 THEN 'Не иду ' || upper(title) WHEN 1 THEN 'сегодня пропущу пару' ELSE 'завтра пропускаю зачёт' END AS message FROM v_series),
+  p AS (SELECT r.request_id, s.series_id, list_has_any(list_filter(regexp_extract_all(replace(lower(r.message), 'ё', 'е'), '[a-zа-я0-9]+'), lambda w: NOT list_contains({NO_SKIP_WORDS}, w)), regexp_extract_all(replace(lower(s.title), 'ё', 'е'), '[a-zа-я0-9]+')) AS meant
+    FROM r JOIN v_series s ON s.account_id = r.account_id AND s.weekday = r.weekday)
+SELECT request_id, series_id FROM (SELECT *, bool_or(meant) OVER (PARTITION BY request_id) AS any_meant FROM p) WHERE meant OR NOT any_meant""")
+def _(t):
+    """Requests that name a class of their day, that name none, and that name one which isn't there."""
+    n = F.col("series_id") % 3
+    message = F.when(n == 0, F.concat(F.lit("Не иду "), F.upper("title"))).when(n == 1, "сегодня пропущу пару").otherwise("завтра пропускаю зачёт")
+    requests = t.series.select(F.col("series_id").alias("request_id"), "account_id", "weekday", message.alias("message"))
+    classes = t.series.select("account_id", "weekday", "series_id", "title")
+    return slots.skip_candidates(requests, classes, ["account_id", "weekday"]).select("request_id", "series_id")
+
+
 @query("j19_fuzzy_titles")
 def _(t):
     """Titles of a user's events that are like the title asked for, on the same day, by a score of 0.45 at least."""
@@ -215,7 +253,7 @@ def _(t):
     asked = e.filter("event_id % 50 = 0").select("user_id", F.col("event_id").alias("query_id"), F.col("title").alias("query"), F.col("start_at").alias("near"))
     day = lambda rows, at: rows.withColumn("day", F.to_date(at))
     pairs = day(asked, "near").join(day(e, "start_at"), ["user_id", "day"])
-    scored = pairs.withColumn("score", F.round(T.similarity(F.col("query"), F.col("title")), 6)).filter("score >= 0.45")
+    scored = T.scored(pairs, "query", "title", 0.45)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "start_at", "event_id"))
     return scored.withColumn("place", place).filter("place <= 8").select("query_id", "event_id", "score", "place")
 
