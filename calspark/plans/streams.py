@@ -154,11 +154,11 @@ def _(t):
 
 
 @query("r9_calendar_alarms", """
-SELECT event_id, unnest([start_at - INTERVAL 15 MINUTE, deadline + INTERVAL 10 MINUTE, start_at - INTERVAL 1 DAY]) AS alarm_at FROM v_cal_events WHERE deadline >= start_at""")
+SELECT event_id, unnest([start_at - INTERVAL 15 MINUTE, deadline + INTERVAL 10 MINUTE, start_at - INTERVAL 1 DAY]) AS alarm_at FROM v_cal_events""")
 def _(t):
     """Every alarm of an event: before its start, after its end, at a fixed time."""
     stamp = lambda c: F.concat(F.date_format(c, "yyyyMMdd'T'HHmmss"), F.lit("Z"))
-    e = t.cal_events.filter("deadline >= start_at")
+    e = t.cal_events
     alarm = lambda trigger: F.concat_ws("\n", F.lit("BEGIN:VALARM"), trigger, F.lit("END:VALARM"))
     fixed = F.concat(F.lit("TRIGGER;VALUE=DATE-TIME:"), stamp(F.col("start_at") - F.expr("interval 1 day")))
     text = F.concat_ws("\n", F.lit("BEGIN:VEVENT"), alarm(F.lit("TRIGGER:-PT15M")), F.concat(F.lit("DTSTART:"), stamp(F.col("start_at"))), F.concat(F.lit("DTEND:"), stamp(F.col("deadline"))), alarm(F.lit("TRIGGER;RELATED=END:PT10M")), alarm(fixed), F.lit("END:VEVENT"))

@@ -95,7 +95,13 @@ def _(t):
     return m.select("o_orderkey", r.alias("r")).select("o_orderkey", "r.first", "r.last", "r.error")
 
 
-@query("t9_bare_period", "SELECT o_orderkey, o_orderkey % 3 = 0 AS bare FROM orders")
+# A message of each order, as the queries make it, and its dates.
+DAY_SQL, DATE_SQL = "strftime(CAST(o_orderdate AS DATE), '%d.%m.%Y')", r"'[0-9]{2}\.[0-9]{2}\.[0-9]{4}'"
+
+
+@query("t9_bare_period", f"""
+WITH m AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'период с ' || {DAY_SQL} || ' по ' || {DAY_SQL} WHEN 1 THEN 'экзамен с ' || {DAY_SQL} || ' по ' || {DAY_SQL} ELSE 'период с ' || {DAY_SQL} END AS message FROM orders)
+SELECT o_orderkey, len(regexp_extract_all(message, {DATE_SQL})) = 2 AND len(list_filter(regexp_extract_all(regexp_replace(message, {DATE_SQL}, ' ', 'g'), '[а-яa-z]+'), lambda w: NOT list_contains({T.FILLER}, w))) = 0 AS bare FROM m""")
 def _(t):
     day = F.date_format("o_orderdate", "dd.MM.yyyy")
     message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("период с "), day, F.lit(" по "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("экзамен с "), day, F.lit(" по "), day)).otherwise(F.concat(F.lit("период с "), day))
@@ -111,9 +117,13 @@ def _(t):
     return t.conversations.select("conv_id", "turn", T.intent(F.concat(head, "text")).alias("intent"))
 
 
-@query("t12_time_hint", "SELECT event_id, event_id % 2 = 0 AS timed FROM events")
+@query("t12_time_hint", r"""
+WITH m AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'встреча в ' || strftime(ts, '%H:%M') WHEN 1 THEN 'каб. ' || strftime(ts, '%H:%M:%S') WHEN 2 THEN 'до ' || strftime(ts, '%H.%M') || '. Потом ' || event_type ELSE event_type || ' ' || CAST(event_id AS VARCHAR) END AS message FROM events)
+SELECT event_id, regexp_matches(message, '(^|[^0-9.:])([01]?[0-9]|2[0-3])[:.][0-5][0-9]($|[^0-9.:]|[.:]([^0-9]|$))') AS timed FROM m""")
 def _(t):
-    message = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("встреча в "), F.date_format("ts", "HH:mm"))).otherwise("встреча")
+    """A clock, one with seconds, which is none, one in front of a full stop, and numbers only."""
+    n, at = F.col("event_id") % 4, lambda form: F.date_format("ts", form)
+    message = F.when(n == 0, F.concat(F.lit("встреча в "), at("HH:mm"))).when(n == 1, F.concat(F.lit("каб. "), at("HH:mm:ss"))).when(n == 2, F.concat(F.lit("до "), at("HH.mm"), F.lit(". Потом "), "event_type")).otherwise(F.concat_ws(" ", "event_type", F.col("event_id").cast("string")))
     return t.events.select("event_id", T.has_time_hint(message).alias("timed"))
 
 
@@ -149,11 +159,14 @@ def _(t):
     return m.select("position", joined(F.col("m.weeks")).alias("weeks"), joined(F.col("m.except_weeks")).alias("except_weeks"), "m.title")
 
 
-@query("t20_evidence", "SELECT p_partkey, p_partkey % 2 = 0 AS supported FROM part WHERE length(p_type) >= 4")
+@query("t20_evidence", r"""
+WITH m AS (SELECT p_partkey, p_type, lower(CASE WHEN p_partkey % 2 = 0 THEN 'room: ' || p_type WHEN p_partkey % 3 = 0 THEN p_type || ' twice' ELSE p_name END) AS source FROM part),
+  w AS (SELECT *, list_filter(regexp_extract_all(lower(p_type), '[a-z0-9_]+'), lambda w: length(w) >= 4) AS words FROM m)
+SELECT p_partkey, len(words) > 0 AND len(list_filter(words, lambda w: NOT contains(source, left(w, 5)))) = 0 AS supported FROM w""")
 def _(t):
-    words = F.filter(T.title_words(F.col("p_type")), lambda w: F.length(w) >= 4)
-    source = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("room: "), "p_type")).otherwise("nothing of it")
-    return t.part.filter("length(p_type) >= 4").select("p_partkey", (T.supported(F.col("p_type"), source) & (F.size(words) > 0)).alias("supported"))
+    """Titles in a text that has them, in one that goes on, and in one that may not."""
+    source = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("room: "), "p_type")).when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit(" twice"))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", T.supported(F.col("p_type"), source).alias("supported"))
 
 
 @query("t21_selection_key", "SELECT p_partkey, lower(replace(replace(p_name || '-' || p_type, ' ', ''), '-', '')) AS key FROM part")
@@ -161,11 +174,11 @@ def _(t):
     return t.part.select("p_partkey", T.selection_key(F.concat_ws("-", "p_name", "p_type")).alias("key"))
 
 
-@query("t22_links", r"SELECT page_id, replace(url, 'http://', 'https://') AS link, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\.', '') AS name FROM pages WHERE regexp_matches(url, '^http')")
+@query("t22_links", r"SELECT page_id, replace(url, 'http://', 'https://') AS link, regexp_replace(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '^www\.', '') AS name FROM pages")
 def _(t):
     webcal = F.concat(F.lit("see "), F.regexp_replace("url", "^https?://", "webcal://"))
     link = T.calendar_link(webcal)
-    return t.pages.filter(F.col("url").rlike("^http")).select("page_id", link.alias("link"), T.link_name(link).alias("name"))
+    return t.pages.select("page_id", link.alias("link"), T.link_name(link).alias("name"))
 
 
 @query("t23_interval_label", """
@@ -175,9 +188,12 @@ def _(t):
     return t.cal_events.select("event_id", T.interval_label(F.col("start_at"), F.col("deadline"), F.col("all_day")).alias("label"))
 
 
-@query("t24_source_label", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'photo' ELSE p_name || '.xlsx' END AS label FROM part")
+@query("t24_source_label", r"""
+WITH m AS (SELECT p_partkey, p_name || CASE p_partkey % 5 WHEN 0 THEN '.JPG' WHEN 1 THEN '.xlsx' WHEN 2 THEN '.heic' WHEN 3 THEN '.png.pdf' ELSE '.jpeg' END AS name FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(name, '(?i)\.(png|jpe?g|webp|heic)$') THEN 'photo' ELSE name END AS label FROM m""")
 def _(t):
-    return t.part.select("p_partkey", T.source_label(F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, ".JPG").otherwise(".xlsx"))).alias("label"))
+    ending = F.element_at(F.array(*map(F.lit, (".JPG", ".xlsx", ".heic", ".png.pdf", ".jpeg"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", T.source_label(F.concat("p_name", ending)).alias("label"))
 
 
 @query("t25_inbox_key", "SELECT event_id, sha256(coalesce(json_extract_string(props, '$.id'), json_extract_string(props, '$.k'), event_type)) AS inbox_key FROM events")
@@ -258,7 +274,9 @@ def _(t):
     return scored.withColumn("place", place).filter("place <= 8").select("query_id", "event_id", "score", "place")
 
 
-@query("t10_supersedes", "SELECT o_orderkey, o_orderkey % 3 = 1 AS supersedes FROM orders")
+@query("t10_supersedes", f"""
+WITH m AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'с ' || {DAY_SQL} || ' по ' || {DAY_SQL} WHEN 1 THEN 'экзамен ' || {DAY_SQL} ELSE 'вторая группа' END AS message FROM orders)
+SELECT o_orderkey, len(regexp_extract_all(message, {DATE_SQL})) NOT IN (0, 2) OR regexp_matches(message, '(сегодня|завтра)') AS supersedes FROM m""")
 def _(t):
     day = F.date_format("o_orderdate", "dd.MM.yyyy")
     message = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("с "), day, F.lit(" по "), day)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("экзамен "), day)).otherwise("вторая группа")

@@ -162,15 +162,25 @@ def occurrences(read: DataFrame, last: str, first: str = "1970-01-01") -> DataFr
     return rows.filter((F.col("start_at") >= since) & (F.col("start_at") < until))
 
 
+def folded(line: Column) -> Column:
+    """A line of over 75 bytes as several that go on after a space, of 75 bytes at most; no letter is cut.
+
+    Bytes are looked at as Latin letters, so the cuts are found in one pass: the bytes 80 to BF never begin a letter.
+    """
+    octets = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
+    cut = F.regexp_replace(octets, r"([^\r\n]{71,74})(?=[^\x{80}-\x{BF}\r\n])", "$1\r\n ")
+    return F.when(F.octet_length(line) > 75, F.decode(F.encode(cut, "ISO-8859-1"), "UTF-8")).otherwise(line)
+
+
 def feed_lines(entries: DataFrame) -> DataFrame:
-    """The lines of each entry (uid, title, start_at, end_at, all_day): all-day ones with dates, and a day at least."""
+    """The lines of each entry (uid, title, start_at, end_at, all_day): all-day ones with dates, and a day at least; long ones are folded."""
     stamp = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss")
     day = lambda c: F.date_format(c, "yyyyMMdd")
     last = F.when(F.to_date("end_at") > F.to_date("start_at"), day("end_at")).otherwise(F.date_format(F.date_add(F.to_date("start_at"), 1), "yyyyMMdd"))
-    title = F.replace(F.regexp_replace(F.col("title"), r"([,;\\])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
+    title = F.replace(F.regexp_replace(F.regexp_replace(F.col("title"), r"\r\n?", "\n"), r"([,;\\])", r"\\$1"), F.lit("\n"), F.lit("\\n"))
     begin = F.when(F.col("all_day"), F.concat(F.lit("DTSTART;VALUE=DATE:"), day("start_at"))).otherwise(F.concat(F.lit("DTSTART:"), stamp("start_at"), F.lit("Z")))
     end = F.when(F.col("all_day"), F.concat(F.lit("DTEND;VALUE=DATE:"), last)).otherwise(F.concat(F.lit("DTEND:"), stamp("end_at"), F.lit("Z")))
-    lines = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), "uid"), F.concat(F.lit("SUMMARY:"), title), begin, end, F.lit("END:VEVENT"))
+    lines = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), folded(F.concat(F.lit("UID:"), "uid")), folded(F.concat(F.lit("SUMMARY:"), title)), begin, end, F.lit("END:VEVENT"))
     return entries.withColumn("lines", lines)
 
 

@@ -40,3 +40,17 @@ def test_archives_keep_all_documents(spark, tmp_path):
     got = sorted(map(str, map(tuple, catalog.queries()["s2_archives"](spark, str(tmp_path)).collect())))
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got == sorted(str((None, None, sha(t)) if i is None else ("0.zip", f"doc-{i}.txt", sha(t))) for i, t in rows)
+
+
+def test_long_lines_are_folded_and_read_back(spark):
+    """No line has over 75 bytes, no letter is cut, and titles come back as they were."""
+    titles = ["short", "x" * 300, "Лабораторная работа, " * 20, "é" * 34 + "😀" * 60, "a" * 66, "a" * 67, "a" * 68, "one\ntwo\r\nthree; " + "ё" * 90, ""]
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("s", f"{i}-" + "u" * 80, x, at, at, False) for i, x in enumerate(titles)], "subject string, uid string, title string, start_at timestamp_ntz, end_at timestamp_ntz, all_day boolean")
+    made = calendars.feeds(rows, "subject").select(F.lit("f").alias("file_name"), F.col("text").cast("binary").alias("content"))
+    content = bytes(made.collect()[0]["content"])
+    lines = content.split(b"\r\n")
+    assert max(map(len, lines)) <= 75 and all(x.decode() is not None for x in lines)
+    assert b"SUMMARY:" + b"a" * 67 in lines and b"SUMMARY:" + b"a" * 68 not in lines
+    got = {int(r["uid"].split("-")[0]): r["summary"] for r in calendars.events(made).collect()}
+    assert got == {i: x.replace("\r\n", "\n").strip() or None for i, x in enumerate(titles)}
