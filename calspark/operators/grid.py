@@ -5,8 +5,15 @@ A cell is (file_id, row_no, col_no, text); merged rectangles are (file_id, r1, c
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from calspark.functions import text as T
 
@@ -178,8 +185,67 @@ def row_chunks(cells: DataFrame, most_chars: int = 9000, most_cells: int = 48, p
 
 
 #: A line that begins a section, one that is a row of a table, and how many rows and lines of a section are its header at most.
-SECTION, ROW, HEADER_ROWS, HEADER_LINES = "=== ", r"^(?:T[0-9]+)?R[0-9]+\t", 4, 12
-EDGE = r"[\s\x1c-\x1f\x85\u00a0]"
+SECTION, ROW, HEADER_ROWS, HEADER_LINES = "=== ", re.compile(r"(?:T[0-9]+)?R[0-9]+\t"), 4, 12
+BATCH_CHARS = 4_000_000
+
+
+class _Joined:
+    """Lines of a text, and the size it has without the blanks around it; blanks at its end are kept up to ``most`` characters only."""
+
+    def __init__(self, lines: list[str]):
+        self.lines, self.n, self.first, self.last = [], 0, None, 0
+        for line in lines:
+            self.add(line)
+
+    def add(self, line: str, most: int | None = None) -> None:
+        start, said = self.n + (self.n > 0 or bool(self.lines)), line.strip()
+        if said:
+            self.last = start + len(line.rstrip())
+            self.first = start + len(line) - len(line.lstrip()) if self.first is None else self.first
+        if said or most is None or self.n - self.last <= most:  # beyond, a further text begins a new chunk, so these blanks go
+            self.lines.append(line)
+        self.n = start + len(line)
+
+    def size_with(self, line: str) -> int:
+        if not line.strip():
+            return self.last - (self.first or 0)
+        start = self.n + (self.n > 0 or bool(self.lines))
+        return start + len(line.rstrip()) - (start + len(line) - len(line.lstrip()) if self.first is None else self.first)
+
+    def text(self) -> str:
+        return "\n".join(self.lines).strip()
+
+
+def _pieces(lines: Iterator[str], most: int) -> Iterator[str]:
+    """Sections, in pieces that begin with the section's header where one is too long."""
+    header, rows, now = [], 0, None
+    for line in lines:
+        if now is None or line.startswith(SECTION):
+            if now is not None:
+                yield now.text()
+            header, rows, now = [], 0, _Joined([])
+        if rows < HEADER_ROWS and len(header) < HEADER_LINES:
+            header.append(line)
+            rows += bool(ROW.match(line))
+            now.add(line)
+            continue
+        if now.size_with(line) > most:
+            yield now.text()
+            now = _Joined(header)
+        now.add(line, most)
+    if now is not None:
+        yield now.text()
+
+
+def _packed(pieces: Iterator[str], most: int) -> Iterator[str]:
+    held = ""
+    for piece in filter(None, pieces):
+        if held and len(held) + len(piece) + 1 > most:
+            yield held
+            held = ""
+        held = f"{held}\n{piece}" if held else piece
+    if held:
+        yield held
 
 
 def document_chunks(lines: DataFrame, key: str, order: str, most_chars: int = 9000) -> DataFrame:
@@ -189,53 +255,30 @@ def document_chunks(lines: DataFrame, key: str, order: str, most_chars: int = 90
     that would exceed the size, and each of its chunks begins with the section's header. Chunks that follow each other are
     put together while they fit. Chunks are trimmed, empty ones go; a line without text counts as empty. A chunk is longer
     than ``most_chars`` only where a header and one line are.
-    """
-    inside = Window.partitionBy(key, "section")
-    rows = lines.select(key, F.col(order).cast("long").alias("line"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("section", F.sum(F.col("text").startswith(SECTION).cast("int")).over(Window.partitionBy(key).orderBy("line")))
-    # where a line stands in its section, and where its text begins and ends without the blanks around it
-    n, upto = F.char_length("text"), inside.orderBy("line")
-    rows = rows.withColumns({"n": n, "lead": n - F.char_length(F.regexp_replace("text", f"^{EDGE}+", "")), "tail": n - F.char_length(F.regexp_replace("text", f"{EDGE}+$", ""))})
-    rows = rows.withColumns({"at": F.sum(F.col("n") + 1).over(upto) - F.col("n") - 1, "seen": F.sum(F.col("text").rlike(ROW).cast("int")).over(upto), "nth": F.row_number().over(upto)})
-    said = F.col("lead") < F.col("n")
-    size = F.max(F.when(said, F.col("at") + F.col("n") - F.col("tail"))).over(inside) - F.min(F.when(said, F.col("at") + F.col("lead"))).over(inside)
-    before = F.col("seen") - F.col("text").rlike(ROW).cast("int")
-    rows = rows.withColumns({"long": F.coalesce(size, F.lit(0)) > most_chars, "header": (before < HEADER_ROWS) & (F.col("nth") <= HEADER_LINES)})
-
-    def part(state: list, n: int, lead: int, tail: int, long: bool, header: bool) -> int:
-        """State: the part, then length, first and last place of text (-1: none) of it, and the same of the header."""
-
-        def with_line(own: list) -> list:
-            start = own[0] + own[3]
-            blank = lead >= n
-            return [start + n, own[1] if blank or own[1] >= 0 else start + lead, own[2] if blank else start + n - tail, True]
-
-        at, own, head = state
-        more = with_line(own)
-        if header or not long:
-            state[:] = [at, more, more]
-            return at
-        if more[2] - more[1] > most_chars:
-            at, more = at + 1, with_line(head)
-        state[:] = [at, more, head]
-        return at
-
-    cut = folded(rows, [key, "section"], ["line"], ["n", "lead", "tail", "long", "header"], "part", lambda: [0, [0, -1, 0, False], [0, -1, 0, False]], part)
-    cut = cut.withColumn("parts", F.max("part").over(inside))
-    own = F.when(F.col("long") & F.col("header"), F.sequence(F.lit(0).cast("long"), F.col("parts"))).otherwise(F.array("part"))
-    pieces = cut.select(key, "section", F.explode(own).alias("part"), "line", "text")
-    joined = lambda rows, *order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "text"))), lambda r: r["text"]), "\n")
-    trimmed = lambda c: F.regexp_replace(c, f"^{EDGE}+|{EDGE}+$", "")
-    pieces = pieces.groupBy(key, "section", "part").agg(trimmed(joined(pieces, "line")).alias("text")).filter("text <> ''").withColumn("n", F.char_length("text"))
-
-    def packed(state: list, n: int) -> int:
-        full = state[1] > 0 and state[1] + n + 1 > most_chars
-        state[:] = [state[0] + full, n if full or not state[1] else state[1] + n + 1]
-        return state[0]
 
-    placed = folded(pieces, [key], ["section", "part"], ["n"], "chunk", lambda: [0, 0], packed)
-    chunks = placed.groupBy(key, "chunk").agg(joined(placed, "section", "part").alias("text"))
-    return chunks.select(key, F.col("chunk").cast("int").alias("chunk"), F.char_length("text").alias("n_chars"), "text")
+    Texts are shuffled once: Spark sorts the lines of a partition, and spills, and Python holds a chunk, a header and a batch of
+    what it gives back. What goes into a chunk depends on all lines before, so a document is the work of one task.
+    """
+    rows = lines.select(F.col(key).alias("_key"), F.col(order).cast("long").alias("_line"), F.coalesce("text", F.lit("")).alias("_text"))
+    schema = StructType([StructField(key, rows.schema["_key"].dataType), StructField("chunk", IntegerType()), StructField("n_chars", IntegerType()), StructField("text", StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        out, size = [], 0
+        for own, group in itertools.groupby(given, key=lambda r: r[0]):
+            for i, text in enumerate(_packed(_pieces((r[1] for r in group), most_chars), most_chars)):
+                out.append((own, i, len(text), text))
+                size += len(text)
+                if size > BATCH_CHARS:
+                    yield batch_of(out)
+                    out, size = [], 0
+        if out:
+            yield batch_of(out)
+
+    arrow = to_arrow_schema(schema)
+    batch_of = lambda out: pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema=arrow)
+    dealt = rows.repartition("_key").sortWithinPartitions("_key", "_line").select("_key", "_text")
+    return dealt.mapInArrow(run, schema)
 
 
 # Words of headers that are no title, and how the weeks of a row are told.

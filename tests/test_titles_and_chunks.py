@@ -98,7 +98,7 @@ def chunks(lines, most):
 
 def test_document_chunks_equal_brute_force(spark):
     rng = random.Random(3)
-    line = lambda: rng.choice(["=== s ===", "", "  ", "R1\tx", "T2R31\ty y", "text " * rng.randint(0, 9), " \tz ", "w" * rng.randint(0, 200), "ж é "])
+    line = lambda: rng.choice(["=== s ===", "", "  ", "", " " * 70, "R1\tx", "T2R31\ty y", "text " * rng.randint(0, 9), " \tz ", "w" * rng.randint(0, 200), "ж é "])
     docs = {d: [line() for _ in range(rng.randint(1, 90))] for d in range(40)} | {40: [""], 41: ["a" * 500], 42: ["=== t", *["R9\t" + "b" * 30] * 60]}
     rows = [(d, i, x, 1) for d, own in docs.items() for i, x in enumerate(own)] + [(43, 0, None, 1)]
     df = spark.createDataFrame(rows, "doc int, i int, text string, chunk int")
