@@ -85,7 +85,7 @@ WITH {ENTRIES}, {WEEKLY}, e AS (SELECT event_id, user_id % 75 AS account_id, sta
 SELECT e.event_id, o.ref FROM e JOIN occurrences o ON o.account_id = e.account_id AND e.start_at < o.end_at AND e.end_at > o.start_at""")
 def _(t):
     e = entries(t).filter(~F.col("all_day")).select((F.col("user_id") % 75).alias("account_id"), "event_id", "start_at", "end_at")
-    found = bucketed_overlaps(e, classes(t).select("account_id", "ref", "start_at", "end_at"), "account_id")
+    found = bucketed_overlaps(e, classes(t).select("account_id", "ref", "start_at", "end_at"), "account_id", 3600)
     return found.select("a.event_id", "b.ref")
 
 

@@ -95,3 +95,14 @@ def test_gates_forget(spark, tmp_path):
     assert max(sizes) >= 20 and sizes[-1] <= 4
     got = {r["item_id"]: r["decision"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got[0] == "send" and got[100] == "blocked" and got[104] == "send" and got[105] == "send"
+
+
+def test_unfolded_intervals_are_not_broadcast(spark):
+    """However small the rows are that intervals are unfolded from; and buckets of an hour give the pairs that those of a day give."""
+    at = F.lit(M(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), (F.col("id") * 25).cast("int"))
+    rows = spark.range(300).select((F.col("id") % 3).alias("subject"), "id", at.alias("start_at"), (at + F.expr("interval 100 minutes")).alias("end_at"))
+    found = intervals.bucketed_overlaps(rows, rows, "subject", 3600)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    pairs = lambda df: sorted((r["a"]["id"], r["b"]["id"]) for r in df.collect())
+    assert pairs(found) == pairs(intervals.bucketed_overlaps(rows, rows, "subject")) == [(i, j) for i in range(300) for j in range(300) if (i - j) % 3 == 0 and abs(i - j) * 25 < 100]
