@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from calspark.functions import text as T
 
+from .saved import saved
+
 SIGNATURE = ["title", "weekday", "start_min", "end_min", "week_pattern"]
 
 
@@ -52,8 +54,14 @@ def skip_candidates(requests: DataFrame, classes: DataFrame, on: list[str]) -> D
     ``requests`` has request_id (unique), ``on`` and message, ``classes`` has ``on`` and title; both meet where ``on`` is equal.
     Classes that share a word with the message, beside those of any such request, are meant; where none does, all are. A null message or title has no words.
     """
-    asked = requests.withColumn("_wanted", F.array_except(T.plain_words(F.coalesce("message", F.lit(""))), F.array(*map(F.lit, T.SKIP_WORDS))))
-    pairs = asked.select("request_id", *on, "_wanted").join(classes.withColumn("_has", T.plain_words(F.coalesce("title", F.lit("")))), on)
+    wanted = F.array_except(T.plain_words(F.coalesce("message", F.lit(""))), F.array(*map(F.lit, T.SKIP_WORDS)))
+    asked = requests.select("request_id", *on, F.array_sort(wanted).alias("_wanted"))
+    there = classes.withColumn("_has", F.array_sort(F.array_distinct(T.plain_words(F.coalesce("title", F.lit(""))))))
+    # what is said is compared once for each group, whoever says it; all that remains for each pair is a join on equal keys
+    sets = asked.select(*on, "_wanted").distinct().join(there.select(*on, "_has").distinct().hint("merge"), on)
+    sets = saved(sets.groupBy(*on, "_wanted").agg(F.collect_list(F.when(F.arrays_overlap("_wanted", "_has"), F.col("_has"))).alias("_meant")))
+    asked = asked.join(sets, [*on, "_wanted"])
     own = ["request_id", *(c for c in classes.columns if c not in on)]
-    meant = pairs.filter(F.arrays_overlap("_wanted", "_has")).select(own)
-    return meant.unionByName(pairs.join(meant.select("request_id").distinct(), "request_id", "left_anti").select(own))
+    meant = asked.select("request_id", *on, F.explode("_meant").alias("_has")).join(there.hint("merge"), [*on, "_has"])
+    every = asked.filter(F.size("_meant") == 0).select("request_id", *on).join(classes.hint("merge"), on)
+    return meant.select(own).unionByName(every.select(own))

@@ -116,3 +116,13 @@ def test_row_chunks(spark):
     got = {f: [r["chunk"] for r in grid.row_chunks(df).orderBy("row_no").collect() if r["file_id"] == f] for f in (1, 2, 3)}
     assert got == {1: [0, 0, 1, 1, 2, 2], 2: [0, 0, 0], 3: [0]}
     assert [r["chunk"] for r in grid.row_chunks(df.filter("file_id = 2"), 100).orderBy("row_no").collect()] == [0, 1, 1]
+
+
+def test_skip_candidates_compare_words_once(spark):
+    """Pairs of a request and a class are made on equal keys; words are compared before, once for each group and spelling."""
+    requests = spark.range(600).selectExpr("id AS request_id", "id % 2 AS account", "CASE WHEN id % 3 = 0 THEN 'не иду химия' ELSE 'не иду' END AS message")
+    classes = spark.range(600).selectExpr("id AS class", "id % 2 AS account", "CASE WHEN id % 5 = 0 THEN 'Химия 2' ELSE 'Хор' END AS title")
+    found = slots.skip_candidates(requests, classes, ["account"])
+    assert "arrays_overlap" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(r, c) for r in range(600) for c in range(600) if (r - c) % 2 == 0 and (r % 3 or c % 5 == 0)]
+    assert sorted((r["request_id"], r["class"]) for r in found.collect()) == want
