@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
 import zipfile
@@ -11,12 +12,13 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calendars import dealt, decoded
 
-MOST_MEMBERS, MOST_BYTES = 20, 20_000_000
+MOST_MEMBERS, MOST_BYTES, BATCH_BYTES, BATCH_ROWS = 20, 20_000_000, 4_000_000, 20_000
 CELLS = "file_name string, sheet string, row_no int, col_no int, kind string, text string, formula string, last_row int, last_col int"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -169,21 +171,32 @@ def workbook_parts(files: DataFrame) -> DataFrame:
     workbook, or of which any part can't be read, is one row of kind "broken", for quarantine.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in CELLS.split(", ")]
+    arrow = pa.schema([pa.field(c.split()[0], pa.int32() if c.endswith(" int") else pa.string()) for c in CELLS.split(", ")])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
-            rows = []
-            for name, content in zip(batch["file_name"], batch["content"], strict=True):
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     shared = []
                     if "xl/sharedStrings.xml" in archive.namelist():
                         shared = ["".join(t.text or "" for t in item.iter(f"{MAIN}t")) for item in ElementTree.parse(_xml(archive, "xl/sharedStrings.xml")).getroot()]
-                    rows += [(name, sheet, *row) for sheet, member in _sheets(archive) for row in list(_sheet_rows(archive, member, shared))]
+                    own = [(name, sheet, *row) for sheet, member in _sheets(archive) for row in list(_sheet_rows(archive, member, shared))]
                 except (*UNREADABLE, TypeError, AttributeError):
-                    rows = [r for r in rows if r[0] != name] + [(name, None, None, None, "broken", None, None, None, None)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CELLS.split(", ")]).astype({c: "Int32" for c in ("row_no", "col_no", "last_row", "last_col")})
+                    own = [(name, None, None, None, "broken", None, None, None, None)]
+                rows += own
+                if len(rows) >= BATCH_ROWS:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
-    return files.select("file_name", "content").mapInPandas(run, CELLS)
+    return files.select("file_name", "content").mapInArrow(run, CELLS)
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
@@ -199,26 +212,47 @@ def workbooks(cells: DataFrame, key: str) -> DataFrame:
     """
     from xml.sax.saxutils import escape, quoteattr
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    main, relations = MAIN[1:-1], RELATION[1:-3]
+    fixed = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId7"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="{relations}/worksheet" Target="worksheets/cells.xml"/></Relationships>',
+    }
+
+    def made(group: Iterator[tuple]) -> bytes:
         lines, merged = [], []
-        for row_no, own in group.sort_values(["row_no", "col_no"]).groupby("row_no"):
-            made = []
-            for c, text, formula, to_row, to_col in zip(own["col_no"], own["text"], own["formula"], own["last_row"], own["last_col"], strict=True):
-                if pd.notna(to_row):
-                    merged.append(f"{_letters(c)}{row_no}:{_letters(int(to_col))}{int(to_row)}")
-                if pd.notna(formula):
-                    made.append(f'<c r="{_letters(c)}{row_no}"><f>{escape(formula)}</f></c>')
-                elif pd.notna(text):
-                    made.append(f'<c r="{_letters(c)}{row_no}" t="inlineStr"><is><t>{escape(text)}</t></is></c>')
-            lines.append(f'<row r="{row_no}">{"".join(made)}</row>')
-        main, relations = MAIN[1:-1], RELATION[1:-3]
+        for row_no, own in itertools.groupby(group, key=lambda r: r[1]):
+            lines.append(f'<row r="{row_no}">')
+            for _, _, c, text, formula, to_row, to_col in own:
+                place = f"{_letters(c)}{row_no}"
+                if to_row is not None:
+                    merged.append(f"{place}:{_letters(to_col)}{to_row}")
+                if formula is not None:
+                    lines.append(f'<c r="{place}"><f>{escape(formula)}</f></c>')
+                elif text is not None:
+                    lines.append(f'<c r="{place}" t="inlineStr"><is><t>{escape(text)}</t></is></c>')
+            lines.append("</row>")
         merges = f'<mergeCells>{"".join(f"<mergeCell ref={quoteattr(m)}/>" for m in merged)}</mergeCells>' if merged else ""
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-            archive.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId7"/></sheets></workbook>')
-            archive.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Type="{relations}/worksheet" Target="worksheets/cells.xml"/></Relationships>')
-            archive.writestr("xl/worksheets/cells.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData>{merges}</worksheet>')
-        return pd.DataFrame({"file_name": [f"{group[key].iloc[0]}.xlsx"], "content": [out.getvalue()]})
+            for name, content in fixed.items():
+                archive.writestr(zipfile.ZipInfo(name), content)
+            archive.writestr(zipfile.ZipInfo("xl/worksheets/cells.xml"), f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData>{merges}</worksheet>', zipfile.ZIP_DEFLATED)
+        return out.getvalue()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        names, contents, size = [], [], 0
+        for name, group in itertools.groupby(rows, key=lambda r: r[0]):
+            names.append(f"{name}.xlsx")
+            contents.append(made(group))
+            size += len(contents[-1])
+            if size > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file_name", "content"])
+                names, contents, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["file_name", "content"])
 
     optional = [F.col(c) if c in cells.columns else F.lit(None).cast(t).alias(c) for c, t in (("formula", "string"), ("last_row", "int"), ("last_col", "int"))]
-    return cells.select(key, "row_no", "col_no", "text", *optional).groupBy(key).applyInPandas(run, "file_name string, content binary")
+    # a workbook's cells come one after the other, so many small ones cost no call each
+    placed = cells.filter("row_no IS NOT NULL").select(key, "row_no", "col_no", "text", *optional).repartition(key).sortWithinPartitions(key, "row_no", "col_no")
+    return placed.mapInArrow(run, "file_name string, content binary")

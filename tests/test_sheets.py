@@ -124,3 +124,13 @@ def test_a_corrupt_member_is_one_row(spark):
     whole[at: at + 4] = b"\xff\xff\xff\xff"
     got = {r["member"]: (r["content"] and bytes(r["content"]), r["reject"]) for r in files.members(spark.createDataFrame([("z.zip", whole)], "file_name string, content binary")).collect()}
     assert got == {"a.txt": (None, "corrupt"), "b.txt": (b"fine", None)}
+
+
+def test_small_workbooks_are_written_and_read_in_few_batches(spark):
+    """No call of Python for each file: the cells of files stream by, sorted; rows and columns come in order whatever theirs is."""
+    cells = spark.createDataFrame([(f, r, c, f"{f}-{r}-{c}" if c != 28 else None, "A1+7" if c == 28 else None, 3 if (r, c) == (2, 1) else None, 2 if (r, c) == (2, 1) else None) for f in (2, 1, 3) for r in (10, 2) for c in (28, 1)], "f int, row_no int, col_no int, text string, formula string, last_row int, last_col int")
+    made = files.workbooks(cells, "f")
+    assert "FlatMapGroups" not in made._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, (tuple(r)[0:1] + tuple(r)[2:] for r in files.workbook_parts(made).collect())))
+    want = [(f"{f}.xlsx", r, c, "number" if c == 28 else "text", None if c == 28 else f"{f}-{r}-{c}", "A1+7" if c == 28 else None, None, None) for f in (1, 2, 3) for r in (2, 10) for c in (1, 28)]
+    assert got == sorted(map(str, want + [(f"{f}.xlsx", 2, 1, "merge", None, None, 3, 2) for f in (1, 2, 3)]))
