@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .calendars import dealt, decoded
 
 MOST_MEMBERS, MOST_BYTES, BATCH_BYTES, BATCH_ROWS = 20, 20_000_000, 4_000_000, 20_000
+MEMBERS = "file_name string, member string, content binary, reject string"
 CELLS = "file_name string, sheet string, row_no int, col_no int, kind string, text string, formula string, last_row int, last_col int"
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -48,28 +49,39 @@ def _content(archive: zipfile.ZipFile, member: zipfile.ZipInfo) -> tuple[bytes |
         return None, "corrupt"
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``members``, given back as soon as they have BATCH_BYTES: what is unpacked of a batch of archives is never held whole."""
+    arrow = pa.schema([pa.field("file_name", pa.string()), pa.field("member", pa.string()), pa.field("content", pa.binary()), pa.field("reject", pa.string())])
+    batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+    rows, size = [], 0
+    for batch in batches:
+        for name, content in zip(*batch.columns, strict=True):  # an archive at a time becomes bytes
+            name = name.as_py()
+            try:
+                archive = zipfile.ZipFile(io.BytesIO(content.as_py()))
+            except zipfile.BadZipFile:
+                rows.append((name, None, None, "broken"))
+                continue
+            own = [x for x in archive.infolist() if not x.is_dir() and not x.filename.startswith("__MACOSX/")]
+            large = sum(x.file_size for x in own[:MOST_MEMBERS]) > MOST_BYTES
+            for i, x in enumerate(own):
+                why = "bytes" if large else "members" if i >= MOST_MEMBERS else None
+                rows.append((name, x.filename, *((None, why) if why else _content(archive, x))))
+                size += len(rows[-1][2] or b"")
+                if size > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+    if rows:
+        yield batch_of(rows)
+
+
 def members(files: DataFrame) -> DataFrame:
     """file_name, member and content of the files in each archive; a broken archive is one row with the reason in reject.
 
     Members beyond MOST_MEMBERS, or all of an archive over MOST_BYTES, have no content and the reason in reject.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, content in zip(batch["file_name"], batch["content"], strict=True):
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                except zipfile.BadZipFile:
-                    rows.append((name, None, None, "broken"))
-                    continue
-                own = [x for x in archive.infolist() if not x.is_dir() and not x.filename.startswith("__MACOSX/")]
-                large = sum(x.file_size for x in own[:MOST_MEMBERS]) > MOST_BYTES
-                reasons = ["bytes" if large else "members" if i >= MOST_MEMBERS else None for i in range(len(own))]
-                rows += [(name, x.filename, *((None, why) if why else _content(archive, x))) for x, why in zip(own, reasons, strict=True)]
-            yield pd.DataFrame(rows, columns=["file_name", "member", "content", "reject"])
-
-    return files.select("file_name", "content").mapInPandas(run, "file_name string, member string, content binary, reject string")
+    return files.select("file_name", "content").mapInArrow(_members, MEMBERS)
 
 
 def archived(files: DataFrame, key: str, most_bytes: int = MOST_BYTES, most_members: int = MOST_MEMBERS) -> DataFrame:

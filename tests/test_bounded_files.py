@@ -5,6 +5,7 @@ import hashlib
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from calspark import catalog
@@ -65,3 +66,18 @@ def test_the_digest_of_a_large_feed_is_of_one_text(spark):
     text = lambda uids: "BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//calspark//feed//EN\r\nCALSCALE:GREGORIAN\r\nMETHOD:PUBLISH\r\n" + "".join(map(event.format, uids)) + "END:VCALENDAR\r\n"
     got = sorted(map(tuple, calendars.feed_digests(rows, "subject").collect()))
     assert got == [(s, len(u), hashlib.sha256(text(u).encode()).hexdigest()) for s, u in sorted(own.items())]
+
+
+def test_what_is_unpacked_is_given_back_in_pieces():
+    """Forty archives of one batch, 40 MB unpacked: no piece has more than the bytes of a batch and one member."""
+    def packed(i):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr(f"{i}.txt", bytes([i]) * 1_000_000)
+        return out.getvalue()
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i}.zip" for i in range(41)]), pa.array([*map(packed, range(40)), b"none"], pa.binary())], names=["file_name", "content"])
+    found = list(files._members(iter([batch])))
+    assert len(found) > 5 and max(b.nbytes for b in found) < files.BATCH_BYTES + 1_100_000
+    rows = [tuple(r.values()) for b in found for r in b.to_pylist()]
+    assert rows == [(f"{i}.zip", f"{i}.txt", bytes([i]) * 1_000_000, None) for i in range(40)] + [("40.zip", None, None, "broken")]
