@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from calspark.functions import text as T
 
 from .folds import folded
+from .saved import saved
 
 CELL = ["file_id", "row_no", "col_no"]
 
@@ -153,6 +154,7 @@ def formula_dates(cells: DataFrame, key: list[str], most: int = 100) -> DataFram
     rows = cells.select(*key, "row_no", "col_no", F.try_to_date("text", "yyyy-MM-dd").alias("own"), "formula", parsed_formula(F.col("formula")).alias("f")).filter("own IS NOT NULL OR formula IS NOT NULL")
     rows = rows.select(*key, "row_no", "col_no", F.struct(*key).alias("file_id"), at("row_no", "col_no").alias("cell"), "formula", "own", "f.*")
     day = F.when(F.col("formula").isNull(), F.col("own")).otherwise(F.date_add("day", F.col("plus")))
+    rows = saved(rows)  # each round joins them to themselves, and they are not made again for it
     found = resolved_dates(rows.select("file_id", "cell", day.alias("day"), at("ref_row", "ref_col").alias("ref"), "plus"), most)
     return found.select(*(F.col(f"file_id.{k}").alias(k) for k in key), F.shiftright("cell", 16).cast("int").alias("row_no"), (F.col("cell") % 65536).cast("int").alias("col_no"), "day")
 
