@@ -1,11 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from calspark.llm.suffix_dedup import Pieces, common_prefixes, suffix_array, without_repeats
+from calspark.llm.suffix_dedup import BODIES, Pieces, _shards, common_prefixes, suffix_array, without_repeats
 
 
 def brute(rows, match):
@@ -73,3 +75,25 @@ def test_equal_strings_have_equal_anchors():
         for i in range(first, first + count):
             assert seen.setdefault(texts[t][i: i + 40], anchor) == anchor
     assert sum(p.count) == 20 * 161
+
+
+def test_memory_of_a_shard_is_bounded():
+    """A shard of more bytes than meant, of many anchors: its arrays are made of some anchors at a time, with the same runs found."""
+    rnd = np.random.default_rng(1)
+    base = [rnd.integers(97, 123, 9_000, dtype=np.uint8).tobytes() for _ in range(40)]
+    at = rnd.integers(0, 8_000, (40, 50)).tolist()
+    rows = [(0, 0, 1, a, 50 * a + i, 0, 1, 400, base[a][x: x + 799]) for a, own in enumerate(at) for i, x in enumerate(own)]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [c.split() for c in BODIES.split(", ")]
+    shard = pa.RecordBatch.from_arrays([pa.array(c, types[kind]) for c, (_, kind) in zip(zip(*rows), fields)], [name for name, _ in fields])
+
+    def run(limit):
+        tracemalloc.start()
+        found = [r for batch in _shards(400, limit)(iter([shard])) for r in batch.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return sorted((r["d0"], r["first"], r["count"]) for r in found), peak
+
+    (whole, most), (parts, least) = run(10_000_000), run(100_000)
+    assert whole == parts and len(whole) > 1_000
+    assert least < 30_000_000 < 100_000_000 < most
