@@ -286,6 +286,11 @@ def document_chunks(lines: DataFrame, key: str, order: str, most_chars: int = 90
 # Words of headers that are no title, and how the weeks of a row are told.
 NO_TITLE = ("день", "дата", "время", "предмет", "дисциплина", "занятие", "пара", "группа")
 ODD_STEMS, EVEN_STEMS = ("числител", "нечет"), ("знаменател", "чет")
+#: What is no title, of a text in lower case: a word of a header, a day, a clock, a number, signs only, the code of a group.
+OTHER = "|".join((
+    rf"\A(?:{'|'.join(NO_TITLE)})\z", T.DAY_NAME.replace("е", "[её]"), T.CLOCK, r"\A[№#]?\s*[0-9]+[./-]?[0-9]*$", r"\A[^\p{L}0-9]*\z",
+    r"(?=\p{L})(?U:(?<!\w)(?<!\w[-./‐-―−])\p{L}{2,6}[-‐-―−][0-9]{1,3}(?:[-‐-―−][0-9]{2})?(?!\w)(?![-./‐-―−]\w))",
+))
 
 
 def row_slots(cells: DataFrame) -> DataFrame:
@@ -296,19 +301,20 @@ def row_slots(cells: DataFrame) -> DataFrame:
     time, number or code of a group) and it ends after it starts, on that day; else all but row, day and times are null.
     Thursday, which begins as the word for even does, tells no weeks.
     """
-    row = cells.filter("text IS NOT NULL").groupBy("file_id", "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", F.trim("text").alias("text")))).alias("own"))
-    row = row.select("file_id", "row_no", F.filter(F.transform("own", lambda c: c["text"]), lambda x: x != "").alias("own"))
-    row = row.withColumn("text", F.array_join("own", "\t")).withColumn("days", T.weekdays_in(F.col("text")))
+    own = cells.select(*CELL, F.trim("text").alias("text")).filter("text <> ''")
+    own = own.select("file_id", "row_no", F.struct("col_no", "text", F.lower("text").rlike(OTHER).alias("other")).alias("cell"))
+    row = own.groupBy("file_id", "row_no").agg(F.sort_array(F.collect_list("cell")).alias("own"))
+    row = row.withColumn("text", F.array_join(F.col("own")["text"], "\t")).withColumn("days", T.weekdays_in(F.col("text")))
     above = Window.partitionBy("file_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     row = row.withColumn("weekday", F.last(F.when(F.size("days") == 1, F.get("days", F.lit(0))), ignorenulls=True).over(above))
-    part = lambda i: F.regexp_extract_all("text", F.lit(T.CLOCK), F.lit(i))
-    row = row.withColumn("clocks", F.zip_with(part(1), part(2), lambda h, m: h.cast("int") * 60 + m.cast("int"))).filter("weekday IS NOT NULL AND size(clocks) > 0")
-    number, group = r"^[№#]?\s*[0-9]+[./-]?[0-9]*$", lambda x: F.exists(T.codes(x), T.is_group_code)
-    other = lambda x: F.lower(x).isin(*NO_TITLE) | (F.size(T.weekdays_in(x)) > 0) | x.rlike(T.CLOCK) | x.rlike(number) | ~x.rlike(r"[\p{L}0-9]") | group(x)
-    titles = F.array_distinct(F.filter("own", lambda x: ~other(x)))
-    end = F.coalesce(F.get("clocks", F.lit(1)), F.get("clocks", F.lit(0)) + 90)
-    row = row.select("file_id", "row_no", "weekday", F.get("clocks", F.lit(0)).alias("start_min"), end.alias("end_min"), titles.alias("titles"), T.plain_words(F.col("text")).alias("words"))
-    begins = lambda stems: F.exists("words", lambda w: F.greatest(*(w.startswith(s) for s in stems)) & ~w.isin(*(n for own in T.DAY_NAMES for n in own)))
+    row = row.filter(F.col("weekday").isNotNull() & F.col("text").rlike(T.CLOCK))
+    row = row.withColumn("clocks", F.regexp_extract_all("text", F.lit(T.CLOCK), F.lit(0)))
+    titles = F.array_distinct(F.filter("own", lambda c: ~c["other"])["text"])
+    minutes = lambda clock: F.regexp_extract(clock, "^[0-9]+", 0).cast("int") * 60 + F.right(clock, F.lit(2)).cast("int")
+    start, end = (minutes(F.get("clocks", F.lit(i))) for i in (0, 1))
+    row = row.select("file_id", "row_no", "weekday", start.alias("start_min"), F.coalesce(end, start + 90).alias("end_min"), titles.alias("titles"), F.translate(F.lower("text"), "ё", "е").alias("words"))
+    letter, names = "[a-zа-я0-9]", "|".join(n for own in T.DAY_NAMES for n in own)
+    begins = lambda stems: F.col("words").rlike(rf"(?=[{''.join(s[0] for s in stems)}])(?<!{letter})(?!(?:{names})(?!{letter}))(?:{'|'.join(stems)})")
     weeks = F.when(begins(ODD_STEMS), "odd").when(begins(EVEN_STEMS), "even").otherwise("every")
     good = (F.size("titles") == 1) & (F.col("end_min") > F.col("start_min")) & (F.col("end_min") < 1440)
     return row.select("file_id", "row_no", "weekday", "start_min", "end_min", F.when(good, F.left(F.get("titles", F.lit(0)), F.lit(255))).alias("title"), F.when(good, weeks).alias("week_pattern"), good.alias("resolved"))

@@ -175,7 +175,7 @@ WITH {TIMETABLE} SELECT file_id, row_no, weekday, start_min, last AS end_min, CA
 def _(t):
     """Rows of a day (not in all), one or two clocks, a number, a group, a title (or two) and the weeks beside the clocks; days come from the rows above."""
     days = F.array(*(F.lit(own[i % 3].capitalize()) for i, own in enumerate(T.DAY_NAMES)))
-    clock = lambda m: F.format_string("%d:%02d", F.floor(m / 60).cast("int"), m % 60)
+    clock = lambda m: F.concat_ws(":", F.floor(m / 60).cast("string"), F.lpad((m % 60).cast("string"), 2, "0"))
     n, weeks = F.col("position"), F.col("week_pattern")
     end = F.when(n % 13 == 0, F.col("start_min") - 30).otherwise(F.col("end_min"))
     times = F.when(n % 4 == 0, clock(F.col("start_min"))).otherwise(F.concat_ws(" - ", clock(F.col("start_min")), clock(end)))

@@ -15,6 +15,14 @@ def plan(df):
     return df._jdf.queryExecution().analyzed().toString()
 
 
+def test_rows_are_told_by_patterns(spark):
+    """Each cell is matched once, before cells are gathered; no function runs over the words of a row but one over its days."""
+    cells = spark.createDataFrame([(1, 1, 0, "Четверг"), (1, 1, 1, "9:30"), (1, 1, 2, "Химия"), (1, 2, 1, "10:30 чет."), (1, 2, 2, "ИС-21"), (1, 2, 3, " "), (1, 2, 4, "Дата и время")], "file_id long, row_no int, col_no int, text string")
+    rows = grid.row_slots(cells)
+    assert plan(rows).count("lambdafunction") <= 2
+    assert sorted(map(tuple, rows.collect())) == [(1, 1, 3, 570, 660, "Химия", "every", True), (1, 2, 3, 630, 720, "Дата и время", "even", True)]
+
+
 def test_week_marks_without_tokens(spark):
     """Titles are matched as they are; a token behind white space other than a blank is no part of a mark."""
     titles = ["1-4 н. химия", "физика (кр. 5,1 нед)", "12 н", "ё\t30н", "Нед)5нед 12н", "a 3 н, b 4 н", None]
