@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from calspark.functions import text as T
 
 from .grid import CELL, islands
+from .saved import saved
 
 HEADER_ROWS, FALLBACK, LABEL_CHARS = 12, 3, 40
 
@@ -71,18 +72,20 @@ def parity_hints(cells: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def marked(cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Spanned cells with header (their row is above the data), label (the text belongs to an axis) and axis (their column does)."""
+    """Spanned cells with header (their row is above the data), label (the text belongs to an axis) and axis (their column does).
+
+    What follows joins them to themselves many times, so they are saved; each text is looked at once, and a file's cells are shuffled once.
+    """
     rows = spanned(cells, merges).withColumns({"label": T.is_axis_label(F.col("text")), "timed": T.is_time_label(F.col("text")), "day": T.weekday_name(F.col("text"))})
-    lines = rows.groupBy("file_id", "row_no").agg(F.max("timed").alias("timed"), F.countDistinct("day").alias("days"), F.max(F.size(T.dates_mentioned(F.col("text"))) * F.col("label").cast("int")).alias("dates"))
-    lines = lines.withColumn("i", F.row_number().over(Window.partitionBy("file_id").orderBy("row_no")))
-    data = F.when((F.col("i") <= HEADER_ROWS) & (F.col("timed") | (F.col("days") == 1)), F.col("i"))
-    lines = lines.withColumn("first", F.min(data).over(Window.partitionBy("file_id")))
-    lines = lines.select("file_id", "row_no", (F.col("i") < F.coalesce("first", F.lit(FALLBACK + 1))).alias("header"))
-    rows = rows.join(lines, ["file_id", "row_no"])
+    file, line = Window.partitionBy("file_id"), Window.partitionBy("file_id", "row_no")
+    rows = rows.withColumn("i", F.dense_rank().over(file.orderBy("row_no")))
+    one_day = F.min("day").over(line) == F.max("day").over(line)
+    rows = rows.withColumn("data", F.when((F.col("i") <= HEADER_ROWS) & (F.max("timed").over(line) | one_day), F.col("i")))
+    rows = rows.withColumn("header", F.col("i") < F.coalesce(F.min("data").over(file), F.lit(FALLBACK + 1))).drop("i", "data")
     column = Window.partitionBy("file_id", "col_no")
     below = F.coalesce(F.bool_and(F.when(~F.col("header"), F.col("label"))).over(column), F.lit(False))
     headed = F.max(F.col("header") & T.is_axis_header(F.col("text"))).over(column)
-    return rows.withColumn("axis", below | headed)
+    return saved(rows.withColumn("axis", below | headed))
 
 
 def matched(rows: DataFrame, requests: DataFrame) -> DataFrame:
@@ -105,7 +108,7 @@ def selected_columns(found: DataFrame) -> DataFrame:
     columns = columns.withColumn("levels", F.size(F.collect_set("row_no").over(file))).withColumn("lowest", F.max("row_no").over(file))
     columns = columns.groupBy("file_id", "col_no").agg(F.count(F.lit(1)).alias("n"), F.first("levels").alias("levels"), F.max(F.col("row_no") == F.col("lowest")).alias("low"))
     columns = columns.withColumn("common", F.max(F.col("n") == F.col("levels")).over(file))
-    return columns.filter(F.when(F.col("common"), F.col("n") == F.col("levels")).otherwise(F.col("low"))).select("file_id", "col_no")
+    return saved(columns.filter(F.when(F.col("common"), F.col("n") == F.col("levels")).otherwise(F.col("low"))).select("file_id", "col_no"))
 
 
 def _under(rows: DataFrame, columns: DataFrame) -> DataFrame:

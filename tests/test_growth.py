@@ -30,3 +30,12 @@ def test_week_marks_without_tokens(spark):
     assert "regexp_extract_all" not in plan(rows)
     want = [([1, 2, 3, 4], [], "Химия"), ([], [1, 5], "Физика"), ([], [], "12 н"), ([], [], "ё\t30н"), ([12], [], "Нед)5нед"), ([4], [], "A 3 н, b"), ([], [], None)]
     assert [tuple(r["m"]) for r in rows.collect()] == want
+
+
+def test_marked_cells_are_made_once(spark):
+    """What is made of marked cells starts from what was saved, not from the cells again."""
+    cells = spark.createDataFrame([(1, 1, 1, "День"), (1, 1, 2, "Время"), (1, 1, 3, "AB-1"), (1, 2, 1, "Пн"), (1, 2, 2, "8:15"), (1, 2, 3, "x")], "file_id long, row_no int, col_no int, text string")
+    merges = spark.createDataFrame([], "file_id long, r1 int, c1 int, r2 int, c2 int")
+    rows = sheets.marked(cells, merges)
+    assert "Join" not in plan(rows) and "LogicalRDD" in plan(rows)
+    assert {(r["row_no"], r["col_no"]): (r["header"], r["axis"]) for r in rows.collect()} == {(1, 1): (True, True), (1, 2): (True, True), (1, 3): (True, False), (2, 1): (False, True), (2, 2): (False, True), (2, 3): (False, False)}
