@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calspark.functions import text as T
 from calspark.operators import slots
+from calspark.operators.saved import saved
 
 from .registry import query
 
@@ -53,18 +54,24 @@ def _(t):
     return rows.select("l_orderkey", "l_linenumber", T.normal_title(F.concat_ws(" - ", "p_name", "p_type")).alias("title"))
 
 
+#: Rows of two titles and a score that are broadcast, at most: some 50 MB.
+MOST_SCORES = 250_000
+
+
 @query("t6_title_similarity")
 def _(t):
     """Each title of a user as the query against each other one, both ways, and against itself if several events have it.
 
     n_events and n_others count the events with either title; a pair of titles is scored once, however many users have it.
-    Events without a title have no pairs. The ratio has no counterpart in SQL.
+    Events without a title have no pairs. The ratio has no counterpart in SQL. Scores of up to MOST_SCORES pairs of titles are sent to where
+    the users' pairs are made; more are joined by sorting.
     """
-    e = t.cal_events.groupBy("user_id", "title").agg(F.count(F.lit(1)).alias("n_events"))
+    e = saved(t.cal_events.filter("title IS NOT NULL").groupBy("user_id", "title").agg(F.count(F.lit(1)).alias("n_events")))
     other = e.select("user_id", F.col("title").alias("other"), F.col("n_events").alias("n_others"))
     pairs = e.join(other, "user_id").filter((F.col("title") != F.col("other")) | (F.col("n_events") > 1))
-    scores = pairs.select("title", "other").distinct().withColumn("score", F.round(T.similarity(F.col("title"), F.col("other")), 6))
-    return pairs.join(scores, ["title", "other"]).select("user_id", "title", "other", "n_events", "n_others", "score")
+    scores = saved(pairs.select("title", "other").distinct().withColumn("score", F.round(T.similarity(F.col("title"), F.col("other")), 6)))
+    few = scores.limit(MOST_SCORES + 1).count() <= MOST_SCORES
+    return pairs.join(F.broadcast(scores) if few else scores, ["title", "other"]).select("user_id", "title", "other", "n_events", "n_others", "score")
 
 
 @query("t6_similar_titles")

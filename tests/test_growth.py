@@ -46,3 +46,13 @@ def test_marked_cells_are_made_once(spark):
     rows = sheets.marked(cells, merges)
     assert "Join" not in plan(rows) and "LogicalRDD" in plan(rows)
     assert {(r["row_no"], r["col_no"]): (r["header"], r["axis"]) for r in rows.collect()} == {(1, 1): (True, True), (1, 2): (True, True), (1, 3): (True, False), (2, 1): (False, True), (2, 2): (False, True), (2, 3): (False, False)}
+
+
+def test_few_scores_are_broadcast_and_many_joined(spark, monkeypatch):
+    run = lambda: catalog.queries()["t6_title_similarity"](spark, SF)
+    few = run()
+    assert "strategy=broadcast" in plan(few)
+    monkeypatch.setattr(texts, "MOST_SCORES", 10)
+    many = run()
+    assert "strategy=broadcast" not in plan(many)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
