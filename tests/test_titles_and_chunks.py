@@ -126,3 +126,34 @@ def test_skip_candidates_compare_words_once(spark):
     assert "arrays_overlap" not in found._jdf.queryExecution().executedPlan().toString()
     want = [(r, c) for r in range(600) for c in range(600) if (r - c) % 2 == 0 and (r % 3 or c % 5 == 0)]
     assert sorted((r["request_id"], r["class"]) for r in found.collect()) == want
+
+
+def test_skip_candidates_in_tiles_equal_brute_force(spark, monkeypatch):
+    """Blocks that aren't full, equal rows, nulls in every column and groups without requests or classes."""
+    monkeypatch.setattr(slots, "TILE", (3, 4), raising=False)
+    monkeypatch.setattr(slots, "PAIRS_OF_A_TASK", 50, raising=False)
+    rng = random.Random(5)
+    titles, messages = ["Химия", "химия  ", "Зачёт", "физика 2", "", None, "Не"], ["не иду Химия", "Не иду ЗАЧЕТ, физика", "иду", "", None, "астрономия"]
+    requests = [(i, rng.choice([1, 1, 2, 3, None]), rng.choice("ab"), rng.choice(messages)) for i in range(90)] + [(None, 1, "a", "химия")]
+    classes = [(rng.choice([None, *range(9)]), rng.choice(titles), rng.choice([1, 1, 2, 4, None]), rng.choice("ab"), rng.choice([None, 0.5, 2.0])) for _ in range(110)]
+    words = lambda text: set(re.findall("[a-zа-я0-9]+", (text or "").lower().replace("ё", "е")))
+    want = []
+    for request, *group, message in requests:
+        there = [(c, title, x) for c, title, *own, x in classes if own == group and group[0] is not None]
+        meant = [c for c in there if words(c[1]) & (words(message) - set(T.SKIP_WORDS))]
+        want += [(request, *c) for c in meant or there]
+    asked = spark.createDataFrame(requests, "request_id int, account int, kind string, message string")
+    found = slots.skip_candidates(asked, spark.createDataFrame(classes, "class int, title string, account int, kind string, x double"), ["account", "kind"])
+    assert found.columns == ["request_id", "class", "title", "x"]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+def test_skip_candidates_of_a_group_are_dealt_out(spark, monkeypatch):
+    """A million pairs of one group are the work of many tasks, not of the one that its key falls to."""
+    monkeypatch.setattr(slots, "TILE", (32, 64), raising=False)
+    monkeypatch.setattr(slots, "PAIRS_OF_A_TASK", 1 << 16, raising=False)
+    requests = spark.range(1000).selectExpr("id AS request_id", "1 AS account", "if(id % 2 = 0, 'не иду', 'химия') AS message")
+    classes = spark.range(1000).selectExpr("id AS class", "1 AS account", "if(id % 10 = 0, 'хор', 'Химия') AS title")
+    found = slots.skip_candidates(requests, classes, ["account"])
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 500 * 1000 + 500 * 900 and len(tasks) > 8 and max(tasks) < sum(tasks) / 4
